@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, minhash
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,8 +15,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": lambda s, d: decontaminate.op1_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op3_near_duplicates": lambda s, d: minhash.op3_near_duplicates(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE}
+    return {
+        "op1_decontamination": decontaminate.ORACLE,
+        "op3_near_duplicates": minhash.ORACLE,
+    }
