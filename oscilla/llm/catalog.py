@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash
+from . import decontaminate, minhash, mixing
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": lambda s, d: decontaminate.op1_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op2_mixing": lambda s, d: mixing.op2_mixing(table(s, d, "documents")),
         "op3_near_duplicates": lambda s, d: minhash.op3_near_duplicates(table(s, d, "documents")),
     }
 
@@ -22,5 +23,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontaminate.ORACLE,
+        "op2_mixing": mixing.ORACLE,
         "op3_near_duplicates": minhash.ORACLE,
     }
