@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, mixing
+from . import decontaminate, minhash, mixing, sharding
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op1_decontamination": lambda s, d: decontaminate.op1_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
         "op2_mixing": lambda s, d: mixing.op2_mixing(table(s, d, "documents")),
         "op3_near_duplicates": lambda s, d: minhash.op3_near_duplicates(table(s, d, "documents")),
+        "op9_sharding": lambda s, d: sharding.op9_sharding(table(s, d, "documents")),
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontaminate.ORACLE,
         "op2_mixing": mixing.ORACLE,
         "op3_near_duplicates": minhash.ORACLE,
+        "op9_sharding": sharding.ORACLE,
     }
