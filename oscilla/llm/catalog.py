@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, minhash, mixing, sharding
+from . import chat, decontaminate, minhash, mixing, secretscan, sharding
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op1_decontamination": lambda s, d: decontaminate.op1_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
         "op2_mixing": lambda s, d: mixing.op2_mixing(table(s, d, "documents")),
         "op3_near_duplicates": lambda s, d: minhash.op3_near_duplicates(table(s, d, "documents")),
+        "op6_secret_scan": lambda s, d: secretscan.op6_secret_scan(table(s, d, "documents")),
         "op8_chat_format": lambda s, d: chat.op8_chat_format(table(s, d, "conversations")),
         "op9_sharding": lambda s, d: sharding.op9_sharding(table(s, d, "documents")),
     }
