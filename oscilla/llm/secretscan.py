@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import spans
+from .spans import spans, with_fixed
 
 #: Base kinds in order; the contract's patterns, with the least lengths of runs written into them.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -78,8 +78,8 @@ def _of_kind(k: int):
 
 def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id and ``spans``: an array of (start, kind order, end, kind, text) in that order, for every document."""
-    body = F.when(F.coalesce(F.col(text).rlike(ANY), F.lit(False)), F.col(text))
-    rows = docs.select(F.col(id_col), body.alias("body"))
+    body = F.when(F.col("text").rlike(ANY), F.col("text"))
+    rows = with_fixed(docs.select(F.col(id_col), F.col(text).alias("text")), body=body).drop("text")
     kinds = (
         (ASSIGN, 2, lambda s: F.length(s["part"]) >= 6),
         (ACCESS, 0, None),
@@ -92,7 +92,7 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text")
         own = F.filter(own, keep) if keep else own
         found.append(F.transform(own, _of_kind(k)))
     none = F.expr("cast(array() as array<struct<start:int,k:int,end:int,kind:string,part:string>>)")
-    return rows.select(id_col, F.when(F.col("body").isNull(), none).otherwise(F.array_sort(F.concat(*found))).alias("spans"))
+    return with_fixed(rows, spans=F.when(F.col("body").isNull(), none).otherwise(F.array_sort(F.concat(*found)))).drop("body")
 
 
 def redacted(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", mask: str = "[secret]") -> DataFrame:

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def with_fixed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with further columns that are evaluated once a row, however often later steps use them.
+
+    A projection may be merged into the next one and its expressions repeated there, also inside the
+    steps of higher-order functions; the generator of a one-element array is never merged.
+    """
+    one = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return rows.withColumn("_fixed", F.explode(F.array(one))).select(*rows.columns, *[F.col("_fixed")[name].alias(name) for name in columns])
+
+
 def spans(text: Column, regex: Column, group: int = 0) -> Column:
     """All matches in order as an array of (start, end, part): code points, end exclusive, and one group's text.
 
