@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, minhash, mixing, secretscan, sharding
+from . import chat, decontaminate, langid, licenses, minhash, mixing, secretscan, sharding
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op2_mixing": lambda s, d: mixing.op2_mixing(table(s, d, "documents")),
         "op3_near_duplicates": lambda s, d: minhash.op3_near_duplicates(table(s, d, "documents")),
         "op4_license_scan": lambda s, d: licenses.op4_license_scan(table(s, d, "documents")),
+        "op5_language_id": lambda s, d: langid.op5_language_id(table(s, d, "documents")),
         "op6_secret_scan": lambda s, d: secretscan.op6_secret_scan(table(s, d, "documents")),
         "op8_chat_format": lambda s, d: chat.op8_chat_format(table(s, d, "conversations")),
         "op9_sharding": lambda s, d: sharding.op9_sharding(table(s, d, "documents")),
