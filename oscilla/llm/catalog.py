@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, langid, licenses, minhash, mixing, secretscan, sharding
+from . import chat, decontaminate, fingerprints, langid, licenses, minhash, mixing, secretscan, sharding, substrings
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op4_license_scan": lambda s, d: licenses.op4_license_scan(table(s, d, "documents")),
         "op5_language_id": lambda s, d: langid.op5_language_id(table(s, d, "documents")),
         "op6_secret_scan": lambda s, d: secretscan.op6_secret_scan(table(s, d, "documents")),
+        "op7_suffix_dedup": lambda s, d: substrings.op7_suffix_dedup(table(s, d, "documents")),
         "op8_chat_format": lambda s, d: chat.op8_chat_format(table(s, d, "conversations")),
         "op9_sharding": lambda s, d: sharding.op9_sharding(table(s, d, "documents")),
         "op10_fingerprints": lambda s, d: fingerprints.op10_fingerprints(table(s, d, "documents")),

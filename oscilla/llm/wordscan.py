@@ -78,6 +78,24 @@ class _Powers:
 _POWERS = _Powers()
 
 
+class Rolling:
+    """Hashes of any substrings of some bytes, from prefix sums of a polynomial modulo 2^64."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        n = len(raw)
+        _POWERS.upto(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWERS.up[:n], out=self.sums[1:])
+
+    def hash(self, start: np.ndarray, end: np.ndarray, salt: int = 7) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[start]) * _POWERS.down[start] + np.uint64(salt))
+
+    def grams(self, size: int) -> np.ndarray:
+        """The hash of the ``size`` bytes from each place on."""
+        n = len(self.sums) - size
+        return mixed((self.sums[size:] - self.sums[:n]) * _POWERS.down[:n] + np.uint64(7)) if n > 0 else np.zeros(0, np.uint64)
+
+
 class Words:
     """Words of a block of rows: ``start``, ``end`` (bytes of the block), ``row`` and 64-bit ``hash``."""
 
@@ -103,11 +121,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         """One hash a word, of its bytes alone."""
-        n = len(self.bytes)
-        _POWERS.upto(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _POWERS.up[:n], out=sums[1:])
-        return mixed((sums[self.end] - sums[self.start]) * _POWERS.down[self.start] + np.uint64(7))
+        return Rolling(self.bytes).hash(self.start, self.end)
 
     def runs(self, hashes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
         """For each length up to ``longest``: hashes of the runs of so many words from every word on.
