@@ -1,4 +1,4 @@
-"""Queries over the library's operators and the SQL they are held against."""
+"""Queries over the library's operators and the SQL they are held against, by name."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import learning, reports, signals
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {**signals.QUERIES, **reports.QUERIES, **learning.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**signals.ORACLES, **reports.ORACLES, **learning.ORACLES}
