@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .wordscan import blocks, buffers
 
@@ -202,24 +203,29 @@ def _lettered(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return some
 
 
+def _named(net: ByteGru | None, column: pa.Array) -> tuple[list[str], list[float]]:
+    """The language and its probability of every text of a column."""
+    raw, offsets = buffers(column)
+    langs, scores = [], []
+    for low, high in blocks(offsets):
+        own, at = raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        letters = _lettered(own, at)
+        pooled = net.documents(own, at) if net is not None else np.zeros((high - low, 1))
+        best = pooled.argmax(1)
+        for row in range(high - low):
+            known = net is not None and letters[row]
+            langs.append(net.langs[best[row]] if known else "und")
+            scores.append(min(1.0, float(pooled[row, best[row]])) if known else 0.0)
+    return langs, scores
+
+
 def predict(docs: DataFrame, net: ByteGru | None, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
         for batch in batches:
-            raw, offsets = buffers(batch.column(1))
-            langs, scores = [], []
-            for low, high in blocks(offsets):
-                own, at = raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-                letters = _lettered(own, at)
-                pooled = net.documents(own, at) if net is not None else np.zeros((high - low, 1))
-                best = pooled.argmax(1)
-                for row in range(high - low):
-                    known = net is not None and letters[row]
-                    langs.append(net.langs[best[row]] if known else "und")
-                    scores.append(min(1.0, float(pooled[row, best[row]])) if known else 0.0)
+            langs, scores = _named(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang", "score"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -237,8 +243,20 @@ def op5_language_id(documents: DataFrame) -> DataFrame:
     return predict(documents, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def drop_unknown(docs: DataFrame, *, least: float = 0.0) -> DataFrame:
-    """``docs`` without those the network can't name: no letter, or, where ``least`` is set, no language of at least that probability."""
+def drop_unknown(docs: DataFrame, *, text: str = "text", least: float = 0.0) -> DataFrame:
+    """``docs`` without those the network can't name: no letter, or, where ``least`` is set, no language of at least that probability.
+
+    Rows are judged where they are read, on their text alone; all columns of the others stay as they are.
+    """
     net = train(docs.where(~held_out()))
-    gone = predict(docs, net).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["gone"], "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = _named(shared.value, batch.column(at))
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in zip(langs, scores)], pa.bool_()))
+
+    slots = [f"c{i}" for i in range(len(docs.columns))]
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(slots, docs.schema.fields)])
+    return docs.toDF(*slots).mapInArrow(run, schema).toDF(*docs.columns)
