@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import evaluation, labels
 from ..operators.windows import capped
 from ..sources import signals as src
-from .registry import LABELLED, RESULTS, SIGNAL, registry, rounded
+from . import workflows
+from .registry import CODES, LABELLED, RESULTS, SIGNAL, SPECTRA, registry, rounded
 
 QUERIES, ORACLES, query = registry()
 
@@ -290,6 +291,35 @@ def eval_by_length(spark, d):
     return evaluation.f1(rows, ["length"]).withColumn("f1", rounded("f1"))
 
 
+_DOMINANT = """cnt as (select subject, t // {0} as seg, code, count(*) as n from codes where book = 0 group by subject, t // {0}, code), tot as (select *, sum(n) over (partition by subject, seg) as total from cnt),
+dom as (select subject, seg, code as pred from (select *, row_number() over (partition by subject, seg order by n desc, code) as k from tot) where k = 1 and total = {0})"""
+
+
+@query("predict_pooled", f'with {CODES}, {_DOMINANT.format(16)} select subject, seg as "group", pred from dom')
+def predict_pooled(spark, d):
+    return workflows.pooled_predictions(src.codes(spark, d).where("book = 0"), 16)
+
+
+@query("predict_voted", f"""with {CODES}, {_DOMINANT.format(8)}, s as (select *, count(*) over (partition by subject) as s from dom), g as (select *, s * 8 // 24 as n, s // (s * 8 // 24) as per from s where s * 8 // 24 > 0),
+c as (select subject, seg // per as grp, pred, count(*) as n from g where seg < per * n group by all) select subject, grp as "group", pred from (select *, row_number() over (partition by subject, grp order by n desc, pred) as k from c) where k = 1""")
+def predict_voted(spark, d):
+    return workflows.voted_predictions(src.codes(spark, d).where("book = 0"), 8, 24)
+
+
+@query("domain_filters", f"""with {SPECTRA}, mean as (select subject, bin, avg(p) as p from spectra group by all), un as (select bin, avg(p) as q from mean where subject % 2 = 0 group by bin)
+select subject, bin, round(sqrt(q) / sqrt(p), 6) as h, 'unnormed-barycenter' as method from mean join un using (bin) where subject % 2 = 1""")
+def domain_filters(spark, d):
+    rows = src.spectra(spark, d)
+    return workflows.domain_filters(rows.where("subject % 2 = 0"), rows.where("subject % 2 = 1"), "unnormed-barycenter").withColumn("h", rounded("h"))
+
+
+@query("train_dictionary")
+def train_dictionary(spark, d):
+    series = src.packed(src.long_series(spark, d)).select("subject", F.col("subject").alias("ic"), (F.col("subject") % 7).alias("label"), "samples")
+    _, found, _ = workflows.dictionary(series, label=0, k=4, centroid_length=48, window=64, max_iter=3)
+    return found.groupBy("centroid").agg(F.count("*").alias("n"), rounded(F.sum("dist"), 4).alias("inertia"))
+
+
 # --- names
 
 _NAMES = ["random_forest_bowav_300_cmmn-None.csv", "logistic_psd_autocorr_None_cmmn-normed-barycenter.csv", "ensembled_logistic_bowav_psd_autocorr_300_cmmn-subj_to_subj-resampled_clf-trained-on-filtered-data.csv", "random_forest_psd_autocorr_none_cmmn-unnormed-barycenter.csv", "ICLabel.csv"]
