@@ -15,7 +15,6 @@ of the caller are never overwritten: ``scan`` returns the id and its own columns
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

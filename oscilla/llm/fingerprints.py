@@ -23,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,36 +77,35 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union))
 
 
-def with_next(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", row_bytes: int = 16 << 20) -> DataFrame:
+def with_next(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", part_bytes: int = 16 << 20) -> DataFrame:
     """Rows (part, ahead, id, text) in ranges of ids: ahead is 1 for the look-ahead row of a range, its last.
 
-    The number of ranges follows the total size of the texts, ``row_bytes`` each, but is no less than
+    The number of ranges follows the total size of the texts, ``part_bytes`` each, but is no less than
     the session's parallelism.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ident = F.col(id_col).cast("long")
+    # null ids are placed below all others, so that no function in Python sees a null
+    rows = docs.select(ident.alias("id"), F.coalesce(ident, F.lit(-(1 << 63))).alias("place"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spread = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    parts = max(2 * spark.sparkContext.defaultParallelism, -(-(spread.bytes or 0) // row_bytes))
-    cuts = rows.approxQuantile("id", [k / parts for k in range(1, parts)], 0.1 / parts) if spread.n else []
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-(spread.bytes or 0) // part_bytes))
+    cuts = rows.approxQuantile("place", [k / parts for k in range(1, parts)], 0.1 / parts) if spread.n else []
     cuts = np.unique(np.array(cuts, np.int64))
     shared = spark.sparkContext.broadcast(cuts)
 
     @F.pandas_udf("int")
-    def part_of(ids):
-        value = ids.to_numpy(np.float64, na_value=-np.inf) if ids.isna().any() else ids.to_numpy(np.int64)
-        return ids.__class__(np.searchsorted(shared.value, value, "right").astype(np.int32))
+    def part_of(place: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, place.to_numpy(np.int64), "right").astype(np.int32))
 
-    firsts = rows.select("id").withColumn("part", part_of("id")).groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("first")).orderBy("part").collect()
+    firsts = rows.select(part_of("place").alias("part"), "place").groupBy("part").agg(F.min("place").alias("first")).orderBy("part").collect()
     # a range's first id goes to the range before it that has rows, the very first one to the last
-    goes = {r.first.id: firsts[k - 1].part for k, r in enumerate(firsts)}
-    ahead_of = spark.sparkContext.broadcast(goes)
+    ahead_of = spark.sparkContext.broadcast({r.first: firsts[k - 1].part for k, r in enumerate(firsts)})
 
     @F.pandas_udf("int")
-    def ahead_part(ids):
-        found = ahead_of.value
-        return ids.__class__([found.get(None if i != i or i is None else int(i), -1) for i in ids.tolist()], dtype="int32")
+    def ahead_part(place: pd.Series) -> pd.Series:
+        return place.map(ahead_of.value).fillna(-1).astype(np.int32)
 
-    placed = rows.withColumn("p", part_of("id")).withColumn("q", ahead_part("id"))
+    placed = rows.withColumn("p", part_of("place")).withColumn("q", ahead_part("place"))
     both = F.when(F.col("q") >= 0, F.array(F.struct(F.col("p").alias("part"), F.lit(0).alias("ahead")), F.struct(F.col("q").alias("part"), F.lit(1).alias("ahead")))).otherwise(
         F.array(F.struct(F.col("p").alias("part"), F.lit(0).alias("ahead")))
     )

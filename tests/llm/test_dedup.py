@@ -8,8 +8,6 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
-
 from oscilla.llm import fingerprints, minhash, sketching, substrings, suffixes
 from oscilla.llm.components import components
 
