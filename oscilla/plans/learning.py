@@ -9,7 +9,7 @@ from ..functions import learners
 from ..operators import bags
 from ..sources import signals as src
 from ..streaming import live
-from .registry import CODES, SIGNAL, registry, rounded
+from .registry import CODES, registry, rounded
 
 QUERIES, ORACLES, query = registry()
 
