@@ -113,7 +113,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     meta = written(source.mapInArrow(_signatures(size, rows, bands), "id long, n long, digest binary, keys array<long>"), "signatures")
-    classes = meta.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
+    # a table on both sides of the joins below lets Spark split the rows of a large class
+    classes = written(meta.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     keyed = meta.join(classes, (meta.digest == classes.digest) & (meta.id == classes.rep)).select("id", F.explode("keys").alias("key"))
     named = keyed.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = written(keyed.join(named, "key").select("center", "id").distinct(), "buckets")
@@ -147,7 +148,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the near-duplicates of a document with a smaller id; all columns as they are."""
+    """``docs`` without the near-duplicates of a document with a smaller id; all columns as they are. Rows without id stay."""
     gone = near_duplicates(docs, id_col=id_col, text=text).where("not kept").select(F.col(id_col).alias("gone")).distinct()
     return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone.gone, "left_anti")
 
