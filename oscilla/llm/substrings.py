@@ -168,7 +168,7 @@ def _sorted_runs(pieces: DataFrame, length: int) -> DataFrame:
         return pd.DataFrame({"gram": shard["gram"].to_numpy()[row], "piece": shard["piece"].to_numpy()[row], "a": np.array(a, np.int32), "b": np.array(b, np.int32)}) if row else pd.DataFrame({"gram": np.zeros(0, np.int64), "piece": np.zeros(0, np.int64), "a": np.zeros(0, np.int32), "b": np.zeros(0, np.int32)})
 
     keyed = pieces.select(F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard"), "gram", "piece", "n", "body")
-    return keyed.groupBy("shard").applyInPandas(sort, RUNS)
+    return keyed.repartition(shards, "shard").groupBy("shard").applyInPandas(sort, RUNS)
 
 
 def repeated_runs(pieces: DataFrame, length: int, hot: int = HOT) -> DataFrame:
@@ -207,6 +207,7 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
     rows = docs.select(F.col(id_col).alias("id"), ident.alias("doc"), F.xxhash64(body).alias("mark"), body.alias("text"))
     found = written(rows.select("doc", "mark", "text").where(F.octet_length("text") >= length).mapInArrow(_segment_rows(length), "gram long, context long, doc long, mark long, low int, high int, anchor int"), "segments")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").drop("n")
+    grams = written(grams, "grams")  # a table on both sides of the join lets Spark split the rows of a hot gram
     again = written(found.join(grams, "gram"), "repeats")
 
     place = F.struct("doc", "mark", "low", "high", "anchor")
