@@ -35,7 +35,7 @@ def logistic_fit_predict(spark, d):
 
 @query("search_best")
 def search_best(spark, d):
-    return learners.grid_search(_rows(spark, d).where("subject < 60"), "logistic", {"c": [0.1, 1.0], "l1_ratio": [0.5]}, n_groups=3)
+    return learners.grid_search(_rows(spark, d), "logistic", {"c": [0.1, 1.0], "l1_ratio": [0.5]}, n_groups=3)
 
 
 @query("tfidf_estimator", f"""with {CODES}, c as (select *, code + book * 16 as feature, t // 16 as seg, (max(t) over (partition by subject) + 1) // 16 as n_whole from codes), bag as (select subject, seg, feature, count(*) / 16.0::double as rate from c where seg < n_whole group by all),

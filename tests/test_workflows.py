@@ -1,6 +1,7 @@
 import pytest
 
-from oscilla.plans import config, workflows
+from oscilla.functions import learners
+from oscilla.plans import config, learning, workflows
 
 
 def test_settings_are_checked():
@@ -25,3 +26,11 @@ def test_votes_need_long_validation_segments(spark):
     with pytest.raises(ValueError):
         workflows.voted_predictions(codes, 4, 2)
     assert workflows.pooled_predictions(codes, 4).count() == 2
+
+
+def test_grid_search_query_takes_all_subjects(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(learners, "grid_search", lambda rows, *_, **__: taken.append(rows))
+    learning.search_best(spark, "/root/testdata/sf0.01")
+    users = {r.user_id for r in spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("user_id").distinct().collect()}
+    assert len(users) == 150 and {r.subject for r in taken[0].select("subject").distinct().collect()} == users
