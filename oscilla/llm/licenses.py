@@ -3,8 +3,9 @@
 Texts are lower-cased (A-Z) and reduced to words with single spaces. Ordered signature rules, regular
 expressions over those words, are written as families: a name in its spellings, its versions and its
 full-text sentences; three sentence forms (identifier line, grant, plain mention) times names and
-versions make the several hundred rules. Each rule has a keyword: a rule is tried only on texts that
-hold its keyword, and a search for a few word parts, one of which every rule needs, lets most texts through untouched.
+versions make the several hundred rules. Each rule has keywords, one for each spelling of its name: a rule is
+tried only on texts that hold one, and a search for a few word parts, one of which every rule needs, lets most
+texts through untouched.
 
 Detections are resolved from left to right: one inside another's interval is suppressed; of equal
 intervals and of two that overlap in part, the higher priority stays, then the earlier rule.
@@ -16,6 +17,7 @@ null places and score 0. Repeated rows are scanned one by one. Only the id and t
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,72 +27,72 @@ from .spans import spans, with_fixed
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: label | keyword | names | versions: the license families.
+#: label | names | versions: the license families. Each name is its own keyword.
 FAMILIES = """
-mit | mit | mit;expat;mit x11;mit expat |
-mit-0 | mit | mit 0;mit no attribution |
-apache | apache | apache;apache software;apache software foundation | 1 0;1 1;2 0
-bsd-2-clause | bsd | bsd 2 clause;2 clause bsd;simplified bsd;freebsd;two clause bsd |
-bsd-3-clause | bsd | bsd 3 clause;3 clause bsd;new bsd;modified bsd;revised bsd;three clause bsd |
-bsd-4-clause | bsd | bsd 4 clause;4 clause bsd;original bsd;four clause bsd |
-bsd | bsd | bsd;bsd style |
-0bsd | bsd | 0bsd;zero clause bsd;bsd zero clause |
-gpl | gpl | gpl;gnu gpl | 1 0;2 0;3 0;1;2;3
-gpl | general public | gnu general public;general public | 1;2;3;2 0;3 0
-lgpl | lgpl | lgpl;gnu lgpl | 2 0;2 1;3 0;2;3
-lgpl | lesser general | gnu lesser general public;lesser general public | 2 1;3;3 0
-lgpl | library general | gnu library general public;library general public | 2;2 0
-agpl | agpl | agpl;gnu agpl | 1 0;3 0;3
-agpl | affero | gnu affero general public;affero general public | 1;3;3 0
-gfdl | free documentation | gnu free documentation;free documentation | 1 1;1 2;1 3
-gfdl | gfdl | gfdl;gnu fdl | 1 1;1 2;1 3
-mpl | mozilla | mozilla public | 1 0;1 1;2 0
-mpl | mpl | mpl | 1 0;1 1;2 0
-epl | eclipse | eclipse public | 1 0;2 0
-epl | epl | epl | 1 0;2 0
-cddl | cddl | cddl | 1 0;1 1
-cddl | common development | common development and distribution | 1 0;1 1
-cpl | common public | common public | 1 0
-eupl | european union public | european union public | 1 0;1 1;1 2
-eupl | eupl | eupl | 1 0;1 1;1 2
-osl | open software | open software | 1 0;2 0;2 1;3 0
-afl | academic free | academic free | 1 2;2 0;2 1;3 0
-artistic | artistic | artistic;perl artistic | 1 0;2 0
-boost | boost | boost software;boost | 1 0
-isc | isc | isc |
-zlib | zlib | zlib;zlib libpng |
-unlicense | unlicense | unlicense;the unlicense |
-wtfpl | wtfpl | wtfpl;do what the fuck you want to public | 1 0;2
-python | python software | python software foundation;psf | 2;2 0
-ruby | ruby | ruby |
-php | php | php | 3 0;3 01
-postgresql | postgresql | postgresql |
-openssl | openssl | openssl;openssl ssleay |
-ncsa | ncsa | ncsa;university of illinois ncsa;university of illinois open source |
-ms-pl | microsoft public | microsoft public;ms pl |
-ms-rl | microsoft reciprocal | microsoft reciprocal;ms rl |
-ecl | educational community | educational community | 1 0;2 0
-upl | universal permissive | universal permissive | 1 0
-blueoak | blue oak | blue oak model | 1 0 0
-ofl | open font | sil open font;open font | 1 0;1 1
-ofl | ofl | ofl;sil ofl | 1 0;1 1
-odbl | odbl | odbl | 1 0
-odbl | open database | open database;open data commons open database | 1 0
-odc-by | open data commons | open data commons attribution;odc by | 1 0
-pddl | public domain dedication | public domain dedication;public domain dedication and | 1 0
-cc0 | cc0 | cc0;creative commons cc0;creative commons zero | 1 0
-cc-by-nc-nd | by nc nd | cc by nc nd | 1 0;2 0;2 5;3 0;4 0
-cc-by-nc-sa | by nc sa | cc by nc sa | 1 0;2 0;2 5;3 0;4 0
-cc-by-nc | by nc | cc by nc | 1 0;2 0;2 5;3 0;4 0
-cc-by-nd | by nd | cc by nd | 1 0;2 0;2 5;3 0;4 0
-cc-by-sa | by sa | cc by sa | 1 0;2 0;2 5;3 0;4 0
-cc-by | cc by | cc by | 1 0;2 0;2 5;3 0;4 0
-cc-by-nc-nd | creative commons | creative commons attribution non ?commercial no ?deriv(?:ative)?s | 2 0;2 5;3 0;4 0
-cc-by-nc-sa | creative commons | creative commons attribution non ?commercial share ?alike | 2 0;2 5;3 0;4 0
-cc-by-nc | creative commons | creative commons attribution non ?commercial | 2 0;2 5;3 0;4 0
-cc-by-nd | creative commons | creative commons attribution no ?deriv(?:ative)?s | 2 0;2 5;3 0;4 0
-cc-by-sa | creative commons | creative commons attribution share ?alike | 2 0;2 5;3 0;4 0
-cc-by | creative commons | creative commons attribution | 2 0;2 5;3 0;4 0
+mit | mit;expat;mit x11;mit expat |
+mit-0 | mit 0;mit no attribution |
+apache | apache;apache software;apache software foundation | 1 0;1 1;2 0
+bsd-2-clause | bsd 2 clause;2 clause bsd;simplified bsd;freebsd;two clause bsd |
+bsd-3-clause | bsd 3 clause;3 clause bsd;new bsd;modified bsd;revised bsd;three clause bsd |
+bsd-4-clause | bsd 4 clause;4 clause bsd;original bsd;four clause bsd |
+bsd | bsd;bsd style |
+0bsd | 0bsd;zero clause bsd;bsd zero clause |
+gpl | gpl;gnu gpl | 1 0;2 0;3 0;1;2;3
+gpl | gnu general public;general public | 1;2;3;2 0;3 0
+lgpl | lgpl;gnu lgpl | 2 0;2 1;3 0;2;3
+lgpl | gnu lesser general public;lesser general public | 2 1;3;3 0
+lgpl | gnu library general public;library general public | 2;2 0
+agpl | agpl;gnu agpl | 1 0;3 0;3
+agpl | gnu affero general public;affero general public | 1;3;3 0
+gfdl | gnu free documentation;free documentation | 1 1;1 2;1 3
+gfdl | gfdl;gnu fdl | 1 1;1 2;1 3
+mpl | mozilla public | 1 0;1 1;2 0
+mpl | mpl | 1 0;1 1;2 0
+epl | eclipse public | 1 0;2 0
+epl | epl | 1 0;2 0
+cddl | cddl | 1 0;1 1
+cddl | common development and distribution | 1 0;1 1
+cpl | common public | 1 0
+eupl | european union public | 1 0;1 1;1 2
+eupl | eupl | 1 0;1 1;1 2
+osl | open software | 1 0;2 0;2 1;3 0
+afl | academic free | 1 2;2 0;2 1;3 0
+artistic | artistic;perl artistic | 1 0;2 0
+boost | boost software;boost | 1 0
+isc | isc |
+zlib | zlib;zlib libpng |
+unlicense | unlicense;the unlicense |
+wtfpl | wtfpl;do what the fuck you want to public | 1 0;2
+python | python software foundation;psf | 2;2 0
+ruby | ruby |
+php | php | 3 0;3 01
+postgresql | postgresql |
+openssl | openssl;openssl ssleay |
+ncsa | ncsa;university of illinois ncsa;university of illinois open source |
+ms-pl | microsoft public;ms pl |
+ms-rl | microsoft reciprocal;ms rl |
+ecl | educational community | 1 0;2 0
+upl | universal permissive | 1 0
+blueoak | blue oak model | 1 0 0
+ofl | sil open font;open font | 1 0;1 1
+ofl | ofl;sil ofl | 1 0;1 1
+odbl | odbl | 1 0
+odbl | open database;open data commons open database | 1 0
+odc-by | open data commons attribution;odc by | 1 0
+pddl | public domain dedication;public domain dedication and | 1 0
+cc0 | cc0;creative commons cc0;creative commons zero | 1 0
+cc-by-nc-nd | cc by nc nd | 1 0;2 0;2 5;3 0;4 0
+cc-by-nc-sa | cc by nc sa | 1 0;2 0;2 5;3 0;4 0
+cc-by-nc | cc by nc | 1 0;2 0;2 5;3 0;4 0
+cc-by-nd | cc by nd | 1 0;2 0;2 5;3 0;4 0
+cc-by-sa | cc by sa | 1 0;2 0;2 5;3 0;4 0
+cc-by | cc by | 1 0;2 0;2 5;3 0;4 0
+cc-by-nc-nd | creative commons attribution non ?commercial no ?deriv(?:ative)?s | 2 0;2 5;3 0;4 0
+cc-by-nc-sa | creative commons attribution non ?commercial share ?alike | 2 0;2 5;3 0;4 0
+cc-by-nc | creative commons attribution non ?commercial | 2 0;2 5;3 0;4 0
+cc-by-nd | creative commons attribution no ?deriv(?:ative)?s | 2 0;2 5;3 0;4 0
+cc-by-sa | creative commons attribution share ?alike | 2 0;2 5;3 0;4 0
+cc-by | creative commons attribution | 2 0;2 5;3 0;4 0
 """
 
 #: label | keyword | sentence: signatures that need no name of a license.
@@ -130,18 +132,22 @@ reserved | rights reserved | (?:all|some) rights reserved
 copyright | copyright | copyright (?:c )?(?:19|20)\\d\\d(?: (?:19|20)\\d\\d)?
 copyright | copyright | (?:is|are) protected by copyright
 proprietary | proprietary | (?:this software|this document|this work) is (?:confidential and )?proprietary
-proprietary | without prior written | may not be (?:reproduced|copied|distributed)[a-z ]{0,80} without (?:the )?prior written (?:permission|consent)
+proprietary | prior written | may not be (?:reproduced|copied|distributed)[a-z ]{0,80} without (?:the )?prior written (?:permission|consent)
 commercial | commercial license | (?:requires|under) a commercial license
-non-commercial | commercial | for non ?commercial (?:use|purposes) only
+non-commercial | for non | for non ?commercial (?:use|purposes) only
 """
 
 
+#: What a name begins with in all its spellings.
+LITERAL = re.compile(r"(?:[a-z0-9 ](?!\?))+")
+
+
 def _rows(text: str) -> list[list[str]]:
     return [[x.strip() for x in line.split(" | ")] for line in text.strip().replace(" |\n", " | \n").splitlines() for line in [line if not line.endswith("|") else line + " "]]
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, pattern, priority, confidence) of every rule, in order."""
+    """(label, keywords between bars, pattern, priority, confidence) of every rule, in order; any text that a rule matches holds one of its keywords."""
     found: dict[str, tuple[str, str, str, int, float]] = {}
 
     def rule(label: str, keyword: str, pattern: str, priority: int, confidence: float) -> None:
@@ -149,8 +155,9 @@ def rules() -> list[tuple[str, str, str, int, float]]:
 
     for label, keyword, sentence in _rows(SENTENCES):
         rule(label, keyword, sentence.replace("\\\\", "\\"), 4, 1.0)
-    for label, keyword, names, *versions in _rows(FAMILIES):
+    for label, names, *versions in _rows(FAMILIES):
         name = "(?:" + "|".join(names.split(";")) + ")"
+        keyword = "|".join(LITERAL.match(n)[0] for n in names.split(";"))
         numbers = [v for v in (versions[0].split(";") if versions else []) if v]
         for number in [*sorted(numbers, key=lambda v: -len(v)), ""]:
             own = label + (f"-{number.replace(' ', '.')}" if number else "")
@@ -214,9 +221,14 @@ def license_spans(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text"
         "base_labels": F.when(some, labels).otherwise(F.expr("cast(array() as array<string>)")),
     })
 
-    listed = [{"i": i, "label": label, "keyword": f" {keyword}", "pattern": pattern, "priority": priority, "confidence": confidence} for i, (label, keyword, pattern, priority, confidence) in enumerate(rules())]
-    table = F.from_json(F.lit(json.dumps(listed)), "array<struct<i:int,label:string,keyword:string,pattern:string,priority:int,confidence:double>>")
-    tried = F.filter(table, lambda r: F.contains(F.col("flat"), r["keyword"]) & F.rlike(F.col("flat"), r["pattern"]))
+    # rules of the same keywords stand together, so that a text is searched for them once
+    sharing: dict[str, list[dict]] = {}
+    for i, (label, keyword, pattern, priority, confidence) in enumerate(rules()):
+        sharing.setdefault(keyword, []).append({"i": i, "label": label, "pattern": pattern, "priority": priority, "confidence": confidence})
+    listed = [{"keywords": [f" {k}" for k in keyword.split("|")], "rules": own} for keyword, own in sharing.items()]
+    table = F.from_json(F.lit(json.dumps(listed)), "array<struct<keywords:array<string>,rules:array<struct<i:int,label:string,pattern:string,priority:int,confidence:double>>>>")
+    held = F.filter(table, lambda g: F.exists(g["keywords"], lambda k: F.contains(F.col("flat"), k)))
+    tried = F.filter(F.flatten(F.transform(held, lambda g: g["rules"])), lambda r: F.rlike(F.col("flat"), r["pattern"]))
 
     def detections(r: Column) -> Column:
         # ordered by place, the longest first, then by priority and rule
