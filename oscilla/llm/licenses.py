@@ -174,10 +174,10 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Word parts of which any text that a rule or a base phrase matches holds one.
+#: Parts of single words of which any text that a rule or a base phrase matches holds one; between words, separators are still raw.
 FRAGMENTS = (
     "licen", "copyright", "rights", "domain", "hereby", "redistribution", "advertising", "endorse", "foundation", "altered",
-    "executable", "mozilla", "fuck", "commons", "proprietary", "prior written", "commercial", "publicdomain",
+    "executable", "mozilla", "fuck", "commons", "proprietary", "prior", "commercial", "publicdomain",
 )
 #: The same for what those leave: a grant without the word license, and the two words of a base phrase.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

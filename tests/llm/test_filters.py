@@ -195,6 +195,15 @@ def test_every_alternative_of_every_rule_holds_a_keyword(spark):
     assert not missed, missed
 
 
+def test_license_sentences_pass_the_gate_with_any_separators(spark):
+    sentences = [s.replace("\\\\", "\\") for _, _, s in licenses._rows(licenses.SENTENCES)] + list(licenses.BASE)
+    texts = [t.replace(" ", between) for s in sentences for t in spellings(s) for between in (" ", "\n", "  ", "\t", ", ")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in rows.where(~licenses.gate(F.lower("text"))).collect()] == []
+    wrapped = spark.createDataFrame([(1, "It may not be reproduced without prior\nwritten consent.")], "doc_id long, text string")
+    assert licenses.op4_license_scan(wrapped).first().labels == "proprietary"
+
+
 ASSIGN = re.compile(secretscan.ASSIGN.replace("(?i:", "(?ia:"), re.ASCII)
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
 SECRETS = [
