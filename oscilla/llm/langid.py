@@ -7,8 +7,9 @@ lengths is one matrix; each segment is labelled byte by byte in both directions.
 backpropagation through time on segments of labelled documents with Adam, from a fixed seed.
 
 Bounds: the network is trained on at most ``max_train`` documents a language, those with the least
-hashes of their id, and of each on at most ``max_bytes`` bytes from a place the hash picks; at most
-``max_langs`` languages. Prediction has no bound: every byte of every text counts.
+hashes of their id, and of each on at most ``max_bytes`` bytes from a place the hash picks. Every language
+is learned, so the sample grows with their number, and so do the steps of training above ``USUAL`` languages.
+Prediction has no bound: every byte of every text counts.
 
 Edge cases: a null text and one without a letter are ``und`` with score 0. Null languages are not
 learned. Without any labelled document, every text is ``und``. Ties go to the language that sorts
@@ -29,8 +30,10 @@ from .wordscan import blocks, buffers
 
 SEGMENT = 128
 HIDDEN = 6
-#: Segments that go through the network together.
+#: Segments that go through the network together; fewer above USUAL languages, so that their probabilities take no more memory.
 STRIDE = 2048
+#: Languages up to which a batch and the steps of training are as they are; above, both follow the number of languages.
+USUAL = 64
 
 
 class ByteGru:
@@ -149,8 +152,9 @@ class ByteGru:
         start = offsets[:-1][row] + within * SEGMENT
         size = np.minimum(SEGMENT, offsets[1:][row] - start)
         order = np.argsort(size, kind="stable")  # short last segments go together
-        for low in range(0, len(order), STRIDE):
-            at = order[low : low + STRIDE]
+        stride = max(1, STRIDE * USUAL // max(USUAL, len(self.langs)))
+        for low in range(0, len(order), stride):
+            at = order[low : low + stride]
             longest = int(size[at].max())
             place = start[at] + np.arange(longest)[:, None]
             used = np.arange(longest)[:, None] < size[at]
@@ -172,24 +176,24 @@ def segments(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, np.ndar
     return x, np.array([y for _, y in cut]), used
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = 160, max_bytes: int = 2048, max_langs: int = 64) -> ByteGru | None:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = 160, max_bytes: int = 2048) -> ByteGru | None:
     """A network for the languages of ``docs``, from a bounded sample of it; None if there is nothing to learn."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0))
     rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), F.col(text).alias("text"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(max_langs).collect()}
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     # the share of each language's documents that gives max_train of them, by hash
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, max_train / n))])
     part = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
     start = F.pmod(F.shiftright("h", 30), F.greatest(F.length("text") - max_bytes // 2, F.lit(1))).cast("int")
-    sample = rows.where(F.col("lang").isin(*counts) & (part < F.try_element_at(share, F.col("lang")))).select("lang", "h", F.substring(F.col("text"), start + 1, F.lit(max_bytes)).alias("text"))
+    sample = rows.where(part < F.try_element_at(share, F.col("lang"))).select("lang", "h", F.substring(F.col("text"), start + 1, F.lit(max_bytes)).alias("text"))
     found = sample.orderBy("h", "lang").limit(2 * max_train * len(counts)).collect()
     found = found or rows.orderBy("h", "lang").select("lang", "h", F.substring("text", 1, max_bytes).alias("text")).limit(max_train).collect()
     langs = sorted({r.lang for r in found})
     net = ByteGru(langs)
     if len(langs) > 1:
-        net.fit(*segments([r.text.encode()[:max_bytes] for r in found], [langs.index(r.lang) for r in found]))
+        net.fit(*segments([r.text.encode()[:max_bytes] for r in found], [langs.index(r.lang) for r in found]), steps=260 * max(USUAL, len(langs)) // USUAL)
     return net
 
 

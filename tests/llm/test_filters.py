@@ -113,6 +113,17 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in langid.op5_language_id(rows.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_all_of_many_languages_are_learned(spark):
+    rng = np.random.default_rng(1)
+    words = [["".join(chr(0x400 + 3 * i + c) if c < 3 else " " for c in rng.integers(0, 4, 60)) for _ in range(13)] for i in range(70)]
+    rows = [(13 * i + k, text, f"l{i:02}") for i, own in enumerate(words) for k, text in enumerate(own)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    net = langid.train(table.where("doc_id % 13 > 0"))
+    assert net.langs == [f"l{i:02}" for i in range(70)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(table.where("doc_id % 13 = 0"), net).collect()}
+    assert sum(got[13 * i] == f"l{i:02}" for i in range(70)) > 60 and all(got[13 * i] == f"l{i:02}" for i in range(64, 70))
+
+
 PHRASES = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
 
 
