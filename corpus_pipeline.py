@@ -18,7 +18,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents in which no language is found go; all others stay as they are."""
+    """Language ID: documents without a letter go, and all where no language was learned; all others stay as they are.
+
+    ``least`` is left at 0, so the network's probabilities reject nothing here.
+    """
     return langid.drop_unknown(docs)
 
 
