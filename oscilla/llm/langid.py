@@ -3,17 +3,22 @@
 Two gated recurrent layers read a text's UTF-8 bytes in either direction; at every byte both states
 give a distribution over the languages, and a document's probabilities are the mean of those of all
 its bytes. Whole texts are read, in segments of ``SEGMENT`` bytes, so that a batch of any mix of
-lengths is one matrix; each segment is labelled byte by byte in both directions. Training is
-backpropagation through time on segments of labelled documents with Adam, from a fixed seed.
+lengths is one matrix; both directions start ``WARM`` bytes before a segment's first byte, so the state
+at every byte has seen at least so many of its neighbours on either side, where the text has them.
+Training is backpropagation through time on segments of labelled documents with Adam, from a fixed seed.
 
 Bounds: the network is trained on at most ``max_train`` documents a language, those with the least
 hashes of their id, and of each on at most ``max_bytes`` bytes from a place the hash picks. Every language
 is learned, so the sample grows with their number, and so do the steps of training above ``USUAL`` languages.
 Prediction has no bound: every byte of every text counts.
 
+``drop_unknown`` rejects by the network: a document stays if the probability of its best language is at
+least ``LEAST`` times what a guess among the languages learned would have.
+
 Edge cases: a null text and one without a letter are ``und`` with score 0. Null languages are not
-learned. Without any labelled document, every text is ``und``. Ties go to the language that sorts
-first. Repeated rows and copies get equal results; only the id, text and language columns are read.
+learned. Without any labelled document, every text is ``und``, and ``drop_unknown`` can only reject those
+without a letter. Ties go to the language that sorts first. Repeated rows and copies get equal results;
+only the id, text and language columns are read.
 """
 
 from __future__ import annotations
@@ -28,8 +33,12 @@ from pyspark.sql import types as T
 
 from .wordscan import blocks, buffers
 
-SEGMENT = 128
-HIDDEN = 6
+SEGMENT = 192
+#: Bytes that either direction reads ahead of a segment, to bring its state up to it.
+WARM = 32
+HIDDEN = 8
+#: The least probability that keeps a document, as a multiple of that of a guess.
+LEAST = 1.3
 #: Segments that go through the network together; fewer above USUAL languages, so that their probabilities take no more memory.
 STRIDE = 2048
 #: Languages up to which a batch and the steps of training are as they are; above, both follow the number of languages.
@@ -43,6 +52,8 @@ class ByteGru:
         rng = np.random.default_rng(seed)
         self.langs, self.hidden = langs, hidden
         self.tables = [rng.normal(0, 0.3, (3 * hidden, 257)).astype(np.float32) for _ in range(2)]
+        for table in self.tables:
+            table[:hidden, 256] = 40  # an update gate of 1: padding leaves a state as it is, and has no gradient
         self.loops = [rng.normal(0, 1 / np.sqrt(hidden), (3 * hidden, hidden)).astype(np.float32) for _ in range(2)]
         self.out = rng.normal(0, 0.3, (len(langs), 2 * hidden)).astype(np.float32)
         self.bias = np.zeros((len(langs), 1), np.float32)
@@ -51,7 +62,7 @@ class ByteGru:
         return [*self.tables, *self.loops, self.out, self.bias]
 
     def _states(self, x: np.ndarray, way: int, keep: list | None = None) -> np.ndarray:
-        """States (T, H, B) of one direction for bytes (T, B); padding is byte 256 and leaves a state as it is."""
+        """States (T, H, B) of one direction for bytes (T, B), 256 for padding."""
         h_n, table, loop = self.hidden, self.tables[way], self.loops[way]
         steps, batch = x.shape
         states = np.empty((steps, h_n, batch), np.float32)
@@ -80,10 +91,11 @@ class ByteGru:
             h = new
         return states
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities (T, L, B) of the languages at every byte."""
-        logits = self.out[:, : self.hidden] @ self._states(x, 0)
-        logits += self.out[:, self.hidden :] @ self._states(x, 1)
+    def positions(self, x: np.ndarray, which: slice = slice(None)) -> np.ndarray:
+        """Probabilities (T, L, B) of the languages at every byte, or at those of ``which``."""
+        logits = self.out[:, : self.hidden] @ self._states(x[: which.stop], 0)[which.start or 0 :]
+        after = x[which.start or 0 :]
+        logits += self.out[:, self.hidden :] @ self._states(after, 1)[: len(logits)]
         logits += self.bias
         np.exp(logits, out=logits)
         logits /= logits.sum(1, keepdims=True)
@@ -156,10 +168,12 @@ class ByteGru:
         for low in range(0, len(order), stride):
             at = order[low : low + stride]
             longest = int(size[at].max())
-            place = start[at] + np.arange(longest)[:, None]
-            used = np.arange(longest)[:, None] < size[at]
-            x = np.where(used, raw[np.minimum(place, len(raw) - 1)], np.int16(256))
-            p = self.positions(x)
+            step = np.arange(-WARM, longest + WARM)[:, None]
+            place = start[at] + step
+            text = (place >= offsets[:-1][row[at]]) & (place < offsets[1:][row[at]])
+            x = np.where(text, raw[np.clip(place, 0, len(raw) - 1)], np.int16(256))
+            used = step[WARM : WARM + longest] < size[at]
+            p = self.positions(x, slice(WARM, WARM + longest))
             p *= used[:, None, :]
             np.add.at(sums, row[at], p.sum(0).T)
         return sums / np.maximum(lengths, 1)[:, None]
@@ -207,12 +221,17 @@ def _lettered(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return some
 
 
+def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks of rows of a column: first row, end, their bytes and offsets."""
+    raw, offsets = buffers(column)
+    for low, high in blocks(offsets):
+        yield low, high, raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+
+
 def _named(net: ByteGru | None, column: pa.Array) -> tuple[list[str], list[float]]:
     """The language and its probability of every text of a column."""
-    raw, offsets = buffers(column)
     langs, scores = [], []
-    for low, high in blocks(offsets):
-        own, at = raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+    for low, high, own, at in _pieces(column):
         letters = _lettered(own, at)
         pooled = net.documents(own, at) if net is not None else np.zeros((high - low, 1))
         best = pooled.argmax(1)
@@ -247,19 +266,25 @@ def op5_language_id(documents: DataFrame) -> DataFrame:
     return predict(documents, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def drop_unknown(docs: DataFrame, *, text: str = "text", least: float = 0.0) -> DataFrame:
-    """``docs`` without those the network can't name: no letter, or, where ``least`` is set, no language of at least that probability.
+def drop_unknown(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST) -> DataFrame:
+    """``docs`` without those the network can't name: no letter, or no language of ``least`` times a guess's probability.
 
     Rows are judged where they are read, on their text alone; all columns of the others stay as they are.
+    Where fewer than two languages can be learned there is nothing to choose from, and every text with a letter stays.
     """
-    net = train(docs.where(~held_out()))
+    net = train(docs.where(~held_out(id_col)), id_col=id_col, text=text, lang=lang)
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    ask = least / len(net.langs) if net is not None and len(net.langs) > 1 else 0.0
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = _named(shared.value, batch.column(at))
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in zip(langs, scores)], pa.bool_()))
+            column = batch.column(at)
+            if shared.value is None:
+                known = [bool(x) for low, high, own, offsets in _pieces(column) for x in _lettered(own, offsets)]
+            else:
+                known = [name != "und" and score >= ask for name, score in zip(*_named(shared.value, column))]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     slots = [f"c{i}" for i in range(len(docs.columns))]
     schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(slots, docs.schema.fields)])
