@@ -18,9 +18,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter go, and all where no language was learned; all others stay as they are.
+    """Language ID: documents go that have no letter or that the network can't tell from a guess; all others stay as they are.
 
-    ``least`` is left at 0, so the network's probabilities reject nothing here.
+    The network decides: its best language must reach ``langid.LEAST`` times the probability of a guess among the
+    languages it learned. Where there is none to learn, documents with a letter stay.
     """
     return langid.drop_unknown(docs)
 

@@ -8,12 +8,14 @@ the tree alone: children sorted by supply / weight, so the full ones are a prefi
 
 A leaf with an allowance of A tokens out of T repeats all documents A div T times and takes from one
 more epoch the prefix of A mod T tokens, in the order of md5(seed:epoch:doc_id); the document on the
-edge gives its first tokens. Prefix sums are taken over hash ranges first and over single documents
-only in the one range that holds the edge, so a hot source is never sorted in one task.
+edge gives its first tokens. Prefix sums are taken over hash ranges first, in the one range that holds
+the edge over ids and sizes, and of one id and size over the parts of the table, so neither a hot source
+nor a hot id is sorted in one task.
 
 Edge cases: null languages and sources count as ''; a null or empty text has no tokens and is never
-taken; repeated rows are taken together, each with its tokens; missing weights are 1; a budget above
-the whole supply takes all of it; empty tables give empty results. Only the named columns are read.
+taken; a null id hashes as ''; rows of one id are rows of their own, each with its tokens, the shorter
+first; missing weights are 1; a budget above the whole supply takes all of it; empty tables give empty
+results. Only the named columns are read; others can have any name.
 """
 
 from __future__ import annotations
@@ -74,13 +76,8 @@ def allowances(supply: DataFrame, budget: Column, weights: dict[str, dict[str, i
     return tree.select(*LEVELS, "available", "share")
 
 
-def mix(docs: DataFrame, *, domain: Column, weights: dict[str, dict[str, int]], budget_percent: int = 60, max_epochs: int = 4, seed: int = 17, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """One row for each document and epoch taken: id, domain, lang, source, epoch, n_tokens, take_tokens.
-
-    The budget is ``budget_percent`` of all tokens of ``docs``.
-    """
-    leaf = [F.coalesce(c, F.lit("")).alias(name) for c, name in ((domain, "domain"), (F.col(lang), "lang"), (F.col(source), "source"))]
-    counted = written(docs.select(F.col(id_col).alias("id"), *leaf, tokens(text).alias("n")).where("n > 0"), "tokens")
+def _taken(counted: DataFrame, *, budget_percent: int, weights: dict[str, dict[str, int]], max_epochs: int, seed: int, range_rows: int) -> DataFrame:
+    """(row, id, leaf, epoch, n, take) for each row and epoch taken of ``counted``, a written table of (row, id, leaf, n)."""
     leaves = counted.groupBy(*LEVELS).agg(F.sum("n").alias("available"), F.count("*").alias("docs"))
     total = leaves.agg(F.sum("available")).first()[0] or 0
     shares = allowances(leaves.drop("docs"), F.lit(total * budget_percent // 100).cast("long"), weights, max_epochs)
@@ -93,21 +90,50 @@ def mix(docs: DataFrame, *, domain: Column, weights: dict[str, dict[str, int]],
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rounds").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     placed = counted.join(plan, list(LEVELS)).withColumn("key", key)
     placed = placed.withColumn("range", F.expr("cast(cast(conv(substr(key, 1, 8), 16, 10) as bigint) * ranges div 4294967296 as bigint)"))
-    sums = placed.where("edge > 0").groupBy(*LEVELS, "range").agg(F.sum("n").alias("sum"), F.first("edge").alias("edge"))
-    upto = F.sum("sum").over(Window.partitionBy(*LEVELS).orderBy("range"))
+
+    def before(sums: DataFrame, *order: str) -> DataFrame:
+        """``sums`` (leaf, ..., sum) with the tokens ahead of each in its leaf."""
+        upto = F.sum("sum").over(Window.partitionBy(*LEVELS).orderBy(*order))
+        return sums.withColumn("before", upto - F.col("sum"))
+
     # of all ranges only the one that holds the edge, and what comes before it
-    edges = sums.select(*LEVELS, "range", (upto - F.col("sum")).alias("before"), upto.alias("upto"), "edge").where("before < edge and edge <= upto")
-    edges = edges.select(*LEVELS, F.col("range").alias("last"), "before")
+    sums = placed.where("edge > 0").groupBy(*LEVELS, "range").agg(F.sum("n").alias("sum"), F.first("edge").alias("edge"))
+    edges = before(sums, "range").where("before < edge and edge <= before + sum").select(*LEVELS, F.col("range").alias("last"), F.col("before").alias("start"))
     placed = placed.join(edges, list(LEVELS), "left")
+    within = placed.where("range = last")
+
+    # in that range, of all (key, tokens) the one that holds it: rows of one id and size are alike there
+    alike = within.groupBy(*LEVELS, "key", "id", "n").agg(F.sum("n").alias("sum"), F.first("edge").alias("edge"), F.first("start").alias("start"))
+    alike = written(before(alike, "key", "id", "n").withColumn("left", F.expr("edge - start - before")), "mix-edge").where("left > 0")
+    alike = alike.select(*LEVELS, "key", "n", "left", (F.col("left") < F.col("sum")).alias("cut"))
+    held = within.join(alike, [*LEVELS, "key", "n"])
+
+    # and of those the first rows, counted by the part of the table that they stand in, so that copies of one row are dealt out
+    cut = held.where("cut").withColumn("part", F.shiftright("row", 33))
+    parts = cut.groupBy(*LEVELS, "part").agg(F.count("*").alias("sum"))
+    parts = before(parts, "part").select(*LEVELS, "part", "before")
+    number = F.row_number().over(Window.partitionBy(*LEVELS, "part").orderBy("row"))
+    cut = cut.join(parts, [*LEVELS, "part"]).withColumn("take", F.expr("left") - (F.col("before") + number - 1) * F.col("n")).where("take > 0")
 
     epochs = placed.where("rounds > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)))
-    taken = epochs.select("id", *LEVELS, "epoch", "n", F.col("n").alias("take"))
-    inside = placed.where("range < last").select("id", *LEVELS, F.col("rounds").alias("epoch"), "n", F.col("n").alias("take"))
-    by = Window.partitionBy(*LEVELS).orderBy("key", "id", "n").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("before") + F.coalesce(F.sum("n").over(by), F.lit(0))
-    last = placed.where("range = last").withColumn("ahead", ahead).where("ahead < edge")
-    last = last.select("id", *LEVELS, F.col("rounds").alias("epoch"), "n", F.least("n", F.col("edge") - F.col("ahead")).alias("take"))
-    out = taken.union(inside).union(last)
+    whole = placed.where("range < last").unionByName(held.where("not cut"), allowMissingColumns=True)
+    shown = ["row", "id", *LEVELS]
+    out = epochs.select(*shown, "epoch", "n", F.col("n").alias("take")).union(whole.select(*shown, "rounds", "n", "n"))
+    return out.union(cut.select(*shown, "rounds", "n", F.least("n", "take")))
+
+
+def _counted(docs: DataFrame, row: Column, domain: Column, id_col: str, text: str, lang: str, source: str) -> DataFrame:
+    leaf = [F.coalesce(c, F.lit("")).alias(name) for c, name in ((domain, "domain"), (F.col(lang), "lang"), (F.col(source), "source"))]
+    return written(docs.select(row.alias("row"), F.col(id_col).alias("id"), *leaf, tokens(text).alias("n")).where("n > 0"), "tokens")
+
+
+def mix(docs: DataFrame, *, domain: Column, weights: dict[str, dict[str, int]], budget_percent: int = 60, max_epochs: int = 4, seed: int = 17, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """One row for each document and epoch taken: id, domain, lang, source, epoch, n_tokens, take_tokens.
+
+    The budget is ``budget_percent`` of all tokens of ``docs``.
+    """
+    counted = _counted(docs, F.monotonically_increasing_id(), domain, id_col, text, lang, source)
+    out = _taken(counted, budget_percent=budget_percent, weights=weights, max_epochs=max_epochs, seed=seed, range_rows=range_rows)
     return out.select(F.col("id").alias(id_col), *LEVELS, F.col("epoch").cast("long").alias("epoch"), F.col("n").alias("n_tokens"), F.col("take").cast("long").alias("take_tokens"))
 
 
@@ -117,13 +143,21 @@ def prefix(text: Column, n_tokens: Column) -> Column:
     return F.array_join(F.slice(pieces, 1, n_tokens.cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus itself: the columns of ``docs``, a row for each epoch, texts on the edge cut to their prefix."""
-    id_col, text = how.get("id_col", "doc_id"), how.get("text", "text")
-    taken = mix(docs, **how).groupBy(F.col(id_col).alias("_mix_id"), "epoch").agg(F.max("n_tokens").alias("n_tokens"), F.max("take_tokens").alias("take_tokens"))
-    both = docs.join(taken.hint("shuffle_hash"), docs[id_col].eqNullSafe(taken["_mix_id"]))
-    cut = F.when(F.col("take_tokens") < F.col("n_tokens"), prefix(docs[text], F.col("take_tokens"))).otherwise(docs[text])
-    return both.select(*[cut.alias(c) if c == text else docs[c] for c in docs.columns])
+def mixed_documents(docs: DataFrame, *, domain: Column, weights: dict[str, dict[str, int]], budget_percent: int = 60, max_epochs: int = 4, seed: int = 17, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The mixed corpus itself: the columns of ``docs``, a row for each epoch, texts on the edge cut to their prefix.
+
+    ``docs`` is written with a number for each row, by which takes come back to it, so rows without id and rows that
+    share one are told apart. Its columns can have any names.
+    """
+    names = docs.columns
+    base = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("doc"), domain.alias("domain")), "mix-rows")
+    own = {c: f"c{i}" for i, c in enumerate(names)}
+    counted = _counted(base.select("row", "domain", "doc.*"), F.col("row"), F.col("domain"), own[id_col], own[text], own[lang], own[source])
+    taken = _taken(counted, budget_percent=budget_percent, weights=weights, max_epochs=max_epochs, seed=seed, range_rows=range_rows)
+    both = base.select("row", "doc").join(taken.select("row", "n", "take").hint("shuffle_hash"), "row")
+    body = F.col("doc")[own[text]]
+    cut = F.when(F.col("take") < F.col("n"), prefix(body, F.col("take"))).otherwise(body)
+    return both.select(*[(cut if c == text else F.col("doc")[own[c]]).alias(c) for c in names])
 
 
 #: The weights of production: by domain, language and source; any other name weighs 1.

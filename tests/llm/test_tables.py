@@ -1,13 +1,18 @@
 """Mixing, sharding, chat formatting, the pipeline and the queries' SQL."""
 
 import hashlib
+import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from test_dedup import SPACE, near_groups
+from test_filters import benchmark_hits
 
 import corpus_pipeline
-from oscilla.llm import catalog, chat, mixing, sharding
+from oscilla.llm import catalog, chat, langid, mixing, sharding
 from oscilla.llm.store import new_path
 
 FOLDER = "/root/testdata/sf0.001"
@@ -81,6 +86,21 @@ def test_repeated_rows_are_taken_with_their_tokens(spark):
     assert sum(r.take_tokens for r in got) == 5
 
 
+@pytest.mark.parametrize("percent, epochs", [(50, 1), (40, 4), (100, 1), (230, 3)])
+def test_mixed_documents_keep_the_budget_with_null_and_repeated_ids_and_any_column_names(spark, percent, epochs):
+    rows = [(None, "a b c d e", "en", "s")] * 7 + [(None, "f g h", None, "s")] * 3 + [(1, "i j k", "en", "t"), (1, "l m n o", "en", "t"), (2, None, "en", "t"), (3, "p", "en", None)]
+    extra = ("take_tokens", "n_tokens", "epoch", "row", "domain", "n", "take", "key", "doc")
+    df = spark.createDataFrame([(*r, *range(len(extra))) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} int" for c in extra)).repartition(3)
+    total = sum(len((r[1] or "").split()) for r in rows)
+    for ranges in (4096, 1):
+        mixed = mixing.mixed_documents(df, domain=F.lit("d"), weights={}, budget_percent=percent, max_epochs=epochs, range_rows=ranges)
+        got = mixed.collect()
+        assert mixed.columns == df.columns and all(tuple(r)[4:] == tuple(range(len(extra))) for r in got)
+        assert sum(len(r.text.split()) for r in got) == min(total * percent // 100, total * epochs)
+        assert all(any(r.doc_id == i and (t or "").startswith(r.text) for i, t, *_ in rows) for r in got)
+        assert len(got) <= len(rows) * epochs
+
+
 # --- sharding
 
 
@@ -148,19 +168,94 @@ def test_calm_texts_are_left_alone_and_broken_strings_are_seen(spark):
 # --- pipeline
 
 
-def test_pipeline_stages(spark):
+def plain_split(children, budget):
+    """Tokens of (name, supply, weight) children, the full ones first, the rest by weight."""
+    order, share = sorted(children, key=lambda c: (c[1] / c[2], c[0])), {}
+    while order and order[0][1] * sum(c[2] for c in order) <= order[0][2] * budget:
+        name, supply, _ = order.pop(0)
+        share[name], budget = supply, budget - supply
+    parts = {name: weight * budget // sum(c[2] for c in order) for name, _, weight in order}
+    for k, name in enumerate(sorted(parts)):
+        share[name] = min(next(c[1] for c in order if c[0] == name), parts[name] + (k < budget - sum(parts.values())))
+    return share
+
+
+def plain_tree(leaves, budget, level=0):
+    """Tokens of each leaf of {(domain, lang, source): tokens}, taken once at most."""
+    if level == 3:
+        return {leaf: budget for leaf in leaves}
+    groups = {}
+    for leaf, n in leaves.items():
+        groups.setdefault(leaf[level], {})[leaf] = n
+    weights = mixing.WEIGHTS[("domain", "lang", "source")[level]]
+    shares = plain_split([(name, sum(g.values()), weights.get(name, 1)) for name, g in groups.items()], budget)
+    return {leaf: n for name, g in groups.items() for leaf, n in plain_tree(g, shares[name], level + 1).items()}
+
+
+def plain_domain(source):
+    k = int(source[3:]) if source and re.fullmatch("src1?[0-9]", source) else 99
+    return "web" if k < 5 else "reference" if k < 10 else "code" if k < 15 else "forum"
+
+
+def plain_mixture(rows):
+    """(id, tokens taken) of the mixture stage; rows are (id, text, lang, source)."""
+    leaves = {}
+    for i, t, lang, source in rows:
+        n = len(SPACE.findall(t or ""))
+        if n:
+            leaves.setdefault((plain_domain(source), lang or "", source or ""), []).append((i, n))
+    sums = {leaf: sum(n for _, n in own) for leaf, own in leaves.items()}
+    shares = plain_tree(sums, sum(sums.values()) * 80 // 100)
+    return sorted((i, take) for leaf, own in leaves.items() for i, _, take in plain_mix(own, shares[leaf]))
+
+
+def test_every_pipeline_stage_equals_brute_force(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     junk = docs.limit(1).select(F.lit(10**6).cast("long").alias("doc_id"), F.lit("12 34 ...").alias("text"), "lang", "source", "n_chars")
+    leak = docs.limit(1).select(F.lit(10**6 + 1).cast("long").alias("doc_id"), F.lit(bench[0][1]).alias("text"), F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), "n_chars")
     nulls = docs.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
-    rows, sizes = docs.unionByName(junk).unionByName(nulls), []
+    rows, kept = docs.unionByName(junk).unionByName(leak).unionByName(nulls), {}
     for name, stage in corpus_pipeline.STAGES:
+        before = [tuple(r) for r in rows.select("doc_id", "text", "lang", "source").collect()]
         out = stage(spark, rows, FOLDER)
         path = new_path(spark, "test")
         out.write.parquet(path)
-        rows = spark.read.parquet(path)
-        sizes.append(rows.count())
+        got = spark.read.parquet(path)
+        after = sorted(r.doc_id for r in got.select("doc_id").collect())
         if name != "shards":
-            assert rows.columns == docs.columns
-        assert rows.where("doc_id = 1000000").count() == 0
-    assert docs.count() >= sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] == sizes[4] > 0
+            assert got.columns == docs.columns
+        if name == "language":
+            net = langid.train(rows.where(~langid.held_out()))
+            said = langid._named(net, pa.array([t for _, t, *_ in before]))
+            assert after == sorted(r[0] for r, lang, score in zip(before, *said) if any(c.isalpha() for c in r[1] or "") and score >= langid.LEAST / len(net.langs))
+            assert 10**6 not in after and len(after) > 0.98 * docs.count()
+        elif name == "near_duplicates":
+            assert after == sorted(i for i, _, _, own in near_groups([r[:2] for r in before]) if own) and len(after) < len(before)
+        elif name == "decontamination":
+            hits = {i: benchmark_hits(t, bench)[:2] for i, t, *_ in before}
+            assert after == sorted(i for i, (n, h) in hits.items() if not (h and 20 * h >= n)) and 10**6 + 1 not in after
+        elif name == "mixture":
+            assert sorted((r.doc_id, len(SPACE.findall(r.text))) for r in got.collect()) == plain_mixture(before)
+            text = {r[0]: r[1] for r in before}
+            assert all(text[r.doc_id].startswith(r.text) for r in got.collect())
+        else:
+            assert after == sorted(r[0] for r in before) and got.groupBy("shard").agg(F.count("*").alias("k"), F.min("shard_docs").alias("a"), F.max("shard_docs").alias("b")).where("k <> a or k <> b").count() == 0
+        rows, kept[name] = got, len(after)
+    assert kept["mixture"] == kept["shards"] > 0
     assert [s for s, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "mixture", "shards"]
+
+
+def test_the_network_decides_the_language_stage(spark):
+    """Documents half in one language and half in the other come back with about a guess's probability and go; nothing else does."""
+    rng = np.random.default_rng(4)
+    pure = {lang: ["".join(rng.choice(list(letters), 400)) for _ in range(60)] for lang, letters in (("xx", "abcd "), ("yy", "wxyz "))}
+    rows = [(k, t, lang) for lang, texts in pure.items() for k, t in enumerate(texts, 100 * (lang == "yy"))]
+    mixed = [(1000 + k, pure["xx"][k] + pure["yy"][k], None) for k in range(10)]
+    df = spark.createDataFrame([(*r, "web", 1) for r in rows + mixed + [(2000, "12 ...", "xx"), (2001, None, None)]], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.language(spark, df, FOLDER).collect()}
+    assert left == {i for i, *_ in rows}
+    assert {r.doc_id for r in langid.drop_unknown(df, least=0.0).collect()} == {i for i, *_ in rows + mixed}
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.language(spark, unlabelled, FOLDER).collect()} == {i for i, *_ in rows + mixed}
+    assert corpus_pipeline.language(spark, df.limit(0), FOLDER).count() == 0
