@@ -5,18 +5,22 @@
 2. Texts with equal sets are one class; its least doc_id stands for it from here on.
 3. Classes that share a band key are candidates. Each bucket is named after its least member, and
    that name after the least one the namesake meets itself, so one group of copies that fills dozens
-   of buckets is compared once. Groups are cut into blocks and every pair of blocks is one unit of
-   work, so no task ever holds more than two blocks, however large the group.
-4. In a unit, exact intersections come from an inverted index over the full sets; members already
-   joined are not compared again. Only the links that join something are returned.
-5. Components of the links, by least labels.
+   of buckets is compared once.
+4. Groups are cut into blocks by the bytes of their members' sets, and the group's least member joins
+   every block. Each block is verified on its own: exact intersections come from an inverted index over
+   the full sets, members already joined are not compared again, and only links that join something are
+   returned. A group of near copies is one component after this, at a cost in proportion to its size.
+5. Components of the links, by least labels. Where a group of several blocks is not one component yet,
+   the members outside its largest component meet the group's other blocks, a pair of blocks a unit, so
+   every candidate pair is either compared or joined already. No task holds more than two blocks.
 
 With 43 bands of 5 rows a pair at similarity 0.75 shares no band with a probability of 9e-6, at 0.8 of
 4e-8; there is no other way to lose a link, and no cap on buckets, partners or candidates.
 
 Edge cases: null or empty texts and texts of white space have an empty set and are linked with
-nothing. Rows that share a doc_id are one document; a null doc_id is linked with its copies only
-through them and keeps ``kept`` true when it is alone. Empty tables give empty results. Only the id
+nothing. Rows that share a doc_id are one document, so all its texts and what they are near to are one
+component; a null doc_id is linked with its copies only through them and keeps ``kept`` true when it is
+alone. Empty tables give empty results. Only the id
 and text columns are read, so other columns can have any name.
 """
 
@@ -36,8 +40,9 @@ from .sketching import band_keys, shingle_sets, sketch
 from .store import written
 from .wordscan import blocks, buffers
 
-#: Members of a block; a unit of verification holds two of them.
-BLOCK_MEMBERS = 2048
+#: Bytes of the sets of a block on average, with what each member takes besides; a unit of verification holds two blocks at most.
+BLOCK_BYTES = 4 << 20
+MEMBER_BYTES = 1 << 10
 #: Bits of the filter that keeps full sets from being made of texts without any candidate.
 FILTER_BITS = 1 << 24
 
@@ -72,10 +77,11 @@ def _full_sets(shared, size: int):
     return run
 
 
-def joining_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def joining_links(sets: list[np.ndarray], num: int, den: int, label: np.ndarray | None = None, ask: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of positions with ``den * intersection >= num * union`` that join all that such pairs join.
 
-    Sets are compared until those left to compare are all in one component.
+    Sets of one ``label`` count as joined already; those not in ``ask`` are not compared with one another. The
+    comparisons end once those left to make are within one component.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
@@ -84,27 +90,29 @@ def joining_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
     posting = owner[np.argsort(which, kind="stable")]
     begin = np.concatenate([[0], np.cumsum(times)])
     ends = np.concatenate([[0], np.cumsum(size)])
-    label = np.arange(n)
-    open_, links = np.ones(n, bool), []
+    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
+    open_ = np.ones(n, bool) if ask is None else ask.copy()
+    others, links = np.ones(n, bool) if ask is None else ~ask, []
     while open_.any():
         left = np.flatnonzero(open_)
         sizes = np.bincount(label[left], minlength=n)
         largest = int(sizes.argmax())
-        if sizes[largest] == len(left) and len(left) < n:
-            break
         outside = left[label[left] != largest]
+        if not len(outside) and (ask is None and len(left) < n or (label[others] == largest).all()):
+            break
         x = int(outside[0]) if len(outside) else int(left[0])
         open_[x] = False
         own = which[ends[x] : ends[x + 1]]
-        shared = np.zeros(n, np.int64)
         lengths = times[own]
         at = np.repeat(begin[own] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        shared += np.bincount(posting[at], minlength=n)
-        near = np.flatnonzero(den * shared >= num * (size[x] + size - shared))
-        for y in near.tolist():
-            if label[y] != label[x]:
-                links.append((x, y))
-                label[label == label[y]] = label[x]
+        shared = np.bincount(posting[at], minlength=n)
+        near = np.flatnonzero((den * shared >= num * (size[x] + size - shared)) & (label != label[x]))
+        if len(near):
+            joined, first = np.unique(label[near], return_index=True)
+            links += [(x, y) for y in near[first].tolist()]
+            renamed = np.arange(n)
+            renamed[joined] = label[x]
+            label = renamed[label]
     return links
 
 
@@ -115,11 +123,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     meta = written(source.mapInArrow(_signatures(size, rows, bands), "id long, n long, digest binary, keys array<long>"), "signatures")
     # a table on both sides of the joins below lets Spark split the rows of a large class
     classes = written(meta.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    keyed = meta.join(classes, (meta.digest == classes.digest) & (meta.id == classes.rep)).select("id", F.explode("keys").alias("key"))
-    named = keyed.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = written(keyed.join(named, "key").select("center", "id").distinct(), "buckets")
+    owned = meta.join(classes, "digest").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys"))
+    owned = written(owned, "owned")
+    keyed = owned.where("keys is not null").select("id", "n", F.explode("keys").alias("key"))
+    named = keyed.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("k")).where("k > 1").drop("k")
+    met = written(keyed.join(named, "key").select("center", "id", "n").distinct(), "buckets")
     first = met.groupBy(F.col("id").alias("center")).agg(F.min("center").alias("up"))
-    members = written(met.join(first, "center").select(F.col("up").alias("center"), "id").distinct(), "members")
+    members = written(met.join(first, "center").select(F.col("up").alias("center"), "id", "n").distinct(), "members")
 
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("slot")
     words = members.select(slot).groupBy(F.shiftright("slot", 5).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits"))
@@ -129,22 +139,44 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     shared = spark.sparkContext.broadcast(bitmap.view(np.uint8))
     sets = source.select("id", "text", slot).where("id is not null").mapInArrow(_full_sets(shared, size), "id long, elements binary")
 
-    sized = members.groupBy("center").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
-    units = members.join(sized, "center").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    units = units.where("parts = 1 or part <> other").select("center", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id")
-
     def verify(unit: pd.DataFrame) -> pd.DataFrame:
-        ids = unit["id"].to_numpy()
-        found = joining_links([np.frombuffer(x, np.uint64) for x in unit["elements"]], num, den)
+        ids, ask = unit["id"].to_numpy(), unit["ask"].to_numpy()
+        found = joining_links([np.frombuffer(x, np.uint64) for x in unit["elements"]], num, den, unit["label"].to_numpy(), None if ask.all() else ask)
         return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, dtype="int64")
 
-    links = units.join(sets, "id").groupBy("center", "p", "q").applyInPandas(verify, "a long, b long")
-    labels = components(written(links, "verified"))
-
-    out = meta.select("id", "n", "digest").join(classes, "digest", "left").join(labels, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("label", "rep", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    def verified(units: DataFrame) -> DataFrame:
+        """Links found in ``units`` of (center, p, q, ask, id, label)."""
+        return written(units.join(sets, "id").groupBy("center", "p", "q").applyInPandas(verify, "a long, b long"), "verified")
+
+    weight = F.sum(8 * F.col("n") + MEMBER_BYTES)
+    sized = members.groupBy("center").agg(F.ceil(weight / F.lit(BLOCK_BYTES)).cast("int").alias("parts"), F.min("id").alias("pivot"))
+    dealt = members.join(sized, "center").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
+    dealt = written(dealt.select("center", "parts", "part", "id"), "blocks")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    pivots = sized.where("parts > 1").select("center", each.alias("p"), F.col("pivot").alias("id"))
+    own = dealt.select("center", F.col("part").alias("p"), "id").union(pivots).distinct()
+    found = verified(own.select("center", "p", F.col("p").alias("q"), F.lit(True).alias("ask"), "id", F.col("id").alias("label")))
+    # documents that share an id are one, so are the classes of one id
+    pairs = owned.where("id is not null").select("id", "rep").distinct()
+    shared_ids = pairs.groupBy("id").agg(F.min("rep").alias("a"), F.count("*").alias("k")).where("k > 1")
+    links = found.union(pairs.join(shared_ids, "id").select("a", F.col("rep").alias("b")))
+    labels = components(links)
+
+    # what groups of several blocks have left to compare: members apart from their largest component against all other blocks
+    now = dealt.where("parts > 1").join(labels, F.col("id") == F.col("node"), "left").select("center", "parts", "part", "id", F.coalesce("label", "id").alias("label"))
+    tally = now.groupBy("center", "label").agg(F.count("*").alias("k"))
+    apart = tally.groupBy("center").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    left = written(now.join(apart, "center").withColumn("ask", F.col("label") != F.col("most")).drop("most", "labels"), "apart")
+    if left.take(1):
+        pairs = left.where("ask").select("center", "parts", "part").distinct().select("center", F.col("part").alias("p"), each.alias("q")).where("p <> q")
+        asking = left.where("ask").withColumnRenamed("part", "p").join(pairs, ["center", "p"])
+        asked = left.withColumn("ask", F.lit(False)).withColumnRenamed("part", "q").join(pairs, ["center", "q"])
+        asking, asked = (x.select("center", "p", "q", "ask", "id", "label") for x in (asking, asked))
+        labels = components(links.union(verified(asking.union(asked))))
+
+    out = owned.join(labels, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("label", "rep", "id").alias("component"))
+    out = out.union(meta.where("digest is null").select("id", "n", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:

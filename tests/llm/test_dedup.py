@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -54,7 +55,7 @@ def corpus(seed, copies=12):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_duplicates_equal_all_pairs(spark, seed, monkeypatch):
     if seed == 2:
-        monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 4)
+        monkeypatch.setattr(minhash, "BLOCK_BYTES", 4000)
     rows = corpus(seed)
     rows += [rows[5], rows[7]]
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, component_id int")
@@ -64,6 +65,41 @@ def test_near_duplicates_equal_all_pairs(spark, seed, monkeypatch):
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {i for i, _, c, kept in got if kept}
 
 
+def test_texts_that_share_an_id_are_one_document(spark):
+    a, b = "a b c d e f g", "p q r s t u v w"
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, "x y"), (None, b), (8, ""), (8, "x y")]
+    got = sorted(((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(3, 3), (5, 3), (5, 3), (7, 3), (9, 8), (None, 3), (8, 8), (8, 8)], key=str)
+
+
+def test_links_across_blocks_are_found(spark, monkeypatch):
+    """Two families that are near only through single members, in blocks of a few members each."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 6000)
+    base = [f"v{k}" for k in range(200)]
+    rows = []
+    for k in range(60):  # each is near its neighbours in the chain and far from the ends of it
+        rows.append((k, " ".join([f"n{k + i}" if i < 20 else w for i, w in enumerate(base)])))
+    for k in range(60):
+        words = list(base)
+        for i in range(k // 4):
+            words[10 * i] = f"c{i}"
+        rows.append((100 + k, " ".join(words + [f"own{k}"])))
+    got = sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == near_groups(rows)
+
+
+def test_work_on_one_group_grows_with_its_size():
+    rng = np.random.default_rng(3)
+    base = np.sort(rng.integers(0, 1 << 62, 300)).astype(np.uint64)
+    seconds = []
+    for n in (300, 3000):
+        sets = [np.unique(np.where(rng.random(300) < 0.02, rng.integers(0, 1 << 62, 300).astype(np.uint64), base)) for _ in range(n)]
+        start = time.perf_counter()
+        assert len(minhash.joining_links(sets, 75, 100)) == n - 1
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 40 * seconds[0] + 0.5
+
+
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (4, "a b c d e f g"), (None, "x")], "doc_id long, text string")
     assert minhash.near_duplicates(df.limit(0)).count() == 0
