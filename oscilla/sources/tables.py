@@ -16,18 +16,28 @@ RESULT_COLUMNS = ["Prediction window [minutes]", "Subject ID", "Brain F1 score",
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, a temporary one only where none is set."""
+    """The folder in ``spark.checkpoint.dir``; where none is set, a temporary one in local mode and an error on a cluster.
+
+    Executors of a cluster would each write a folder of their own machine, and what is read back would lack rows.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="oscilla-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that loops start from files that survive executors."""
-    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/oscilla-{what}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, what: str = "settled") -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends at files that survive executors."""
+    path = new_path(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
