@@ -2,34 +2,58 @@
 
 A store is a folder of immutable Parquet shards and of manifests. ``append`` writes arrivals as small
 shards; ``compact`` merges ``fan_in`` or more shards of one size tier into files of about the target
-size; each commits a manifest of the next version, and the highest version is the store. A manifest
-is written under a temporary name and renamed; the rename fails where the name is taken, so of two
-writers of one version one fails, and readers see the old or the new state, never a half-written one.
-Files of a failed or lost attempt are in no manifest and so in no shard.
+size; each commits a manifest of the next version, and the highest version is the store. A manifest's
+rows are a Parquet table, written first; the commit is one small file that names it, made in full under a
+draft's name and given its final name by an operation that fails where the name is taken. So of any
+number of writers of one version exactly one succeeds, and readers see the old or the new state, never a
+half-written one. An append that lost a race commits its shards to the version after; a merge that did
+does so only if the shards it merged are all still live, and else gives up. Files of a failed or lost attempt
+are in no manifest and so in no shard.
 
 A shard's size is the UTF-8 bytes of its texts plus 16 a row, so the layout follows from the data
 alone. An arrival's rows go to its small shards by a hash of their id, so no source or group is hot;
-merges move whole shards. A manifest has a row for each shard: the driver plans by tiers in Spark and
-lists the live files as it does for any table.
-
-Edge cases: null texts count 16 bytes; null ids hash as ''; repeated rows stay repeated; an empty
-arrival has no shards but commits a version; a text larger than a target file has a larger file. The
-store's columns ``_shard`` and ``_into`` are refused in documents; any other names are kept.
+merges move whole shards. Every task writes files of about the target size in all, however large the
+store; plans come from running sums over ranges of the manifest, which is never collected: the driver
+holds the names of live batches, one for each append or merge, and Spark's own list of files.
+
+Edge cases: null texts count 16 bytes; null ids hash as '' and null names of arrivals are ''; repeated
+rows stay repeated; an empty arrival has no shards but commits a version; a text larger than a target
+file has a larger file. A store refuses documents with columns of the names in ``OWN``, or with a column whose type has changed; columns that an arrival lacks are null. ``sharded`` takes any
+columns: its own ones get further underscores in front where their names are taken.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import new_path, removed
+from .store import new_path, removed, written
 
-MANIFEST = "shard string, tier int, size long, n long, folder string"
+MANIFEST = "shard string, tier int, size long, n long, batch string, of long"
 ROW_BYTES = 16
-#: Merge plans of at most so many shards are broadcast; larger ones are joined by a shuffle.
+#: Tables of shards or arrivals up to so many rows (of some hundred bytes) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_SHARDS = 50_000
+#: Shards in a range of the manifest on average.
+RANGE_SHARDS = 100_000
+
+
+#: Columns that a store adds to documents while it writes or reads them.
+OWN = {"_shard", "_batch", "_task"}
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed what this one was to commit."""
+
+
+def _small(rows: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(rows) if count <= BROADCAST_SHARDS else rows
 
 
 class ShardStore:
@@ -52,24 +76,79 @@ class ShardStore:
         names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
         return max([int(x) for x in names if x.isdigit()], default=0)
 
+    def _pointer(self, version: int) -> dict:
+        path, fs = self._fs()
+        stream = fs.open(path(f"{self.root}/manifests/{version:010d}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
     def manifest(self, version: int | None = None) -> DataFrame:
-        """(shard, tier, size, n, folder) of a version, by default of the last one."""
+        """(shard, tier, size, n, batch, of) of a version, by default of the last one; ``of`` is the number of shards of the batch."""
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{version:010d}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/states/{self._pointer(version)['state']}")
 
-    def commit(self, manifest: DataFrame, version: int) -> int:
-        """Make ``manifest`` the state of ``version``, which must not exist yet."""
+    def schema(self, version: int | None = None) -> T.StructType:
+        """The columns of the documents of a version."""
+        version = self.version() if version is None else version
+        return T.StructType.fromJson(json.loads(self._pointer(version)["schema"])) if version else T.StructType([])
+
+    def _named(self, draft: str, final: str) -> bool:
+        """Give a finished file its final name unless that is taken; whether it was free."""
+        path, fs = self._fs()
+        jvm, hadoop = self.spark._jvm, self.spark._jvm.org.apache.hadoop.fs
+        try:
+            if fs.getScheme() == "file":  # a rename would overwrite there; a hard link doesn't
+                source, target = (jvm.java.io.File(path(x).toUri().getPath()).toPath() for x in (draft, final))
+                jvm.java.nio.file.Files.createLink(target, source)
+            else:
+                none = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+                context = hadoop.FileContext.getFileContext(path(self.root).toUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(path(draft), path(final), none)
+        except Py4JJavaError as e:
+            if not e.java_exception.getClass().getSimpleName().endswith("FileAlreadyExistsException"):
+                raise
+            return False
+        return True
+
+    def commit(self, manifest: DataFrame, version: int, schema: T.StructType) -> int:
+        """Make ``manifest`` the state of ``version``; ``Conflict`` if that exists already."""
         path, fs = self._fs()
-        draft, final = f"{self.root}/drafts/{uuid.uuid4().hex}", path(f"{self.root}/manifests/{version:010d}")
-        manifest.coalesce(1).write.parquet(draft)
+        state = uuid.uuid4().hex
+        manifest.write.parquet(f"{self.root}/states/{state}")
         fs.mkdirs(path(f"{self.root}/manifests"))
-        if fs.exists(final) or not fs.rename(path(draft), final):
-            removed(self.spark, draft)
-            raise RuntimeError(f"version {version} is committed already")
+        draft = f"{self.root}/drafts/{state}"
+        stream = fs.create(path(draft), False)
+        stream.write(json.dumps({"state": state, "schema": schema.json()}).encode())
+        stream.close()
+        won = self._named(draft, f"{self.root}/manifests/{version:010d}")
+        removed(self.spark, draft)
+        if not won:
+            removed(self.spark, f"{self.root}/states/{state}")
+            raise Conflict(f"version {version} is committed already")
         return version
 
+    def _commit_next(self, change: Callable[[DataFrame], DataFrame], schema: T.StructType) -> int:
+        """Commit what ``change`` makes of the last version, and of the one after if another writer was first."""
+        while True:
+            version = self.version()
+            try:
+                return self.commit(change(self.manifest(version)), version + 1, self._merged(self.schema(version), schema))
+            except Conflict:
+                if self.version() == version:
+                    raise
+
+    @staticmethod
+    def _merged(old: T.StructType, new: T.StructType) -> T.StructType:
+        known = {f.name: f.dataType for f in old.fields}
+        for field in new.fields:
+            if known.setdefault(field.name, field.dataType) != field.dataType:
+                raise ValueError(f"the type of {field.name} has changed")
+        return T.StructType([T.StructField(name, kind) for name, kind in known.items()])
+
     # --- shards
 
     def _size(self) -> Column:
@@ -82,92 +161,152 @@ class ShardStore:
             tier, step = tier + (size >= step).cast("int"), step * self.fan_in
         return tier.cast("int")
 
-    def _write(self, rows: DataFrame, what: str) -> DataFrame:
-        """Write ``rows`` by their ``_shard``, one file each; the new shards' rows of the manifest."""
-        folder = f"{self.root}/data/{what}-{uuid.uuid4().hex}"
-        rows.repartition("_shard").write.option("compression", "zstd").partitionBy("_shard").parquet(folder)
-        path, fs = self._fs()
-        if not any(s.isDirectory() for s in fs.listStatus(path(folder))):
-            return self.spark.createDataFrame([], MANIFEST)
-        sized = self.spark.read.parquet(folder).groupBy("_shard").agg(F.sum(self._size()).alias("size"), F.count("*").alias("n"))
-        return sized.select(F.col("_shard").alias("shard"), self._tier(F.col("size")).alias("tier"), "size", "n", F.lit(folder).alias("folder"))
+    def _write(self, rows: DataFrame, tasks: int) -> str:
+        """Write ``rows`` by their ``_shard``, those of one ``_task`` in one of ``tasks`` tasks; the batch's name."""
+        batch = f"b{uuid.uuid4().hex}"
+        dealt = rows.withColumn("_task", F.col("_task").cast("int")).repartitionById(max(1, tasks), F.col("_task")).drop("_task")
+        dealt.write.option("compression", "zstd").partitionBy("_shard").parquet(f"{self.root}/data/_batch={batch}")
+        return batch
+
+    def _rows(self, batches: list[str], schema: T.StructType) -> DataFrame:
+        own = T.StructType([*schema.fields, T.StructField("_batch", T.StringType()), T.StructField("_shard", T.StringType())])
+        folders = [f"{self.root}/data/_batch={b}" for b in sorted(batches)]
+        return self.spark.read.option("basePath", f"{self.root}/data").schema(own).parquet(*folders)
 
     def append(self, arrivals: DataFrame, name: Column | None = None) -> int:
         """Write rows as small shards and commit them; ``name`` tells the arrivals apart. The new version."""
-        if {"_shard", "_into"} & set(arrivals.columns):
-            raise ValueError("_shard and _into are the store's own columns")
-        version = self.version()
-        name = F.lit(f"v{version + 1}") if name is None else name
-        sums = arrivals.select(name.alias("name"), self._size().alias("size")).groupBy("name").agg(F.sum("size").alias("size")).collect()
-        pieces = F.create_map(*[F.lit(x) for r in sums for x in (r.name, max(1, -(-r.size // self.small)))]) if sums else F.lit(None)
+        if OWN & set(arrivals.columns):
+            raise ValueError(f"{', '.join(sorted(OWN))} are the store's own columns")
+        self._merged(self.schema(), arrivals.schema)
+        name = F.lit(f"v{self.version() + 1}") if name is None else F.coalesce(name.cast("string"), F.lit(""))
+        sums = arrivals.select(name.alias("_name"), self._size().alias("size")).groupBy("_name").agg(F.sum("size").alias("size"))
+        sums = sums.select("_name", F.greatest(F.lit(1), F.expr(f"(size + {self.small - 1}) div {self.small}")).alias("_pieces"))
+        ahead = F.sum("_pieces").over(Window.orderBy("_name")) - F.col("_pieces")
+        sums = written(sums.withColumn("_ahead", ahead), "arrivals")
+        names, pieces = sums.agg(F.count("*"), F.coalesce(F.sum("_pieces"), F.lit(0))).first()
         key = F.conv(F.substring(F.md5(F.coalesce(F.col(self.id_col).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
-        rows = arrivals.withColumn("_shard", F.concat(name, F.lit("-"), F.lpad((key % pieces[name]).cast("string"), 8, "0"))) if sums else arrivals.withColumn("_shard", name)
-        return self.commit(self.manifest(version).unionByName(self._write(rows, "append")), version + 1)
-
-    def plan(self) -> DataFrame:
-        """The merges that are due: (shard, into). Shards of half the target size are never merged again.
-
-        In a tier of ``fan_in`` or more, shards in order of name fill files one after the other: a
-        shard's file is the running size before it over the target.
+        slots = {c: f"c{i}" for i, c in enumerate(arrivals.columns)}
+        rows = arrivals.select(*[F.col(c).alias(slot) for c, slot in slots.items()], name.alias("_name"), key.alias("_key")).join(_small(sums, names), "_name")
+        piece = F.col("_key") % F.col("_pieces")
+        together = max(1, self.target // self.small)  # so many small shards a task
+        shard = F.concat("_name", F.lit("-"), F.lpad(piece.cast("string"), 8, "0"))
+        rows = rows.withColumn("_shard", shard).withColumn("_task", F.floor((F.col("_ahead") + piece) / together)).drop("_name", "_key", "_pieces", "_ahead")
+        rows = rows.select(*[F.col(slot).alias(c) for c, slot in slots.items()], "_shard", "_task")
+        fresh = self.spark.createDataFrame([], MANIFEST)
+        if pieces:
+            batch = self._write(rows, -(-pieces // together))
+            sized = self._rows([batch], arrivals.schema).groupBy(F.col("_shard").alias("shard")).agg(F.sum(self._size()).alias("size"), F.count("*").alias("n"))
+            fresh = self._described(sized, batch)
+        return self._commit_next(lambda live: live.unionByName(fresh), arrivals.schema)
+
+    def _described(self, sized: DataFrame, batch: str) -> DataFrame:
+        """(shard, size, n) as rows of a manifest."""
+        sized = written(sized, "shards")
+        return sized.select("shard", self._tier(F.col("size")).alias("tier"), "size", "n", F.lit(batch).alias("batch"), F.lit(sized.count()).cast("long").alias("of"))
+
+    def plan(self, manifest: DataFrame | None = None) -> DataFrame:
+        """The merges that are due: the manifest's rows with the shard ``into`` which they go. Shards of half the target size are never merged again.
+
+        In a tier of ``fan_in`` or more, shards in order of name fill files one after the other: a shard's file is
+        the running size before it over the target. Running sizes are summed over ranges of names first.
         """
-        tier = Window.partitionBy("tier")
-        due = self.manifest().where(2 * F.col("size") < self.target).withColumn("k", F.count("*").over(tier)).where(F.col("k") >= self.fan_in)
-        due = due.withColumn("bin", F.expr(f"(sum(size) over (partition by tier order by shard) - size) div {self.target}"))
+        due = (self.manifest() if manifest is None else manifest).where(2 * F.col("size") < self.target)
+        tiers = due.groupBy("tier").count().where(F.col("count") >= self.fan_in).select("tier")
+        due = due.join(F.broadcast(tiers), "tier")  # as many rows as sizes between small and target
+        ranges = 1 + due.count() // RANGE_SHARDS
+        due = written(due.repartitionByRange(ranges, "tier", "shard", "batch").withColumn("range", F.spark_partition_id()), "due")
+        ahead = due.groupBy("tier", "range").agg(F.sum("size").alias("sum"))
+        ahead = ahead.withColumn("before", F.sum("sum").over(Window.partitionBy("tier").orderBy("range")) - F.col("sum")).drop("sum")
+        inside = F.sum("size").over(Window.partitionBy("tier", "range").orderBy("shard", "batch")) - F.col("size")
+        due = due.join(ahead, ["tier", "range"]).withColumn("bin", F.floor((F.col("before") + inside) / F.lit(self.target)).cast("long"))
         file = Window.partitionBy("tier", "bin")
-        due = due.withColumn("into", F.concat(F.min("shard").over(file), F.lit("+"))).withColumn("m", F.count("*").over(file))
-        return due.where("m > 1").select("shard", "into")
+        due = due.withColumn("into", F.concat(F.min("shard").over(file), F.lit("+"))).withColumn("m", F.count("*").over(file)).where("m > 1")
+        # two files of one name, from batches with shards of the same names, are told apart
+        files = due.groupBy("into", "tier", "bin").agg(F.sum("size").alias("file_size")).withColumn("k", F.row_number().over(Window.partitionBy("into").orderBy("tier", "bin")))
+        into = F.when(F.col("k") > 1, F.concat("into", F.lit("~"), F.col("k").cast("string"))).otherwise(F.col("into"))
+        return due.join(files.drop("file_size"), ["into", "tier", "bin"]).select("shard", "tier", "size", "n", "batch", "of", into.alias("into"))
 
     def compact(self) -> int | None:
         """Carry out the merges that are due and commit; None if none are. Merged-away files stay until ``vacuum``."""
-        version, plan = self.version(), self.plan()
+        version = self.version()
+        plan = written(self.plan(self.manifest(version)), "merges")
         due = plan.count()
         if not due:
             return None
-        mapping = plan.select("shard", F.col("into").alias("_into"))
-        mapping = F.broadcast(mapping) if due <= BROADCAST_SHARDS else mapping
-        rows = self.read(self.manifest().join(plan, "shard")).join(mapping, F.col("_shard") == F.col("shard")).drop("shard", "_shard")
-        merged = self._write(rows.withColumnRenamed("_into", "_shard"), "merge")
-        return self.commit(self.manifest(version).join(plan, "shard", "left_anti").unionByName(merged), version + 1)
-
-    def read(self, manifest: DataFrame | None = None) -> DataFrame:
-        """The rows of the live shards, or of those in ``manifest``, with ``_shard``."""
-        files = (self.manifest() if manifest is None else manifest).select("folder", "shard").collect()
-        by_folder: dict[str, list[str]] = {}
-        for folder, shard in files:
-            by_folder.setdefault(folder, []).append(f"{folder}/_shard={shard}")
-        if not by_folder:
+        merged = plan.groupBy(F.col("into").alias("shard")).agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
+        files = merged.select(F.col("shard").alias("into"), (F.row_number().over(Window.orderBy("shard")) - 1).alias("_task"))
+        mapping = plan.join(files, "into").select(F.col("batch").alias("_batch"), F.col("shard").alias("_shard"), F.col("into").alias("_into"), "_task")
+        schema = self.schema(version)
+        batches = [r.batch for r in plan.select("batch").distinct().collect()]
+        rows = self._rows(batches, schema).join(_small(mapping, due), ["_batch", "_shard"])
+        rows = rows.select(*schema.names, F.col("_into").alias("_shard"), "_task")
+        batch = self._write(rows, merged.count())
+        fresh = self._described(merged, batch)
+
+        def change(live: DataFrame) -> DataFrame:
+            gone = plan.select("batch", "shard")
+            if live.join(gone, ["batch", "shard"], "left_semi").count() != due:
+                raise RuntimeError("another writer has merged the same shards")
+            return live.join(gone, ["batch", "shard"], "left_anti").unionByName(fresh)
+
+        return self._commit_next(change, schema)
+
+    def read(self) -> DataFrame:
+        """The rows of the live shards, with ``_batch`` and ``_shard``.
+
+        Batches whose shards are all live are read as they are; of the others, the live shards by a join.
+        """
+        version = self.version()
+        live, schema = self.manifest(version), self.schema(version)
+        found = live.groupBy("batch").agg(F.count("*").alias("k"), F.first("of").alias("of")).collect()
+        whole, part = [r.batch for r in found if r.k == r.of], [r.batch for r in found if r.k < r.of]
+        if not found:
             raise ValueError("the store is empty")
-        parts = [self.spark.read.option("basePath", folder).parquet(*paths) for folder, paths in sorted(by_folder.items())]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
+        out = self._rows(whole, schema) if whole else None
+        if part:
+            # the filter on this side lets Spark prune the folders that the join would drop
+            wanted = live.where("n > 0").join(F.broadcast(self.spark.createDataFrame([(b,) for b in part], "batch string")), "batch")
+            wanted = wanted.select(F.col("batch").alias("_batch"), F.col("shard").alias("_shard"))
+            rows = self._rows(part, schema)
+            rows = rows.join(_small(wanted, sum(r.k for r in found if r.k < r.of)), ["_batch", "_shard"], "left_semi").select(*rows.columns)
+            out = rows if out is None else out.unionByName(rows)
         return out
 
-    def vacuum(self) -> None:
-        """Delete the data of folders that the last version no longer names."""
+    def vacuum(self, min_age: float = 3600.0) -> None:
+        """Delete the data of batches that the last version no longer names and that are ``min_age`` seconds old; younger ones may be about to be committed."""
         path, fs = self._fs()
-        live = {r.folder.rsplit("/", 1)[-1] for r in self.manifest().select("folder").distinct().collect()}
-        for status in fs.listStatus(path(f"{self.root}/data")):
-            if status.getPath().getName() not in live:
+        live = {f"_batch={r.batch}" for r in self.manifest().select("batch").distinct().collect()}
+        folder = path(f"{self.root}/data")
+        for status in fs.listStatus(folder) if fs.exists(folder) else []:
+            if status.getPath().getName() not in live and status.getModificationTime() <= 1000 * (time.time() - min_age):
                 fs.delete(status.getPath(), True)
 
 
-def sharded(docs: DataFrame, name: Column | None = None, **how) -> DataFrame:
+def _free(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def sharded(docs: DataFrame, name: Column | None = None, *, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """Build a store of ``docs`` in the shared folder, compact it fully and read it back.
 
     The columns of ``docs`` with ``shard``, ``shard_docs`` and ``shard_bytes`` of its manifest.
     """
     spark = docs.sparkSession
-    store = ShardStore(spark, new_path(spark, "shards"), **how)
-    store.append(docs, name)
+    slots = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[docs[c].alias(slot) for c, slot in slots.items()], (F.lit("v1") if name is None else name).alias("arrival"))
+    store = ShardStore(spark, new_path(spark, "shards"), id_col=slots[id_col], text=slots[text], **how)
+    store.append(rows, F.col("arrival"))
     while store.compact():
-        store.vacuum()
+        store.vacuum(0.0)
     live = store.manifest()
+    own = [_free(x, set(docs.columns)) for x in ("shard", "shard_docs", "shard_bytes")]
     if not live.take(1):
-        return docs.select("*", F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_docs"), F.lit(0).cast("long").alias("shard_bytes"))
-    sizes = live.select("shard", F.col("n").alias("shard_docs"), F.col("size").alias("shard_bytes"))
-    sizes = F.broadcast(sizes) if live.count() <= BROADCAST_SHARDS else sizes
-    return store.read().withColumnRenamed("_shard", "shard").join(sizes, "shard").select(*docs.columns, "shard", "shard_docs", "shard_bytes")
+        return docs.select("*", F.lit("").alias(own[0]), F.lit(0).cast("long").alias(own[1]), F.lit(0).cast("long").alias(own[2]))
+    sizes = live.select(F.col("batch").alias("_batch"), F.col("shard").alias("_shard"), F.col("n").alias("shard_docs"), F.col("size").alias("shard_bytes"))
+    out = store.read().join(_small(sizes, live.count()), ["_batch", "_shard"])
+    return out.select(*[F.col(slot).alias(c) for c, slot in slots.items()], *[F.col(x).alias(y) for x, y in zip(("_shard", "shard_docs", "shard_bytes"), own)])
 
 
 #: Arrivals of the query: documents by the remainder of their id by six, two thirds in the first.
