@@ -3,8 +3,9 @@
 Base spans come from three patterns (assignments, access keys, hexadecimal runs). The method adds
 candidate strings, runs of 20 or more token characters with both letters and digits, in which a
 window of 20 characters reaches the Shannon entropy asked of the string's character class. The
-entropy moves along with the window: the counts of the one character that leaves and of the one that
-enters change the sum of c * log2 c, nothing is counted anew. An allow-list drops added spans that
+entropy moves along with the window: the state of the scan holds the count of every character in the
+window, five bits each; the counts of the one that leaves and of the one that enters are moved by one and
+change the sum of c * log2 c, nothing is counted anew. An allow-list drops added spans that
 are placeholders, identifiers in their usual form or digit runs; it never touches base spans.
 
 Most texts hold no candidate at all; one pass of a joint pattern finds that out and nothing else is done.
@@ -17,11 +18,12 @@ one by one. Only the id and text columns are read, so other columns can have any
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import spans, with_fixed
+from .spans import let, spans, with_fixed
 
 #: Base kinds in order; the contract's patterns, with the least lengths of runs written into them.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -41,28 +43,49 @@ ALLOWED = (
 )
 
 
+#: Characters with a count of their own; all others share one. Twelve counts of five bits make a word.
+SYMBOLS = string.digits + string.ascii_uppercase + string.ascii_lowercase + "+/_=-"
+BITS, A_WORD = 5, 12
+WORDS = -(-(len(SYMBOLS) + 1) // A_WORD)
+
+
 def peak_entropy(text: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy of any ``window`` consecutive characters, in bits; 0 for shorter texts."""
-    table = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(window + 2)])
+    """The highest Shannon entropy of any ``window`` consecutive characters, in bits; 0 for shorter texts.
+
+    Characters that are not in ``SYMBOLS`` count as one and the same.
+    """
+    if not 0 < window < 1 << BITS:
+        raise ValueError(f"a window has 1 to {(1 << BITS) - 1} characters")
+    table = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(window + 1)])
 
-    def terms(k: Column) -> Column:
-        return F.element_at(table, k + 1)
+    def place(k: int) -> Column:
+        shift = BITS * (k % A_WORD)
+        return F.struct(F.lit(k // A_WORD).alias("word"), F.lit(shift).alias("shift"), F.lit(1 << shift).cast("long").alias("one"))
 
-    def many(part: Column, char: Column) -> Column:
-        return F.size(F.filter(part, lambda c: c == char))
+    places = F.array(*[place(SYMBOLS.find(chr(c)) % (len(SYMBOLS) + 1)) for c in range(128)])
+    other = place(len(SYMBOLS))
 
-    def step(state: Column, i: Column) -> Column:
-        chars, first = state["chars"], F.greatest(i - window, F.lit(1))
-        gone = many(F.slice(chars, first, F.least(i - 1, F.lit(window))), F.element_at(chars, first))
-        less = F.when(i > window, terms(gone - 1) - terms(gone)).otherwise(0.0)
-        come = many(F.slice(chars, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1))), F.element_at(chars, i))
-        total = state["sum"] + less + terms(come + 1) - terms(come)
-        bits = F.when(i >= window, math.log2(window) - total / window).otherwise(0.0)
-        return F.struct(chars.alias("chars"), total.alias("sum"), F.greatest(state["best"], bits).alias("best"))
+    def scan(symbols: Column) -> Column:
+        def count(words: Column, s: Column) -> Column:
+            return F.call_function("shiftright", F.get(words, s["word"]), s["shift"]).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
-    # the characters ride along, as an expression inside the steps would split the text anew in each
-    start = F.struct(F.split(text, "", -1).alias("chars"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.when(F.length(text) >= window, F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda s: s["best"])).otherwise(0.0)
+        def step(state: Column, i: Column) -> Column:
+            come, gone = F.get(symbols, i), F.get(symbols, i - window)
+            full, words = i >= window, state["words"]
+            same = full & (come["word"] == gone["word"]) & (come["shift"] == gone["shift"])
+            was = count(words, gone)
+            now = count(words, come) - same.cast("int")
+            total = state["sum"] + F.when(full, F.get(table, was - 1) - F.get(table, was)).otherwise(0.0) + F.get(table, now + 1) - F.get(table, now)
+            moved = F.transform(words, lambda w, j: w + F.when(come["word"] == j, come["one"]).otherwise(F.lit(0).cast("long")) - F.when(full & (gone["word"] == j), gone["one"]).otherwise(F.lit(0).cast("long")))
+            bits = F.when(i >= window - 1, math.log2(window) - total / window).otherwise(0.0)
+            return F.struct(moved.alias("words"), total.alias("sum"), F.greatest(state["best"], bits).alias("best"))
+
+        start = F.struct(F.array(*[F.lit(0).cast("long")] * WORDS).alias("words"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(symbols) - 1), start, step, lambda s: s["best"])
+
+    chars = F.slice(F.split(text, "", -1), F.lit(1), F.length(text))
+    symbols = F.transform(chars, lambda c: F.coalesce(F.get(places, F.ascii(c)), other))
+    return F.when(F.length(text) >= window, let(symbols, scan)).otherwise(0.0)
 
 
 def _strong(part: Column) -> Column:
@@ -99,13 +122,9 @@ def redacted(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", mas
     """``docs`` with assignments, keys, hexadecimal runs and strong candidates replaced in the text; all columns stay."""
     body = F.col(text)
     hidden = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, ASSIGN, "$1=" + mask), ACCESS, mask), HEX, mask)
-    at = spans(hidden, F.lit(CANDIDATE))
-    strong = F.filter(at, lambda s: _strong(s["part"]))
-    pieces = F.aggregate(
-        strong, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
-        lambda s, x: F.struct(x["end"].alias("pos"), F.concat(s["out"], F.substring(hidden, s["pos"] + 1, x["start"] - s["pos"]), F.lit(mask)).alias("out")),
-        lambda s: F.concat(s["out"], F.substring(hidden, s["pos"] + 1, F.lit(2147483647))),
-    )
+    between, found = F.split(hidden, CANDIDATE, -1), F.regexp_extract_all(hidden, F.lit(CANDIDATE), F.lit(0))
+    kept = F.transform(found, lambda p: F.when(_strong(p), F.lit(mask)).otherwise(p))
+    pieces = F.array_join(F.transform(F.arrays_zip(between.alias("b"), kept.alias("k")), lambda x: F.concat(x["b"], F.coalesce(x["k"], F.lit("")))), "")
     return docs.withColumn(text, F.when(body.rlike(ANY), pieces).otherwise(body))
 
 
