@@ -12,10 +12,13 @@ it is and reparsed; if role or text don't come back identical, its control strin
 is reparsed again, until it is identical. The escape puts one more backslash after the bracket that
 opens a control string, ``<s>`` to ``<\\s>`` and ``<\\s>`` to ``<\\\\s>``; the parser takes one away, so it
 undoes the escape in any number of rounds and leaves all other backslashes alone. One round is always
-enough: an escaped text holds no control string and each of its escapes is undone once.
+enough: an escaped text holds no control string and each of its escapes is undone once. In the end the
+whole conversation is reparsed and its turns compared with the source; any difference is an error.
 
-Turns are rendered and checked row by row. Only the result, a conversation in one row, is gathered by
-conversation, as its digest needs it whole; a conversation must fit in a row of two gigabytes.
+The parser is strict: a turn must begin with an opener, end with that opener's own closer and hold no
+other control string, and a role stands in one form only.
+
+A conversation is rendered and checked in one row, as its digest needs it whole; it must fit in two gigabytes.
 
 Edge cases: a null text or role is empty; the roles are told apart exactly as they are spelled, and
 one with other characters than letters, digits, ``_`` and ``-`` is written in hexadecimal after ``~``.
@@ -28,10 +31,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spans import let, with_fixed
+
 _CONTROL = r"([<\[])(\\*)(?=/?s>|/?INST\]|INST:)"
 _ESCAPED = r"([<\[])\\(\\*)(?=/?s>|/?INST\]|INST:)"
 _BRACKETS = r"(?:</?s>|\[/?INST\]|\[INST:)"
-_OPENER = r"^(?:<s>|\[INST\]|\[INST:([^\]]*)\])"
+_OPENER = r"^(?:<s>|\[INST\]|\[INST:([A-Za-z0-9_-]+|~(?:[0-9A-F]{2})*)\])"
 _CLOSER = r"(?:</s>|\[/INST\])"
 
 
@@ -55,46 +60,45 @@ def _rendered(role: Column, text: Column) -> Column:
 def parsed(formatted: Column) -> Column:
     """The turns of a formatted string as an array of (role, text, ok); ok is false where the grammar is broken.
 
-    Closers end turns; each piece must begin with an opener and hold no further control string.
+    Closers end turns; each piece must begin with the opener of its closer and hold no further control string.
     """
 
-    def turn(piece: Column) -> Column:
-        opener = F.regexp_extract(piece, _OPENER, 0)
-        name = F.regexp_extract(piece, _OPENER, 1)
+    def turn(x: Column) -> Column:
+        opener, name = F.regexp_extract(x["piece"], _OPENER, 0), F.regexp_extract(x["piece"], _OPENER, 1)
         role = (
             F.when(opener == "<s>", F.lit("assistant")).when(opener == "[INST]", F.lit("user"))
             .when(name.startswith("~"), F.decode(F.unhex(F.substring(name, 2, 1 << 30)), "utf-8")).otherwise(name)
         )
-        text = F.substring(piece, F.length(opener) + 1, F.lit(2147483647))
-        return F.struct(role.alias("role"), unescaped(text).alias("text"), ((opener != "") & ~text.rlike(_BRACKETS)).alias("ok"))
+        text = F.substring(x["piece"], F.length(opener) + 1, F.lit(2147483647))
+        closer = F.when(opener == "<s>", F.lit("</s>")).otherwise(F.lit("[/INST]"))
+        ok = (opener != "") & ~name.isin("user", "assistant") & F.coalesce(x["closer"] == closer, F.lit(False)) & ~text.rlike(_BRACKETS)
+        return F.struct(role.alias("role"), unescaped(text).alias("text"), ok.alias("ok"))
 
-    pieces = F.split(formatted, _CLOSER, -1)
-    turns = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), turn)
-    tail = F.element_at(pieces, -1)
-    return F.when(tail == "", turns).otherwise(F.concat(turns, F.array(F.struct(F.lit("").alias("role"), tail.alias("text"), F.lit(False).alias("ok")))))
+    pieces, closers = F.split(formatted, _CLOSER, -1), F.regexp_extract_all(formatted, F.lit(_CLOSER), F.lit(0))
+    # what follows the last closer is no turn where it is empty, and a broken one where it isn't
+    laid = let(F.arrays_zip(pieces.alias("piece"), closers.alias("closer")), lambda z: F.when(F.element_at(z, -1)["piece"] == "", F.slice(z, 1, F.size(z) - 1)).otherwise(z))
+    return F.transform(laid, turn)
 
 
-def rendered_turns(turns: DataFrame, *, role: str = "role", text: str = "text") -> DataFrame:
-    """``turns`` with ``_turn``: the turn in the template, escaped if and only if its bare form doesn't come back."""
-    who, said = F.coalesce(F.col(role).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))
+def rendered(role: Column, text: Column) -> Column:
+    """A turn in the template, escaped if and only if its bare form doesn't come back identical."""
 
     def same(form: Column) -> Column:
-        back = parsed(form)
-        return (F.size(back) == 1) & back[0]["ok"] & (back[0]["role"] == who) & (back[0]["text"] == said)
+        return let(parsed(form), lambda back: (F.size(back) == 1) & F.coalesce(back[0]["ok"] & (back[0]["role"] == role) & (back[0]["text"] == text), F.lit(False)))
 
-    # a text with neither a control string nor an escape of one can't conflict
-    calm = ~F.concat(who, said).rlike(r"[<\[]\\*(?:/?s>|/?INST[\]:])")
-    bare, safe = _rendered(who, said), _rendered(who, escaped(said))
-    form = F.when(calm, bare).when(same(bare), bare).when(same(safe), safe).otherwise(F.raise_error(F.lit("a turn does not come back from its escaped form")).cast("string"))
-    return turns.withColumn("_turn", form)
+    bare, safe = _rendered(role, text), _rendered(role, escaped(text))
+    return F.when(same(bare), bare).when(same(safe), safe).otherwise(F.raise_error(F.lit("a turn does not come back from its escaped form")).cast("string"))
 
 
 def formatted(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id and ``formatted``: each conversation in the template, turns in order."""
-    slim = turns.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    ready = rendered_turns(slim, role="r", text="x").select("c", F.struct("t", "r", "_turn").alias("s"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["_turn"]), "")
-    return ready.groupBy("c").agg(whole.alias("formatted")).withColumnRenamed("c", conv)
+    """conv_id and ``formatted``: each conversation in the template, turns in order; its turns come back identical."""
+    slim = turns.select(F.col(conv).alias("c"), F.struct(F.col(turn).alias("t"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x")).alias("s"))
+    whole = with_fixed(slim.groupBy("c").agg(F.collect_list("s").alias("s")), turns=F.array_sort("s")).drop("s")
+    whole = with_fixed(whole, formatted=F.array_join(F.transform("turns", lambda s: rendered(s["r"], s["x"])), ""))
+    back = F.transform(parsed(F.col("formatted")), lambda t: F.struct(t["role"].alias("r"), t["text"].alias("x"), t["ok"].alias("ok")))
+    source = F.transform("turns", lambda s: F.struct(s["r"].alias("r"), s["x"].alias("x"), F.lit(True).alias("ok")))
+    checked = F.when(F.coalesce(back == source, F.lit(False)), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not come back from its format")).cast("string"))
+    return whole.select(F.col("c").alias(conv), checked.alias("formatted"))
 
 
 def loss_mask(form: Column) -> Column:
