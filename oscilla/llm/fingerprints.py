@@ -7,13 +7,15 @@ minimum-hash signature of the set: the ``SIZE`` least of its hashes. Two signatu
 by the share of the least hashes of their union that both have, an estimate of the sets' Jaccard
 similarity with an error of about 1 / sqrt(SIZE), exact for sets of up to ``SIZE`` phrases.
 
-``with_next`` pairs each document with the next one by id in one range shuffle: bounds of the ids split
-the documents evenly, and the first document of each range also goes to the range before as a
-look-ahead row. Each task streams its range in order; the driver sees one bound and one id a range.
+``with_next`` pairs each document with the next one by id in one range shuffle: Spark deals ids and hashes
+of texts to even ranges, the first of each range is its bound, and the first document of a range also goes
+to the range before as a look-ahead row. Each task streams its range in order. The driver sees one bound a
+range, and there are no more than ``MAX_RANGES`` of them at any size: a task then has a range of more bytes,
+which takes longer but no more memory.
 
 Edge cases: a null text is empty; an empty text has no phrases and the empty fingerprint, like only
 another empty one (1.0). Null ids come first; rows of one id follow one another in order of their
-texts' hashes, each the next of the one before. A single document is its own next. Only the id and
+texts' hashes, each the next of the one before, and may lie in several ranges. A single document is its own next. Only the id and
 text columns are read.
 """
 
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .wordscan import mixed
 
 SIZE = 64
+#: The most ranges that documents are dealt to.
+MAX_RANGES = 1 << 16
 
 
 def phrases(text: str, known: set[str] | None = None, pending: str = "") -> tuple[set[str], str]:
@@ -77,40 +81,45 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union))
 
 
+def _range_of(ids: np.ndarray, hashes: np.ndarray, cut_ids: np.ndarray, cut_hashes: np.ndarray) -> np.ndarray:
+    """How many of the sorted bounds (id, hash) are at or before each row, less one."""
+    low, high = np.searchsorted(cut_ids, ids, "left"), np.searchsorted(cut_ids, ids, "right")
+    for first in np.unique(low[low < high]):  # ids on which a bound lies: their hashes decide
+        at = np.flatnonzero((low == first) & (high > first))
+        low[at] = first + np.searchsorted(cut_hashes[first : high[at[0]]], hashes[at], "right")
+    return np.maximum(low - 1, 0)
+
+
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", part_bytes: int = 16 << 20) -> DataFrame:
     """Rows (part, ahead, id, text) in ranges of ids: ahead is 1 for the look-ahead row of a range, its last.
 
     The number of ranges follows the total size of the texts, ``part_bytes`` each, but is no less than
-    the session's parallelism.
+    the session's parallelism and no more than ``MAX_RANGES``.
     """
     spark = docs.sparkSession
     ident = F.col(id_col).cast("long")
     # null ids are placed below all others, so that no function in Python sees a null
     rows = docs.select(ident.alias("id"), F.coalesce(ident, F.lit(-(1 << 63))).alias("place"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spread = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    parts = max(2 * spark.sparkContext.defaultParallelism, -(-(spread.bytes or 0) // part_bytes))
-    cuts = rows.approxQuantile("place", [k / parts for k in range(1, parts)], 0.1 / parts) if spread.n else []
-    cuts = np.unique(np.array(cuts, np.int64))
-    shared = spark.sparkContext.broadcast(cuts)
-
-    @F.pandas_udf("int")
-    def part_of(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, place.to_numpy(np.int64), "right").astype(np.int32))
-
-    firsts = rows.select(part_of("place").alias("part"), "place").groupBy("part").agg(F.min("place").alias("first")).orderBy("part").collect()
-    # a range's first id goes to the range before it that has rows, the very first one to the last
-    ahead_of = spark.sparkContext.broadcast({r.first: firsts[k - 1].part for k, r in enumerate(firsts)})
-
-    @F.pandas_udf("int")
-    def ahead_part(place: pd.Series) -> pd.Series:
-        return place.map(ahead_of.value).fillna(-1).astype(np.int32)
-
-    placed = rows.withColumn("p", part_of("place")).withColumn("q", ahead_part("place"))
-    both = F.when(F.col("q") >= 0, F.array(F.struct(F.col("p").alias("part"), F.lit(0).alias("ahead")), F.struct(F.col("q").alias("part"), F.lit(1).alias("ahead")))).otherwise(
-        F.array(F.struct(F.col("p").alias("part"), F.lit(0).alias("ahead")))
-    )
-    spread_rows = placed.select("id", "text", F.explode(both).alias("to")).select("to.part", "to.ahead", "id", "text")
-    return spread_rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "ahead", F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(MAX_RANGES, max(2 * spark.sparkContext.defaultParallelism, -(-total // part_bytes)))
+    dealt = rows.select("place", "hash").repartitionByRange(parts, "place", "hash")
+    firsts = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("place", "hash")).alias("least")).select("least.*")
+    bounds = sorted((r.place, r.hash) for r in firsts.collect())  # MAX_RANGES rows at most
+    shared = spark.sparkContext.broadcast(tuple(np.array([b[k] for b in bounds], np.int64) for k in range(2)))
+
+    @F.pandas_udf("array<int>")
+    def parts_of(place: pd.Series, hash_: pd.Series) -> pd.Series:
+        ids, hashes = place.to_numpy(np.int64), hash_.to_numpy(np.int64)
+        cut_ids, cut_hashes = shared.value
+        own = _range_of(ids, hashes, cut_ids, cut_hashes)
+        first = (cut_ids[own] == ids) & (cut_hashes[own] == hashes)
+        # a range's first document goes to the range before it, too, the very first one to the last
+        return pd.Series([[p, (p - 1) % len(cut_ids)] if f else [p] for p, f in zip(own.tolist(), first.tolist())])
+
+    placed = rows.select("id", "hash", "text", F.posexplode(parts_of("place", "hash")).alias("ahead", "part"))
+    placed = placed.repartitionById(max(1, len(bounds)), F.col("part"))
+    return placed.sortWithinPartitions("part", "ahead", F.col("id").asc_nulls_first(), "hash").select("part", "ahead", "id", "text")
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, str]]:
@@ -148,7 +157,7 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, ahead, ident, text in _streamed(batches):
         if part != part_of_last:
             last, closed, part_of_last = None, False, part
-        if closed:  # rows that share the look-ahead id
+        if closed:  # copies of the look-ahead row
             continue
         doc = _Doc(ident, text)
         if last is not None:
