@@ -4,12 +4,12 @@
    (the leftmost of equal ones), so equal windows have equal anchors at equal places. A text falls
    into segments, runs of windows with one anchor; only segments whose anchor's gram occurs again
    anywhere can hold a repeat. A segment's context is all bytes of its windows.
-2. Collapsing. Equal contexts around one gram are one string with a multiplicity. Where a gram has a
-   single context, every window of it is repeated and nothing is left to compare.
+2. Collapsing. Equal contexts around one gram are one string with a multiplicity; they are told apart by a
+   cryptographic digest of 128 bits of all their bytes. Where a gram has a single context, every window of
+   it is repeated and nothing is left to compare.
 3. Sorting. The distinct contexts of the other grams go to shards, all of one gram to one shard. A
-   shard's suffixes are sorted by external recursive induction (``suffixes``), and neighbours with a
-   common prefix of ``length`` bytes are repeats. Common prefixes are computed on neighbours of the
-   final order, up to ``length`` bytes, instead of being carried through the queues.
+   shard is spooled to disk as it arrives and its suffixes are sorted by external recursive induction
+   (``suffixes``), whose queues carry common prefixes along; neighbours that share ``length`` bytes are repeats.
 4. Hot grams. Contexts of one gram beyond ``hot`` are split by the place of the window around the
    anchor; either half is keyed by the bytes that all its windows share, which are more than the gram,
    and equal halves collapse again. The last split leaves single windows, which are equal or apart, so
@@ -19,8 +19,8 @@
 Shards, tables and rounds are Spark tables in the shared folder, so lost executors cost only their tasks.
 
 Edge cases: null and empty texts have no bytes; texts below ``length`` bytes lose nothing. Rows of one
-doc_id and text are two documents, each a repeat of the other. A null doc_id is a document like any
-other. Only the id and text columns are read.
+doc_id and text are two documents, each a repeat of the other; their ranges are the same and are gathered
+once. A null doc_id is a document like any other. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -29,22 +29,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .suffixes import repeated_windows
+from .suffixes import Shard
 from .wordscan import Rolling, blocks, buffers
 
 GRAM = 64
 #: Bits of a place in a block of texts; the rest of a packed value is hash.
 PLACE = np.uint64(28)
-SHARD_BYTES = 1 << 20
+#: Bytes of contexts that are sorted together; they are never in memory together.
+SHARD_BYTES = 4 << 20
 HOT = 2048
-PIECES = "gram long, piece long, n long, anchor int, near int, far int, first int, body binary"
-RUNS = "gram long, piece long, a int, b int"
+PIECES = "gram long, piece binary, n long, anchor int, near int, far int, first int, body binary"
+RUNS = "gram long, piece binary, a int, b int"
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -57,8 +57,8 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """The segments of a block of texts: row, gram, context, first and last window in the text, anchor in the context."""
+def segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray | list[bytes]]:
+    """The segments of a block of texts: row, gram, digest of the context, first and last window in the text, anchor in the context."""
     offsets = offsets - offsets[0]
     none = {k: np.zeros(0, np.int64) for k in ("row", "gram", "context", "low", "high", "anchor")}
     windows = len(raw) - length + 1
@@ -78,9 +78,10 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
     if not len(low):
         return none
     own, at = row[low], anchor[low]
-    context = rolling.hash(low, high + length, 11) ^ ((at - low).astype(np.uint64) << np.uint64(32))
+    body = memoryview(raw)
+    context = [hashlib.blake2b(body[a:b], digest_size=16).digest() for a, b in zip(low.tolist(), (high + length).tolist())]
     begin = offsets[:-1][own]
-    return {"row": own, "gram": grams[at].view(np.int64), "context": context.view(np.int64), "low": low - begin, "high": high - begin, "anchor": at - low}
+    return {"row": own, "gram": grams[at].view(np.int64), "context": context, "low": low - begin, "high": high - begin, "anchor": at - low}
 
 
 def _segment_rows(length: int):
@@ -92,7 +93,7 @@ def _segment_rows(length: int):
                 s = segments(raw[offsets[low] : offsets[high]], offsets[low : high + 1], length)
                 rows = s["row"] + low
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s["gram"]), pa.array(s["context"]), pa.array(doc[rows]), pa.array(mark[rows]), *(pa.array(s[k].astype(np.int32)) for k in ("low", "high", "anchor"))],
+                    [pa.array(s["gram"]), pa.array(s["context"], pa.binary()), pa.array(doc[rows]), pa.array(mark[rows]), *(pa.array(s[k].astype(np.int32)) for k in ("low", "high", "anchor"))],
                     names=["gram", "context", "doc", "mark", "low", "high", "anchor"],
                 )
 
@@ -114,7 +115,7 @@ def _context_bodies(length: int):
                         body = text[s["low"] : s["high"] + length].tobytes()
                         for x, v in zip(out, (s["gram"], s["context"], s["n"], s["anchor"], 0, length - GRAM, 0, body)):
                             x.append(v)
-                kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()]
+                kinds = [pa.int64(), pa.binary(), pa.int64()] + [pa.int32()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["gram", "piece", "n", "anchor", "near", "far", "first", "body"])
 
     return run
@@ -140,35 +141,60 @@ def _halves(length: int):
                     body = p["body"][low - p["first"] : high - p["first"] + length]
                     shared = p["body"][p["anchor"] - near - p["first"] : p["anchor"] - far - p["first"] + length]
                     name = hashlib.blake2b(shared, digest_size=8, salt=near.to_bytes(8, "little"), person=far.to_bytes(8, "little")).digest()
-                    own = hashlib.blake2b(body, digest_size=8, salt=(p["anchor"] - low).to_bytes(8, "little")).digest()
-                    row = (p["gram"], p["piece"], low - p["first"], *(int.from_bytes(x, "little", signed=True) for x in (name, own)), p["n"], p["anchor"], near, far, low, body)
+                    own = hashlib.blake2b(body, digest_size=16, salt=(p["anchor"] - low).to_bytes(8, "little")).digest()
+                    row = (p["gram"], p["piece"], low - p["first"], int.from_bytes(name, "little", signed=True), own, p["n"], p["anchor"], near, far, low, body)
                     for x, v in zip(out, row):
                         x.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.int32()] * 4 + [pa.binary()]
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64()] + [pa.int32()] * 4 + [pa.binary()]
             names = ["parent", "part", "shift", "gram", "piece", "n", "anchor", "near", "far", "first", "body"]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=names)
 
     return run
 
 
-def _sorted_runs(pieces: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated windows (from, to) of each piece, by suffix sorting in shards."""
-    total = pieces.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
+def _sorter(length: int):
+    """The runs of repeated windows of a shard's pieces, which arrive as (gram, piece, n, body)."""
+    names = ["gram", "piece", "a", "b"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32()]
 
-    def sort(shard: pd.DataFrame) -> pd.DataFrame:
-        hits = repeated_windows(shard["body"].tolist(), shard["n"].to_numpy(), length)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, grams, pieces = Shard(length), [], []
+        for batch in batches:
+            shard.add(*buffers(batch.column(3)), batch.column(2).to_numpy())
+            grams.append(batch.column(0))
+            pieces.append(batch.column(1))
+        if not grams:
+            return
+        gram, piece = pa.chunked_array(grams).combine_chunks(), pa.chunked_array(pieces).combine_chunks()
         row, a, b = [], [], []
-        for k, hit in enumerate(hits):
-            edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-            starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+
+        def emit() -> pa.RecordBatch:
+            at = pa.array(row, pa.int64())
+            out = pa.RecordBatch.from_arrays([gram.take(at), piece.take(at), pa.array(a, kinds[2]), pa.array(b, kinds[3])], names=names)
+            for x in (row, a, b):
+                x.clear()
+            return out
+
+        for k, hit in shard.repeats():
+            edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
+            starts = np.flatnonzero(edge == 1)
             row += [k] * len(starts)
             a += starts.tolist()
-            b += ends.tolist()
-        return pd.DataFrame({"gram": shard["gram"].to_numpy()[row], "piece": shard["piece"].to_numpy()[row], "a": np.array(a, np.int32), "b": np.array(b, np.int32)}) if row else pd.DataFrame({"gram": np.zeros(0, np.int64), "piece": np.zeros(0, np.int64), "a": np.zeros(0, np.int32), "b": np.zeros(0, np.int32)})
+            b += (np.flatnonzero(edge == -1) - 1).tolist()
+            if len(row) >= 10_000:
+                yield emit()
+        yield emit()
 
-    keyed = pieces.select(F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard"), "gram", "piece", "n", "body")
-    return keyed.repartition(shards, "shard").groupBy("shard").applyInPandas(sort, RUNS)
+    return run
+
+
+def _sorted_runs(pieces: DataFrame, length: int) -> DataFrame:
+    """Runs of repeated windows (from, to) of each piece, by suffix sorting in shards, each a task."""
+    total = pieces.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    shards = max(1, -(-total // SHARD_BYTES))
+    shard = F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int").alias("shard")
+    keyed = pieces.select("gram", "piece", "n", "body", shard).repartitionById(shards, F.col("shard")).drop("shard")
+    return keyed.mapInArrow(_sorter(length), RUNS)
 
 
 def repeated_runs(pieces: DataFrame, length: int, hot: int = HOT) -> DataFrame:
@@ -180,7 +206,7 @@ def repeated_runs(pieces: DataFrame, length: int, hot: int = HOT) -> DataFrame:
         if not large.take(1):
             break
         cool = pieces.join(large, "gram", "left_anti")
-        halves = "parent long, part long, shift int, " + PIECES
+        halves = "parent long, part binary, shift int, " + PIECES
         split = written(pieces.join(large, "gram").select("gram", "piece", "n", "anchor", "near", "far", "first", "body").mapInArrow(_halves(length), halves), "halves")
         merged = split.groupBy("gram", "piece").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("anchor", "near", "far", "first")], F.min("body").alias("body"))
         rounds.append((split.select("parent", "part", "shift", "gram", "piece"), cool))
@@ -205,7 +231,7 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), ident.alias("doc"), F.xxhash64(body).alias("mark"), body.alias("text"))
-    found = written(rows.select("doc", "mark", "text").where(F.octet_length("text") >= length).mapInArrow(_segment_rows(length), "gram long, context long, doc long, mark long, low int, high int, anchor int"), "segments")
+    found = written(rows.select("doc", "mark", "text").where(F.octet_length("text") >= length).mapInArrow(_segment_rows(length), "gram long, context binary, doc long, mark long, low int, high int, anchor int"), "segments")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").drop("n")
     grams = written(grams, "grams")  # a table on both sides of the join lets Spark split the rows of a hot gram
     again = written(found.join(grams, "gram"), "repeats")
@@ -219,7 +245,7 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
 
     plain = again.where("not mixed").select("doc", "mark", F.col("low").alias("a"), (F.col("high") + length).alias("b"))
     by_runs = again.where("mixed").join(runs, ["gram", "context"]).select("doc", "mark", (F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b") + length).alias("b"))
-    spans = plain.union(by_runs).groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = plain.union(by_runs).groupBy("doc", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return rows.join(spans.hint("shuffle_hash"), ["doc", "mark"], "left").select("id", "text", "spans")
 
 

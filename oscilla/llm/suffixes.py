@@ -1,242 +1,539 @@
-"""External suffix sorting by recursive induction, for shards of many strings.
-
-``suffix_order`` sorts the suffixes of a text: suffixes are of type S (smaller than the next one) or L;
-the leftmost S suffixes of each run are sorted by their substrings, named, and the names sorted in
-recursion where they are not unique; then two scans induce all others: taken in order from a priority
-queue, a suffix puts the one before it into the queue under that one's first character. The queue is
-monotone: nothing smaller than what was taken last ever enters, and entries of equal character leave in
-the order they came; so it is kept as one first-in-first-out run for each character, whose blocks go
-to disk beyond a number of entries in memory. Scans with a small alphabet move whole blocks at a time.
+"""External suffix sorting by recursive induction, with common prefixes carried along, for shards larger than memory.
+
+Suffixes are of type S (smaller than the next one) or L. The leftmost S suffixes of each run, the stars,
+are sorted by the pieces from one star to the next, named, and the names sorted in recursion where they are
+not unique. Two scans then induce all others, each driven by a monotone priority queue of tuples (key,
+position, common prefix): taken in order, a suffix puts the one before it into the queue under that one's
+first character. Entries of equal key leave in the order they came.
+
+Common prefixes ride in the tuples: two suffixes that follow one another into one bucket share one character
+more than the two that induced them, and those share the least common prefix of all that the scan took between
+them. ``_History`` answers that for any stretch of the scan. Seeds get theirs from the recursion, names counted
+in bytes, and only where a scan passes from one kind of suffix to the other within a bucket are characters
+compared. Prefixes count up to a cap: suffixes that share that many are in any order, and no piece is compared
+further.
+
+Text, types, stars, names, orders, prefixes and the scans' histories are files mapped into memory, which the
+system writes out as it needs; the queues keep ``limit`` entries in memory and the rest in files. Everything is
+done ``BATCH`` entries at a time: a scan takes the longest run of entries before which nothing that they induce
+can come.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Entries of a queue in memory before its largest runs go to disk.
-QUEUE_ENTRIES = 1 << 23
+#: Entries of a queue in memory before its largest buckets go to disk.
+QUEUE_ENTRIES = 1 << 18
+#: Entries that are handled at a time.
+BATCH = 1 << 15
+#: Entries of a bucket of several letters, which is sorted in memory.
+BUCKET = 1 << 11
+_NEVER, _END = -2, -1
+_MOST = np.int32((1 << 31) - 1)
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+class Disk:
+    """Arrays in unnamed files, which go with their last user."""
+
+    def array(self, kind: type, size: int) -> np.ndarray:
+        if not size:
+            return np.zeros(0, kind)
+        with tempfile.TemporaryFile() as file:
+            file.truncate(size * np.dtype(kind).itemsize)
+            return np.memmap(file, kind, "r+", shape=(size,)).view(np.ndarray)
+
+
+def _ranges(size: int, step: int | None = None) -> Iterator[tuple[int, int]]:
+    step = step or BATCH
+    for low in range(0, size, step):
+        yield low, min(size, low + step)
 
 
 class DiskQueue:
-    """A monotone priority queue of positions, keyed by character, first in first out for each key."""
+    """A monotone priority queue of (key, position, common prefix), first in first out for each key.
 
-    def __init__(self, limit: int = QUEUE_ENTRIES) -> None:
-        self.runs: dict[int, list] = {}
-        self.held = self.limit = limit
+    Letters are dealt to buckets; a key is twice a letter, or one more for the entries of ``side``, a sorted stream
+    that is merged in. A bucket of one letter is read block by block, one of several letters is sorted when its
+    turn comes. ``first`` has the first letter of each bucket.
+    """
+
+    def __init__(self, first: np.ndarray, letters: int, side: Callable[[int, int], Entries], n_side: int, limit: int) -> None:
+        self.bounds = 2 * np.append(first, letters).astype(np.int64)
+        self.blocks: list[list] = [[] for _ in first]
+        self.counts = np.zeros(len(first), np.int64)
+        self.single = np.diff(self.bounds) == 2
+        self.limit, self.held, self.peak = limit, 0, 0
         self.file = None
+        self.side, self.n_side, self.at_side = side, n_side, 0
+        self.bucket, self.fresh = 0, True
+        self.ready: Entries = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int16))
 
-    def put(self, key: int, positions: np.ndarray) -> None:
-        self.runs.setdefault(key, []).append(positions)
-        self.held -= len(positions)
-        if self.held < 0:
+    def put(self, keys: np.ndarray, positions: np.ndarray, prefixes: np.ndarray) -> None:
+        """Entries sorted by key, none of them before what was taken last."""
+        into = np.searchsorted(self.bounds, keys, "right") - 1
+        cuts = np.flatnonzero(into[1:] != into[:-1]) + 1
+        starts = [0, *cuts.tolist()]
+        for start, end in zip(starts, [*starts[1:], len(keys)]):
+            bucket = int(into[start])
+            # copies, so that what has gone to disk is not kept alive by its neighbours
+            block = (keys[start:end].copy(), positions[start:end].copy(), prefixes[start:end].copy())
+            if bucket == self.bucket and not self.fresh and not self.single[bucket]:
+                self.ready = self._sorted([self.ready, block])
+                continue
+            self.blocks[bucket].append(block)
+            self.counts[bucket] += end - start
+            self.held += end - start
+        self.peak = max(self.peak, self.held)
+        if self.held > self.limit:
             self._spill()
 
+    @staticmethod
+    def _sorted(blocks: list[Entries]) -> Entries:
+        keys, positions, prefixes = (np.concatenate([b[k] for b in blocks]) for k in range(3))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], positions[order], prefixes[order]
+
     def _spill(self) -> None:
-        """Write the blocks of the longest runs to disk until half the limit is free."""
+        """Write the entries of the fullest buckets to disk until half the limit is free."""
         self.file = self.file or tempfile.TemporaryFile()
-        for key in sorted(self.runs, key=lambda k: -sum(len(b) for b in self.runs[k] if isinstance(b, np.ndarray))):
-            for i, block in enumerate(self.runs[key]):
-                if isinstance(block, np.ndarray):
+        while self.held > self.limit // 2:
+            bucket = int(self.counts.argmax())
+            kept = []
+            run: list[Entries] = []
+            for block in [*self.blocks[bucket], None]:
+                if block is not None and len(block) == 3:
+                    run.append(block)
+                    continue
+                if run:
                     self.file.seek(0, 2)
-                    self.runs[key][i] = (self.file.tell(), len(block))
-                    self.file.write(block.tobytes())
-                    self.held += len(block)
-            if self.held >= self.limit // 2:
-                return
-
-    def take(self, key: int) -> np.ndarray | None:
-        """All entries of a key in the order they came, or None."""
-        blocks = self.runs.pop(key, None)
-        if not blocks:
+                    kept.append((self.file.tell(), sum(len(b[0]) for b in run)))
+                    for k in range(3):
+                        for b in run:
+                            self.file.write(b[k].tobytes())
+                    run = []
+                if block is not None:
+                    kept.append(block)
+            self.blocks[bucket] = kept
+            self.held -= int(self.counts[bucket])
+            self.counts[bucket] = 0
+
+    def _read(self, block: tuple) -> Entries:
+        if len(block) == 3:
+            self.held -= len(block[0])
+            self.counts[self.bucket] -= len(block[0])
+            return block
+        self.file.seek(block[0])
+        return tuple(np.frombuffer(self.file.read(size * block[1]), kind) for size, kind in ((4, np.int32), (4, np.int32), (2, np.int16)))
+
+    def _from_side(self, most: int) -> Entries | None:
+        """The next entries of the side stream in this bucket."""
+        if self.at_side >= self.n_side:
             return None
-        read = []
-        for block in blocks:
-            if isinstance(block, np.ndarray):
-                self.held += len(block)
-                read.append(block)
+        part = self.side(self.at_side, min(self.n_side, self.at_side + most))
+        own = int(np.searchsorted(part[0], self.bounds[self.bucket + 1]))
+        self.at_side += own
+        return tuple(x[:own] for x in part) if own else None
+
+    def next(self, most: int) -> Entries | None:
+        """The first entries, at most so many; they stay until ``drop``."""
+        while not len(self.ready[0]):
+            waiting, single = self.blocks[self.bucket], self.single[self.bucket]
+            if waiting and single:
+                parts, size = [], 0
+                while waiting and size < most:
+                    parts.append(self._read(waiting.pop(0)))
+                    size += len(parts[-1][0])
+                self.ready = parts[0] if len(parts) == 1 else tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
+            elif self.fresh and not single:
+                all_ = [self._read(b) for b in waiting]
+                waiting.clear()
+                while (part := self._from_side(most)) is not None:
+                    all_.append(part)
+                if all_:
+                    self.ready = self._sorted(all_)
+            elif single and (part := self._from_side(most)) is not None:
+                self.ready = part
             else:
-                self.file.seek(block[0])
-                read.append(np.frombuffer(self.file.read(8 * block[1]), np.int64))
-        return read[0] if len(read) == 1 else np.concatenate(read)
+                self.bucket, self.fresh = self.bucket + 1, True
+                if self.bucket == len(self.blocks):
+                    return None
+                continue
+            self.fresh = False
+        return tuple(x[:most] for x in self.ready)
+
+    def drop(self, count: int) -> None:
+        self.ready = tuple(x[count:] for x in self.ready)
 
 
-def _types(text: np.ndarray) -> np.ndarray:
+class _History:
+    """The common prefixes that a scan has met, and the least of any stretch of them that ends in the newest batch."""
+
+    def __init__(self, size: int, disk: Disk) -> None:
+        self.after = disk.array(np.int16, size)  # the least of what follows an entry in its batch
+        self.begins = np.zeros(1024, np.int64)
+        self.table = np.zeros((1, 1024), np.int16)  # row k: the least of the 2^k batches that end with one
+        self.batches = self.size = 0
+
+    def least(self, values: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For entries ``at`` of a new batch of ``values``: the least value since the last use of their letter.
+
+        ``at`` is sorted by letter, ``first`` marks the first use of a letter in this batch and ``last`` has the place in
+        the scan of its last use before it. Letters never used give -1.
+        """
+        out = np.empty(len(at), np.int16)
+        again = (~first).nonzero()[0]
+        if len(again):
+            out[again] = self._within(values, at[again - 1] + 1, at[again])
+        new = first.nonzero()[0]
+        since = last[new]
+        found = np.minimum.accumulate(values)[at[new]]
+        known = (since >= 0).nonzero()[0]
+        if len(known):
+            when = since[known]
+            batch = np.searchsorted(self.begins[: self.batches], when, "right") - 1
+            best = np.minimum(found[known], self.after[when])
+            between = (batch + 1 < self.batches).nonzero()[0]
+            if len(between):
+                low, high = batch[between] + 1, self.batches - 1
+                k = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+                best[between] = np.minimum(best[between], np.minimum(self.table[k, high], self.table[k, low + (1 << k) - 1]))
+            found[known] = best
+        found[since == _END] = 0  # nothing is shared with what comes before the first entry
+        found[since == _NEVER] = -1
+        out[new] = found
+        return out
+
+    @staticmethod
+    def _within(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        k = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+        out = np.empty(len(low), np.int16)
+        level = values
+        for step in range(int(k.max()) + 1):
+            at = np.flatnonzero(k == step)
+            out[at] = np.minimum(level[low[at]], level[high[at] - (1 << step) + 1])
+            level = np.minimum(level[: -(1 << step)], level[1 << step :]) if len(level) > 1 << step else level[:0]
+        return out
+
+    def add(self, values: np.ndarray) -> None:
+        begin, b = self.size, self.batches
+        behind = np.minimum.accumulate(values[::-1])[::-1]
+        self.after[begin : begin + len(values) - 1] = behind[1:]
+        self.after[begin + len(values) - 1] = np.iinfo(np.int16).max
+        if b == len(self.begins):
+            self.begins = np.append(self.begins, np.zeros(b, np.int64))
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], 1)
+        if b + 1 >= 1 << len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((1, self.table.shape[1]), np.int16)])
+        self.begins[b], self.table[0, b] = begin, behind[0]
+        k = 1
+        while (1 << k) <= b + 1:
+            self.table[k, b] = min(self.table[k - 1, b], self.table[k - 1, b - (1 << (k - 1))])
+            k += 1
+        self.batches, self.size = b + 1, begin + len(values)
+
+
+def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Characters that the suffixes at ``a`` and ``b`` share, up to ``cap``; they share ``known`` at least."""
+    out = np.zeros(len(a), np.int64) if known is None else np.minimum(known, cap).astype(np.int64)
+    live = np.flatnonzero(out < cap)
+    while len(live):
+        i, j = a[live] + out[live], b[live] + out[live]
+        inside = np.maximum(i, j) < len(text)
+        live = live[inside]
+        live = live[text[i[inside]] == text[j[inside]]]
+        out[live] += 1
+        live = live[out[live] < cap]
+    return out.astype(np.int16)
+
+
+def _types(text: np.ndarray, disk: Disk) -> np.ndarray:
     """True where a suffix is of type S; the last one is L, as nothing follows it."""
     n = len(text)
-    rises = np.zeros(n, np.int8)
-    rises[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
-    rises[-1] = -1
-    at = np.where(rises != 0, np.arange(n), n)
-    nearest = np.minimum.accumulate(at[::-1])[::-1]
-    return rises[nearest] > 0
-
-
-def _scatter(queue: DiskQueue, text: np.ndarray, before: np.ndarray) -> None:
-    key = text[before]
-    order = np.argsort(key, kind="stable")
-    before, key = before[order], key[order]
-    cuts = np.flatnonzero(np.diff(key)) + 1
-    starts = np.concatenate([[0], cuts])
-    for start, end in zip(starts, np.append(cuts, len(key))):
-        queue.put(int(key[start]), before[start:end])
-
-
-def _blockwise(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, limit: int) -> np.ndarray:
-    """Induce all suffixes from sorted seeds, for a small alphabet: blocks of entries at a time."""
-    letters = np.unique(text).tolist()
-    seed_queue, low, high = DiskQueue(limit), DiskQueue(limit), DiskQueue(limit)
-    _scatter(seed_queue, text, seeds)
-    low.put(int(text[-1]), np.array([len(text) - 1], np.int64))  # the last suffix has none after it to induce it
-    larger: dict[int, list[np.ndarray]] = {}
-    for c in letters:
-        done = []
-        while (block := low.take(c)) is not None:
-            done.append(block)
-            before = block[block > 0] - 1
-            before = before[~s_type[before]]
-            if len(before):
-                _scatter(low, text, before)
-        larger[c] = done
-        if (block := seed_queue.take(c)) is not None:
-            before = block[block > 0] - 1
-            before = before[~s_type[before]]
-            if len(before):
-                _scatter(low, text, before)
-    smaller: dict[int, list[np.ndarray]] = {}
-    for c in reversed(letters):
-        done = []
-        while (block := high.take(c)) is not None:
-            done.append(block)
-            before = block[block > 0] - 1
-            before = before[s_type[before]]
-            if len(before):
-                _scatter(high, text, before)
-        smaller[c] = done
-        for block in reversed(larger[c]):
-            block = block[::-1]
-            before = block[block > 0] - 1
-            before = before[s_type[before]]
-            if len(before):
-                _scatter(high, text, before)
-    parts = []
-    for c in letters:
-        parts += larger[c]
-        parts += [block[::-1] for block in reversed(smaller[c])]
-    return np.concatenate(parts)
-
-
-def _onebyone(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The same for a large alphabet, where most keys have an entry or two: plain lists as runs."""
-    n, top = len(text), int(text.max()) + 1
-    t, s = text.tolist(), s_type.tolist()
-    starred: list[list[int] | None] = [None] * top
-    for p in seeds.tolist():
-        if starred[t[p]] is None:
-            starred[t[p]] = []
-        starred[t[p]].append(p)
-    larger: list[list[int] | None] = [None] * top
-    larger[t[n - 1]] = [n - 1]
-    for c in range(top):
-        for run in (larger[c], starred[c]):
-            for p in run or ():  # a list that grows while it is read
-                if p and not s[p - 1]:
-                    q = t[p - 1]
-                    if larger[q] is None:
-                        larger[q] = []
-                    larger[q].append(p - 1)
-    smaller: list[list[int] | None] = [None] * top
-    for c in range(top - 1, -1, -1):
-        if smaller[c] is None:
-            smaller[c] = []
-        for run in (smaller[c], reversed(larger[c] or ())):
-            for p in run:
-                if p and s[p - 1]:
-                    q = t[p - 1]
-                    if smaller[q] is None:
-                        smaller[q] = []
-                    smaller[q].append(p - 1)
-    order: list[int] = []
-    for c in range(top):
-        order += larger[c] or ()
-        order += reversed(smaller[c])
-    return np.array(order, np.int64)
-
-
-def _induced(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, limit: int) -> np.ndarray:
-    small = int(text.max()) < 4096 and len(text) > 4096
-    return _blockwise(text, s_type, seeds, limit) if small else _onebyone(text, s_type, seeds)
-
-
-def _same_pieces(text: np.ndarray, s_type: np.ndarray, stars: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Whether each substring from one star to the next equals that of the star before it in ``order``."""
-    rank = np.empty(len(text), np.int64)
-    rank[stars] = np.arange(len(stars))
-    ends = np.append(stars[1:], len(text) - 1)
-    a, b = order[:-1], order[1:]
-    end_a, end_b = ends[rank[a]], ends[rank[b]]
-    same = (end_a - a) == (end_b - b)
-    # the last piece reaches the end of the text and equals no other
-    same &= (a != stars[-1]) & (b != stars[-1])
-    left = np.flatnonzero(same)
-    step = 0
-    while len(left):
-        i, j = a[left] + step, b[left] + step
-        equal = text[i] == text[j]
-        same[left[~equal]] = False
-        left = left[equal & (i < end_a[left])]
-        step += 1
-    return np.concatenate([[False], same])
-
-
-def suffix_order(text: np.ndarray, limit: int = QUEUE_ENTRIES) -> np.ndarray:
-    """The positions of a non-empty text of non-negative integers, sorted by their suffixes."""
-    n = len(text)
-    if n == 1:
-        return np.zeros(1, np.int64)
-    s_type = _types(text)
-    stars = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    if len(stars) > 1:
-        order = _induced(text, s_type, stars, limit)
-        star = np.zeros(n, bool)
-        star[stars] = True
-        order = order[star[order]]
-        names = np.cumsum(~_same_pieces(text, s_type, stars, order)) - 1
-        if names[-1] + 1 < len(stars):
-            name = np.empty(n, np.int64)
-            name[order] = names
-            order = stars[suffix_order(name[stars], limit)]
-        return _induced(text, s_type, order, limit)
-    return _induced(text, s_type, stars, limit)
-
-
-def repeated_windows(strings: list[bytes], times: np.ndarray, length: int, limit: int = QUEUE_ENTRIES) -> list[np.ndarray]:
-    """For each string, which windows of ``length`` bytes occur twice or more; string k counts ``times[k]`` times.
-
-    The suffixes of all strings are sorted together; windows with a common prefix of ``length`` with
-    their neighbour in that order are equal.
+    out = disk.array(bool, n)
+    following = False
+    for high in range(n, 0, -BATCH):
+        low = max(0, high - BATCH)
+        here = np.asarray(text[low : min(n, high + 1)]).astype(np.int64)
+        rises = np.sign(np.diff(here)) if high < n else np.append(np.sign(np.diff(here)), -1)
+        at = np.where(rises != 0, np.arange(len(rises)), len(rises))
+        nearest = np.minimum.accumulate(at[::-1])[::-1]
+        out[low:high] = np.append(rises > 0, following)[nearest]
+        following = bool(out[low])
+    return out
+
+
+def _stars(kind: np.ndarray, disk: Disk) -> np.ndarray:
+    """Positions of S suffixes that follow an L suffix."""
+    def found(low: int, high: int) -> np.ndarray:
+        return low + 1 + np.flatnonzero(kind[low + 1 : high + 1] & ~kind[low : min(high, len(kind) - 1)])
+
+    out = disk.array(np.int32, sum(len(found(low, high)) for low, high in _ranges(len(kind))))
+    at = 0
+    for low, high in _ranges(len(kind)):
+        part = found(low, high)
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
+def _first_letters(text: np.ndarray, letters: int, limit: int, disk: Disk) -> np.ndarray:
+    """First letters of buckets of about ``BUCKET`` entries each; a more frequent letter has its own."""
+    if letters <= 512:
+        return np.arange(letters)
+    counts = disk.array(np.int32, letters)
+    for low, high in _ranges(len(text)):
+        found, times = np.unique(text[low:high], return_counts=True)
+        counts[found] += times.astype(np.int32)
+    size = max(1, min(BUCKET, limit // 4))
+    first, total = [np.zeros(1, np.int64)], 0
+    for low, high in _ranges(letters):
+        own = np.asarray(counts[low:high], np.int64)
+        upto = total + np.cumsum(own)
+        begins = np.flatnonzero(upto // size != (upto - own) // size) + low + 1  # the next one starts a bucket
+        hot = np.flatnonzero(own >= size) + low
+        first += [begins, hot]
+        total = int(upto[-1])
+    bounds = np.unique(np.concatenate(first))
+    return bounds[bounds < letters]
+
+
+def _scan(text: np.ndarray, kind: np.ndarray, wanted: bool, letters: int, side: Callable[[int, int], Entries], n_side: int, cap: int, first: np.ndarray, limit: int, disk: Disk) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Induce the suffixes of type ``wanted``: batches (from side, position, common prefix with the one before), in order.
+
+    L suffixes come in ascending order of letters, from the stars in ``side``; S suffixes in descending order, from
+    the L suffixes there.
+    """
+    n, top = len(text), letters - 1
+    queue = DiskQueue(np.sort(top + 1 - np.append(first[1:], letters)) if wanted else first, letters, side, n_side, limit)
+    last = disk.array(np.int32, letters)
+    last[:] = _NEVER
+    history = _History(n, disk) if cap else None
+    if not wanted:  # the last suffix has none after it to induce it
+        queue.put(np.array([2 * int(text[-1])], np.int32), np.array([n - 1], np.int32), np.zeros(1, np.int16))
+        last[int(text[-1])] = _END
+    before_key, before = -2, 0
+    taken = 0
+    while (entries := queue.next(BATCH)) is not None:
+        keys, at, prefixes = entries
+        previous = np.maximum(at - 1, 0)
+        letter = text[previous].astype(np.int32)
+        pushed = 2 * (top - letter) if wanted else 2 * letter
+        induces = (at > 0) & (kind[previous] == wanted)
+        early = np.minimum.accumulate(np.where(induces, pushed, _MOST))
+        # keys rise and early falls: the first key beyond what was induced before it ends the run
+        late = keys[1:] > early[:-1]
+        count = len(keys)
+        if late.size and late[-1]:
+            count = int(late.argmax()) + 1
+        queue.drop(count)
+        keys, at = keys[:count], at[:count]
+        values = np.zeros(count, np.int16)
+        if cap:
+            step = np.empty(count, np.int32)
+            step[0] = keys[0] - before_key
+            np.subtract(keys[1:], keys[:-1], out=step[1:])
+            np.copyto(values, prefixes[:count], where=step == 0)
+            # from an even key to the odd one of the same letter
+            meet = ((step == 1) & (keys & 1 == 1)).nonzero()[0]
+            if len(meet):
+                behind = np.where(meet > 0, at[meet - 1], before)
+                values[meet] = common_prefixes(text, at[meet].astype(np.int64), behind.astype(np.int64), cap)
+        yield (keys & 1).astype(bool), at, values
+        use = induces[:count].nonzero()[0]
+        if len(use):
+            use = use[pushed[use].argsort(kind="stable")]
+            key, own = pushed[use], letter[use]
+            new = np.ones(len(use) + 1, bool)
+            np.not_equal(key[1:], key[:-1], out=new[1:-1])
+            if cap:
+                shared = np.minimum(history.least(values, use, new[:-1], last[own]) + np.int16(1), np.int16(cap))
+                end = new[1:]
+                last[own[end]] = taken + use[end]
+            else:
+                shared = np.zeros(len(use), np.int16)
+            queue.put(key, at[use] - np.int32(1), shared)
+        if cap:
+            history.add(values)
+        before_key, before = int(keys[-1]), int(at[-1])
+        taken += count
+
+
+def _induced(text: np.ndarray, kind: np.ndarray, letters: int, seeds: np.ndarray, seed_prefixes: np.ndarray | None, cap: int, limit: int, disk: Disk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All suffixes from sorted stars: batches (position, common prefix with the one before), in descending order."""
+    n, top = len(text), letters - 1
+    first = _first_letters(text, letters, limit, disk)
+
+    def stars(low: int, high: int) -> Entries:
+        at = np.asarray(seeds[low:high])
+        return 2 * text[at].astype(np.int32) + 1, at, np.asarray(seed_prefixes[low:high]) if cap else np.zeros(high - low, np.int16)
+
+    larger, larger_prefixes = disk.array(np.int32, n), disk.array(np.int16, n + 1)
+    count = 0
+    for from_side, at, prefixes in _scan(text, kind, False, letters, stars, len(seeds), cap, first, limit, disk):
+        own = np.flatnonzero(~from_side)
+        larger[count : count + len(own)], larger_prefixes[count : count + len(own)] = at[own], prefixes[own]
+        count += len(own)
+
+    def reversed_larger(low: int, high: int) -> Entries:
+        at = np.asarray(larger[count - high : count - low][::-1])
+        # its common prefix with the next larger one
+        return 2 * (top - text[at].astype(np.int32)) + 1, at, np.asarray(larger_prefixes[count - high + 1 : count - low + 1][::-1])
+
+    for _, at, prefixes in _scan(text, kind, True, letters, reversed_larger, count, cap, first, limit, disk):
+        yield at, prefixes
+
+
+def _names(text: np.ndarray, stars: np.ndarray, order: np.ndarray, cap: int, disk: Disk) -> tuple[np.ndarray, int]:
+    """Names of the pieces from star to star in text order, and their number; equal pieces, up to ``cap``, share one."""
+    m = len(stars)
+    out = disk.array(np.int32, m)
+    out[np.searchsorted(stars, order[0])] = 0
+    name = 0
+    for low, high in _ranges(m - 1):
+        rank = np.searchsorted(stars, order[low : high + 1])  # of one type, or all stars would be copied
+        pair = order[low : high + 1].astype(np.int64)
+        size = stars[np.minimum(rank + 1, m - 1)] - pair + 1
+        a, b, size_a, size_b = pair[:-1], pair[1:], size[:-1], size[1:]
+        # the last piece reaches the end of the text and equals no other
+        same = ((size_a == size_b) | (np.minimum(size_a, size_b) > cap)) & (rank[:-1] < m - 1) & (rank[1:] < m - 1)
+        maybe = np.flatnonzero(same)
+        need = np.minimum(size_a[maybe], cap)
+        # where the pieces have no more than ``need`` characters to compare, their tails are counted as known
+        shared = np.zeros(len(maybe), np.int64)
+        live = np.arange(len(maybe))
+        step = 0
+        while len(live):
+            equal = text[a[maybe[live]] + step] == text[b[maybe[live]] + step]
+            live = live[equal]
+            shared[live] += 1
+            step += 1
+            live = live[shared[live] < need[live]]
+        same[maybe] = shared >= need
+        names = name + np.cumsum(~same)
+        out[rank[1:]] = names
+        name = int(names[-1])
+    return out, name + 1
+
+
+def sorted_suffixes(text: np.ndarray, letters: int, cap: int, limit: int | None = None, disk: Disk | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, prefixes) of a text of numbers below ``letters``: positions by their suffixes, and what each shares with the one before.
+
+    Suffixes are ordered by their first ``cap`` characters, and prefixes counted up to so many.
     """
-    sizes = np.array([len(s) for s in strings], np.int64)
-    text = np.zeros(int(sizes.sum()) + len(strings), np.int64)
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-    inside = np.ones(len(text), bool)
-    inside[begin[1:] - 1] = False
-    text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
-    owner = np.repeat(np.arange(len(strings)), sizes + 1)
-    whole = np.arange(len(text)) + length <= (begin[1:] - 1)[owner]
-    order = suffix_order(text, limit)
-    order = order[whole[order]]
-    flat = text.astype(np.uint8)  # 256 wraps to 0: windows hold no separator, so it is the byte 255 alone
-    same = np.zeros(len(order), bool)
-    reach = np.arange(length)
-    for low in range(1, len(order), 1 << 14):
-        at = order[low : low + (1 << 14)]
-        ahead = order[low - 1 : low - 1 + len(at)]
-        likely = np.flatnonzero(flat[at + length - 1] == flat[ahead + length - 1])
-        same[low + likely] = (flat[at[likely, None] + reach] == flat[ahead[likely, None] + reach]).all(1)
-    group = np.cumsum(~same)
-    weight = np.bincount(group, times[owner[order]])
-    hit = np.zeros(len(text), bool)
-    hit[order[weight[group] > 1]] = True
-    return [hit[begin[k] : max(begin[k], begin[k + 1] - length)] for k in range(len(strings))]
+    limit, disk = limit or QUEUE_ENTRIES, disk or Disk()
+    n = len(text)
+    order, prefixes = disk.array(np.int32, n), disk.array(np.int16, n + 1)
+    kind = _types(text, disk)
+    seeds = stars = _stars(kind, disk)
+    m = len(stars)
+    seed_prefixes = disk.array(np.int16, m)
+    if m > 1:
+        # the pieces in order: induced from the stars by first letter alone
+        by_letter = _by_letter(text, stars, letters, disk)
+        pieces = disk.array(np.int32, m)
+        at = m
+        for positions, _ in _induced(text, kind, letters, by_letter, None, 0, limit, disk):
+            inner = np.maximum(positions - 1, 0)
+            own = positions[(positions > 0) & kind[positions] & ~kind[inner]]
+            pieces[at - len(own) : at] = own[::-1]
+            at -= len(own)
+        names, count = _names(text, stars, pieces, cap, disk)
+        if count < m:
+            # a piece has two characters of its own at least
+            ranks, shared = sorted_suffixes(names, count, cap // 2 + 1, limit, disk)
+        seeds = pieces if count == m else disk.array(np.int32, m)
+        for low, high in _ranges(m):
+            if count < m:
+                seeds[low:high] = stars[ranks[low:high]]
+            a = seeds[max(low, 1) : high].astype(np.int64)
+            b = seeds[max(low, 1) - 1 : high - 1].astype(np.int64)
+            known = None
+            if count < m:  # names shared, in characters
+                upto = ranks[max(low, 1) : high].astype(np.int64) + shared[max(low, 1) : high]
+                known = np.where(upto < m, stars[np.minimum(upto, m - 1)], n) - a
+            seed_prefixes[max(low, 1) : high] = common_prefixes(text, a, b, cap, known)
+    at = n
+    for positions, values in _induced(text, kind, letters, seeds, seed_prefixes, cap, limit, disk):
+        order[at - len(positions) : at] = positions[::-1]
+        prefixes[at - len(positions) + 1 : at + 1] = values[::-1]
+        at -= len(positions)
+    prefixes[0] = 0
+    return order, prefixes[:n]
+
+
+def _by_letter(text: np.ndarray, stars: np.ndarray, letters: int, disk: Disk) -> np.ndarray:
+    """Stars sorted by their first letter, a batch at a time by counting."""
+    out = disk.array(np.int32, len(stars))
+    begin = disk.array(np.int64, letters + 1)
+    for low, high in _ranges(len(stars)):
+        found, times = np.unique(text[stars[low:high]], return_counts=True)
+        begin[found.astype(np.int64) + 1] += times
+    total = 0
+    for low, high in _ranges(letters + 1):
+        upto = total + np.cumsum(begin[low:high])
+        begin[low:high] = upto
+        total = int(upto[-1])
+    for low, high in _ranges(len(stars)):
+        own = np.asarray(stars[low:high])
+        letter = text[own].astype(np.int64)
+        order = np.argsort(letter, kind="stable")
+        own, letter = own[order], letter[order]
+        new = np.flatnonzero(np.append(True, letter[1:] != letter[:-1]))
+        times = np.diff(np.append(new, len(own)))
+        out[begin[letter] + np.arange(len(own)) - np.repeat(new, times)] = own
+        begin[letter[new]] += times
+    return out
+
+
+def suffix_order(text: np.ndarray, limit: int | None = None, cap: int | None = None) -> np.ndarray:
+    """The positions of a non-empty text of small non-negative integers, sorted by their suffixes."""
+    return sorted_suffixes(text.astype(np.int32), int(text.max()) + 1, cap or len(text), limit)[0]
+
+
+class Shard:
+    """Strings, spooled to disk, in which windows of ``length`` bytes are looked for that occur twice or more."""
+
+    def __init__(self, length: int, limit: int | None = None) -> None:
+        self.length, self.limit, self.disk = length, limit, Disk()
+        self.file = tempfile.TemporaryFile()
+        self.sizes: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+
+    def add(self, raw: np.ndarray, offsets: np.ndarray, times: np.ndarray) -> None:
+        """Further strings, one after the other in ``raw``; string k counts ``times[k]`` times."""
+        sizes = np.diff(offsets)
+        body = np.zeros(len(raw) + len(sizes), np.uint16)
+        inside = np.ones(len(body), bool)
+        inside[np.cumsum(sizes + 1) - 1] = False
+        body[inside] = raw
+        body[inside] += 1
+        self.file.write(body.tobytes())
+        self.sizes.append(sizes)
+        self.times.append(times)
+
+    def repeats(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(string, whether each of its windows is repeated) of every string.
+
+        The suffixes of all strings are sorted together; windows that share ``length`` bytes with their neighbour in
+        that order are equal.
+        """
+        sizes, times = np.concatenate(self.sizes), np.concatenate(self.times)
+        begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+        n = int(begin[-1])
+        self.file.flush()
+        text = np.memmap(self.file, np.uint16, "r", shape=(n,)).view(np.ndarray)
+        order, prefixes = sorted_suffixes(text, 257, self.length, self.limit, self.disk)
+        hit = self.disk.array(bool, n)
+        for low, high in _ranges(n):
+            at = order[low:high].astype(np.int64)
+            shared = np.append(prefixes[low : min(n, high + 1)], [0] if high == n else []) >= self.length
+            owner = np.searchsorted(begin, at, "right") - 1
+            whole = at + self.length < begin[owner + 1]
+            hit[at[whole & (shared[:-1] | shared[1:] | (times[owner] > 1))]] = True
+        for k, size in enumerate(sizes.tolist()):
+            yield k, np.asarray(hit[begin[k] : begin[k] + max(0, size - self.length + 1)])

@@ -28,10 +28,11 @@ _Q = np.uint64(0xD6E8FEB86659FD93)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and its row offsets; null counts as empty."""
+    """The bytes of a string or binary column and its row offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary()).fill_null(b"") if binary else column.cast(pa.large_string()).fill_null("")
     _, offsets, data = column.buffers()
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
