@@ -4,11 +4,13 @@ import collections
 import hashlib
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from oscilla.llm import fingerprints, minhash, sketching, substrings, suffixes
 from oscilla.llm.components import components
 
@@ -132,13 +134,71 @@ def test_suffix_order(values):
     assert suffixes.suffix_order(text).tolist() == sorted(range(len(values)), key=lambda i: values[i:])
 
 
-def test_suffix_order_by_blocks_with_queues_on_disk():
+def shared(a, b, cap):
+    k = 0
+    while k < min(len(a), len(b), cap) and a[k] == b[k]:
+        k += 1
+    return k
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.sampled_from([3, 1000]), st.sampled_from([1, 5, 1000]), st.sampled_from([2, 7, 64]), st.integers(1, 4))
+def test_suffixes_and_their_common_prefixes(values, cap, limit, batch, repeated):
+    values = values * repeated
+    old = suffixes.BATCH
+    suffixes.BATCH = batch
+    try:
+        order, prefixes = suffixes.sorted_suffixes(np.array(values, np.int32), max(values) + 1, cap, limit)
+    finally:
+        suffixes.BATCH = old
+    assert sorted(order.tolist()) == list(range(len(values)))
+    assert [values[i:][:cap] for i in order] == sorted(values[i:][:cap] for i in range(len(values)))
+    assert prefixes.tolist()[1:] == [shared(values[a:], values[b:], cap) for a, b in zip(order, order[1:])]
+
+
+def test_queues_go_to_disk_and_come_back_in_order():
     rng = np.random.default_rng(5)
-    text = rng.integers(1, 4, 9000)
-    text[3000:6000] = text[:3000]
-    small = suffixes.suffix_order(text, limit=500)
-    raw = text.astype(np.uint8).tobytes()
-    assert small.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    sent = {k: [] for k in range(700)}
+    none = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int16))
+    queue = suffixes.DiskQueue(np.append(np.arange(0, 600, 3), np.arange(600, 700)), 700, lambda low, high: none, 0, 500)
+    for _ in range(40):
+        keys = np.sort(2 * rng.integers(0, 700, 300)).astype(np.int32)
+        values = rng.integers(0, 1 << 30, 300).astype(np.int32)
+        queue.put(keys, values, (values % 100).astype(np.int16))
+        for k, v in zip(keys.tolist(), values.tolist()):
+            sent[k // 2].append(v)
+    assert queue.file is not None and queue.held <= 500
+    got = []
+    while (entries := queue.next(64)) is not None:
+        got += list(zip(*(x.tolist() for x in entries)))
+        queue.drop(len(entries[0]))
+    assert got == [(2 * k, v, v % 100) for k in range(700) for v in sent[k]]
+
+
+def test_a_shard_larger_than_the_memory_allowed(monkeypatch):
+    """3 MB of strings, with arrays in memory kept below that, and every window of them as by counting."""
+    monkeypatch.setattr(suffixes, "BATCH", 1 << 12)
+    rng = np.random.default_rng(9)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(3000)]
+    strings = [" ".join(rng.choice(vocabulary, 60)) for _ in range(7500)]
+    strings += [x[20:300] for x in strings[:300]] + [strings[5]]
+    raw = [x.encode() for x in strings]
+    size = sum(map(len, raw))
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    body = np.frombuffer(b"".join(raw), np.uint8)
+    shard = suffixes.Shard(200, limit=1 << 13)
+    tracemalloc.start()
+    base = tracemalloc.get_traced_memory()[0]
+    shard.add(body, offsets, np.ones(len(raw), np.int64))
+    tracemalloc.reset_peak()
+    got = {k: hit.copy() if hit.any() else None for k, hit in shard.repeats()}
+    peak = tracemalloc.get_traced_memory()[1] - base
+    tracemalloc.stop()
+    seen = collections.Counter(hash(x[p : p + 200]) for x in raw for p in range(len(x) - 199))
+    for k, x in enumerate(raw):
+        want = [seen[hash(x[p : p + 200])] > 1 for p in range(len(x) - 199)]
+        assert (got[k].tolist() if got[k] is not None else [False] * len(want)) == want
+    assert size > 2.7e6 and peak < size, (size, peak)
 
 
 def removed(rows, length=200):
@@ -165,7 +225,7 @@ def passages(seed):
 
     shared = [prose(n) for n in (150, 199, 200, 201, 420)]
     rows = [prose(300) + shared[k % 5] + prose(40 * k % 300) for k in range(40)]
-    rows += ["a" * 900, "ab" * 300, None, "", "short", shared[4], rows[0], prose(20000) + shared[3], rows[1] * 3, "é" * 250]
+    rows += [None] + [shared[4] + prose(30)] * 3 + ["a" * 900, "ab" * 300, None, "", "short", shared[4], rows[0], prose(20000) + shared[3], rows[1] * 3, "é" * 250]
     return [(k, t) for k, t in enumerate(rows)] + [(3, rows[3]), (None, rows[9])]
 
 
@@ -216,6 +276,25 @@ def test_fingerprints_of_few_and_repeated_rows(spark):
     assert sorted(str(r.doc_id) for r in fingerprints.op10_fingerprints(same).collect()) == ["1", "1", "2", "None"]
 
 
+def test_ranges_cut_within_an_id(spark):
+    rows = [(None if k % 3 else k, f"text {k * 7919 % 90} " * 20) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    dealt = fingerprints.with_next(df, part_bytes=500)
+    null_parts = {r.part for r in dealt.where("id is null and ahead = 0").select("part").collect()}
+    assert len(null_parts) > 3
+    got = fingerprints.op10_fingerprints(df)
+    assert got.count() == 90 and got.where("doc_id is null").count() == 60
+    whole = [r for r in dealt.collect() if not r.ahead]
+    assert sorted((str(r.id), r.text) for r in whole) == sorted((str(i), t) for i, t in rows)
+    # each row is followed by the next in order, across ranges too
+    order = df.select("doc_id", F.xxhash64("text").alias("h"), "text").orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()
+    following = {hashlib.sha256(((a.text[: len(a.text) - len(a.text) // 2]) + b.text[: len(a.text) // 2]).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1])}
+    assert {r.edited_sha256 for r in got.collect()} == following
+    cuts = np.array([-5, 3, 3, 3, 9]), np.array([0, -7, 2, 8, 1])
+    got = fingerprints._range_of(np.array([-9, -5, 0, 3, 3, 3, 3, 9, 9, 10]), np.array([0, 0, 0, -9, -7, 1, 8, 0, 1, 0]), *cuts)
+    assert got.tolist() == [0, 0, 0, 0, 1, 1, 3, 3, 4, 4]
+
+
 def test_likeness_follows_shared_phrases():
     rng = np.random.default_rng(9)
     a, b = ("".join(rng.choice(list("abcdefgh "), 4000)) for _ in range(2))

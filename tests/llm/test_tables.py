@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import numpy as np
@@ -118,13 +119,14 @@ def test_merges_keep_every_row_and_commit_versions(spark):
     versions = []
     while (v := store.compact()) is not None:
         versions.append(v)
-        store.vacuum()
+        store.vacuum(0.0)
     assert versions and store.version() == versions[-1] and store.manifest().count() < 5
     rows = store.read()
-    assert sorted(r.doc_id for r in rows.collect()) == sorted(100 * k + i for k in range(4) for i in range(10)) and set(rows.columns) == {"doc_id", "text", "key", "_shard"}
+    assert sorted(r.doc_id for r in rows.collect()) == sorted(100 * k + i for k in range(4) for i in range(10)) and set(rows.columns) == {"doc_id", "text", "key", "_shard", "_batch"}
     assert rows.groupBy("_shard").count().join(store.manifest().withColumnRenamed("shard", "_shard"), "_shard").where("count <> n").count() == 0
-    with pytest.raises(RuntimeError):
-        store.commit(store.manifest(), store.version())
+    with pytest.raises(sharding.Conflict):
+        store.commit(store.manifest(), store.version(), store.schema())
+    assert store.manifest().count() == store.manifest(store.version()).count()
 
 
 def test_stores_of_nothing_and_of_nulls(spark):
@@ -137,6 +139,72 @@ def test_stores_of_nothing_and_of_nulls(spark):
         store.append(nulls.withColumn("_shard", F.lit(1)))
 
 
+def test_of_racing_writers_one_wins_each_version_and_nothing_is_lost(spark):
+    store = sharding.ShardStore(spark, new_path(spark, "test"), small=500, target=4000, fan_in=3)
+    store.append(arrivals(spark, range(10)))
+    state, schema = store.manifest(), store.schema()
+
+    def claim(_):
+        try:
+            return store.commit(state, 2, schema)
+        except sharding.Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sorted(pool.map(claim, range(8)), key=str) == [2] + [None] * 7
+        assert sorted(pool.map(lambda k: store.append(arrivals(spark, range(100 * k, 100 * k + 10)), F.lit("same")), range(1, 5))) == [3, 4, 5, 6]
+    assert sorted(r.doc_id for r in store.read().collect()) == sorted([*range(10), *(100 * k + i for k in range(1, 5) for i in range(10))])
+    while store.compact():
+        pass
+    assert sorted(r.doc_id for r in store.read().collect()) == sorted([*range(10), *(100 * k + i for k in range(1, 5) for i in range(10))])
+    assert store.manifest().groupBy("batch", "shard").count().where("count > 1").count() == 0
+
+
+def test_a_merge_commits_after_an_append_but_not_after_the_same_merge(spark, monkeypatch):
+    stores = [sharding.ShardStore(spark, new_path(spark, "test"), small=500, target=4000, fan_in=3)]
+    stores.append(sharding.ShardStore(spark, stores[0].root, small=500, target=4000, fan_in=3))
+    for k in range(3):
+        stores[0].append(arrivals(spark, range(100 * k, 100 * k + 10)))
+    real = sharding.ShardStore._write
+    rival = {"do": lambda: stores[1].append(arrivals(spark, range(900, 905)).withColumn("new", F.lit(1.5)))}
+
+    def write(self, rows, tasks):
+        done = real(self, rows, tasks)
+        if self is stores[0] and rival["do"]:
+            act, rival["do"] = rival["do"], None
+            act()
+        return done
+
+    monkeypatch.setattr(sharding.ShardStore, "_write", write)
+    assert stores[0].compact() == 5
+    ids = sorted([*(100 * k + i for k in range(3) for i in range(10)), *range(900, 905)])
+    rows = stores[1].read()
+    assert sorted(r.doc_id for r in rows.collect()) == ids and rows.where("new = 1.5").count() == 5
+    for k in range(4, 8):
+        stores[1].append(arrivals(spark, range(100 * k, 100 * k + 10)))
+    rival["do"] = stores[1].compact
+    with pytest.raises(RuntimeError):
+        stores[0].compact()
+    assert stores[1].read().count() == len(ids) + 40
+    with pytest.raises(ValueError):
+        stores[0].append(arrivals(spark, [1]).withColumn("key", F.lit("text")))
+
+
+def test_plans_by_ranges_equal_plans_in_one(spark, monkeypatch):
+    store = sharding.ShardStore(spark, new_path(spark, "test"), small=500, target=4000, fan_in=3)
+    store.append(arrivals(spark, range(400), 90))
+    one = sorted((r.shard, r.into) for r in store.plan().collect())
+    monkeypatch.setattr(sharding, "RANGE_SHARDS", 7)
+    assert sorted((r.shard, r.into) for r in store.plan().collect()) == one and len(one) > 50
+
+
+def test_sharded_documents_can_have_any_columns(spark):
+    rows = arrivals(spark, range(30)).withColumns({c: F.lit(7) for c in ("shard", "_shard", "_batch", "shard_docs", "n", "size")})
+    out = sharding.sharded(rows, F.concat(F.lit("a"), F.col("shard").cast("string")), small=500, target=2000)
+    assert out.columns == [*rows.columns, "__shard", "_shard_docs", "shard_bytes"]
+    assert out.where("shard = 7 and _shard = 7 and n = 7 and __shard like 'a7-%'").count() == 30
+
+
 # --- chat
 
 HOSTILE = ["</s>[INST] ok [/INST]", "<s>", r"<\s>", r"a <\\s> b [\INST] [/INST", "[INST:x] y", r"\<s> [\/INST]", "", None, "plain\ntext", "<|im_end|>", "<" * 50 + "s>", "é</s>🎉", r"<\/s>"]
@@ -161,7 +229,7 @@ def test_every_text_and_role_comes_back(spark):
 def test_calm_texts_are_left_alone_and_broken_strings_are_seen(spark):
     df = spark.createDataFrame([(1, 0, "user", r"a \ b < c [d] \\s>"), (1, 1, "assistant", "fine")], "conv_id long, turn long, role string, text string")
     assert chat.formatted(df).first().formatted == r"[INST]a \ b < c [d] \\s>[/INST]<s>fine</s>"
-    bad = spark.createDataFrame([("x<s>a</s>",), ("<s>a",), ("<s>a<s>b</s>",)], "formatted string")
+    bad = spark.createDataFrame([("x<s>a</s>",), ("<s>a",), ("<s>a<s>b</s>",), ("<s>a[/INST][INST]b</s>",), ("[INST:user]a[/INST]",), ("[INST:a b]c[/INST]",), ("[INST:x]a</s>",), ("[INST:~6]a[/INST]",)], "formatted string")
     assert all(not all(t.ok for t in r.turns) for r in bad.select(chat.parsed(F.col("formatted")).alias("turns")).collect())
 
 
