@@ -1,4 +1,4 @@
-"""Learners on pyspark.ml: TF-IDF on rates as an estimator, forests and elastic-net logistic regression, grid search.
+"""Learners on pyspark.ml: TF-IDF on rates as an estimator, forests and elastic-net logistic regression.
 
 Deviations from usual single-machine learners: a forest has no minimum of rows to split, its nearest
 parameter is the minimum of rows in a leaf; trees are at most 30 deep; float results of learners are
@@ -7,8 +7,6 @@ not bound to any other implementation.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -19,8 +17,6 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, labels
-
 
 def dense(rates: DataFrame, keys: list[str], width: int) -> DataFrame:
     """(keys..., features): rates of a document as a vector of ``width`` values, zeros for those it lacks."""
@@ -106,13 +102,19 @@ class TfidfRatesModel(Model, _TfidfParams, DefaultParamsReadable, DefaultParamsW
         return out.withColumn(get(self.outputCol), array_to_vector(F.concat(scaled, tail))).drop("_v")
 
 
-def classifier(kind: str, *, trees: int = 300, min_rows: int = 1, depth: int = 10, c: float = 1.0, l1_ratio: float = 0.0, weight: str | None = None, seed: int = 13, features: str = "scaled"):
-    """A random forest or a multinomial elastic-net logistic regression; ``c`` is the inverse of the penalty."""
+def classifier(kind: str, *, trees: int = 300, min_rows: int = 1, depth: int = 10, c: float = 1.0, l1_ratio: float = 0.0, weight: str | None = None, total_weight: float | None = None, seed: int = 13, features: str = "scaled"):
+    """A random forest or a multinomial elastic-net logistic regression.
+
+    ``c`` is the inverse of the penalty on the sum of losses. Spark takes their weighted mean, so its penalty is 1 / (c * ``total_weight``),
+    the sum of the weights of the rows to learn from.
+    """
     common = {"featuresCol": features, "labelCol": "label"} | ({"weightCol": weight} if weight else {})
     if kind == "random_forest":
         return RandomForestClassifier(numTrees=trees, minInstancesPerNode=min_rows, maxDepth=depth, seed=seed, **common)
     if kind == "logistic":
-        return LogisticRegression(family="multinomial", elasticNetParam=l1_ratio, regParam=1.0 / c / 1000, standardization=False, maxIter=50, **common)
+        if not total_weight:
+            raise ValueError("a logistic regression needs the sum of the weights")
+        return LogisticRegression(family="multinomial", elasticNetParam=l1_ratio, regParam=1.0 / (c * total_weight), standardization=False, maxIter=100, **common)
     raise ValueError(f"no classifier {kind!r}")
 
 
@@ -124,27 +126,3 @@ def estimator(kind: str, feature_type: str, *, bag_width: int = -1, norm: str =
         raise ValueError(f"no feature type {feature_type!r}")
     width = bag_width if feature_type == "bowav_psd_autocorr" else -1
     return Pipeline(stages=[TfidfRates(norm=norm, width=width), classifier(kind, **params)])
-
-
-def grid_search(rows: DataFrame, kind: str, values: dict[str, list], *, n_groups: int, parallelism: int = 2) -> DataFrame:
-    """(candidate, mean, rank) of the best candidate by mean F1 of class 0 over folds of subjects.
-
-    A fold holds out the subjects with one remainder by ``n_groups``. Fits are sent from a pool of
-    threads and run side by side on the executors; only scores come back.
-    """
-    spark = rows.sparkSession
-    candidates = labels.grid(spark, values).collect()
-    rows = rows.withColumn("fold", (F.col("subject") % n_groups).cast("int")).persist()
-
-    def score(job: tuple[int, int]) -> tuple[int, int, float]:
-        candidate, fold = job
-        params = {k: float(candidates[candidate][k]) for k in values}
-        model = estimator(kind, "bowav", weight="w", **params).fit(rows.where(F.col("fold") != fold))
-        found = model.transform(rows.where(F.col("fold") == fold)).select(F.col("label").alias("y"), F.col("prediction").alias("pred"))
-        return int(candidates[candidate].candidate), fold, float(evaluation.f1(found, []).first().f1)
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(score, [(c, f) for c in range(len(candidates)) for f in range(n_groups)]))
-    rows.unpersist()
-    table = labels.cv_table(spark.createDataFrame(scores, "candidate long, split int, score double"))
-    return labels.best_candidate(table).select("candidate", "mean", "rank")

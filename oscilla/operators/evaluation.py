@@ -13,16 +13,17 @@ def majority(predictions: DataFrame, keys: list[str], value: str = "pred") -> Da
     return predictions.groupBy(*keys).agg(F.mode(F.col(value), True).alias(value))
 
 
-def regrouped_votes(predictions: DataFrame, train: int, val: int) -> DataFrame:
-    """(subject, group, pred): votes over the training segments of each validation segment; what is over is dropped.
+def regrouped_votes(predictions: DataFrame, train: int, val: int | None, keys: list[str] | None = None) -> DataFrame:
+    """(keys..., group, pred): votes over the training segments of each validation segment; what is over is dropped.
 
-    A series of s segments of ``train`` units has n = s * train div val groups of s div n segments.
+    A series of s segments of ``train`` units has n = s * train div val groups of s div n segments, or, without ``val``, one.
     """
-    by = Window.partitionBy("subject")
-    sized = predictions.withColumn("s", F.count("*").over(by)).withColumn("n", F.floor(F.col("s") * train / val))
+    keys = ["subject"] if keys is None else keys
+    sized = predictions.withColumn("s", F.count("*").over(Window.partitionBy(*keys)))
+    sized = sized.withColumn("n", F.lit(1) if val is None else F.floor(F.col("s") * train / val))
     per = sized.where("n > 0").withColumn("per", F.floor(F.col("s") / F.col("n")))
     kept = per.where(F.col("seg") < F.col("per") * F.col("n")).withColumn("group", F.floor(F.col("seg") / F.col("per")).cast("long"))
-    return majority(kept, ["subject", "group"])
+    return majority(kept, [*keys, "group"])
 
 
 def product_of_experts(probabilities: DataFrame) -> DataFrame:
@@ -120,9 +121,9 @@ def parsed_name(name: Column) -> list[Column]:
             out = F.when(F.contains(name, F.lit(n)), F.lit(n)).otherwise(out)
         return out
 
-    # fixed values of the file names
-    filters = ["subj_to_subj-resampled", "subj_to_subj", "normed-barycenter", "unnormed-barycenter", "original-resampled", "original"]
-    chosen = first([f"cmmn-{f}" for f in ("unnormed-barycenter", "normed-barycenter", *filters[:2], *filters[4:])], "cmmn-none")
+    # fixed values of the file names, what holds another one first
+    filters = ["unnormed-barycenter", "normed-barycenter", "subj_to_subj-resampled", "subj_to_subj", "original-resampled", "original"]
+    chosen = first([f"cmmn-{f}" for f in filters], "cmmn-none")
     return [
         first(["random_forest", "ensembled_logistic", "logistic"], "unknown").alias("classifier"),
         first(["bowav_psd_autocorr", "psd_autocorr", "bowav"], "unknown").alias("feature"),

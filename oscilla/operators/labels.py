@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a table that is sent to every task.
+BROADCAST_ROWS = 100_000
+
+
 def coalesced(expert: Column, probabilities: Column) -> Column:
     """The expert's label, or else the index of the highest probability, the first of equal ones."""
     return F.coalesce(expert, argmax(probabilities))
@@ -25,11 +29,21 @@ def remapped(label: Column, mapping: dict[int, int]) -> Column:
     return out
 
 
+def role(held_out: Column | int | str) -> Column:
+    """The role of a row of (subject, is_expert) where one subject is held out: train, test or null. A search uses this, row by row."""
+    held_out = held_out if isinstance(held_out, Column) else F.lit(held_out)
+    return F.when(F.col("subject") != held_out, "train").when(F.col("is_expert"), "test")
+
+
 def leave_one_out(rows: DataFrame) -> DataFrame:
-    """(held_out, subject, ic, role): test is the expert rows of the held-out subject, train all rows of the others."""
+    """(held_out, subject, ic, role): test is the expert rows of the held-out subject, train all rows of the others.
+
+    This writes every split out, a row for each pair of row and subject; searches take ``role`` instead.
+    """
     subjects = rows.select(F.col("subject").alias("held_out")).distinct()
-    role = F.when(F.col("subject") != F.col("held_out"), "train").when(F.col("is_expert"), "test")
-    return rows.crossJoin(F.broadcast(subjects)).select("held_out", "subject", "ic", role.alias("role")).where("role is not null")
+    subjects = F.broadcast(subjects) if subjects.count() <= BROADCAST_ROWS else subjects
+    both = rows.join(subjects, F.lit(True))
+    return both.select("held_out", "subject", "ic", role(F.col("held_out")).alias("role")).where("role is not null")
 
 
 def split_sizes(rows: DataFrame) -> DataFrame:
@@ -53,6 +67,8 @@ def balanced_weights(rows: DataFrame) -> DataFrame:
 def grid(spark: SparkSession, values: dict[str, list]) -> DataFrame:
     """(candidate, names...): all combinations, numbered by sorted name, the last name running fastest."""
     names = sorted(values)
+    if len(values) and max(len(v) for v in values.values()) > BROADCAST_ROWS:
+        raise ValueError(f"a parameter has at most {BROADCAST_ROWS} values")
     parts = [spark.createDataFrame([(i, str(v)) for i, v in enumerate(values[n])], f"`_{n}` int, `{n}` string") for n in names]
     all_ = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
     number = F.lit(0).cast("long")

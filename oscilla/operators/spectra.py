@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settled
+
 
 def channel_mean(spectra: DataFrame) -> DataFrame:
     """(subject, bin, p): mean over channels."""
@@ -39,8 +44,8 @@ def barycenter(spectra: DataFrame, kind: str = "normed") -> DataFrame:
 def nearest(targets: DataFrame, sources: DataFrame, metric: str = "hellinger") -> DataFrame:
     """(target, source, dist): for each target subject the source whose spectrum is nearest, the least id on ties.
 
-    hellinger compares spectra of unit mass, l2 the roots as they are. Pairs meet on their bins, a table
-    of subjects by bins joined on the bin, and only one sum a pair leaves each task.
+    hellinger compares spectra of unit mass, l2 the roots as they are, over the bins that both have. A spectrum is one
+    row; the sources go to the tasks in blocks of at most ``BLOCK_VALUES`` values, and the best so far rides along.
     """
     if metric == "hellinger":
         targets, sources, scale = unit_mass(targets, ["subject"]), unit_mass(sources, ["subject"]), 0.5
@@ -48,11 +53,46 @@ def nearest(targets: DataFrame, sources: DataFrame, metric: str = "hellinger") -
         scale = 1.0
     else:
         raise ValueError(f"no metric {metric!r}")
-    a = targets.select(F.col("subject").alias("target"), "bin", F.sqrt("p").alias("a"))
-    b = sources.select(F.col("subject").alias("source"), "bin", F.sqrt("p").alias("b"))
-    gaps = a.join(b, "bin").groupBy("target", "source").agg((F.sqrt(F.sum(F.pow(F.col("a") - F.col("b"), 2)) * scale)).alias("dist"))
-    best = gaps.groupBy("target").agg(F.min(F.struct(F.round("dist", 9).alias("dist"), "source")).alias("m"))
-    return best.select("target", F.col("m.source").alias("source"), F.col("m.dist").alias("dist"))
+    bins = sources.agg(F.max("bin")).first()[0]
+    width = 0 if bins is None else int(bins) + 1
+
+    def arrays(rows: DataFrame, name: str) -> DataFrame:
+        """One row a subject: roots by bin, null where there is none; bins beyond those of the sources meet nothing."""
+        table = rows.where((F.col("bin") >= 0) & (F.col("bin") < width)).groupBy(F.col("subject").alias(name)).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.sqrt("p").alias("r")))).alias("m"))
+        return table.select(name, F.transform(F.sequence(F.lit(0), F.lit(max(width - 1, 0))), lambda i: F.try_element_at("m", i.cast(rows.schema["bin"].dataType))).alias("r"))
+
+    places = settled(arrays(sources, "source").withColumn("block", F.floor((F.row_number().over(Window.orderBy("source")) - 1) * max(width, 1) / F.lit(BLOCK_VALUES)).cast("int")), "spectra")
+    kinds = targets.schema["subject"].dataType.simpleString(), sources.schema["subject"].dataType.simpleString()
+    schema = f"target {kinds[0]}, r array<double>, source {kinds[1]}, dist double"
+    state = arrays(targets, "target").withColumns({"source": F.lit(None).cast(kinds[1]), "dist": F.lit(None).cast("double")})
+    for block in range((places.agg(F.max("block")).first()[0] or 0) + 1):
+        rows = places.where(F.col("block") == block).orderBy("source").collect()  # BLOCK_VALUES values at most
+        shared = places.sparkSession.sparkContext.broadcast(([r.source for r in rows], np.array([[np.nan if x is None else x for x in r.r] for r in rows], np.float64)))
+        state = (settled(state, "nearest") if block else state).mapInPandas(_nearer(shared, scale), schema)
+    return state.where("source is not null").select("target", "source", "dist")
+
+
+#: Values of source spectra that are sent to every task at once.
+BLOCK_VALUES = 2_000_000
+
+
+def _nearer(shared, scale: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, there = shared.value
+        for batch in batches:
+            batch = batch.copy()
+            for row in batch.index if len(names) else ():
+                own = np.array([np.nan if x is None else x for x in batch.at[row, "r"]], np.float64)
+                gaps = (there - own) ** 2
+                met = ~np.isnan(gaps)
+                dist = np.where(met.any(1), np.round(np.sqrt(np.where(met, gaps, 0.0).sum(1) * scale), 9), np.inf)
+                best = int(dist.argmin())
+                old = batch.at[row, "dist"]
+                if np.isfinite(dist[best]) and (pd.isna(old) or dist[best] < old):
+                    batch.at[row, "source"], batch.at[row, "dist"] = names[best], dist[best]
+            yield batch
+
+    return run
 
 
 def frequency_filter(target: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -136,7 +176,11 @@ def decibel(p: Column, factor: float = 10.0) -> Column:
 
 
 def unmixed(weights: DataFrame, samples: DataFrame) -> DataFrame:
-    """(ic, t, x): the matrix product of weights (ic, channel, w) and samples (channel, t, x)."""
+    """(ic, t, x): the matrix product of weights (ic, channel, w) and samples (channel, t, x).
+
+    Up to ``BLOCK_VALUES`` weights are sent to every task, so samples are summed where they are read; more are joined.
+    """
+    weights = F.broadcast(weights) if weights.count() <= BLOCK_VALUES else weights
     return weights.join(samples, "channel").groupBy("ic", "t").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 

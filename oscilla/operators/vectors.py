@@ -1,7 +1,8 @@
 """Vectors: nearest centroids with and without shifts, assignments of series, shift-invariant k-means.
 
-The declarative forms join vectors with a codebook of a checked size and suit small codebooks; the
-batched form sends the codebook to the tasks and is one matrix product a batch.
+A codebook goes to the tasks and meets a batch of vectors in one matrix product, so vectors are neither
+multiplied into rows nor shuffled. A codebook of more than ``BROADCAST_VALUES`` goes in blocks of that size;
+the best of each class so far rides along in a written table between them.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import settled
 
-#: A codebook of more values than this is joined by a shuffle-free scan in blocks, not broadcast at once.
+#: The most values of a codebook, or block of one, that are sent to every task.
 BROADCAST_VALUES = 4_000_000
 
 
@@ -34,27 +35,55 @@ def distance(a: Column, b: Column, metric: str) -> Column:
 
 def nearest_centroid(vectors: DataFrame, codebook: DataFrame, metric: str = "cosine") -> DataFrame:
     """(id, class, centroid, dist): for each vector and class the nearest centroid, the lowest on ties."""
-    d = F.round(distance(F.col("v"), F.col("c"), metric), 9)
-    pairs = vectors.select("id", "v").join(F.broadcast(codebook), F.lit(True)) if small(codebook) else vectors.select("id", "v").crossJoin(codebook)
-    best = pairs.select("id", "class", F.struct(d.alias("dist"), "centroid").alias("m")).groupBy("id", "class").agg(F.min("m").alias("m"))
-    return best.select("id", "class", "m.centroid", "m.dist")
+    return shifted_nearest(vectors, codebook, metric).drop("shift")
 
 
-def small(codebook: DataFrame) -> bool:
-    """Whether a codebook has few enough values to be sent to every task."""
-    return (codebook.agg(F.sum(F.size("c"))).first()[0] or 0) <= BROADCAST_VALUES
+def blocks_of(codebook: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """A codebook (class, centroid, c) in blocks of at most ``BROADCAST_VALUES`` values: numbers and centroids by class.
+
+    Blocks are numbered by running sums of sizes in Spark and fetched one by one.
+    """
+    ahead = F.sum(F.size("c")).over(Window.orderBy("class", "centroid")) - F.size("c")
+    numbered = codebook.select("class", "centroid", "c", F.floor(ahead / F.lit(BROADCAST_VALUES)).cast("int").alias("block"))
+    for block in range((numbered.agg(F.max("block")).first()[0] or 0) + 1):
+        rows = numbered.where(F.col("block") == block).orderBy("class", "centroid").collect()
+        found: dict[int, list] = {}
+        for r in rows:
+            found.setdefault(r["class"], []).append((r.centroid, r.c))
+        yield {label: (np.array([n for n, _ in own]), np.array([c for _, c in own], np.float64)) for label, own in found.items()}
 
 
 def shifted_nearest(vectors: DataFrame, codebook: DataFrame, metric: str = "cosine") -> DataFrame:
     """(id, class, centroid, shift, dist): the nearest centroid of each class over all shifts of it in the vector.
 
-    Of equal distances the lowest centroid and then the lowest shift is taken.
+    Of equal distances (to nine digits) the lowest centroid and then the lowest shift is taken.
     """
-    length = F.size("c")
-    at = F.transform(F.sequence(F.lit(0), F.size("v") - length), lambda s: F.struct(F.round(distance(F.slice("v", s + 1, length), F.col("c"), metric), 9).alias("dist"), F.col("centroid").alias("centroid"), s.alias("shift")))
-    pairs = vectors.select("id", "v").join(F.broadcast(codebook), F.lit(True)) if small(codebook) else vectors.select("id", "v").crossJoin(codebook)
-    best = pairs.select("id", "class", F.array_min(at).alias("m")).groupBy("id", "class").agg(F.min("m").alias("m"))
-    return best.select("id", "class", "m.centroid", "m.shift", "m.dist")
+    best = "array<struct<class:int,centroid:int,shift:int,dist:double>>"
+    kind = vectors.schema["id"].dataType.simpleString()
+    rows = vectors.select("id", "v").withColumn("best", F.expr(f"cast(array() as {best})"))
+    first = True
+    for block in blocks_of(codebook):
+        rows = rows if first else settled(rows)
+        first = False
+        rows = rows.mapInPandas(_better(rows.sparkSession.sparkContext.broadcast(block), metric), f"id {kind}, v array<double>, best {best}")
+    return rows.select("id", F.explode("best").alias("b")).select("id", "b.class", "b.centroid", "b.shift", "b.dist")
+
+
+def _better(shared, metric: str, rows: int = 512):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in range(0, len(batch), rows):
+                part = batch.iloc[low : low + rows].copy()
+                x = np.array(part["v"].tolist(), np.float64)
+                known: list[dict] = [{b["class"]: b for b in own} for own in part["best"]]
+                for label, (numbers, centroids) in shared.value.items():
+                    for own, c, s, d in zip(known, *best_shifts(x, centroids, metric)):
+                        if label not in own or d < own[label]["dist"]:
+                            own[label] = {"class": label, "centroid": int(numbers[c]), "shift": int(s), "dist": float(d)}
+                part["best"] = [[own[k] for k in sorted(own)] for own in known]
+                yield part
+
+    return run
 
 
 def best_shifts(x: np.ndarray, centroids: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,8 +101,9 @@ def best_shifts(x: np.ndarray, centroids: np.ndarray, metric: str) -> tuple[np.n
         gaps = np.maximum(norms[:, :, None] - 2 * products + sizes, 0)
     else:
         raise ValueError(f"no metric {metric!r}")
-    best = gaps.transpose(0, 2, 1).reshape(n, -1).argmin(1)
-    return best // (width - length + 1), best % (width - length + 1), gaps.transpose(0, 2, 1).reshape(n, -1)[np.arange(n), best]
+    gaps = np.round(gaps.transpose(0, 2, 1).reshape(n, -1), 9)
+    best = gaps.argmin(1)
+    return best // (width - length + 1), best % (width - length + 1), gaps[np.arange(n), best]
 
 
 def assigned(vectors: DataFrame, books: dict[int, np.ndarray], metric: str = "cosine", rows: int = 512) -> DataFrame:
@@ -120,23 +150,54 @@ def inertia(assignments: DataFrame) -> DataFrame:
 Init = Callable[[np.ndarray, int, int, np.random.Generator], np.ndarray]
 
 
-def plus_plus(x: np.ndarray, k: int, length: int, rng: np.random.Generator) -> np.ndarray:
-    """Greedy k-means++ over windows: of 2 + ln k rows drawn by squared distance the window that helps most."""
-    windows = np.lib.stride_tricks.sliding_window_view(x, length, axis=1)
-    chosen = [windows[rng.integers(len(x)), rng.integers(windows.shape[1])]]
-    nearest = best_shifts(x, np.array(chosen), "euclidean")[2]
+def plus_plus(windows: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Greedy k-means++ over weighted windows: of 2 + ln k drawn by squared distance the one that helps most."""
+
+    def gaps(row: int) -> np.ndarray:
+        return ((windows - windows[row]) ** 2).sum(1) * weights
+
+    chosen = [int(rng.choice(len(windows), p=weights / weights.sum()))]
+    nearest = gaps(chosen[0])
     while len(chosen) < k:
         total = nearest.sum()
-        picks = np.searchsorted(np.cumsum(nearest), rng.random(2 + int(np.log(k))) * total) if total > 0 else rng.integers(len(x), size=1)
-        best = None
-        for row in np.minimum(picks, len(x) - 1):
-            for window in windows[row]:
-                gaps = np.minimum(nearest, best_shifts(x, window[None], "euclidean")[2])
-                if best is None or gaps.sum() < best[0]:
-                    best = (gaps.sum(), window, gaps)
-        chosen.append(best[1])
-        nearest = best[2]
-    return np.array(chosen)
+        picks = np.searchsorted(np.cumsum(nearest), rng.random(2 + int(np.log(k))) * total) if total > 0 else rng.integers(len(windows), size=1)
+        options = [(np.minimum(nearest, gaps(int(row))), int(row)) for row in np.minimum(picks, len(windows) - 1)]
+        nearest, row = min(options, key=lambda o: o[0].sum())
+        chosen.append(row)
+    return windows[chosen].copy()
+
+
+def scalable_plus_plus(vectors: DataFrame, k: int, length: int, *, seed: int, rounds: int = 5) -> np.ndarray:
+    """k-means|| over all rows: in each round every row is drawn with a probability in proportion to its squared distance.
+
+    About 2 k rows a round come to the driver, each with one of its windows by a seeded hash; the candidates, weighted by the
+    rows nearest to them, are reduced to k by greedy k-means++.
+    """
+
+    def unit(salt: int):
+        return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
+
+    def windows(rows: DataFrame) -> np.ndarray:
+        start = F.floor(unit(0) * (F.size("v") - length + 1)).cast("int")
+        return np.array([r.w for r in rows.orderBy("id").select(F.slice("v", start + 1, F.lit(length)).alias("w")).collect()], np.float64).reshape(-1, length)
+
+    vectors = vectors.select("id", "v")
+    chosen = windows(vectors.orderBy(unit(1), "id").limit(1))
+    if not len(chosen):
+        raise ValueError("fewer vectors than centroids")
+    for salt in range(2, rounds + 2):
+        gaps = settled(assigned(vectors, {0: chosen}, "euclidean").select("id", "dist"))
+        total = gaps.agg(F.sum("dist")).first()[0] or 0.0
+        if total <= 0:
+            break
+        drawn = gaps.where(unit(salt) < F.lit(2.0 * k / total) * F.col("dist")).select("id")
+        chosen = np.concatenate([chosen, windows(vectors.join(drawn, "id", "left_semi"))])
+    counts = {r.centroid: r["count"] for r in assigned(vectors, {0: chosen}, "euclidean").groupBy("centroid").count().collect()}
+    if len(chosen) < k:  # fewer distinct rows than centroids, or an unlucky draw
+        more = windows(vectors.orderBy(unit(rounds + 2), "id").limit(k))
+        chosen = np.concatenate([chosen, more])
+    weights = np.array([counts.get(i, 0) for i in range(len(chosen))], float)
+    return plus_plus(chosen, np.maximum(weights, 1e-9), k, np.random.default_rng(seed))
 
 
 def random_windows(x: np.ndarray, k: int, length: int, rng: np.random.Generator) -> np.ndarray:
@@ -151,20 +212,22 @@ def energetic_windows(x: np.ndarray, k: int, length: int, rng: np.random.Generat
     return windows[np.arange(k), np.einsum("nsp,nsp->ns", windows, windows).argmax(1)].copy()
 
 
-INITS: dict[str, Init] = {"k-means++": plus_plus, "random": random_windows, "random-energy": energetic_windows}
+INITS: dict[str, Init] = {"random": random_windows, "random-energy": energetic_windows}
 
 
-def initial_centroids(vectors: DataFrame, k: int, length: int, *, init: str | np.ndarray | Init, metric: str, seed: int, sample: int = 2048) -> np.ndarray:
-    """Start centroids by name, array or callable, from the rows with the least seeded hashes, ``sample`` at most."""
+def initial_centroids(vectors: DataFrame, k: int, length: int, *, init: str | np.ndarray | Init, metric: str, seed: int) -> np.ndarray:
+    """Start centroids by name, array or callable. Random ones come from the k rows with the least seeded hashes of all."""
     if isinstance(init, np.ndarray):
         if init.shape != (k, length):
             raise ValueError(f"centroids must have the shape {(k, length)}")
         return init.astype(np.float64)
-    if init == "k-means++" and metric != "euclidean":
-        raise ValueError("k-means++ needs the euclidean metric")
+    if isinstance(init, str) and init == "k-means++":
+        if metric != "euclidean":
+            raise ValueError("k-means++ needs the euclidean metric")
+        return scalable_plus_plus(vectors, k, length, seed=seed)
     if not callable(init) and init not in INITS:
         raise ValueError(f"no init {init!r}")
-    rows = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(sample, k)).collect()
+    rows = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()
     if len(rows) < k:
         raise ValueError("fewer vectors than centroids")
     make = init if callable(init) else INITS[init]
@@ -174,21 +237,27 @@ def initial_centroids(vectors: DataFrame, k: int, length: int, *, init: str | np
 def shift_kmeans(vectors: DataFrame, k: int, length: int, *, metric: str = "cosine", init: str | np.ndarray | Init = "random", n_init: int = 1, max_iter: int = 20, tol: float = 1e-6, seed: int = 13) -> tuple[np.ndarray, DataFrame, float]:
     """Centroids (k, length), final assignments and inertia of the best of ``n_init`` runs.
 
-    Each round assigns in batches and averages on the executors; k * length values come to the driver.
-    The assignments returned are made with the centroids returned.
+    Each round assigns in batches and averages on the executors; k * length values come to the driver. A run's
+    centroids are those of its round of least inertia, and the assignments returned are made with them.
     """
     vectors = settled(vectors.select("id", "v"))
     best: tuple[float, np.ndarray] | None = None
     for run in range(n_init):
         centers = initial_centroids(vectors, k, length, init=init, metric=metric, seed=seed + run)
-        for _ in range(max_iter):
-            found = assigned(vectors, {0: centers}, metric).join(vectors, "id")
-            moved = np.array([r.c for r in centroid_update(found, length, k).orderBy("centroid").collect()])
-            change = float(((moved - centers) ** 2).sum())
-            centers = moved
-            if change <= tol:
+        for _ in range(max_iter + 1):
+            found = settled(assigned(vectors, {0: centers}, metric))
+            total = found.agg(F.sum("dist")).first()[0] or 0.0
+            if best is None or total < best[0]:
+                best = (total, centers)
+            moved = np.array([r.c for r in centroid_update(found.join(vectors, "id"), length, k).orderBy("centroid").collect()])
+            if float(((moved - centers) ** 2).sum()) <= tol:
                 break
-        total = assigned(vectors, {0: centers}, metric).agg(F.sum("dist")).first()[0] or 0.0
-        if best is None or total < best[0]:
-            best = (total, centers)
+            centers = moved
     return best[1], assigned(vectors, {0: best[1]}, metric).drop("class"), best[0]
+
+
+def centroid_spread(codebook: DataFrame) -> DataFrame:
+    """(class, centroid, var): the population variance of each centroid's values."""
+    mean = F.aggregate("c", F.lit(0.0), lambda s, x: s + x) / F.size("c")
+    gaps = F.transform("c", lambda x: F.pow(x - mean, 2))
+    return codebook.select("class", "centroid", (F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / F.size("c")).alias("var"))

@@ -28,8 +28,9 @@ def sliding_arrays(series: DataFrame, length: int, offsets: list[int] | None = N
 
 
 def random_offsets(series: DataFrame, length: int, n_windows: int, seed: int) -> DataFrame:
-    """(subject, start, w): ``n_windows`` distinct windows of each series, drawn by a seeded hash of subject and start."""
-    all_ = sliding_arrays(series, length).withColumn("h", F.xxhash64("subject", "start", F.lit(seed)))
+    """(subject, start, w): ``n_windows`` distinct windows of each series, drawn by the md5 of subject, start and seed."""
+    key = F.md5(F.concat_ws(":", F.col("subject").cast("string"), F.col("start").cast("string"), F.lit(str(seed))).cast("binary"))
+    all_ = sliding_arrays(series, length).withColumn("h", key)
     rank = F.row_number().over(Window.partitionBy("subject").orderBy("h", "start"))
     return all_.withColumn("r", rank).where(F.col("r") <= n_windows).drop("h", "r")
 

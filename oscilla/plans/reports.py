@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation, labels
 from ..operators.windows import capped
 from ..sources import signals as src
+from ..sources import tables
 from . import workflows
 from .registry import CODES, LABELLED, RESULTS, SIGNAL, SPECTRA, registry, rounded
 
@@ -320,6 +321,16 @@ def train_dictionary(spark, d):
     return found.groupBy("centroid").agg(F.count("*").alias("n"), rounded(F.sum("dist"), 4).alias("inertia"))
 
 
+@query("result_files", f"with {RESULTS} select win::double as win, subject::integer as subject, score, 'results' as name from results")
+def result_files(spark, d):
+    """Result rows written as CSV and read back with their column check."""
+    path = tables.new_path(spark, "results")
+    rows = src.results(spark, d).select(*[F.col(c).cast(k).alias(n) for c, k, n in zip(("window", "subject", "score"), ("double", "int", "double"), tables.RESULT_COLUMNS)], F.lit(1).alias(tables.RESULT_COLUMNS[3]))
+    tables.write_results(rows, path)
+    back = tables.read_results(spark, path)
+    return back.select(*[F.col(f"`{n}`").alias(c) for c, n in zip(("win", "subject", "score"), tables.RESULT_COLUMNS)], F.lit("results").alias("name"))
+
+
 # --- names
 
 _NAMES = ["random_forest_bowav_300_cmmn-None.csv", "logistic_psd_autocorr_None_cmmn-normed-barycenter.csv", "ensembled_logistic_bowav_psd_autocorr_300_cmmn-subj_to_subj-resampled_clf-trained-on-filtered-data.csv", "random_forest_psd_autocorr_none_cmmn-unnormed-barycenter.csv", "ICLabel.csv"]
@@ -336,11 +347,11 @@ def parse_config_name(spark, d):
     return files.select("file", *evaluation.parsed_name(F.regexp_replace("file", r"\.csv$", "")))
 
 
-@query("base36_key", """with g as (select l_linenumber % 7 as grp, list(distinct l_suppkey % 36) as ids from lineitem where l_partkey % 40 = l_linenumber % 7 group by all),
+@query("base36_key", """with g as (select l_partkey as grp, list(distinct l_suppkey % 36) as ids from lineitem group by all),
 b as (select grp, list_sum(list_transform(ids, lambda i: case when i between 1 and 34 then (1::bigint << (34 - i)::bigint) else 0 end))::bigint as v from g)
 select grp, coalesce(nullif(ltrim(list_aggregate(list_transform(range(6, -1, -1), lambda e: substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', ((v // pow(36, e)::bigint) % 36)::bigint + 1, 1)), 'string_agg', ''), '0'), ''), '0') as key from b""")
 def base36_key(spark, d):
-    lines = src.table(spark, d, "lineitem").where("l_partkey % 40 = l_linenumber % 7").groupBy((F.col("l_linenumber") % 7).alias("grp"))
+    lines = src.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("grp"))
     return lines.agg(F.collect_set((F.col("l_suppkey") % 36).cast("int")).alias("ids")).select("grp", evaluation.base36(F.col("ids")).alias("key"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..operators import bags, spectra, vectors, windows
 from ..sources import signals as src
+from ..sources import tables
 from .registry import CODES, LONG, SIGNAL, SPECTRA, VECTORS, registry, rounded
 
 QUERIES, ORACLES, query = registry()
@@ -31,7 +32,8 @@ def win_sliding_arrays(spark, d):
     return out.select("subject", F.col("start").cast("long"), rounded(F.aggregate("w", F.lit(0.0), lambda s, x: s + x)).alias("sum_x"))
 
 
-@query("win_random")
+@query("win_random", f"""with {SIGNAL}, p as (select subject, list(x order by t) as s from signal group by subject), o as (select subject, s, unnest(range(greatest(len(s) - 7, 0))) as start from p),
+r as (select *, row_number() over (partition by subject order by md5(concat_ws(':', subject, start, 13)), start) as k from o) select subject, start, round(list_sum(s[start + 1 : start + 8]), 6) as sum_x from r where k <= 3""")
 def win_random(spark, d):
     out = windows.random_offsets(src.packed(src.signal(spark, d)), 8, 3, seed=13)
     return out.select("subject", F.col("start").cast("long"), rounded(F.aggregate("w", F.lit(0.0), lambda s, x: s + x)).alias("sum_x"))
@@ -111,12 +113,12 @@ def idf_table(spark, d):
     return bags.idf(bags.bag(src.codes(spark, d), per_segment=8, k=src.K), DOCS).withColumn("idf", rounded("idf"))
 
 
-@query("feature_concat", f"""with {_BAG}, {SIGNAL}, m as (select subject, t // 8 as seg, avg(x) as v from signal where t < 48 group by all having count(*) = 8)
+@query("feature_concat", f"""with {_BAG}, {SIGNAL}, m as (select subject, t // 8 as seg, avg(x) as v from signal group by all having count(*) = 8)
 select subject, seg, feature, round(v, 6) as v from (select subject, seg, feature, rate as v from bag union all select subject, seg, 32, v from m) x
 where exists (select 1 from m where m.subject = x.subject and m.seg = x.seg) and exists (select 1 from bag where bag.subject = x.subject and bag.seg = x.seg)""")
 def feature_concat(spark, d):
     left = bags.bag(src.codes(spark, d), per_segment=8, k=src.K).select(*DOCS, "feature", F.col("rate").alias("v"))
-    right = windows.tumbling(src.signal(spark, d), 8).where("win < 6").select("subject", F.col("win").alias("seg"), F.lit(0).alias("feature"), (F.col("sum_x") / 8).alias("v"))
+    right = windows.tumbling(src.signal(spark, d), 8).select("subject", F.col("win").alias("seg"), F.lit(0).alias("feature"), (F.col("sum_x") / 8).alias("v"))
     return bags.joined_features(left, right, DOCS, shift=2 * src.K).withColumn("v", rounded("v"))
 
 
@@ -246,16 +248,16 @@ def psd_db(spark, d):
     return spectra.channel_mean(src.spectra(spark, d)).select("subject", "bin", rounded(spectra.decibel(F.col("p"))).alias("db"))
 
 
-@query("polysomnograph", f"with {SIGNAL} select subject, t, round(x / max(abs(x)) over (partition by subject), 6) as y from signal where t >= 8 and t < 40 and subject % 5 = 1")
+@query("polysomnograph", f"with {SIGNAL} select subject, t, round(x / max(abs(x)) over (partition by subject), 6) as y from signal where t >= 8 and t < 40")
 def polysomnograph(spark, d):
-    part = src.signal(spark, d).where("t >= 8 and t < 40 and subject % 5 = 1")
+    part = src.signal(spark, d).where("t >= 8 and t < 40")  # the range that is shown, of every subject
     return part.select("subject", "t", rounded(F.col("x") / F.max(F.abs("x")).over(Window.partitionBy("subject"))).alias("y"))
 
 
 @query("matmul_unmix", f"""with {SIGNAL}, w as (select ic, subject as channel, cos(ic * subject) as w from (select distinct subject from signal), (select unnest(range(4)) as ic))
-select cast(ic as integer) as ic, t, round(sum(w * x), 4) as x from w join signal on subject = channel where t < 32 group by all""")
+select cast(ic as integer) as ic, t, round(sum(w * x), 4) as x from w join signal on subject = channel group by all""")
 def matmul_unmix(spark, d):
-    samples = src.signal(spark, d).where("t < 32").select(F.col("subject").alias("channel"), "t", "x")
+    samples = src.signal(spark, d).select(F.col("subject").alias("channel"), "t", "x")
     ics = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ic")
     weights = src.signal(spark, d).select(F.col("subject").alias("channel")).distinct().select("channel", ics).select("ic", "channel", F.cos(F.col("ic") * F.col("channel")).alias("w"))
     return spectra.unmixed(weights, samples).withColumn("x", rounded("x", 4))
@@ -270,17 +272,61 @@ def matrix_chain(spark, d):
     return spectra.matrix_product(a, b).withColumn("v", rounded("v", 2))
 
 
-# --- numeric kernels (no SQL: transforms in numpy)
+# --- numeric kernels on packed series; the SQL has the same by sums
 
 
-@query("welch_psd")
+def _values(series, index: str = "i", digits: int = 6):
+    return series.select(*[c for c in series.columns if c != "values"], F.posexplode("values").alias(index, "v")).withColumn("v", rounded("v", digits))
+
+
+_WELCH = f"""with {LONG}, n as (select subject, count(*) as n from long group by subject),
+s as (select subject, seg, t - 32 * seg as j, x - avg(x) over (partition by subject, seg) as x, n from (select *, unnest([t // 32 - 1, t // 32]) as seg from long) join n using (subject) where seg >= 0 and 32 * seg + 64 <= n),
+f as (select subject, seg, bin, sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 64)) * cos(2 * pi() / 64 * ((bin * j) % 64))) as re, sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 64)) * sin(2 * pi() / 64 * ((bin * j) % 64))) as im
+  from s, (select unnest(range(33)) as bin) group by all),
+w as (select subject, bin, avg((re * re + im * im) / (64 * 24) * case when bin in (0, 32) then 1 else 2 end) as p from f group by all)"""
+
+
+@query("welch_psd", f"{_WELCH} select subject, cast(bin as integer) as i, round(p, 6) as v from w")
 def welch_psd(spark, d):
-    return kernels.per_series(src.packed(src.long_series(spark, d)), kernels.welch_kernel(fs=64, nperseg=64))
+    return _values(kernels.per_series(src.packed(src.long_series(spark, d)), kernels.welch_kernel(fs=64, nperseg=64)))
+
+
+@query("welch_normed", f"{_WELCH} select subject, cast(bin as integer) as i, round(p / sum(p) over (partition by subject), 6) as v from w")
+def welch_normed(spark, d):
+    return _values(kernels.per_series(src.packed(src.long_series(spark, d)), kernels.welch_kernel(fs=64, nperseg=64, normalize=True)))
+
+
+def _lowpass_sql(up: int, down: int) -> str:
+    """Taps (i, h) of the resampling filter: a windowed sinc, the window a ratio of Bessel functions by their series."""
+    most = max(up, down)
+    bessel = "list_sum(list_transform(range(25), lambda k: pow({0} / 4, k) / pow(factorial(k::integer)::double, 2)))"
+    return f"""g as (select i, case when i = {10 * most} then 1 else sin(pi() * (i - {10 * most}) / {most}) / (pi() * (i - {10 * most}) / {most}) end / {most} * {bessel.format(f"(25 * (1 - pow((i - {10 * most}) / {10.0 * most}::double, 2)))")} as h
+  from (select unnest(range({20 * most + 1})) as i)), taps as (select i, h / sum(h) over () * {up} as h from g)"""
+
+
+def _resample_sql(table: str, up: int, down: int) -> str:
+    """(subject, i, v): ``table`` (subject, t, x, n) resampled to ceil(n up / down) samples."""
+    half = 10 * max(up, down)
+    return f"""o as (select subject, x, n, t, unnest(range((t * {up} - {half}) // {down} - 1, (t * {up} + {half}) // {down} + 2)) as i from {table}),
+y as (select subject, o.i, sum(x * h) as v from o join taps on taps.i = o.i * {down} - t * {up} + {half} where o.i >= 0 and o.i < ceil(n * {up} / {down}::double) group by all)"""
+
 
+_FEATURES = f"""with {LONG}, n as (select subject, count(*) as n from long group by subject),
+ps as (select subject, seg, t - 32 * seg as j, x * (0.54 - 0.46 * cos(2 * pi() * (t - 32 * seg) / 63)) as x from (select *, unnest([t // 32 - 1, t // 32]) as seg from long) join n using (subject) where seg >= 0 and seg < 2 * (n // 64) - 1),
+f as (select subject, seg, bin, sum(x * cos(2 * pi() / 64 * ((bin * j) % 64))) as re, sum(x * sin(2 * pi() / 64 * ((bin * j) % 64))) as im from ps, (select unnest(range(1, 33)) as bin) group by all),
+w2 as (select sum(pow(0.54 - 0.46 * cos(2 * pi() * j / 63), 2)) as w2 from (select unnest(range(64)) as j)),
+md as (select subject, bin, 20 * log10(median((re * re + im * im) * 2 / (64 * w2) * case when bin = 32 then 0.5 else 1 end)) as db from f, w2 group by all),
+psd as (select subject, i, 0.99 * ((db - min(db) over w) / (max(db) over w - min(db) over w) * 2 - 1) as v from md join (select unnest(range(100)) as i) on bin = least(i + 1, 32) window w as (partition by subject)),
+sg as (select subject, seg, t - 96 * seg as j, x from (select *, unnest([t // 96 - 1, t // 96]) as seg from long) join n using (subject) where seg >= 0 and seg < 2 * (n // 192) - 1),
+ls as (select a.subject, b.j - a.j as lag, sum(a.x * b.x) as s from sg a join sg b on a.subject = b.subject and a.seg = b.seg and b.j - a.j between 0 and 64 group by all),
+ac as (select subject, lag as t, s / max(case when lag = 0 then s end) over (partition by subject) / ((192 - lag) / 192.0::double) as x, 65 as n from ls),
+{_lowpass_sql(100 // 4, 64 // 4)}, {_resample_sql("ac", 25, 16)}"""
 
-@query("iclabel_features")
+
+@query("iclabel_features", f"""{_FEATURES} select subject, cast(i as integer) as i, round(cast(cast(v as real) as double), 4) + 0 as v from psd
+union all select subject, cast(99 + i as integer), round(cast(cast(0.99 * v as real) as double), 4) + 0 from y where i between 1 and 100""")
 def iclabel_features(spark, d):
-    return kernels.per_series(src.packed(src.long_series(spark, d)), kernels.feature_kernel(fs=64))
+    return _values(kernels.per_series(src.packed(src.long_series(spark, d)), kernels.feature_kernel(fs=64)), digits=4)
 
 
 @query("iclabel_features_by_segment")
@@ -290,9 +336,24 @@ def iclabel_features_by_segment(spark, d):
     return kernels.per_series(by.select("subject", "seg", F.transform("s", lambda s: s["x"]).alias("samples")), kernels.feature_kernel(fs=64))
 
 
-@query("resample_poly")
+_SIZED = f"{SIGNAL}, sized as (select *, count(*) over (partition by subject) as n from signal)"
+
+
+@query("resample_poly", f"with {_SIZED}, {_lowpass_sql(125, 64)}, {_resample_sql('sized', 125, 64)} select subject, cast(i as integer) as i, round(v, 6) + 0 as v from y")
 def resample_poly(spark, d):
-    return kernels.per_series(src.packed(src.signal(spark, d)), lambda x: kernels.resampled(x, 125, 64))
+    return _values(kernels.per_series(src.packed(src.signal(spark, d)), lambda x: kernels.resampled(x, 125, 64)))
+
+
+@query("resample_smooth", f"""with {_SIZED}, ends as (select subject, n, max(case when t = 0 then x end) as a, max(case when t = 1 then x end) as b, max(case when t = n - 2 then x end) as y, max(case when t = n - 1 then x end) as z from sized group by all),
+wide as (select subject, t, x, n from sized union all select subject, -k, a - (b - a) * k, n from ends, (select unnest(range(1, 12)) as k) union all select subject, n - 1 + k, z + (z - y) * k, n from ends, (select unnest(range(1, 12)) as k)),
+{_lowpass_sql(125, 64)}, {_resample_sql('wide', 125, 64)} select subject, cast(i as integer) as i, round(v, 6) + 0 as v from y""")
+def resample_smooth(spark, d):
+    return _values(kernels.per_series(src.packed(src.signal(spark, d)), lambda x: kernels.resampled(x, 125, 64, smooth_ends=True)))
+
+
+@query("fir_centered", f"with {SIGNAL} select s.subject, cast(s.t as integer) as i, round(sum(p.x * h), 6) as v from signal s, (values (0, 0.5::double), (1, 0.3::double), (2, 0.2::double)) taps(k, h) join signal p on p.subject = s.subject and p.t = s.t + 1 - k group by all")
+def fir_centered(spark, d):
+    return _values(kernels.per_series(src.packed(src.signal(spark, d)), lambda x: kernels.centered(x, np.array([0.5, 0.3, 0.2]))))
 
 
 @query("fir_packed", f"with {_SIGNAL_TAPS}, y as (select s.subject, s.t, sum(p.x * case k when 0 then 0.5 when 1 then 0.3 else 0.2 end::double) as y from signal s join taps using (subject) join signal p on p.subject = s.subject and p.t = s.t - k group by all) select subject, t, round(y, 6) as y from y")
@@ -301,9 +362,14 @@ def fir_packed(spark, d):
     return out.select("subject", F.posexplode("values").alias("t", "y")).select("subject", F.col("t").cast("long").alias("t"), rounded("y").alias("y"))
 
 
-@query("spectral_filter")
+_RESPONSE = [1.0, 0.9, 0.6, 0.2, 0.05]
+
+
+@query("spectral_filter", f"""with {SIGNAL}, r as (select unnest(range(5)) as bin, sqrt(unnest({_RESPONSE}::double[])) as m), taps as (select k, sum(m * case when bin in (0, 4) then 1 else 2 end * cos(2 * pi() / 8 * ((bin * k) % 8))) / 8 as h from r, (select unnest(range(8)) as k) group by k),
+once as (select s.subject, s.t, sum(p.x * h) as x from signal s, taps join signal p on p.subject = s.subject and p.t = s.t - k group by all)
+select s.subject, cast(s.t as integer) as i, round(sum(p.x * h), 6) + 0 as v from once s, taps join once p on p.subject = s.subject and p.t = s.t + k group by all""")
 def spectral_filter(spark, d):
-    return kernels.per_series(src.packed(src.signal(spark, d)), lambda x: kernels.spectral_filtering(x, [1.0, 0.9, 0.6, 0.2, 0.05], kind="zero-phase"))
+    return _values(kernels.per_series(src.packed(src.signal(spark, d)), lambda x: kernels.spectral_filtering(x, _RESPONSE, kind="zero-phase")))
 
 
 # --- vectors
@@ -311,15 +377,6 @@ def spectral_filter(spark, d):
 _BOOK = f"{VECTORS}, book as (select label as class, r - 1 as centroid, {{0}} as c from (select *, row_number() over (partition by label order by id) as r from vec) where r <= 2)"
 
 
-def _nearest_vec_sql(dist: str) -> str:
-    return f"""with {_BOOK.format('v')}, g as (select id, class, centroid, round({dist}, 9) as dist from vec, book where id % 5 = 0), r as (select *, row_number() over (partition by id, class order by dist, centroid) as k from g)
-select id, class, cast(centroid as integer) as centroid, round(dist, 6) + 0 as dist from r where k = 1"""
-
-
-def _every_fifth(spark, d):
-    return src.vectors(spark, d).where("id % 5 = 0")
-
-
 @query("nearest_cosine", f"""with {_BOOK.format('v')}, g as (select id, class, centroid, round(1 - list_dot_product(v, c) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(c, c))), 9) as dist from vec, book), r as (select *, row_number() over (partition by id, class order by dist, centroid) as k from g)
 select id, class, cast(centroid as integer) as centroid, round(dist, 6) + 0 as dist from r where k = 1""")
 def nearest_cosine(spark, d):
@@ -341,6 +398,16 @@ def si_assign(spark, d):
     return vectors.shifted_nearest(src.vectors(spark, d), src.codebook(spark, d, length=48)).withColumn("dist", rounded("dist"))
 
 
+@query("si_assign_euclid", f"""{'with ' + _SHIFTED.replace("round(1 - list_dot_product(v[s + 1 : s + 48], c) / (sqrt(list_dot_product(v[s + 1 : s + 48], v[s + 1 : s + 48])) * sqrt(list_dot_product(c, c))), 9)", "round(pow(list_distance(v[s + 1 : s + 48], c), 2), 9)")} select id, class, centroid, shift, round(dist, 6) + 0 as dist from best""")
+def si_assign_euclid(spark, d):
+    return vectors.shifted_nearest(src.vectors(spark, d), src.codebook(spark, d, length=48), "euclidean").withColumn("dist", rounded("dist"))
+
+
+@query("centroid_spread", f"with {_BOOK.format('v[1:48]')} select class, cast(centroid as integer) as centroid, round(list_var_pop(c), 6) as var from book")
+def centroid_spread(spark, d):
+    return vectors.centroid_spread(src.codebook(spark, d, length=48)).withColumn("var", rounded("var"))
+
+
 def _own_book(spark, d):
     """Assignments of all vectors to the two centroids of class 0, in batches."""
     book = np.array([r.c for r in src.codebook(spark, d, length=48).where("class = 0").orderBy("centroid").collect()])
@@ -373,9 +440,9 @@ def si_inertia(spark, d):
     return vectors.inertia(_own_book(spark, d)).withColumn("inertia", rounded("inertia", 4))
 
 
-@query("cluster_sizes", f"with {_OWN} select centroid, count(*) as n, round(var_pop(dist), 6) as var from own group by centroid")
+@query("cluster_sizes", f"with {_OWN} select centroid, count(*) as n from own group by centroid order by n desc, centroid")
 def cluster_sizes(spark, d):
-    return _own_book(spark, d).groupBy("centroid").agg(F.count("*").alias("n"), rounded(F.var_pop("dist")).alias("var"))
+    return _own_book(spark, d).groupBy("centroid").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "centroid")
 
 
 @query("nearest_members", f"with {_OWN}, ranked as (select centroid, id, row_number() over (partition by centroid order by round(dist, 9), id) as k from own) select centroid, k, id from ranked where k <= 3")
@@ -389,3 +456,46 @@ def nearest_members(spark, d):
 def si_kmeans_fit(spark, d):
     centers, found, _ = vectors.shift_kmeans(src.vectors(spark, d), 4, 48, max_iter=4, n_init=1)
     return found.groupBy("centroid").agg(F.count("*").alias("n"), rounded(F.sum("dist"), 4).alias("inertia")).withColumn("norm", rounded(F.lit(float(np.linalg.norm(centers))), 4))
+
+
+@query("kmeans_plus_plus_fit")
+def kmeans_plus_plus_fit(spark, d):
+    """k-means|| starts over all vectors, euclidean."""
+    _, found, _ = vectors.shift_kmeans(src.vectors(spark, d), 4, 48, metric="euclidean", init="k-means++", max_iter=2)
+    return found.groupBy("centroid").agg(F.count("*").alias("n"))
+
+
+# --- files: written to the shared folder and read back
+
+
+@query("codebook_files", f"with {_BOOK.format('v[1:48]')} select class, cast(centroid as integer) as centroid, round(list_sum(c), 6) as sum_c from book")
+def codebook_files(spark, d):
+    path = tables.new_path(spark, "codebooks")
+    tables.write_codebooks(src.codebook(spark, d, length=48), path)
+    book = tables.read_codebooks(spark, path)
+    return book.select("class", "centroid", rounded(F.aggregate("c", F.lit(0.0), lambda s, x: s + x)).alias("sum_c"))
+
+
+@query("cached_windows", f"with {SIGNAL} select subject, t // 8 as win, count(*) as n, round(sum(x), 6) as sum_x from signal group by all having count(*) = 8")
+def cached_windows(spark, d):
+    """Built and written at first, loaded by its parameters the second time."""
+    root = tables.new_path(spark, "cache")
+
+    def build():
+        return windows.tumbling(src.signal(spark, d), 8).select("subject", "win", "n", rounded("sum_x").alias("sum_x"))
+
+    def fail():
+        raise AssertionError("the cache was not found")
+
+    tables.build_or_load(spark, root, "windows", build, folder=d, length=8)
+    return tables.build_or_load(spark, root, "windows", fail, folder=d, length=8)
+
+
+@query("filters_by_subject", f"with {SIGNAL} select subject, count(*) as n, round(sum(x) * (0.5 + subject % 3), 6) as y from signal group by subject")
+def filters_by_subject(spark, d):
+    series = src.packed(src.signal(spark, d))
+    path = tables.new_path(spark, "filters")
+    series.select("subject", F.array((0.5 + F.col("subject") % 3).cast("double")).alias("taps")).write.parquet(path)
+    both = tables.with_filters(series, spark.read.parquet(path))
+    total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)
+    return both.select("subject", F.size("samples").cast("long").alias("n"), rounded(total * F.col("taps")[0]).alias("y"))

@@ -1,18 +1,18 @@
 """Tumbling aggregates on streams of events: an extension of the batch windows to event time.
 
-The same functions run on batch and streaming DataFrames. With a watermark the state of a window goes
-once it can't change any more; ``replayed`` runs a finished source as a stream to its end.
+The same functions run on batch and streaming DataFrames. In update mode, as ``replayed`` runs them, the
+watermark drops the state of a window once the newest event is ``LATE`` past its end, and events that come later
+than that. What a batch of events changed is written by batch; the last version of a window is its result.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_dir
+from ..sources.tables import new_path
 
 LATE = "2 hours"
 
@@ -43,14 +43,15 @@ def code_counts(rows: DataFrame, width: str = "2 hours") -> DataFrame:
     return grouped.agg(F.count("*").alias("n")).select("subject", "code", _start(), "n")
 
 
-def replayed(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The result of ``transform`` on all that is in ``path``, run as a stream to its end with complete output."""
-    name = f"live_{uuid.uuid4().hex}"
-    base = f"{shared_dir(spark)}/{name}"
+def replayed(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], keys: list[str], files_per_batch: int = 1) -> DataFrame:
+    """The result of ``transform`` on all that is in ``path``, run as a stream to its end; ``keys`` name a row of it."""
+    base = new_path(spark, "live")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    stream = transform(events(spark, path)).writeStream.outputMode("complete").foreachBatch(keep)
+    stream = transform(events(spark, path, files_per_batch)).writeStream.outputMode("update").foreachBatch(keep)
     stream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    changed = spark.read.parquet(f"{base}/out")
+    last = F.max_by(F.struct(*[c for c in changed.columns if c != "batch"]), "batch").alias("r")
+    return changed.groupBy(*keys).agg(last).select("r.*")

@@ -1,6 +1,5 @@
 import pytest
 
-from oscilla.functions import learners
 from oscilla.plans import config, learning, workflows
 
 
@@ -28,9 +27,7 @@ def test_votes_need_long_validation_segments(spark):
     assert workflows.pooled_predictions(codes, 4).count() == 2
 
 
-def test_grid_search_query_takes_all_subjects(spark, monkeypatch):
-    taken = []
-    monkeypatch.setattr(learners, "grid_search", lambda rows, *_, **__: taken.append(rows))
-    learning.search_best(spark, "/root/testdata/sf0.01")
+def test_the_series_of_searches_are_all_users(spark):
     users = {r.user_id for r in spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("user_id").distinct().collect()}
-    assert len(users) == 150 and {r.subject for r in taken[0].select("subject").distinct().collect()} == users
+    series = learning._series(spark, "/root/testdata/sf0.01")
+    assert len(users) == 150 and {r.ic for r in series.collect()} == users
