@@ -324,7 +324,8 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return list(found.values())
 
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words before lower-casing; a class of ranges without negation, and no way back, is a tenth of the work.
+WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]++"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -335,11 +336,11 @@ FRAGMENTS = (
     "executable", "mozilla", "fuck", "commons", "proprietary", "prior", "commercial", "publicdomain",
     "software", "warrant", "librar", "distribut", "reproduc", "prohibit", "agreement", "terms", "notice", "liable", "openssl", "invariant", "convey",
     "procedures", "procurement", "transferring", "changing", "skeleton", "configure", "remotely", "managed", "deutschland", "creativeml", "cryptograph",
-    "digest", "unicode", "forgive", "charityware", "beer", "apache",
+    "digest", "unicode", "forgive", "charityware", "apache",
 )
 #: The same for what those leave: a grant without the word license, and the two words of a base phrase.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-PAIRS = {"under": f"(?:released|distributed|available|published|provided|covered){SEPARATOR}under", "cc": f"cc{SEPARATOR}by"}
+PAIRS = {"under": f"(?:released|distributed|available|published|provided|covered){SEPARATOR}under", "cc": f"cc{SEPARATOR}by", "beer": f"(?:a{SEPARATOR}beer|beer{SEPARATOR}ware)"}
 
 
 def gate(low: Column) -> Column:
@@ -419,7 +420,7 @@ def license_spans(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     """
     words = F.coalesce(F.regexp_count(F.col("body"), F.lit(WORD)), F.lit(0)).cast("long")
     flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(F.col("body"), UPPER, LOWER), NO_WORD, " ")), F.lit(" "))
-    rows = with_fixed(docs.select(F.col(id_col), F.col(text).alias("body")), flat=F.when(gate(F.lower("body")), flat)).select(id_col, words.alias("n_words"), "flat")
+    rows = with_fixed(docs.select(F.col(id_col), F.col(text).alias("body")), flat=F.when(let(F.lower("body"), gate), flat)).select(id_col, words.alias("n_words"), "flat")
 
     base = F.lit("(?<= )(" + "|".join(BASE) + ")(?= )")
     rows = with_fixed(rows, hits=spans(F.col("flat"), base))
