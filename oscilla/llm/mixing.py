@@ -32,7 +32,7 @@ RANGE_ROWS = 4096
 
 def tokens(text: str) -> Column:
     """Words of a text, ended by white space."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^ \t\n\x0B\f\r]++")), F.lit(0)).cast("long")
 
 
 def _shares(nodes: DataFrame, parent: list[str]) -> DataFrame:
@@ -139,7 +139,7 @@ def mix(docs: DataFrame, *, domain: Column, weights: dict[str, dict[str, int]],
 
 def prefix(text: Column, n_tokens: Column) -> Column:
     """The text up to the end of its first ``n_tokens`` words."""
-    pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
+    pieces = F.regexp_extract_all(text, F.lit(r"([ \t\n\x0B\f\r]*+[^ \t\n\x0B\f\r]++)"))
     return F.array_join(F.slice(pieces, 1, n_tokens.cast("int")), "")
 
 
