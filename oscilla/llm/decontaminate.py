@@ -3,9 +3,10 @@
 A broadcast hash set of the benchmark's normalised n-grams is held against every window of the
 training texts; each hash hit is verified on the words themselves. Documents or spans then go.
 
-Broadcast bound: one pass broadcasts at most ``block_bytes`` of benchmark text. A larger benchmark is
-cut into blocks of that size and the documents are scanned once a block, the state so far riding
-along in a written table, so nothing that grows with the data is broadcast or collected at once.
+Broadcast bound: one pass broadcasts the windows of at most ``block_bytes`` of benchmark text, some thirty
+bytes a word. A larger benchmark is dealt to blocks, distinct items once each and long ones in overlapping
+pieces, until no block is larger; the documents are scanned once a block, the state so far riding along in a
+written table, so nothing that grows with the data is broadcast or collected at once.
 
 Edge cases: a null or empty text has no words, no hits and the hash of the empty string. An item
 without words never occurs; a null item_id counts as the empty string. Repeated items and repeated
@@ -30,29 +31,34 @@ STATE = "n_words long, hits binary, items array<string>"
 
 
 class Windows:
-    """The n-grams of some items: sorted hashes by length, one verified text and the items of each."""
+    """The n-grams of some items by length: sorted hashes, a word at which each stands, and its items.
+
+    Windows of one hash and different words are entries of their own.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], n: int) -> None:
-        ids = [i for i, _ in items]
-        words = Words(*buffers(pa.array([t for _, t in items], pa.large_string())), ALNUM)
+        self.ids = [i for i, _ in items]
+        self.words = words = Words(*buffers(pa.array([t for _, t in items], pa.large_string())), ALNUM)
         length = np.minimum(words.count, n)
-        self.n, self.by_length = n, {}
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
         for size, hashes in words.runs(words.hash, n):
             at = np.flatnonzero(words.fits(size) & (length[words.row[: len(hashes)]] == size))
             if not len(at):
                 continue
-            kept, which = np.unique(hashes[at], return_inverse=True)
-            texts: list[bytes] = [b""] * len(kept)
-            owners: list[set[str]] = [set() for _ in kept]
-            for k, word in zip(which, at):
-                text = words.text(word, size)
-                if texts[k] and texts[k] != text:
-                    raise ValueError("two n-grams share a 64-bit hash")
-                texts[k] = text
-                owners[k].add(ids[words.row[word]])
+            at = at[np.argsort(hashes[at], kind="stable")]
+            own = hashes[at]
+            new = np.append(True, own[1:] != own[:-1])
+            for first, end in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(at))):
+                if end - first > 1:  # the same words first to last, or a collision
+                    texts = [words.text(int(w), size) for w in at[first:end]]
+                    order = sorted(range(end - first), key=texts.__getitem__)
+                    at[first:end] = at[first:end][order]
+                    new[first:end] = [k == 0 or texts[order[k]] != texts[order[k - 1]] for k in range(end - first)]
+            begin = np.flatnonzero(new)
+            kept = own[begin]
             maybe = np.zeros(1 << 16, bool)
             maybe[kept >> np.uint64(48)] = True
-            self.by_length[size] = (kept, maybe, texts, owners)
+            self.by_length[size] = (kept, maybe, at[begin].astype(np.int32), np.append(begin, len(at)), words.row[at].astype(np.int32))
 
     def scan(self, words: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Which words are hit, and the items that occur in each row."""
@@ -64,23 +70,51 @@ class Windows:
         for size, hashes in words.runs(words.hash, longest):
             if size not in self.by_length:
                 continue
-            kept, maybe, texts, owners = self.by_length[size]
+            kept, maybe, stands, begin, owners = self.by_length[size]
             at = np.flatnonzero(maybe[hashes >> np.uint64(48)])
             at = at[words.fits(size)[at]]
             place = np.searchsorted(kept, hashes[at])
             same = place < len(kept)
             same[same] = kept[place[same]] == hashes[at[same]]
             for word, k in zip(at[same].tolist(), place[same].tolist()):
-                if words.text(word, size) == texts[k]:
-                    cover[word] += 1
-                    cover[word + size] -= 1
-                    found.setdefault(int(words.row[word]), set()).update(owners[k])
+                text = words.text(word, size)
+                while k < len(kept) and kept[k] == hashes[word]:
+                    if text == self.words.text(int(stands[k]), size):
+                        cover[word] += 1
+                        cover[word + size] -= 1
+                        found.setdefault(int(words.row[word]), set()).update(self.ids[r] for r in owners[begin[k] : begin[k + 1]])
+                        break
+                    k += 1
         return np.cumsum(cover)[:-1] > 0, found
 
 
-def _scanner(shared, n: int, text_at: int, state_at: int | None, keep: int):
+def _pieces(n: int, limit: int):
+    """(i, t) to (i, t) with texts of about ``limit`` bytes at most, n - 1 words in common with the one before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = np.frombuffer(t.encode(), np.uint8)
+                if len(raw) <= limit:
+                    ids.append(i)
+                    texts.append(t)
+                    continue
+                words = Words(raw, np.array([0, len(raw)]), ALNUM)
+                first = 0
+                while first < len(words.start):
+                    end = max(first + n, int(np.searchsorted(words.end, words.start[first] + limit, "right")))
+                    ids.append(i)
+                    texts.append(raw[words.start[first] : words.end[min(end, len(words.end)) - 1]].tobytes().decode())
+                    first = end - n + 1 if end < len(words.start) else len(words.start)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["i", "t"])
+
+    return run
+
+
+def _scanner(shared, text_at: int, state_at: int | None, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, n)
+        windows = shared.value
         for batch in batches:
             raw, offsets = buffers(batch.column(text_at))
             n_words, hits, items = [], [], []
@@ -116,18 +150,26 @@ def _prefixed(schema: T.StructType) -> T.StructType:
 def _hit_rows(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, n: int, block_bytes: int) -> DataFrame:
     """All columns of ``docs`` as c0, c1, ..., then n_words, hits (bits of the words) and items."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    passes = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
+    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
+    items = written(items.mapInArrow(_pieces(n, block_bytes // 8), "i string, t string").distinct(), "items")
+    size = F.sum(F.octet_length("t"))
+    passes = max(1, -(-(items.agg(size).first()[0] or 0) // block_bytes))
+
+    def part(passes: int):
+        return F.pmod(F.xxhash64("i", "t"), F.lit(passes))
+
+    # a piece is a small part of a block (but for words that are longer), so more blocks come below the bound
+    while (items.groupBy(part(passes).alias("p")).agg(size.alias("s"), F.count("*").alias("k")).where("k > 1").agg(F.max("s")).first()[0] or 0) > block_bytes:
+        passes *= 2
     names, text_at = docs.columns, docs.columns.index(text)
     keep = len(names)
     state = T.StructType.fromDDL(STATE)
     out = T.StructType(_prefixed(docs.schema).fields + [T.StructField(f"c{keep + i}", f.dataType) for i, f in enumerate(state.fields)])
     rows = docs.toDF(*[f"c{i}" for i in range(keep)])
     for k in range(passes):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) if passes > 1 else items
-        shared = spark.sparkContext.broadcast([(r.i, r.t) for r in block.collect()])
-        rows = rows.mapInArrow(_scanner(shared, n, text_at, keep if k else None, keep), out)
+        block = items.where(part(passes) == k).collect()  # block_bytes of text at most
+        shared = spark.sparkContext.broadcast(Windows([(r.i, r.t) for r in block], n))
+        rows = rows.mapInArrow(_scanner(shared, text_at, keep if k else None, keep), out)
         if k + 1 < passes:
             rows = written(rows, "scan")
     return rows

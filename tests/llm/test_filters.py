@@ -56,6 +56,19 @@ def test_decontamination_equals_brute_force(spark, block):
     assert got == sorted(((i, n, h, f, h > 0 and 20 * h >= n) for i, n, h, f in want), key=str)
 
 
+def test_long_items_are_cut_and_colliding_windows_kept_apart(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    long_ = " ".join(rng.choice(["ab", "cd", "ef", "gh", "naïve", "x1"], 3000))
+    items = [(1, long_), (2, long_), (3, "ab cd"), (1, long_)]
+    texts = [(0, long_[500:5000]), (1, "x " + long_[2000:2100] + " ab cd"), (2, "none here"), (3, long_)]
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.scan(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_bytes=4000).collect()}
+    assert got == {i: benchmark_hits(t, items) for i, t in texts}
+    monkeypatch.setattr(Words, "runs", lambda self, hashes, longest: ((n, np.zeros(max(0, len(hashes) - n + 1), np.uint64)) for n in range(1, longest + 1)))
+    windows = decontaminate.Windows([("a", "one two three"), ("b", "two three four"), ("c", "one two three")], 3)
+    hit, found = windows.scan(Words(*buffers(pa.array(["zero one two three", "two three four five", "three four five"])), ALNUM))
+    assert hit.tolist() == [False, True, True, True, True, True, True, False, False, False, False] and found == {0: {"a", "c"}, 1: {"b"}}
+
+
 def test_contaminated_documents_or_spans_go(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = docs(spark, TEXTS)
