@@ -79,6 +79,12 @@ def by_window(results: DataFrame) -> DataFrame:
     return results.groupBy("window").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"), F.count("*").alias("n"))
 
 
+def ordered(table: DataFrame, by: str = "window", first: int | None = None) -> DataFrame:
+    """A report in order of a column, or its first rows; Spark keeps only those of each task then."""
+    rows = table.orderBy(by)
+    return rows if first is None else rows.limit(first)
+
+
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row of each key, the first by an explicit order."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

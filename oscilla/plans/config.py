@@ -58,6 +58,42 @@ def read_options(text: str) -> list[str]:
     return shlex.split(text, comments=True)
 
 
+#: Options of each kind of job, with what they take.
+OPTIONS: dict[str, dict[str, dict]] = {
+    "recording": {"--root": {"required": True}, "--dataset": {"required": True}, "--subjects": {"type": int, "nargs": "+"}, "--srate": {"type": float, "default": 256.0}, "--cmmn-filter": {"choices": [f for f in FILTERS if f]}},
+    "windows": {"--window-seconds": {"type": float, "default": 1.5}, "--cap": {"type": int, "default": 10_000}},
+    "codebook": {"--k": {"type": int, "default": 128}, "--centroid-seconds": {"type": float, "default": 1.0}, "--metric": {"choices": ["cosine", "euclidean"], "default": "cosine"}, "--init": {"choices": ["random", "random-energy", "k-means++"], "default": "random"}, "--n-init": {"type": int, "default": 1}, "--max-iter": {"type": int, "default": 100}, "--class": {"type": int, "default": 0, "dest": "label"}},
+    "features": {"--feature": {"choices": FEATURES, "default": "bowav"}, "--train-seconds": {"type": float, "nargs": "+", "default": [300.0]}, "--validation-seconds": {"type": float, "nargs": "+", "default": [300.0]}},
+    "classifier": {"--classifier": {"choices": CLASSIFIERS, "default": "random_forest"}, "--expert-weight": {"type": float, "nargs": "+", "default": [1.0]}, "--norm": {"choices": ["l1", "l2", "none"], "nargs": "+", "default": ["l2"]}, "--c": {"type": float, "nargs": "+", "default": [1.0]}, "--l1-ratio": {"type": float, "nargs": "+", "default": [0.0]}, "--min-rows": {"type": int, "nargs": "+", "default": [1]}},
+    "job": {"--candidate": {"type": int}, "--split": {"type": int}, "--results": {"default": "results"}},
+}
+#: The groups of options that each kind of job reads.
+JOBS = {
+    "dictionary": ("recording", "windows", "codebook"), "filters": ("recording",), "assignments": ("recording", "windows", "codebook"),
+    "search": ("recording", "windows", "features", "classifier", "job"), "refit": ("recording", "windows", "features", "classifier", "job"),
+}
+
+
+def job_parser(job: str) -> argparse.ArgumentParser:
+    """Options of a kind of job; several option files and arguments can follow one another, the last one counts."""
+    if job not in JOBS:
+        raise ValueError(f"no job {job!r}; one of {', '.join(JOBS)}")
+    options = argparse.ArgumentParser(description=job)
+    for group in JOBS[job]:
+        part = options.add_argument_group(group)
+        for name, how in OPTIONS[group].items():
+            part.add_argument(name, **how)
+    return options
+
+
+def grid_values(options: argparse.Namespace) -> dict[str, list]:
+    """The values of a search's grid: what the classifier and the features take, by the names of ``search.fit_and_score``."""
+    values = {"aggregate": ["count_pooling", "majority_vote"], "expert_weight": options.expert_weight, "train": options.train_seconds, "val": options.validation_seconds}
+    if "bowav" in options.feature:
+        values["norm"] = options.norm
+    return values | ({"min_rows": options.min_rows} if options.classifier == "random_forest" else {"c": options.c, "l1_ratio": options.l1_ratio})
+
+
 def parser() -> argparse.ArgumentParser:
     """Options of dictionary training and evaluation jobs."""
     options = argparse.ArgumentParser(description="train dictionaries and evaluate classifiers")

@@ -22,6 +22,11 @@ def mean_std_by_window(spark, d):
     return evaluation.by_window(src.results(spark, d)).withColumns({"mean": rounded("mean"), "std": rounded("std")})
 
 
+@query("report_head", f"with {RESULTS} select win as window, round(avg(score), 6) as mean, round(stddev_samp(score), 6) as std, count(*) as n from results group by win order by win limit 3")
+def report_head(spark, d):
+    return evaluation.ordered(evaluation.by_window(src.results(spark, d)), first=3).withColumns({"mean": rounded("mean"), "std": rounded("std")})
+
+
 @query("mean_std_join", f"with {RESULTS}, m as (select win, avg(score) as mean from results group by win), s as (select win, stddev_samp(score) as std from results group by win) select win as window, round(mean, 6) as mean, round(std, 6) as std from m join s using (win)")
 def mean_std_join(spark, d):
     results = src.results(spark, d)

@@ -491,11 +491,18 @@ def cached_windows(spark, d):
     return tables.build_or_load(spark, root, "windows", fail, folder=d, length=8)
 
 
+@query("spectra_files", f"with {_MEAN} select subject, bin, round(p, 6) as p from mean")
+def spectra_files(spark, d):
+    path = tables.new_path(spark, "spectra")
+    tables.write_by_subject(spectra.channel_mean(src.spectra(spark, d)), path)
+    return tables.read_by_subject(spark, path, "subject bin p").withColumn("p", rounded("p"))
+
+
 @query("filters_by_subject", f"with {SIGNAL} select subject, count(*) as n, round(sum(x) * (0.5 + subject % 3), 6) as y from signal group by subject")
 def filters_by_subject(spark, d):
     series = src.packed(src.signal(spark, d))
     path = tables.new_path(spark, "filters")
-    series.select("subject", F.array((0.5 + F.col("subject") % 3).cast("double")).alias("taps")).write.parquet(path)
-    both = tables.with_filters(series, spark.read.parquet(path))
+    tables.write_by_subject(series.select("subject", F.array((0.5 + F.col("subject") % 3).cast("double")).alias("taps")), path)
+    both = tables.with_filters(series, tables.read_by_subject(spark, path, "subject taps"))
     total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)
     return both.select("subject", F.size("samples").cast("long").alias("n"), rounded(total * F.col("taps")[0]).alias("y"))

@@ -90,6 +90,22 @@ def read_codebooks(spark: SparkSession, path: str, classes: list[int] | None = N
     return found.where(F.col("class").isin(classes))
 
 
+def write_by_subject(rows: DataFrame, path: str) -> None:
+    """Filters (subject, taps), spectra (subject, bin, p) or barycenters, as one table."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def read_by_subject(spark: SparkSession, path: str, columns: str) -> DataFrame | None:
+    """What ``write_by_subject`` wrote, checked against ``columns``; None where there is nothing."""
+    if not exists(spark, path):
+        return None
+    found = spark.read.parquet(path)
+    missing = [c for c in columns.split() if c not in found.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return found.select(*columns.split())
+
+
 def with_filters(series: DataFrame, filters: DataFrame, *, required: bool = True) -> DataFrame:
     """Series with their subject's ``taps``; a missing filter fails, or leaves null where it isn't required."""
     joined = series.join(filters.select("subject", "taps"), "subject", "left")

@@ -12,6 +12,20 @@ def test_settings_are_checked():
     assert config.rescaled(384, 256, 500) == 750
 
 
+def test_jobs_read_their_options():
+    found = config.job_parser("search").parse_args(config.read_options("--root r --dataset cue --feature bowav --classifier logistic --c 0.1 1 # grid\n--c 1 10"))
+    values = config.grid_values(found)
+    assert values["c"] == [1.0, 10.0] and values["norm"] == ["l2"] and set(values) == {"aggregate", "expert_weight", "train", "val", "norm", "c", "l1_ratio"}
+    forest = config.job_parser("search").parse_args(["--root", "r", "--dataset", "d", "--feature", "psd_autocorr"])
+    assert set(config.grid_values(forest)) == {"aggregate", "expert_weight", "train", "val", "min_rows"}
+    assert config.job_parser("dictionary").parse_args(["--root", "r", "--dataset", "d", "--class", "3"]).label == 3
+    for wrong in (["search"], ["dictionary", "--root", "r"]):
+        with pytest.raises(SystemExit):
+            config.job_parser(wrong[0]).parse_args(wrong[1:])
+    with pytest.raises(ValueError):
+        config.job_parser("x")
+
+
 def test_training_windows_are_capped_filtered_and_cut(spark):
     rows = spark.createDataFrame([(s, i, i % 2, [float(x) for x in range(10)]) for s in range(2) for i in range(6)], "subject int, ic int, label int, samples array<double>")
     out = workflows.training_windows(rows, label=1, cap=2, length=4, seed=1)
