@@ -121,11 +121,16 @@ def taps(filters: DataFrame, m: int) -> DataFrame:
 def causal_fir(samples: DataFrame, filters: DataFrame) -> DataFrame:
     """(subject, t, y): y_t = sum over k of h_k x_(t-k), each subject by its own taps.
 
-    Each sample meets the taps of its subject and is summed where it lands; a subject has few taps.
+    The taps of a subject are one map; a sample sees those before it that its taps reach, so no row is multiplied.
     """
-    landed = samples.join(filters, "subject").select("subject", (F.col("t") + F.col("k")).alias("t"), (F.col("x") * F.col("h")).alias("y"))
-    last = samples.groupBy("subject").agg(F.max("t").alias("last"))
-    return landed.groupBy("subject", "t").agg(F.sum("y").alias("y")).join(last, "subject").where(F.col("t") <= F.col("last")).drop("last")
+    reach = filters.agg(F.max("k")).first()[0]
+    if reach is None:
+        return samples.select("subject", "t", F.lit(0.0).alias("y")).limit(0)
+    own = filters.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("long"), "h"))).alias("taps"))
+    back = Window.partitionBy("subject").orderBy("t").rangeBetween(-int(reach), 0)
+    seen = samples.select("subject", "t", F.collect_list(F.struct("t", "x")).over(back).alias("seen")).join(own, "subject")
+    y = F.aggregate("seen", F.lit(0.0), lambda s, p: s + p["x"] * F.coalesce(F.try_element_at("taps", F.col("t") - p["t"]), F.lit(0.0)))
+    return seen.select("subject", "t", y.alias("y"))
 
 
 def channel_gain(samples: DataFrame, gains: DataFrame) -> DataFrame:
@@ -134,13 +139,18 @@ def channel_gain(samples: DataFrame, gains: DataFrame) -> DataFrame:
 
 
 def periodogram(samples: DataFrame, length: int, bins: int) -> DataFrame:
-    """(subject, win, bin, power): squared magnitude of the discrete Fourier transform of each full window, by sums."""
+    """(subject, win, bin, power): squared magnitude of the discrete Fourier transform of each full window, by sums.
+
+    A window is one array before its bins are made, so a sample is shuffled once.
+    """
     win = F.floor(F.col("t") / length).cast("long")
-    full = samples.withColumn("win", win).withColumn("n", F.count("*").over(Window.partitionBy("subject", "win"))).where(F.col("n") == length)
-    spread = full.select("subject", "win", "x", F.pmod("t", F.lit(length)).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    angle = 2 * math.pi / length * F.pmod(F.col("bin") * F.col("j"), F.lit(length))
-    re, im = F.sum(F.col("x") * F.cos(angle)), F.sum(F.col("x") * F.sin(angle))
-    return spread.groupBy("subject", "win", "bin").agg((re * re + im * im).alias("power"))
+    packed = samples.groupBy("subject", win.alias("win")).agg(F.collect_list(F.struct(F.pmod("t", F.lit(length)).alias("j"), "x")).alias("s")).where(F.size("s") == length)
+
+    def part(bin_: Column, wave) -> Column:
+        return F.aggregate("s", F.lit(0.0), lambda a, p: a + p["x"] * wave(2 * math.pi / length * F.pmod(bin_ * p["j"], F.lit(length))))
+
+    powers = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.pow(part(b, F.cos), 2) + F.pow(part(b, F.sin), 2))
+    return packed.select("subject", "win", F.posexplode(powers).alias("bin", "power"))
 
 
 def autocorrelation(samples: DataFrame, lags: int) -> DataFrame:

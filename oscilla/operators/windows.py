@@ -13,10 +13,21 @@ def tumbling(samples: DataFrame, length: int) -> DataFrame:
     return out.where(F.col("n") == length)
 
 
-def sliding(samples: DataFrame, length: int) -> DataFrame:
-    """(subject, start, sum_x) for the windows of ``length`` samples from every sample on."""
-    ahead = Window.partitionBy("subject").orderBy("t").rowsBetween(0, length - 1)
-    return samples.select("subject", F.col("t").alias("start"), F.sum("x").over(ahead).alias("sum_x"), F.count("*").over(ahead).alias("n")).where(F.col("n") == length).drop("n")
+#: Samples of a piece of a long series; a series is no single task.
+CHUNK = 1 << 16
+
+
+def sliding(samples: DataFrame, length: int, chunk: int | None = None) -> DataFrame:
+    """(subject, start, sum_x) for the windows of ``length`` samples from every sample on.
+
+    A series is cut into pieces of ``chunk`` samples, the first samples of each going to the piece before, too.
+    """
+    size = max(chunk or CHUNK, length)
+    own = F.floor(F.col("t") / size).cast("long")
+    spread = samples.withColumn("own", own).withColumn("piece", F.explode(F.when((F.col("own") > 0) & (F.col("t") % size < length - 1), F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array("own"))))
+    ahead = Window.partitionBy("subject", "piece").orderBy("t").rowsBetween(0, length - 1)
+    sums = spread.select("subject", F.col("t").alias("start"), "own", "piece", F.sum("x").over(ahead).alias("sum_x"), F.count("*").over(ahead).alias("n"))
+    return sums.where((F.col("n") == length) & (F.col("own") == F.col("piece"))).select("subject", "start", "sum_x")
 
 
 def sliding_arrays(series: DataFrame, length: int, offsets: list[int] | None = None) -> DataFrame:

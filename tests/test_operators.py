@@ -22,6 +22,43 @@ def test_tails_are_dropped_and_short_series_have_no_window(spark):
     assert [r.seg for r in windows.half_overlapping(rows, 8).orderBy("seg").collect()] == [0, 1, 2]
 
 
+def test_long_series_slide_in_pieces(spark):
+    rows = samples(spark, range(50), range(3))
+    whole = sorted(tuple(r) for r in windows.sliding(rows, 8).collect())
+    assert whole == sorted(tuple(r) for r in windows.sliding(rows, 8, chunk=9).collect()) == [(0, k, float(sum(range(k, k + 8)))) for k in range(43)]
+
+
+def test_random_and_scalable_starts_use_all_rows(spark):
+    rng = np.random.default_rng(2)
+    centers = rng.normal(0, 10, (3, 6))
+    rows = [(i, [float(x) for x in centers[i % 3] + rng.normal(0, 0.01, 6)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    start = vectors.initial_centroids(df, 3, 6, init="k-means++", metric="euclidean", seed=4)
+    assert {int(np.argmin(((centers - c) ** 2).sum(1))) for c in start} == {0, 1, 2}
+    _, found, inertia = vectors.shift_kmeans(df, 3, 6, metric="euclidean", init="k-means++", max_iter=3)
+    assert inertia < 1 and sorted(r["count"] for r in found.groupBy("centroid").count().collect()) == [30, 30, 30]
+    for init in ("random", "random-energy"):
+        assert vectors.initial_centroids(df, 3, 4, init=init, metric="cosine", seed=1).shape == (3, 4)
+    with pytest.raises(ValueError):
+        vectors.initial_centroids(df, 91, 6, init="random", metric="cosine", seed=1)
+    with pytest.raises(ValueError):
+        vectors.initial_centroids(df, 3, 6, init="k-means++", metric="cosine", seed=1)
+
+
+def test_codebooks_in_blocks_and_spectra_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 1, 5)]) for i in range(40)], "id long, v array<double>")
+    book = spark.createDataFrame([(k % 2, k // 2, [float(x) for x in rng.normal(0, 1, 5)]) for k in range(12)], "class int, centroid int, c array<double>")
+    one = sorted(map(tuple, vectors.nearest_centroid(df, book).collect()))
+    monkeypatch.setattr(vectors, "BROADCAST_VALUES", 13)
+    assert sorted(map(tuple, vectors.nearest_centroid(df, book).collect())) == one and len(one) == 80
+    rows = spark.createDataFrame([(s, b, float(rng.random())) for s in range(12) for b in range(4)], "subject long, bin int, p double")
+    near = sorted(map(tuple, spectra.nearest(rows.where("subject < 6"), rows.where("subject >= 6")).collect()))
+    monkeypatch.setattr(spectra, "BLOCK_VALUES", 9)
+    assert sorted(map(tuple, spectra.nearest(rows.where("subject < 6"), rows.where("subject >= 6")).collect())) == near and len(near) == 6
+    assert spectra.nearest(rows.where("subject < 6"), rows.limit(0)).count() == 0
+
+
 def test_durations():
     assert windows.seconds_to_units([300, -1], per_second=1 / 1.5) == [200, None]
     assert windows.seconds_to_units(0.5, per_second=256) == 128
