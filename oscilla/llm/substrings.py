@@ -5,9 +5,11 @@
    into segments, runs of windows with one anchor; only segments whose anchor's gram occurs again
    anywhere can hold a repeat. A segment's context is all bytes of its windows.
 2. Collapsing. Equal contexts around one gram are one string with a multiplicity; they are told apart by a
-   cryptographic digest of 128 bits of all their bytes. Where a gram has a single context, every window of
-   it is repeated and nothing is left to compare.
-3. Sorting. The distinct contexts of the other grams go to shards, all of one gram to one shard. A
+   cryptographic digest of 128 bits of all their bytes. Every window of a context that occurs twice is
+   repeated. Wherever its gram stands in a window, the window covers one of ``SLOTS`` stretches around it, which
+   reach from k to SLOTS - 1 - k parts of what a window has beside the gram, to the left and to the right; so a
+   context that occurs once can hold a repeat only if one of its stretches is that of another context, too.
+3. Sorting. Such contexts and those that they may repeat go to shards, all of one gram to one shard. A
    shard is spooled to disk as it arrives and its suffixes are sorted by external recursive induction
    (``suffixes``), whose queues carry common prefixes along; neighbours that share ``length`` bytes are repeats.
 4. Hot grams. Contexts of one gram beyond ``hot`` are split by the place of the window around the
@@ -37,11 +39,13 @@ from .store import written
 from .suffixes import Shard
 from .wordscan import Rolling, blocks, buffers
 
-GRAM = 64
+GRAM = 32
+#: Stretches around a gram by which contexts that can share a window are found.
+SLOTS = 4
 #: Bits of a place in a block of texts; the rest of a packed value is hash.
 PLACE = np.uint64(28)
 #: Bytes of contexts that are sorted together; they are never in memory together.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 HOT = 2048
 PIECES = "gram long, piece binary, n long, anchor int, near int, far int, first int, body binary"
 RUNS = "gram long, piece binary, a int, b int"
@@ -58,9 +62,12 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray | list[bytes]]:
-    """The segments of a block of texts: row, gram, digest of the context, first and last window in the text, anchor in the context."""
+    """The segments of a block of texts: row, gram, digest of the context, first and last window in the text, anchor in the context.
+
+    ``stretches`` packs hashes of 16 bits, by slot; 0 where the context does not reach so far.
+    """
     offsets = offsets - offsets[0]
-    none = {k: np.zeros(0, np.int64) for k in ("row", "gram", "context", "low", "high", "anchor")}
+    none = {k: np.zeros(0, np.int64) for k in ("row", "gram", "context", "low", "high", "anchor", "stretches")}
     windows = len(raw) - length + 1
     if windows < 1:
         return none
@@ -80,8 +87,15 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
     own, at = row[low], anchor[low]
     body = memoryview(raw)
     context = [hashlib.blake2b(body[a:b], digest_size=16).digest() for a, b in zip(low.tolist(), (high + length).tolist())]
+    part = (length - GRAM) // SLOTS
+    stretches = np.zeros(len(low), np.uint64)
+    for slot in range(SLOTS):
+        first, end = at - slot * part, at + GRAM + (SLOTS - 1 - slot) * part
+        there = (first >= low) & (end <= high + length)
+        hashes = rolling.hash(np.maximum(first, 0), np.minimum(end, len(raw)), 13) >> np.uint64(48) | np.uint64(1)
+        stretches |= np.where(there, hashes, np.uint64(0)) << np.uint64(16 * slot)
     begin = offsets[:-1][own]
-    return {"row": own, "gram": grams[at].view(np.int64), "context": context, "low": low - begin, "high": high - begin, "anchor": at - low}
+    return {"stretches": stretches.view(np.int64), "row": own, "gram": grams[at].view(np.int64), "context": context, "low": low - begin, "high": high - begin, "anchor": at - low}
 
 
 def _segment_rows(length: int):
@@ -93,8 +107,8 @@ def _segment_rows(length: int):
                 s = segments(raw[offsets[low] : offsets[high]], offsets[low : high + 1], length)
                 rows = s["row"] + low
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s["gram"]), pa.array(s["context"], pa.binary()), pa.array(doc[rows]), pa.array(mark[rows]), *(pa.array(s[k].astype(np.int32)) for k in ("low", "high", "anchor"))],
-                    names=["gram", "context", "doc", "mark", "low", "high", "anchor"],
+                    [pa.array(s["gram"]), pa.array(s["context"], pa.binary()), pa.array(doc[rows]), pa.array(mark[rows]), *(pa.array(s[k].astype(np.int32)) for k in ("low", "high", "anchor")), pa.array(s["stretches"])],
+                    names=["gram", "context", "doc", "mark", "low", "high", "anchor", "stretches"],
                 )
 
     return run
@@ -231,17 +245,23 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), ident.alias("doc"), F.xxhash64(body).alias("mark"), body.alias("text"))
-    found = written(rows.select("doc", "mark", "text").where(F.octet_length("text") >= length).mapInArrow(_segment_rows(length), "gram long, context binary, doc long, mark long, low int, high int, anchor int"), "segments")
+    found = written(rows.select("doc", "mark", "text").where(F.octet_length("text") >= length).mapInArrow(_segment_rows(length), "gram long, context binary, doc long, mark long, low int, high int, anchor int, stretches long"), "segments")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").drop("n")
     grams = written(grams, "grams")  # a table on both sides of the join lets Spark split the rows of a hot gram
     again = written(found.join(grams, "gram"), "repeats")
 
     place = F.struct("doc", "mark", "low", "high", "anchor")
-    contexts = again.where("mixed").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("at"))
-    wanted = contexts.select("at.doc", "at.mark", F.struct("gram", "context", "n", "at.low", "at.high", "at.anchor").alias("s")).groupBy("doc", "mark").agg(F.collect_list("s").alias("s"))
+    contexts = again.where("mixed").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.first("stretches").alias("stretches"))
+    contexts = written(contexts, "contexts")
+    keys = F.array(*[F.struct(F.lit(k).alias("slot"), F.shiftrightunsigned("stretches", 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("key")) for k in range(SLOTS)])
+    stretched = contexts.select("gram", "context", "n", "at", F.explode(keys).alias("s")).select("gram", "context", "n", "at", "s.slot", "s.key").where("key > 0")
+    shared = stretched.groupBy("gram", "slot", "key").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").drop("k", "least")
+    candidates = stretched.join(shared, ["gram", "slot", "key"]).groupBy("gram", "context").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+    wanted = candidates.select("at.doc", "at.mark", F.struct("gram", "context", "n", "at.low", "at.high", "at.anchor").alias("s")).groupBy("doc", "mark").agg(F.collect_list("s").alias("s"))
     bodies = rows.join(wanted.hint("shuffle_hash"), ["doc", "mark"]).select("text", "s").mapInArrow(_context_bodies(length), PIECES)
-    pieces = written(bodies.dropDuplicates(["gram", "piece"]), "contexts")
+    pieces = written(bodies.dropDuplicates(["gram", "piece"]), "pieces")
     runs = repeated_runs(pieces, length, hot).withColumnRenamed("piece", "context")
+    runs = runs.unionByName(contexts.where("n > 1").select("gram", "context", F.lit(0).alias("a"), (F.col("at.high") - F.col("at.low")).alias("b")))
 
     plain = again.where("not mixed").select("doc", "mark", F.col("low").alias("a"), (F.col("high") + length).alias("b"))
     by_runs = again.where("mixed").join(runs, ["gram", "context"]).select("doc", "mark", (F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b") + length).alias("b"))

@@ -1,8 +1,8 @@
 """External suffix sorting by recursive induction, with common prefixes carried along, for shards larger than memory.
 
 Suffixes are of type S (smaller than the next one) or L. The leftmost S suffixes of each run, the stars,
-are sorted by the pieces from one star to the next, named, and the names sorted in recursion where they are
-not unique. Two scans then induce all others, each driven by a monotone priority queue of tuples (key,
+are sorted by the pieces from one star to the next, dealt by letters and sorted run by run, named, and the names
+sorted in recursion where they are not unique. Two scans then induce all others, each driven by a monotone priority queue of tuples (key,
 position, common prefix): taken in order, a suffix puts the one before it into the queue under that one's
 first character. Entries of equal key leave in the order they came.
 
@@ -22,12 +22,15 @@ can come.
 from __future__ import annotations
 
 import tempfile
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
 #: Entries of a queue in memory before its largest buckets go to disk.
 QUEUE_ENTRIES = 1 << 18
+#: What a block of entries takes besides them, in entries.
+BLOCK = 40
 #: Entries that are handled at a time.
 BATCH = 1 << 15
 #: Entries of a bucket of several letters, which is sorted in memory.
@@ -64,6 +67,7 @@ class DiskQueue:
 
     def __init__(self, first: np.ndarray, letters: int, side: Callable[[int, int], Entries], n_side: int, limit: int) -> None:
         self.bounds = 2 * np.append(first, letters).astype(np.int64)
+        self.firsts = self.bounds.tolist()
         self.blocks: list[list] = [[] for _ in first]
         self.counts = np.zeros(len(first), np.int64)
         self.single = np.diff(self.bounds) == 2
@@ -75,19 +79,23 @@ class DiskQueue:
 
     def put(self, keys: np.ndarray, positions: np.ndarray, prefixes: np.ndarray) -> None:
         """Entries sorted by key, none of them before what was taken last."""
+        if len(keys) == 1:
+            self._put(bisect_right(self.firsts, int(keys[0])) - 1, (keys, positions, prefixes))
+            return
         into = np.searchsorted(self.bounds, keys, "right") - 1
         cuts = np.flatnonzero(into[1:] != into[:-1]) + 1
         starts = [0, *cuts.tolist()]
         for start, end in zip(starts, [*starts[1:], len(keys)]):
-            bucket = int(into[start])
             # copies, so that what has gone to disk is not kept alive by its neighbours
-            block = (keys[start:end].copy(), positions[start:end].copy(), prefixes[start:end].copy())
-            if bucket == self.bucket and not self.fresh and not self.single[bucket]:
-                self.ready = self._sorted([self.ready, block])
-                continue
-            self.blocks[bucket].append(block)
-            self.counts[bucket] += end - start
-            self.held += end - start
+            self._put(int(into[start]), (keys[start:end].copy(), positions[start:end].copy(), prefixes[start:end].copy()))
+
+    def _put(self, bucket: int, block: Entries) -> None:
+        if bucket == self.bucket and not self.fresh and not self.single[bucket]:
+            self.ready = self._sorted([self.ready, block]) if len(self.ready[0]) else block
+            return
+        self.blocks[bucket].append(block)
+        self.counts[bucket] += len(block[0]) + BLOCK
+        self.held += len(block[0]) + BLOCK
         self.peak = max(self.peak, self.held)
         if self.held > self.limit:
             self._spill()
@@ -124,8 +132,8 @@ class DiskQueue:
 
     def _read(self, block: tuple) -> Entries:
         if len(block) == 3:
-            self.held -= len(block[0])
-            self.counts[self.bucket] -= len(block[0])
+            self.held -= len(block[0]) + BLOCK
+            self.counts[self.bucket] -= len(block[0]) + BLOCK
             return block
         self.file.seek(block[0])
         return tuple(np.frombuffer(self.file.read(size * block[1]), kind) for size, kind in ((4, np.int32), (4, np.int32), (2, np.int16)))
@@ -289,7 +297,8 @@ def _first_letters(text: np.ndarray, letters: int, limit: int, disk: Disk) -> np
     for low, high in _ranges(len(text)):
         found, times = np.unique(text[low:high], return_counts=True)
         counts[found] += times.astype(np.int32)
-    size = max(1, min(BUCKET, limit // 4))
+    # no more buckets than can hold several blocks each within the limit
+    size = max(1, min(max(BUCKET, 8 * BLOCK * len(text) // limit), limit // 4))
     first, total = [np.zeros(1, np.int64)], 0
     for low, high in _ranges(letters):
         own = np.asarray(counts[low:high], np.int64)
@@ -312,7 +321,7 @@ def _scan(text: np.ndarray, kind: np.ndarray, wanted: bool, letters: int, side:
     queue = DiskQueue(np.sort(top + 1 - np.append(first[1:], letters)) if wanted else first, letters, side, n_side, limit)
     last = disk.array(np.int32, letters)
     last[:] = _NEVER
-    history = _History(n, disk) if cap else None
+    history = _History(n, disk)
     if not wanted:  # the last suffix has none after it to induce it
         queue.put(np.array([2 * int(text[-1])], np.int32), np.array([n - 1], np.int32), np.zeros(1, np.int16))
         last[int(text[-1])] = _END
@@ -332,17 +341,15 @@ def _scan(text: np.ndarray, kind: np.ndarray, wanted: bool, letters: int, side:
             count = int(late.argmax()) + 1
         queue.drop(count)
         keys, at = keys[:count], at[:count]
-        values = np.zeros(count, np.int16)
-        if cap:
-            step = np.empty(count, np.int32)
-            step[0] = keys[0] - before_key
-            np.subtract(keys[1:], keys[:-1], out=step[1:])
-            np.copyto(values, prefixes[:count], where=step == 0)
-            # from an even key to the odd one of the same letter
-            meet = ((step == 1) & (keys & 1 == 1)).nonzero()[0]
-            if len(meet):
-                behind = np.where(meet > 0, at[meet - 1], before)
-                values[meet] = common_prefixes(text, at[meet].astype(np.int64), behind.astype(np.int64), cap)
+        step = np.empty(count, np.int32)
+        step[0] = keys[0] - before_key
+        np.subtract(keys[1:], keys[:-1], out=step[1:])
+        values = np.where(step == 0, prefixes[:count], np.int16(0))
+        # from an even key to the odd one of the same letter
+        meet = ((step == 1) & (keys & 1 == 1)).nonzero()[0]
+        if len(meet):
+            behind = np.where(meet > 0, at[meet - 1], before)
+            values[meet] = common_prefixes(text, at[meet].astype(np.int64), behind.astype(np.int64), cap)
         yield (keys & 1).astype(bool), at, values
         use = induces[:count].nonzero()[0]
         if len(use):
@@ -350,27 +357,23 @@ def _scan(text: np.ndarray, kind: np.ndarray, wanted: bool, letters: int, side:
             key, own = pushed[use], letter[use]
             new = np.ones(len(use) + 1, bool)
             np.not_equal(key[1:], key[:-1], out=new[1:-1])
-            if cap:
-                shared = np.minimum(history.least(values, use, new[:-1], last[own]) + np.int16(1), np.int16(cap))
-                end = new[1:]
-                last[own[end]] = taken + use[end]
-            else:
-                shared = np.zeros(len(use), np.int16)
+            shared = np.minimum(history.least(values, use, new[:-1], last[own]) + np.int16(1), np.int16(cap))
+            end = new[1:]
+            last[own[end]] = taken + use[end]
             queue.put(key, at[use] - np.int32(1), shared)
-        if cap:
-            history.add(values)
+        history.add(values)
         before_key, before = int(keys[-1]), int(at[-1])
         taken += count
 
 
-def _induced(text: np.ndarray, kind: np.ndarray, letters: int, seeds: np.ndarray, seed_prefixes: np.ndarray | None, cap: int, limit: int, disk: Disk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _induced(text: np.ndarray, kind: np.ndarray, letters: int, seeds: np.ndarray, seed_prefixes: np.ndarray, cap: int, limit: int, disk: Disk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes from sorted stars: batches (position, common prefix with the one before), in descending order."""
     n, top = len(text), letters - 1
     first = _first_letters(text, letters, limit, disk)
 
     def stars(low: int, high: int) -> Entries:
         at = np.asarray(seeds[low:high])
-        return 2 * text[at].astype(np.int32) + 1, at, np.asarray(seed_prefixes[low:high]) if cap else np.zeros(high - low, np.int16)
+        return 2 * text[at].astype(np.int32) + 1, at, np.asarray(seed_prefixes[low:high])
 
     larger, larger_prefixes = disk.array(np.int32, n), disk.array(np.int16, n + 1)
     count = 0
@@ -388,36 +391,72 @@ def _induced(text: np.ndarray, kind: np.ndarray, letters: int, seeds: np.ndarray
         yield at, prefixes
 
 
-def _names(text: np.ndarray, stars: np.ndarray, order: np.ndarray, cap: int, disk: Disk) -> tuple[np.ndarray, int]:
-    """Names of the pieces from star to star in text order, and their number; equal pieces, up to ``cap``, share one."""
-    m = len(stars)
-    out = disk.array(np.int32, m)
-    out[np.searchsorted(stars, order[0])] = 0
-    name = 0
-    for low, high in _ranges(m - 1):
-        rank = np.searchsorted(stars, order[low : high + 1])  # of one type, or all stars would be copied
-        pair = order[low : high + 1].astype(np.int64)
-        size = stars[np.minimum(rank + 1, m - 1)] - pair + 1
-        a, b, size_a, size_b = pair[:-1], pair[1:], size[:-1], size[1:]
-        # the last piece reaches the end of the text and equals no other
-        same = ((size_a == size_b) | (np.minimum(size_a, size_b) > cap)) & (rank[:-1] < m - 1) & (rank[1:] < m - 1)
-        maybe = np.flatnonzero(same)
-        need = np.minimum(size_a[maybe], cap)
-        # where the pieces have no more than ``need`` characters to compare, their tails are counted as known
-        shared = np.zeros(len(maybe), np.int64)
-        live = np.arange(len(maybe))
-        step = 0
+def _sorted_pieces(text: np.ndarray, stars: np.ndarray, letters: int, cap: int, disk: Disk) -> tuple[np.ndarray, np.ndarray, int]:
+    """Stars by the pieces from each to the next, names of the pieces in that order, and the number of names.
+
+    Stars are dealt by their first letters to runs, the largest runs by their third, and a run is sorted in memory by as many letters at a time as fit in
+    63 bits, until pieces differ or end or ``cap`` letters are equal. Beyond its end a piece is larger than any letter, as
+    the suffix that goes on there is of type L; the end of the text is smaller.
+    """
+    m, n, base = len(stars), len(text), letters + 2
+    names, name = disk.array(np.int32, m), -1
+    pairs = letters <= 512
+
+    def first(at: np.ndarray) -> np.ndarray:
+        letter = text[at].astype(np.int64)
+        return letter * letters + text[at + 1] if pairs else letter  # a star is never the last position
+
+    def third(at: np.ndarray) -> np.ndarray:  # every piece but the last, which ends with the text, has three letters
+        return np.where(at + 2 < n, text[np.minimum(at + 2, n - 1)].astype(np.int64) + 1, 0)
+
+    order = _dealt(stars, first, letters * letters if pairs else letters, disk)
+
+    def runs() -> Iterator[tuple[int, int]]:
+        for low, high in _runs(order, first, 0, m):
+            if pairs and high - low > BATCH:
+                order[low:high] = _dealt(order[low:high], third, letters + 1, disk)
+                yield from _runs(order, third, low, high)
+            else:
+                yield low, high
+
+    width = max(1, int(63 / np.log2(base)))
+
+    def keys(at: np.ndarray, size: np.ndarray, depth: int) -> np.ndarray:
+        key = np.zeros(len(at), np.int64)
+        for k in range(depth, depth + width):
+            place = at + k
+            letter = text[np.minimum(place, n - 1)].astype(np.int64) + 1
+            letter[place >= n] = 0
+            key *= base
+            key += np.where(k < size, letter, base - 1)
+        return key
+
+    for low, high in runs():
+        at = order[low:high].astype(np.int64)
+        rank = np.searchsorted(stars, order[low:high])
+        size = np.minimum(np.where(rank + 1 < m, stars[np.minimum(rank + 1, m - 1)] - at + 1, n - at + 1), cap + 1)
+        by = np.arange(len(at))
+        group = np.zeros(len(at), np.int64)
+        live, depth = np.arange(len(at)), 0
         while len(live):
-            equal = text[a[maybe[live]] + step] == text[b[maybe[live]] + step]
-            live = live[equal]
-            shared[live] += 1
-            step += 1
-            live = live[shared[live] < need[live]]
-        same[maybe] = shared >= need
-        names = name + np.cumsum(~same)
-        out[rank[1:]] = names
-        name = int(names[-1])
-    return out, name + 1
+            # ``live`` are places in the order whose groups are not told apart yet
+            key = keys(at[by[live]], size[by[live]], depth)
+            own = group[live]
+            sub = np.lexsort((key, own))
+            by[live] = by[live[sub]]
+            key, own = key[sub], own[sub]
+            new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            group[live] = live[begin]
+            depth += width
+            tied = ~new | np.append(~new[1:], False)
+            # one that ends just here is larger than those that go on, which the next letters tell
+            live = live[tied & (size[by[live]] >= depth)]
+        order[low:high] = at[by]
+        fresh = np.append(True, group[1:] != group[:-1])
+        names[low:high] = name + np.cumsum(fresh)
+        name += int(fresh.sum())
+    return order, names, name + 1
 
 
 def sorted_suffixes(text: np.ndarray, letters: int, cap: int, limit: int | None = None, disk: Disk | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -433,17 +472,11 @@ def sorted_suffixes(text: np.ndarray, letters: int, cap: int, limit: int | None
     m = len(stars)
     seed_prefixes = disk.array(np.int16, m)
     if m > 1:
-        # the pieces in order: induced from the stars by first letter alone
-        by_letter = _by_letter(text, stars, letters, disk)
-        pieces = disk.array(np.int32, m)
-        at = m
-        for positions, _ in _induced(text, kind, letters, by_letter, None, 0, limit, disk):
-            inner = np.maximum(positions - 1, 0)
-            own = positions[(positions > 0) & kind[positions] & ~kind[inner]]
-            pieces[at - len(own) : at] = own[::-1]
-            at -= len(own)
-        names, count = _names(text, stars, pieces, cap, disk)
+        pieces, named, count = _sorted_pieces(text, stars, letters, cap, disk)
         if count < m:
+            names = disk.array(np.int32, m)
+            for low, high in _ranges(m):
+                names[np.searchsorted(stars, pieces[low:high])] = named[low:high]
             # a piece has two characters of its own at least
             ranks, shared = sorted_suffixes(names, count, cap // 2 + 1, limit, disk)
         seeds = pieces if count == m else disk.array(np.int32, m)
@@ -466,30 +499,49 @@ def sorted_suffixes(text: np.ndarray, letters: int, cap: int, limit: int | None
     return order, prefixes[:n]
 
 
-def _by_letter(text: np.ndarray, stars: np.ndarray, letters: int, disk: Disk) -> np.ndarray:
-    """Stars sorted by their first letter, a batch at a time by counting."""
-    out = disk.array(np.int32, len(stars))
-    begin = disk.array(np.int64, letters + 1)
-    for low, high in _ranges(len(stars)):
-        found, times = np.unique(text[stars[low:high]], return_counts=True)
-        begin[found.astype(np.int64) + 1] += times
+Keys = Callable[[np.ndarray], np.ndarray]
+
+
+def _dealt(items: np.ndarray, key_of: Keys, keys: int, disk: Disk) -> np.ndarray:
+    """Positions sorted by a key below ``keys``, a batch at a time by counting."""
+    out = disk.array(np.int32, len(items))
+    begin = disk.array(np.int32, keys + 1)
+    for low, high in _ranges(len(items)):
+        found, times = np.unique(key_of(items[low:high]), return_counts=True)
+        begin[found + 1] += times.astype(np.int32)
     total = 0
-    for low, high in _ranges(letters + 1):
+    for low, high in _ranges(keys + 1):
         upto = total + np.cumsum(begin[low:high])
         begin[low:high] = upto
         total = int(upto[-1])
-    for low, high in _ranges(len(stars)):
-        own = np.asarray(stars[low:high])
-        letter = text[own].astype(np.int64)
-        order = np.argsort(letter, kind="stable")
-        own, letter = own[order], letter[order]
-        new = np.flatnonzero(np.append(True, letter[1:] != letter[:-1]))
+    for low, high in _ranges(len(items)):
+        own = np.asarray(items[low:high])
+        key = key_of(own)
+        order = np.argsort(key, kind="stable")
+        own, key = own[order], key[order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         times = np.diff(np.append(new, len(own)))
-        out[begin[letter] + np.arange(len(own)) - np.repeat(new, times)] = own
-        begin[letter[new]] += times
+        out[begin[key] + np.arange(len(own)) - np.repeat(new, times)] = own
+        begin[key[new]] += times.astype(np.int32)
     return out
 
 
+def _runs(items: np.ndarray, key_of: Keys, low: int, end: int) -> Iterator[tuple[int, int]]:
+    """Ranges of dealt positions that keep equal keys together, of ``BATCH`` at most unless one key has more."""
+    while low < end:
+        high = min(end, low + BATCH)
+        if high < end:  # up to where another key begins, before or, if there is none, behind
+            keys = key_of(items[low : high + 1])
+            left = int(np.searchsorted(keys, keys[-1]))
+            if left:
+                high = low + left
+            else:
+                while high < end and (more := int((key_of(items[high : min(end, high + BATCH)]) == keys[-1]).sum())):
+                    high += more
+        yield low, high
+        low = high
+
+
 def suffix_order(text: np.ndarray, limit: int | None = None, cap: int | None = None) -> np.ndarray:
     """The positions of a non-empty text of small non-negative integers, sorted by their suffixes."""
     return sorted_suffixes(text.astype(np.int32), int(text.max()) + 1, cap or len(text), limit)[0]

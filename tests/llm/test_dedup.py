@@ -156,6 +156,17 @@ def test_suffixes_and_their_common_prefixes(values, cap, limit, batch, repeated)
     assert prefixes.tolist()[1:] == [shared(values[a:], values[b:], cap) for a, b in zip(order, order[1:])]
 
 
+def test_suffixes_of_long_pieces():
+    """Pieces longer than a packed key, some ending where others go on, and repeats of them."""
+    rng = np.random.default_rng(7)
+    falls = [[*range(k, 0, -1)] for k in (7, 8, 9, 15, 16, 30)]
+    values = [v for k in rng.integers(0, 6, 150) for v in falls[k][: rng.integers(1, 31)]] * 2
+    for cap in (5, 9, 40, 5000):
+        order, prefixes = suffixes.sorted_suffixes(np.array(values, np.int32), 31, cap, 100)
+        assert [values[i:][:cap] for i in order] == sorted(values[i:][:cap] for i in range(len(values)))
+        assert prefixes.tolist()[1:] == [shared(values[a:], values[b:], cap) for a, b in zip(order, order[1:])]
+
+
 def test_queues_go_to_disk_and_come_back_in_order():
     rng = np.random.default_rng(5)
     sent = {k: [] for k in range(700)}
@@ -186,7 +197,7 @@ def test_a_shard_larger_than_the_memory_allowed(monkeypatch):
     size = sum(map(len, raw))
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
     body = np.frombuffer(b"".join(raw), np.uint8)
-    shard = suffixes.Shard(200, limit=1 << 13)
+    shard = suffixes.Shard(200, limit=1 << 15)
     tracemalloc.start()
     base = tracemalloc.get_traced_memory()[0]
     shard.add(body, offsets, np.ones(len(raw), np.int64))
