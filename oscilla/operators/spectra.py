@@ -130,7 +130,9 @@ def causal_fir(samples: DataFrame, filters: DataFrame) -> DataFrame:
     back = Window.partitionBy("subject").orderBy("t").rangeBetween(-int(reach), 0)
     seen = samples.select("subject", "t", F.collect_list(F.struct("t", "x")).over(back).alias("seen")).join(own, "subject")
     y = F.aggregate("seen", F.lit(0.0), lambda s, p: s + p["x"] * F.coalesce(F.try_element_at("taps", F.col("t") - p["t"]), F.lit(0.0)))
-    return seen.select("subject", "t", y.alias("y"))
+    # a sample that no tap of any sample reaches has no result
+    met = F.exists("seen", lambda p: F.try_element_at("taps", F.col("t") - p["t"]).isNotNull())
+    return seen.where(met).select("subject", "t", y.alias("y"))
 
 
 def channel_gain(samples: DataFrame, gains: DataFrame) -> DataFrame:
