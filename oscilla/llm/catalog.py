@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, langid, licenses, minhash, mixing, secretscan, sharding, substrings
+from . import chat, decontaminate, fingerprints, langid, licenses, minhash, mixing, secretscan, sharding, substrings, tokens
 from .store import table
 
+#: The vocabulary of op13, among the files of the installed public tokenizers.
+TOKENIZER = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": lambda s, d: decontaminate.op1_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
@@ -24,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": lambda s, d: chat.op8_chat_format(table(s, d, "conversations")),
         "op9_sharding": lambda s, d: sharding.op9_sharding(table(s, d, "documents")),
         "op10_fingerprints": lambda s, d: fingerprints.op10_fingerprints(table(s, d, "documents")),
+        "op13_token_counts": lambda s, d: tokens.op13_token_counts(table(s, d, "documents"), _tokenizer()),
     }
 
 
