@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, langid, licenses, minhash, mixing, prefixtrie, secretscan, sharding, substrings, tokens
+from . import chat, decontaminate, fingerprints, langid, licenses, minhash, mixing, prefixtrie, secretscan, sharding, substrings, tokens, variants
 from .store import table
 
 #: The vocabulary of op13, among the files of the installed public tokenizers.
@@ -33,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": lambda s, d: chat.op8_chat_format(table(s, d, "conversations")),
         "op9_sharding": lambda s, d: sharding.op9_sharding(table(s, d, "documents")),
         "op10_fingerprints": lambda s, d: fingerprints.op10_fingerprints(table(s, d, "documents")),
+        "op11_spelling_variants": lambda s, d: variants.op11_spelling_variants(table(s, d, "documents")),
         "op12_prefix_trie": lambda s, d: prefixtrie.op12_prefix_trie(table(s, d, "conversations")),
         "op13_token_counts": lambda s, d: tokens.op13_token_counts(table(s, d, "documents"), _tokenizer()),
     }
@@ -45,5 +46,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_near_duplicates": minhash.ORACLE,
         "op8_chat_format": chat.ORACLE,
         "op9_sharding": sharding.ORACLE,
+        "op11_spelling_variants": variants.ORACLE,
         "op12_prefix_trie": prefixtrie.ORACLE,
     }
