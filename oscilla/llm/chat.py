@@ -36,7 +36,7 @@ from .spans import let, with_fixed
 _CONTROL = r"([<\[])(\\*)(?=/?s>|/?INST\]|INST:)"
 _ESCAPED = r"([<\[])\\(\\*)(?=/?s>|/?INST\]|INST:)"
 _BRACKETS = r"(?:</?s>|\[/?INST\]|\[INST:)"
-_OPENER = r"^(?:<s>|\[INST\]|\[INST:([A-Za-z0-9_-]+|~(?:[0-9A-F]{2})*)\])"
+_OPENER = r"^(?:<s>|\[INST\]|\[INST:([A-Za-z0-9_-]+|~(?:[0-9A-F]{2})*+)\])"
 _CLOSER = r"(?:</s>|\[/INST\])"
 
 

@@ -36,10 +36,11 @@ WINDOW = 20
 #: Bits a character by class of characters: hexadecimal, letters and digits, base 64.
 LEAST_BITS = (("^[0-9a-fA-F-]+$", 3.0), ("^[0-9A-Za-z]+$", 3.6), ("", 3.8))
 #: Strings that are no secrets: placeholders, UUIDs, long digit runs, counted-up alphabets, paths and slugs.
+#: A repeated group must be possessive: Java gives each repetition a frame of the stack where it could go back.
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|lorem|x{4}|0{6}|1234567|abcdefg"
     r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-    r"|^[0-9-]*[0-9]{14,}[0-9-]*$|^(?:[A-Za-z]+[-_/])+[A-Za-z0-9]{0,6}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"|^[0-9-]*[0-9]{14,}[0-9-]*$|^(?:[A-Za-z]++[-_/])++[A-Za-z0-9]{0,6}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 )
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from oscilla.llm import decontaminate, langid, licenses, secretscan
+from oscilla.llm import chat, decontaminate, langid, licenses, secretscan
 from oscilla.llm.wordscan import ALNUM, NON_SPACE, Words, buffers
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -347,3 +347,18 @@ def test_many_matches_in_one_text(spark):
     start = time.perf_counter()
     row = licenses.op4_license_scan(docs(spark, [(1, "all rights reserved. MIT License " * 32000)])).first()
     assert time.perf_counter() - start < 60 and row.n_base == 32000 and row.labels == "mit,reserved"
+
+
+@pytest.mark.parametrize("unit", ["a-", "a/", "a_"])
+def test_a_million_repetitions_return_rows(spark, unit):
+    rows = [(1, unit * 1_000_000 + "1 end"), (2, unit * 1_000_000), (3, "password: " + unit * 1_000_000), (4, "licensed under " + unit * 1_000_000 + "mit license")]
+    df = docs(spark, rows)
+    got = {r.doc_id: r for r in secretscan.op6_secret_scan(df).collect()}
+    assert len(got) == 4 and got[1].spans == got[2].spans == ""
+    value = re.match("[A-Za-z0-9+/_.=-]+", unit * 1_000_000)[0]
+    assert got[3].n_assign == 1 and got[3].spans.startswith(f"assign:0:{10 + len(value)}")
+    found = {r.doc_id: r for r in licenses.op4_license_scan(df).collect()}
+    assert len(found) == 4 and "mit" in found[4].labels and found[2].n_words == 1_000_000
+    turns = spark.createDataFrame([(1, 0, unit * 1_000_000, "[INST]" * 1_000_000), (1, 1, "user", unit * 1_000_000), (2, 0, "~" + "AB" * 1_000_000, "<\\" * 1_000_000 + "s>")], "conv_id long, turn long, role string, text string")
+    back = {r.conv_id: r.n_turns for r in chat.op8_chat_format(turns).collect()}
+    assert back == {-1: 2, 1: 2, 2: 1}
