@@ -22,7 +22,7 @@ Shards, tables and rounds are Spark tables in the shared folder, so lost executo
 
 Edge cases: null and empty texts have no bytes; texts below ``length`` bytes lose nothing. Rows of one
 doc_id and text are two documents, each a repeat of the other; their ranges are the same and are gathered
-once. A null doc_id is a document like any other. Only the id and text columns are read.
+once. A text of any length is taken in overlapping parts. A null doc_id is a document like any other. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -42,10 +42,11 @@ from .wordscan import Rolling, blocks, buffers
 GRAM = 32
 #: Stretches around a gram by which contexts that can share a window are found.
 SLOTS = 4
-#: Bits of a place in a block of texts; the rest of a packed value is hash.
-PLACE = np.uint64(28)
+#: Windows of a long text that are taken at a time, and bits of a place among them; the rest of a packed value is hash.
+CHUNK = 1 << 22
+PLACE = np.uint64(24)
 #: Bytes of contexts that are sorted together; they are never in memory together.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 8 << 20
 HOT = 2048
 PIECES = "gram long, piece binary, n long, anchor int, near int, far int, first int, body binary"
 RUNS = "gram long, piece binary, a int, b int"
@@ -73,6 +74,8 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
         return none
     rolling = Rolling(raw)
     grams = rolling.grams(GRAM)
+    if len(grams) > 1 << int(PLACE):
+        raise ValueError(f"a block of {len(raw)} bytes has more places than {PLACE} bits tell apart")
     packed = (grams >> PLACE << PLACE) | np.arange(len(grams), dtype=np.uint64)
     anchor = (_sliding_least(packed, length - GRAM + 1) & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:windows]
@@ -98,13 +101,28 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
     return {"stretches": stretches.view(np.int64), "row": own, "gram": grams[at].view(np.int64), "context": context, "low": low - begin, "high": high - begin, "anchor": at - low}
 
 
-def _segment_rows(length: int):
+def _parts(raw: np.ndarray, offsets: np.ndarray, length: int, chunk: int) -> Iterator[tuple[int, dict]]:
+    """(first row, segments) of blocks of texts; a text of more than ``chunk`` windows comes in parts that overlap.
+
+    A run of windows with one anchor that reaches into the next part is two segments; each window is in one.
+    """
+    for low, high in blocks(offsets):
+        windows = int(offsets[high] - offsets[low]) - length + 1
+        if high - low > 1 or windows <= chunk:
+            yield low, segments(raw[offsets[low] : offsets[high]], offsets[low : high + 1], length)
+            continue
+        for first in range(0, windows, chunk):
+            part = raw[offsets[low] + first : min(offsets[high], offsets[low] + first + chunk + length - 1)]
+            own = segments(part, np.array([0, len(part)]), length)
+            yield low, own | {"low": own["low"] + first, "high": own["high"] + first}
+
+
+def _segment_rows(length: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, mark = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             raw, offsets = buffers(batch.column(2))
-            for low, high in blocks(offsets):
-                s = segments(raw[offsets[low] : offsets[high]], offsets[low : high + 1], length)
+            for low, s in _parts(raw, offsets, length, chunk):
                 rows = s["row"] + low
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s["gram"]), pa.array(s["context"], pa.binary()), pa.array(doc[rows]), pa.array(mark[rows]), *(pa.array(s[k].astype(np.int32)) for k in ("low", "high", "anchor")), pa.array(s["stretches"])],
@@ -240,12 +258,12 @@ def _runs_of(pieces: DataFrame, length: int) -> DataFrame:
     return whole.unionByName(_sorted_runs(sized.where("k > 1").drop("k"), length))
 
 
-def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", length: int = 200, hot: int = HOT) -> DataFrame:
+def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", length: int = 200, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """(doc, mark, text, spans) for every row: ``spans`` are byte ranges to remove, not yet merged; null where none."""
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), ident.alias("doc"), F.xxhash64(body).alias("mark"), body.alias("text"))
-    found = written(rows.select("doc", "mark", "text").where(F.octet_length("text") >= length).mapInArrow(_segment_rows(length), "gram long, context binary, doc long, mark long, low int, high int, anchor int, stretches long"), "segments")
+    found = written(rows.select("doc", "mark", "text").where(F.octet_length("text") >= length).mapInArrow(_segment_rows(length, chunk), "gram long, context binary, doc long, mark long, low int, high int, anchor int, stretches long"), "segments")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").drop("n")
     grams = written(grams, "grams")  # a table on both sides of the join lets Spark split the rows of a hot gram
     again = written(found.join(grams, "gram"), "repeats")

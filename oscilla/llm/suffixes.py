@@ -21,6 +21,7 @@ can come.
 
 from __future__ import annotations
 
+import os
 import tempfile
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -28,25 +29,31 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Entries of a queue in memory before its largest buckets go to disk.
-QUEUE_ENTRIES = 1 << 18
+QUEUE_ENTRIES = 1 << 20
 #: What a block of entries takes besides them, in entries.
 BLOCK = 40
 #: Entries that are handled at a time.
 BATCH = 1 << 15
 #: Entries of a bucket of several letters, which is sorted in memory.
-BUCKET = 1 << 11
+BUCKET = 1 << 13
 _NEVER, _END = -2, -1
 _MOST = np.int32((1 << 31) - 1)
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
+def scratch_file():
+    """An unnamed file in one of the executor's own folders, or in the default folder outside of Spark's tasks."""
+    folders = [f for f in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(f)]
+    return tempfile.TemporaryFile(dir=folders[os.getpid() % len(folders)] if folders else None)
+
+
 class Disk:
     """Arrays in unnamed files, which go with their last user."""
 
     def array(self, kind: type, size: int) -> np.ndarray:
         if not size:
             return np.zeros(0, kind)
-        with tempfile.TemporaryFile() as file:
+        with scratch_file() as file:
             file.truncate(size * np.dtype(kind).itemsize)
             return np.memmap(file, kind, "r+", shape=(size,)).view(np.ndarray)
 
@@ -108,7 +115,7 @@ class DiskQueue:
 
     def _spill(self) -> None:
         """Write the entries of the fullest buckets to disk until half the limit is free."""
-        self.file = self.file or tempfile.TemporaryFile()
+        self.file = self.file or scratch_file()
         while self.held > self.limit // 2:
             bucket = int(self.counts.argmax())
             kept = []
@@ -552,7 +559,7 @@ class Shard:
 
     def __init__(self, length: int, limit: int | None = None) -> None:
         self.length, self.limit, self.disk = length, limit, Disk()
-        self.file = tempfile.TemporaryFile()
+        self.file = scratch_file()
         self.sizes: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
 

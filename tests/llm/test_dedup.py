@@ -240,15 +240,37 @@ def passages(seed):
     return [(k, t) for k, t in enumerate(rows)] + [(3, rows[3]), (None, rows[9])]
 
 
-@pytest.mark.parametrize("hot", [2048, 2])
-def test_repeated_bytes_equal_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot, chunk", [(2048, substrings.CHUNK), (2, substrings.CHUNK), (2048, 37)])
+def test_repeated_bytes_equal_brute_force(spark, hot, chunk):
     rows = passages(hot)
+    if chunk < 1000:  # texts on their own in a block are taken in parts
+        rows += [(90, "x" * 3_000_000), (91, rows[3][1] + "y" * 2_500_000)]
+        chunk = 100_003
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, spans int")
-    spans = substrings.repeated_bytes(df, hot=hot)
+    spans = substrings.repeated_bytes(df, hot=hot, chunk=chunk)
     got = spans.mapInArrow(substrings._digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     assert sorted((str(r[0]), *tuple(r)[1:]) for r in got.collect()) == removed(rows)
 
 
+@pytest.mark.parametrize("chunk", [1, 61, 500])
+def test_parts_of_a_long_text_have_the_windows_and_anchors_of_the_whole(chunk):
+    rng = np.random.default_rng(chunk)
+    raw = rng.integers(97, 100, 4000).astype(np.uint8)
+
+    def windows(s):
+        return sorted((w, int(g), int(low + a)) for g, low, high, a in zip(s["gram"], s["low"], s["high"], s["anchor"]) for w in range(low, high + 1))
+
+    whole = substrings.segments(raw, np.array([0, 4000]), 200)
+    found = [x for _, s in substrings._parts(raw, np.array([0, 4000]), 200, chunk) for x in windows(s)]
+    assert sorted(found) == windows(whole) and len(found) == 3801
+
+
+def test_places_beyond_the_bits_are_an_error(monkeypatch):
+    monkeypatch.setattr(substrings, "PLACE", np.uint64(10))
+    with pytest.raises(ValueError):
+        substrings.segments(np.zeros(3000, np.uint8), np.array([0, 3000]), 200)
+
+
 def test_repeats_of_nothing(spark):
     df = spark.createDataFrame([(1, "only one")], "doc_id long, text string")
     assert substrings.op7_suffix_dedup(df.limit(0)).count() == 0
