@@ -13,8 +13,10 @@ are in no manifest and so in no shard.
 A shard's size is the UTF-8 bytes of its texts plus 16 a row, so the layout follows from the data
 alone. An arrival's rows go to its small shards by a hash of their id, so no source or group is hot;
 merges move whole shards. Every task writes files of about the target size in all, however large the
-store; plans come from running sums over ranges of the manifest, which is never collected: the driver
-holds the names of live batches, one for each append or merge, and Spark's own list of files.
+store; plans and numbers come from running sums over ranges of the manifest, which is never collected: the
+driver holds one sum for ``RANGE_SHARDS`` shards, the names of live batches, one for each append or merge, and
+Spark's own list of files. Files are numbered within their batch; the names of shards, which begin with those of
+their arrivals, stand in manifests alone, so that they may have any length and characters.
 
 Edge cases: null texts count 16 bytes; null ids hash as '' and null names of arrivals are ''; repeated
 rows stay repeated; an empty arrival has no shards but commits a version; a text larger than a target
@@ -36,10 +38,12 @@ from pyspark.sql import types as T
 
 from .store import new_path, removed, written
 
-MANIFEST = "shard string, tier int, size long, n long, batch string, of long"
+MANIFEST = "shard string, file long, tier int, size long, n long, batch string, of long"
 ROW_BYTES = 16
-#: Tables of shards or arrivals up to so many rows (of some hundred bytes) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_SHARDS = 50_000
+#: Tables of shards or arrivals up to so many bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
+#: Bytes of a row of such a table, without names.
+SLIM_BYTES = 128
 #: Shards in a range of the manifest on average.
 RANGE_SHARDS = 100_000
 
@@ -52,8 +56,28 @@ class Conflict(RuntimeError):
     """Another writer has committed what this one was to commit."""
 
 
-def _small(rows: DataFrame, count: int) -> DataFrame:
-    return F.broadcast(rows) if count <= BROADCAST_SHARDS else rows
+def _small(rows: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
+
+
+def _ahead(rows: DataFrame, name: str, weight: Column) -> DataFrame:
+    """``rows``, one for each ``name``, with ``_ahead``: the weights of those before, in the order of a digest; written.
+
+    Each range of rows sums up on its own, and the driver adds up one sum a range.
+    """
+    spark = rows.sparkSession
+    ranges = 1 + rows.count() // RANGE_SHARDS
+    mark = F.sha2(F.col(name), 256)
+    dealt = rows.withColumn("_mark", mark).withColumn("_weight", weight.cast("long")).repartitionByRange(ranges, "_mark").withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    total, firsts = 0, []
+    for at, size in sorted((r._range, r.size) for r in dealt.groupBy("_range").agg(F.sum("_weight").alias("size")).collect()):
+        firsts.append((at, total))
+        total += size
+    first = spark.createDataFrame(firsts, "_range int, _first long")
+    inside = F.sum("_weight").over(Window.partitionBy("_range").orderBy("_mark", name).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = dealt.withColumn("_inside", inside - F.col("_weight")).join(F.broadcast(first), "_range")
+    return written(out.withColumn("_ahead", F.col("_first") + F.col("_inside")).drop("_first", "_inside", "_range", "_weight"), "numbered")
 
 
 class ShardStore:
@@ -85,7 +109,7 @@ class ShardStore:
             stream.close()
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """(shard, tier, size, n, batch, of) of a version, by default of the last one; ``of`` is the number of shards of the batch."""
+        """(shard, file, tier, size, n, batch, of) of a version, by default of the last one; ``file`` is a shard's number in its batch, which has ``of`` shards."""
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
@@ -169,7 +193,7 @@ class ShardStore:
         return batch
 
     def _rows(self, batches: list[str], schema: T.StructType) -> DataFrame:
-        own = T.StructType([*schema.fields, T.StructField("_batch", T.StringType()), T.StructField("_shard", T.StringType())])
+        own = T.StructType([*schema.fields, T.StructField("_batch", T.StringType()), T.StructField("_shard", T.LongType())])
         folders = [f"{self.root}/data/_batch={b}" for b in sorted(batches)]
         return self.spark.read.option("basePath", f"{self.root}/data").schema(own).parquet(*folders)
 
@@ -181,28 +205,27 @@ class ShardStore:
         name = F.lit(f"v{self.version() + 1}") if name is None else F.coalesce(name.cast("string"), F.lit(""))
         sums = arrivals.select(name.alias("_name"), self._size().alias("size")).groupBy("_name").agg(F.sum("size").alias("size"))
         sums = sums.select("_name", F.greatest(F.lit(1), F.expr(f"(size + {self.small - 1}) div {self.small}")).alias("_pieces"))
-        ahead = F.sum("_pieces").over(Window.orderBy("_name")) - F.col("_pieces")
-        sums = written(sums.withColumn("_ahead", ahead), "arrivals")
+        sums = _ahead(sums, "_name", F.col("_pieces"))
         names, pieces = sums.agg(F.count("*"), F.coalesce(F.sum("_pieces"), F.lit(0))).first()
         key = F.conv(F.substring(F.md5(F.coalesce(F.col(self.id_col).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
         slots = {c: f"c{i}" for i, c in enumerate(arrivals.columns)}
-        rows = arrivals.select(*[F.col(c).alias(slot) for c, slot in slots.items()], name.alias("_name"), key.alias("_key")).join(_small(sums, names), "_name")
-        piece = F.col("_key") % F.col("_pieces")
+        rows = arrivals.select(*[F.col(c).alias(slot) for c, slot in slots.items()], F.sha2(name, 256).alias("_mark"), key.alias("_key")).join(_small(sums.drop("_name"), names * SLIM_BYTES), "_mark")
         together = max(1, self.target // self.small)  # so many small shards a task
-        shard = F.concat("_name", F.lit("-"), F.lpad(piece.cast("string"), 8, "0"))
-        rows = rows.withColumn("_shard", shard).withColumn("_task", F.floor((F.col("_ahead") + piece) / together)).drop("_name", "_key", "_pieces", "_ahead")
-        rows = rows.select(*[F.col(slot).alias(c) for c, slot in slots.items()], "_shard", "_task")
+        rows = rows.withColumn("_shard", F.col("_ahead") + F.col("_key") % F.col("_pieces"))
+        rows = rows.select(*[F.col(slot).alias(c) for c, slot in slots.items()], "_shard", F.floor(F.col("_shard") / together).alias("_task"))
         fresh = self.spark.createDataFrame([], MANIFEST)
         if pieces:
             batch = self._write(rows, -(-pieces // together))
-            sized = self._rows([batch], arrivals.schema).groupBy(F.col("_shard").alias("shard")).agg(F.sum(self._size()).alias("size"), F.count("*").alias("n"))
-            fresh = self._described(sized, batch)
+            sized = self._rows([batch], arrivals.schema).groupBy(F.col("_shard").alias("file")).agg(F.sum(self._size()).alias("size"), F.count("*").alias("n"))
+            named = sums.select("_name", "_ahead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)).alias("piece"))
+            named = named.select(F.concat("_name", F.lit("-"), F.lpad(F.col("piece").cast("string"), 8, "0")).alias("shard"), (F.col("_ahead") + F.col("piece")).alias("file"))
+            fresh = self._described(sized.join(named, "file"), batch)
         return self._commit_next(lambda live: live.unionByName(fresh), arrivals.schema)
 
     def _described(self, sized: DataFrame, batch: str) -> DataFrame:
-        """(shard, size, n) as rows of a manifest."""
+        """(shard, file, size, n) as rows of a manifest."""
         sized = written(sized, "shards")
-        return sized.select("shard", self._tier(F.col("size")).alias("tier"), "size", "n", F.lit(batch).alias("batch"), F.lit(sized.count()).cast("long").alias("of"))
+        return sized.select("shard", "file", self._tier(F.col("size")).alias("tier"), "size", "n", F.lit(batch).alias("batch"), F.lit(sized.count()).cast("long").alias("of"))
 
     def plan(self, manifest: DataFrame | None = None) -> DataFrame:
         """The merges that are due: the manifest's rows with the shard ``into`` which they go. Shards of half the target size are never merged again.
@@ -224,7 +247,7 @@ class ShardStore:
         # two files of one name, from batches with shards of the same names, are told apart
         files = due.groupBy("into", "tier", "bin").agg(F.sum("size").alias("file_size")).withColumn("k", F.row_number().over(Window.partitionBy("into").orderBy("tier", "bin")))
         into = F.when(F.col("k") > 1, F.concat("into", F.lit("~"), F.col("k").cast("string"))).otherwise(F.col("into"))
-        return due.join(files.drop("file_size"), ["into", "tier", "bin"]).select("shard", "tier", "size", "n", "batch", "of", into.alias("into"))
+        return due.join(files.drop("file_size"), ["into", "tier", "bin"]).select("shard", "file", "tier", "size", "n", "batch", "of", into.alias("into"))
 
     def compact(self) -> int | None:
         """Carry out the merges that are due and commit; None if none are. Merged-away files stay until ``vacuum``."""
@@ -234,41 +257,43 @@ class ShardStore:
         if not due:
             return None
         merged = plan.groupBy(F.col("into").alias("shard")).agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
-        files = merged.select(F.col("shard").alias("into"), (F.row_number().over(Window.orderBy("shard")) - 1).alias("_task"))
-        mapping = plan.join(files, "into").select(F.col("batch").alias("_batch"), F.col("shard").alias("_shard"), F.col("into").alias("_into"), "_task")
+        merged = _ahead(merged, "shard", F.lit(1)).withColumnRenamed("_ahead", "file")
+        into = plan.withColumn("_mark", F.sha2("into", 256)).join(merged.select("_mark", F.col("file").alias("_into")), "_mark")
+        mapping = into.select(F.col("batch").alias("_batch"), F.col("file").alias("_shard"), "_into")
         schema = self.schema(version)
         batches = [r.batch for r in plan.select("batch").distinct().collect()]
-        rows = self._rows(batches, schema).join(_small(mapping, due), ["_batch", "_shard"])
-        rows = rows.select(*schema.names, F.col("_into").alias("_shard"), "_task")
+        rows = self._rows(batches, schema).join(_small(mapping, due * SLIM_BYTES), ["_batch", "_shard"])
+        rows = rows.select(*schema.names, F.col("_into").alias("_shard"), F.col("_into").alias("_task"))
         batch = self._write(rows, merged.count())
-        fresh = self._described(merged, batch)
+        fresh = self._described(merged.drop("_mark"), batch)
 
         def change(live: DataFrame) -> DataFrame:
-            gone = plan.select("batch", "shard")
-            if live.join(gone, ["batch", "shard"], "left_semi").count() != due:
+            gone = plan.select("batch", "file")
+            if live.join(gone, ["batch", "file"], "left_semi").count() != due:
                 raise RuntimeError("another writer has merged the same shards")
-            return live.join(gone, ["batch", "shard"], "left_anti").unionByName(fresh)
+            return live.join(gone, ["batch", "file"], "left_anti").unionByName(fresh)
 
         return self._commit_next(change, schema)
 
     def read(self) -> DataFrame:
-        """The rows of the live shards, with ``_batch`` and ``_shard``.
+        """The rows of the live shards, with ``_batch`` and ``_shard``, its file's number there.
 
         Batches whose shards are all live are read as they are; of the others, the live shards by a join.
         """
         version = self.version()
         live, schema = self.manifest(version), self.schema(version)
-        found = live.groupBy("batch").agg(F.count("*").alias("k"), F.first("of").alias("of")).collect()
+        sizes = live.groupBy("batch").agg(F.count("*").alias("k"), F.first("of").alias("of"))
+        found = sizes.collect()
         whole, part = [r.batch for r in found if r.k == r.of], [r.batch for r in found if r.k < r.of]
         if not found:
             raise ValueError("the store is empty")
         out = self._rows(whole, schema) if whole else None
         if part:
             # the filter on this side lets Spark prune the folders that the join would drop
-            wanted = live.where("n > 0").join(F.broadcast(self.spark.createDataFrame([(b,) for b in part], "batch string")), "batch")
-            wanted = wanted.select(F.col("batch").alias("_batch"), F.col("shard").alias("_shard"))
+            wanted = live.where("n > 0").join(sizes.where("k < of").select("batch"), "batch", "left_semi")
+            wanted = wanted.select(F.col("batch").alias("_batch"), F.col("file").alias("_shard"))
             rows = self._rows(part, schema)
-            rows = rows.join(_small(wanted, sum(r.k for r in found if r.k < r.of)), ["_batch", "_shard"], "left_semi").select(*rows.columns)
+            rows = rows.join(_small(wanted, SLIM_BYTES * sum(r.k for r in found if r.k < r.of)), ["_batch", "_shard"], "left_semi").select(*rows.columns)
             out = rows if out is None else out.unionByName(rows)
         return out
 
@@ -304,9 +329,10 @@ def sharded(docs: DataFrame, name: Column | None = None, *, id_col: str = "doc_i
     own = [_free(x, set(docs.columns)) for x in ("shard", "shard_docs", "shard_bytes")]
     if not live.take(1):
         return docs.select("*", F.lit("").alias(own[0]), F.lit(0).cast("long").alias(own[1]), F.lit(0).cast("long").alias(own[2]))
-    sizes = live.select(F.col("batch").alias("_batch"), F.col("shard").alias("_shard"), F.col("n").alias("shard_docs"), F.col("size").alias("shard_bytes"))
-    out = store.read().join(_small(sizes, live.count()), ["_batch", "_shard"])
-    return out.select(*[F.col(slot).alias(c) for c, slot in slots.items()], *[F.col(x).alias(y) for x, y in zip(("_shard", "shard_docs", "shard_bytes"), own)])
+    sizes = live.select(F.col("batch").alias("_batch"), F.col("file").alias("_shard"), "shard", F.col("n").alias("shard_docs"), F.col("size").alias("shard_bytes"))
+    weight = live.agg(F.sum(F.octet_length("shard") + SLIM_BYTES)).first()[0]
+    out = store.read().join(_small(sizes, weight), ["_batch", "_shard"])
+    return out.select(*[F.col(slot).alias(c) for c, slot in slots.items()], *[F.col(x).alias(y) for x, y in zip(("shard", "shard_docs", "shard_bytes"), own)])
 
 
 #: Arrivals of the query: documents by the remainder of their id by six, two thirds in the first.

@@ -1,5 +1,6 @@
 """Mixing, sharding, chat formatting, the pipeline and the queries' SQL."""
 
+import collections
 import hashlib
 import re
 from concurrent.futures import ThreadPoolExecutor
@@ -123,7 +124,7 @@ def test_merges_keep_every_row_and_commit_versions(spark):
     assert versions and store.version() == versions[-1] and store.manifest().count() < 5
     rows = store.read()
     assert sorted(r.doc_id for r in rows.collect()) == sorted(100 * k + i for k in range(4) for i in range(10)) and set(rows.columns) == {"doc_id", "text", "key", "_shard", "_batch"}
-    assert rows.groupBy("_shard").count().join(store.manifest().withColumnRenamed("shard", "_shard"), "_shard").where("count <> n").count() == 0
+    assert rows.groupBy("_batch", "_shard").count().join(store.manifest().selectExpr("batch as _batch", "file as _shard", "n"), ["_batch", "_shard"]).where("count <> n").count() == 0
     with pytest.raises(sharding.Conflict):
         store.commit(store.manifest(), store.version(), store.schema())
     assert store.manifest().count() == store.manifest(store.version()).count()
@@ -198,6 +199,20 @@ def test_plans_by_ranges_equal_plans_in_one(spark, monkeypatch):
     assert sorted((r.shard, r.into) for r in store.plan().collect()) == one and len(one) > 50
 
 
+def test_names_of_arrivals_can_have_any_length_and_characters(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_SHARDS", 3)
+    names = ["x" * 10_000, "x" * 9_999 + "y", "a/b/../c", "p=q%2F", "tab\t\n", "é" * 3000, "", None, ".", "__HIVE_DEFAULT_PARTITION__"]
+    rows = spark.createDataFrame([(i, "t" * (i % 50), names[i % len(names)]) for i in range(200)], "doc_id long, text string, source string")
+    out = sharding.sharded(rows, F.col("source"), small=200, target=2000)
+    got = out.select("doc_id", "text", "source", "shard", "shard_docs", "shard_bytes").collect()
+    assert sorted((r.doc_id, r.text, r.source) for r in got) == [(i, "t" * (i % 50), names[i % len(names)]) for i in range(200)]
+    size = collections.Counter()
+    for r in got:
+        size[r.shard] += len(r.text) + sharding.ROW_BYTES
+    assert all(size[r.shard] == r.shard_bytes for r in got) and max(size.values()) > 1000
+    assert any(r.shard.startswith("x" * 9_999) for r in got) and len(size) > 3
+
+
 def test_sharded_documents_can_have_any_columns(spark):
     rows = arrivals(spark, range(30)).withColumns({c: F.lit(7) for c in ("shard", "_shard", "_batch", "shard_docs", "n", "size")})
     out = sharding.sharded(rows, F.concat(F.lit("a"), F.col("shard").cast("string")), small=500, target=2000)
