@@ -45,8 +45,8 @@ SLOTS = 4
 #: Windows of a long text that are taken at a time, and bits of a place among them; the rest of a packed value is hash.
 CHUNK = 1 << 22
 PLACE = np.uint64(24)
-#: Bytes of contexts that are sorted together; they are never in memory together.
-SHARD_BYTES = 8 << 20
+#: Bytes of contexts that are sorted together: the most, and the least as long as there are few shards for a core.
+SHARD_BYTES, LEAST_SHARD_BYTES = 8 << 20, 2 << 20
 HOT = 2048
 PIECES = "gram long, piece binary, n long, anchor int, near int, far int, first int, body binary"
 RUNS = "gram long, piece binary, a int, b int"
@@ -223,7 +223,8 @@ def _sorter(length: int):
 def _sorted_runs(pieces: DataFrame, length: int) -> DataFrame:
     """Runs of repeated windows (from, to) of each piece, by suffix sorting in shards, each a task."""
     total = pieces.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
+    few = 4 * pieces.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-total // SHARD_BYTES), min(few, -(-total // LEAST_SHARD_BYTES)))
     shard = F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int").alias("shard")
     keyed = pieces.select("gram", "piece", "n", "body", shard).repartitionById(shards, F.col("shard")).drop("shard")
     return keyed.mapInArrow(_sorter(length), RUNS)

@@ -14,7 +14,7 @@ compared. Prefixes count up to a cap: suffixes that share that many are in any o
 further.
 
 Text, types, stars, names, orders, prefixes and the scans' histories are files mapped into memory, which the
-system writes out as it needs; the queues keep ``limit`` entries in memory and the rest in files. Everything is
+system writes out as it needs, but for the first ``MEMORY`` bytes of them; the queues keep ``limit`` entries in memory and the rest in files. Everything is
 done ``BATCH`` entries at a time: a scan takes the longest run of entries before which nothing that they induce
 can come.
 """
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import weakref
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
@@ -30,6 +31,8 @@ import numpy as np
 
 #: Entries of a queue in memory before its largest buckets go to disk.
 QUEUE_ENTRIES = 1 << 20
+#: Bytes of a shard's arrays that are in memory.
+MEMORY = 96 << 20
 #: What a block of entries takes besides them, in entries.
 BLOCK = 40
 #: Entries that are handled at a time.
@@ -48,11 +51,22 @@ def scratch_file():
 
 
 class Disk:
-    """Arrays in unnamed files, which go with their last user."""
+    """Arrays in unnamed files, which go with their last user; the first ``memory`` bytes at a time are no files."""
+
+    def __init__(self, memory: int = 0) -> None:
+        self.memory = memory
+
+    def _given_back(self, size: int) -> None:
+        self.memory += size
 
     def array(self, kind: type, size: int) -> np.ndarray:
         if not size:
             return np.zeros(0, kind)
+        if (taken := size * np.dtype(kind).itemsize) <= self.memory:
+            out = np.zeros(size, kind)
+            self.memory -= taken
+            weakref.finalize(out, self._given_back, taken)
+            return out
         with scratch_file() as file:
             file.truncate(size * np.dtype(kind).itemsize)
             return np.memmap(file, kind, "r+", shape=(size,)).view(np.ndarray)
@@ -557,8 +571,8 @@ def suffix_order(text: np.ndarray, limit: int | None = None, cap: int | None = N
 class Shard:
     """Strings, spooled to disk, in which windows of ``length`` bytes are looked for that occur twice or more."""
 
-    def __init__(self, length: int, limit: int | None = None) -> None:
-        self.length, self.limit, self.disk = length, limit, Disk()
+    def __init__(self, length: int, limit: int | None = None, memory: int = MEMORY) -> None:
+        self.length, self.limit, self.disk = length, limit, Disk(memory)
         self.file = scratch_file()
         self.sizes: list[np.ndarray] = []
         self.times: list[np.ndarray] = []

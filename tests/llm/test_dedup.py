@@ -197,7 +197,7 @@ def test_a_shard_larger_than_the_memory_allowed(monkeypatch):
     size = sum(map(len, raw))
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
     body = np.frombuffer(b"".join(raw), np.uint8)
-    shard = suffixes.Shard(200, limit=1 << 15)
+    shard = suffixes.Shard(200, limit=1 << 15, memory=0)
     tracemalloc.start()
     base = tracemalloc.get_traced_memory()[0]
     shard.add(body, offsets, np.ones(len(raw), np.int64))
@@ -212,6 +212,17 @@ def test_a_shard_larger_than_the_memory_allowed(monkeypatch):
     assert size > 2.7e6 and peak < size, (size, peak)
 
 
+def test_arrays_in_memory_give_their_bytes_back():
+    disk = suffixes.Disk(100)
+    one, two = disk.array(np.int32, 20), disk.array(np.int32, 20)
+    assert disk.memory == 20
+    view = one[3:]
+    del one
+    assert disk.memory == 20
+    del view
+    assert disk.memory == 100 and (two == 0).all()
+
+
 def removed(rows, length=200):
     raw = [(i, (t or "").encode()) for i, t in rows]
     seen = collections.Counter(x[p : p + length] for _, x in raw for p in range(len(x) - length + 1))
