@@ -7,8 +7,8 @@
    that name after the least one the namesake meets itself, so one group of copies that fills dozens
    of buckets is compared once.
 4. Groups are cut into blocks by the bytes of their members' sets, and the group's least member joins
-   every block. Each block is verified on its own: exact intersections come from an inverted index over
-   the full sets, members already joined are not compared again, and only links that join something are
+   every block. Each block is verified on its own: intersections come from an inverted index over the full
+   sets, whose shingles are told apart by 64 bits made of cryptographic digests of their words, members already joined are not compared again, and only links that join something are
    returned. A group of near copies is one component after this, at a cost in proportion to its size.
 5. Components of the links, by least labels. Where a group of several blocks is not one component yet,
    the members outside its largest component meet the group's other blocks, a pair of blocks a unit, so

@@ -17,9 +17,12 @@ _SEEDS = mixed(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C1
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each row: ``size`` words, or all words of a shorter row."""
+    """The sorted distinct shingle hashes of each row: ``size`` words, or all words of a shorter row.
+
+    A shingle's hash is made of the digests of its words.
+    """
     words = Words(raw, offsets, NON_SPACE)
-    runs: dict[int, np.ndarray] = dict(words.runs(words.hash, size)) if len(words.start) else {}
+    runs: dict[int, np.ndarray] = dict(words.runs(words.digest, size)) if len(words.start) else {}
     sets = []
     for first, count in zip(words.first[:-1].tolist(), words.count.tolist()):
         if not count:

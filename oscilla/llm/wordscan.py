@@ -6,6 +6,7 @@ so memory is bounded by that or by the longest single text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,6 +125,19 @@ class Words:
         """One hash a word, of its bytes alone."""
         return Rolling(self.bytes).hash(self.start, self.end)
 
+    @property
+    def digest(self) -> np.ndarray:
+        """64 bits of a cryptographic digest of each word's bytes, made once for each distinct word.
+
+        Sums of powers modulo 2^64 agree for some pairs of words whatever their base; these don't.
+        """
+        ends = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
+        data = self.bytes[np.repeat(self.start - ends[:-1], np.diff(ends)) + np.arange(ends[-1])]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        blake = hashlib.blake2b
+        known = np.frombuffer(b"".join([blake(w, digest_size=8).digest() for w in words.dictionary.to_pylist()]), np.uint64)
+        return known[words.indices.to_numpy()]
+
     def runs(self, hashes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
         """For each length up to ``longest``: hashes of the runs of so many words from every word on.
 

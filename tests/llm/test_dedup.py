@@ -54,6 +54,19 @@ def corpus(seed, copies=12):
     return [(int(i) * 3, rows[k]) for i, k in enumerate(order)]
 
 
+def test_words_on_which_sums_of_powers_collide_are_told_apart(spark):
+    """Words of Thue-Morse letters and of their complements have one sum of powers modulo 2^64, whatever the base."""
+    rows = []
+    for k, size in enumerate((1 << 10, 1 << 12, 1 << 16)):
+        bits = [bin(i).count("1") & 1 for i in range(size)]
+        for j, letters in enumerate(("ab", "ba")):
+            word = "".join(letters[b] for b in bits)
+            rows += [(4 * k + 2 * j, word), (4 * k + 2 * j + 1, f"one two {word} three four five six")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in minhash.op3_near_duplicates(df).collect())
+    assert got == near_groups(rows) and all(r[3] for r in got)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_duplicates_equal_all_pairs(spark, seed, monkeypatch):
     if seed == 2:
