@@ -7,6 +7,8 @@ not bound to any other implementation.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -42,6 +44,12 @@ class _TfidfParams(HasInputCol, HasOutputCol):
         return self
 
 
+def idf_weights(counts: list[tuple[int, int]], smooth: bool = True) -> list[float]:
+    """ln((1 + n) / (1 + df)) + 1 of (df, n), unsmoothed ln(n / df) + 1; 1 where nothing is known."""
+    one = 1 if smooth else 0
+    return [log((n + one) / (df + one)) + 1 if df + one else 1.0 for df, n in counts]
+
+
 class TfidfRates(Estimator, _TfidfParams, DefaultParamsReadable, DefaultParamsWritable):
     """TF-IDF on rates: document frequencies count rates above 0."""
 
@@ -60,11 +68,11 @@ class TfidfRates(Estimator, _TfidfParams, DefaultParamsReadable, DefaultParamsWr
         counts = values.groupBy("feature").agg(F.count_if(F.col("rate") > 0).alias("df"), F.count("*").alias("n")).orderBy("feature").collect()
         if not counts:
             raise ValueError("no rows to learn from")
-        one = 1 if get(self.smooth_idf) else 0
-        from math import log
+        return self._copyValues(TfidfRatesModel(idf_weights([(r.df, r.n) for r in counts], get(self.smooth_idf))))
 
-        idf = [log((r.n + one) / (r.df + one)) + 1 if r.df + one else 1.0 for r in counts]
-        return self._copyValues(TfidfRatesModel(idf))
+    def known(self, counts: list[tuple[int, int]]) -> "TfidfRatesModel":
+        """The model of (df, n) of each feature, where they have been counted already."""
+        return self._copyValues(TfidfRatesModel(idf_weights(counts, self.getOrDefault(self.smooth_idf))))
 
 
 class TfidfRatesModel(Model, _TfidfParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -118,11 +126,15 @@ def classifier(kind: str, *, trees: int = 300, min_rows: int = 1, depth: int = 1
     raise ValueError(f"no classifier {kind!r}")
 
 
-def estimator(kind: str, feature_type: str, *, bag_width: int = -1, norm: str = "l2", **params) -> Pipeline:
-    """TF-IDF and classifier for bags, classifier alone for spectra, TF-IDF on the leading bag part for both together."""
+def estimator(kind: str, feature_type: str, *, bag_width: int = -1, norm: str = "l2", counts: list[tuple[int, int]] | None = None, **params) -> Pipeline:
+    """TF-IDF and classifier for bags, classifier alone for spectra, TF-IDF on the leading bag part for both together.
+
+    With ``counts``, (df, n) of each feature, documents are not counted again.
+    """
     if feature_type == "psd_autocorr":
         return Pipeline(stages=[classifier(kind, features="features", **params)])
     if feature_type not in ("bowav", "bowav_psd_autocorr"):
         raise ValueError(f"no feature type {feature_type!r}")
     width = bag_width if feature_type == "bowav_psd_autocorr" else -1
-    return Pipeline(stages=[TfidfRates(norm=norm, width=width), classifier(kind, **params)])
+    scale = TfidfRates(norm=norm, width=width)
+    return Pipeline(stages=[scale if counts is None else scale.known(counts), classifier(kind, **params)])

@@ -4,6 +4,10 @@ Series are known by (subject, ic). A ``Bundle`` holds what a feature type needs;
 function from a segment length to (subject, ic, seg, features). Predictions either pool, features over the whole
 validation segment, or vote, features over training segments and the most frequent prediction. Every fitted model is
 the whole pipeline, scaling included, and stored and loaded as one.
+
+A search makes the features of each segment length once (``Shared``). All candidates and splits read that table;
+what they count, documents with a feature and rows of a class, is counted once by subject, and a split's counts are the
+total less the held-out subject's.
 """
 
 from __future__ import annotations
@@ -11,9 +15,11 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -95,21 +101,99 @@ def extractor(kind: str, b: Bundle, *, per_window: int = 1, limit: int | None =
     return {"bowav": lambda n: _bags(b, n, limit), "psd_autocorr": lambda n: _spectra(b, n, limit), "bowav_psd_autocorr": both}[kind]
 
 
+def once(features: Features) -> Features:
+    """``features`` written when a length is first asked for and read from then on."""
+    made: dict[int | None, DataFrame] = {}
+    lock = Lock()
+
+    def of(length: int | None) -> DataFrame:
+        with lock:
+            if length not in made:
+                made[length] = settled(features(length), "features")
+            return made[length]
+
+    return of
+
+
+def within(features: Features, limit: int | None, *, whole: Features | None = None) -> Features:
+    """Features of the first ``limit`` units of each series: segments of ``features`` that end there.
+
+    Where a prefix is one segment whatever its length, it has to be made by ``whole``, the features of that prefix.
+    """
+
+    def of(length: int | None) -> DataFrame:
+        if length is None and limit is not None:
+            if whole is None:
+                raise ValueError("a prefix without segments needs features of its own")
+            return whole(None)
+        rows = features(length)
+        return rows if limit is None or length is None else rows.where((F.col("seg") + 1) * length <= limit)
+
+    return of
+
+
+class Shared:
+    """Features by segment length with the labels of their series, made once, and their counts by subject."""
+
+    def __init__(self, features: Features, series: DataFrame) -> None:
+        known = series.select(*KEYS, F.col("label").cast("double").alias("label"), "is_expert")
+        self.rows = once(lambda length: features(length).join(known, KEYS, "left"))
+        self._frequencies, self._classes = once(self._by_feature), once(self._by_class)
+        self._left: dict[tuple, list] = {}
+
+    def _by_feature(self, length: int | None) -> DataFrame:
+        values = self.rows(length).where("label is not null").select("subject", F.posexplode(vector_to_array("features")).alias("feature", "rate"))
+        return values.groupBy("subject", "feature").agg(F.count_if(F.col("rate") > 0).alias("df"), F.count("*").alias("n"))
+
+    def _by_class(self, length: int | None) -> DataFrame:
+        return self.rows(length).where("label is not null").groupBy("subject", "label", F.coalesce("is_expert", F.lit(False)).alias("is_expert")).agg(F.count("*").alias("n"))
+
+    def training(self, length: int | None, held_out=None) -> DataFrame:
+        """The labelled rows of all subjects but one."""
+        rows = self.rows(length).where("label is not null")
+        return rows if held_out is None else rows.where(F.col("subject") != F.lit(held_out))
+
+    def _less(self, name: str, counts: Callable[[int | None], DataFrame], by: list[str], values: list[str], length: int | None, held_out) -> list:
+        """The sums of ``values`` by ``by`` over all subjects but one: a row for each feature or class."""
+        key = (name, length, held_out)
+        if key not in self._left:
+            kept = F.lit(1) if held_out is None else F.when(F.col("subject") != F.lit(held_out), 1).otherwise(0)
+            self._left[key] = counts(length).groupBy(*by).agg(*[F.sum(F.col(v) * kept).alias(v) for v in values]).orderBy(*by).collect()
+        return self._left[key]
+
+    def frequencies(self, length: int | None, held_out=None) -> list[tuple[int, int]]:
+        """(df, n) of each feature without one subject."""
+        return [(r.df, r.n) for r in self._less("features", self._frequencies, ["feature"], ["df", "n"], length, held_out)]
+
+    def classes(self, length: int | None, held_out=None) -> dict[tuple[float, bool], int]:
+        """Rows by label and whether an expert gave it, without one subject."""
+        return {(r.label, r.is_expert): r.n for r in self._less("classes", self._classes, ["label", "is_expert"], ["n"], length, held_out) if r.n}
+
+
 # --- one model
 
 
-def fitted(features: Features, series: DataFrame, kind: str, classifier: str, *, train: int | None, expert_weight: float = 1.0, bag_width: int = -1, **params) -> PipelineModel:
+def fitted(features: Features, series: DataFrame, kind: str, classifier: str, *, train: int | None, expert_weight: float = 1.0, bag_width: int = -1, shared: Shared | None = None, held_out=None, **params) -> PipelineModel:
     """The whole pipeline fitted on all segments of ``series`` (subject, ic, label, is_expert), expert rows weighing ``expert_weight``.
 
-    A forest's weights are balanced over the classes, too: rows over classes times rows of the class.
+    A forest's weights are balanced over the classes, too: rows over classes times rows of the class. With ``held_out``
+    the rows and counts of one subject are left out.
     """
-    rows = features(train).join(series.select(*KEYS, F.col("label").cast("double").alias("label"), "is_expert"), KEYS)
-    rows = rows.withColumn("w", labels.expert_weight(expert_weight))
-    if classifier == "random_forest":
-        balance = labels.balanced_weights(rows).select("label", "weight")
-        rows = rows.join(balance, "label").withColumn("w", F.col("w") * F.col("weight"))
-    rows = settled(rows.select("features", "label", "w"), "training")
-    return learners.estimator(classifier, kind, bag_width=bag_width, weight="w", total_weight=rows.agg(F.sum("w")).first()[0], **params).fit(rows)
+    shared = shared or Shared(features, series)
+    counts = shared.classes(train, held_out)
+    if not counts:
+        raise ValueError("no rows to learn from")
+    rows_of = Counter()
+    for (label, _), n in counts.items():
+        rows_of[label] += n
+    balanced = classifier == "random_forest"
+    weight = {(label, expert): (expert_weight if expert else 1.0) * (rows_of.total() / (len(rows_of) * rows_of[label]) if balanced else 1.0) for label, expert in counts}
+    by = F.create_map(*[F.lit(x) for (label, expert), w in weight.items() for x in (f"{label}:{expert}".lower(), w)])
+    rows = shared.training(train, held_out)
+    rows = rows.select("features", "label", by[F.concat_ws(":", F.col("label").cast("string"), F.coalesce("is_expert", F.lit(False)).cast("string"))].alias("w"))
+    known = shared.frequencies(train, held_out) if kind != "psd_autocorr" else None
+    total = sum(weight[key] * n for key, n in counts.items())
+    return learners.estimator(classifier, kind, bag_width=bag_width, counts=known, weight="w", total_weight=total, **params).fit(rows)
 
 
 def predictions(model: PipelineModel, features: Features, series: DataFrame, *, aggregate: str, train: int | None, val: int | None) -> DataFrame:
@@ -141,7 +225,7 @@ def brain_f1(rows: DataFrame) -> float:
     return float(evaluation.f1(rows, []).first().f1)
 
 
-def fit_and_score(features: Features, series: DataFrame, held_out, kind: str, classifier: str, params: dict, scorer: Scorer = balanced_accuracy) -> dict:
+def fit_and_score(features: Features, series: DataFrame, held_out, kind: str, classifier: str, params: dict, scorer: Scorer = balanced_accuracy, shared: Shared | None = None) -> dict:
     """Score, seconds to fit and seconds to score of one candidate where one subject is held out.
 
     It trains on all rows of the other subjects and scores the expert rows of the one held out. ``params`` has aggregate,
@@ -149,12 +233,12 @@ def fit_and_score(features: Features, series: DataFrame, held_out, kind: str, cl
     """
     own = dict(params)
     aggregate, val = own.pop("aggregate"), own.pop("val")
-    part = labels.role(held_out)
+    shared = shared or Shared(features, series)
     began = time.perf_counter()
-    model = fitted(features, series.where(part == "train"), kind, classifier, **own)
+    model = fitted(features, series, kind, classifier, shared=shared, held_out=held_out, **own)
     ready = time.perf_counter()
-    test = series.where(part == "test")
-    said = predictions(model, features, test, aggregate=aggregate, train=own["train"], val=val)
+    test = series.where(labels.role(held_out) == "test")
+    said = predictions(model, shared.rows, test, aggregate=aggregate, train=own["train"], val=val)
     truth = test.select(*KEYS, F.col("label").cast("double").alias("y"), labels.expert_weight(own.get("expert_weight", 1.0)).alias("w"))
     score = scorer(said.join(truth, KEYS).select("y", "pred", "w"))
     return {"score": float(score), "fit_time": ready - began, "score_time": time.perf_counter() - ready}
@@ -169,16 +253,18 @@ def search(spark: SparkSession, features: Features, series: DataFrame, kind: str
     """Scores of all candidates on all leave-one-subject-out splits, stored under ``folder``.
 
     A job's result is stored when it is there, so a search that was cut off goes on with the jobs that are left. Fits run
-    side by side on the executors; subjects and candidates are on the driver, rows are not.
+    side by side on the executors; subjects and candidates are on the driver, rows are not. The source is read once for
+    each segment length.
     """
     # subjects with something to score, in order
     subjects = [r[0] for r in series.where("is_expert").select("subject").distinct().orderBy("subject").collect()]
     done = {(r.candidate, r.split) for r in stored(spark, folder).select("candidate", "split").collect()}
     jobs = [(c, s) for c in range(len(candidates)) for s in range(len(subjects)) if (c, s) not in done]
+    shared = Shared(features, series)
 
     def run(job: tuple[int, int]) -> None:
         c, s = job
-        r = fit_and_score(features, series, subjects[s], kind, classifier, candidates[c], scorer)
+        r = fit_and_score(features, series, subjects[s], kind, classifier, candidates[c], scorer, shared)
         row = spark.createDataFrame([(c, s, str(subjects[s]), r["score"], r["fit_time"], r["score_time"])], RESULTS)
         row.coalesce(1).write.parquet(f"{folder}/job-{c}-{s}-{uuid.uuid4().hex}")
 

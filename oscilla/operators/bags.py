@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,24 @@ def idf(rates: DataFrame, docs: list[str], *, smooth: bool = True) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("feature", "df", (F.ln((F.col("n_docs") + one) / (F.col("df") + one)) + 1).alias("idf"))
 
 
+def left_out_idf(rates: DataFrame, docs: list[str], *, subject: str = "subject", smooth: bool = True) -> DataFrame:
+    """(held_out, feature, df, idf): ``idf`` of the documents of all subjects but one, for each of them in turn.
+
+    Frequencies are counted once by subject; those of a split are the total less the held-out subject's. Totals are
+    as many numbers as the codebooks have codes and ride along in the plan, so no split reads documents again.
+    """
+    own = rates.where(F.col("rate") > 0).groupBy(subject, "feature").agg(F.count("*").alias("df"))
+    sizes = rates.select(*docs).distinct().groupBy(subject).agg(F.count("*").alias("n"))
+    total = [{"feature": r.feature, "df": r.df} for r in own.groupBy("feature").agg(F.sum("df").alias("df")).orderBy("feature").collect()]
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    by_subject = own.groupBy(subject).agg(F.map_from_entries(F.collect_list(F.struct("feature", "df"))).alias("own"))
+    table = F.from_json(F.lit(json.dumps(total)), "array<struct<feature:int,df:long>>")
+    less = F.transform(table, lambda t: F.struct(t["feature"].alias("feature"), (t["df"] - F.coalesce(F.try_element_at("own", t["feature"]), F.lit(0))).alias("df")))
+    rows = sizes.join(by_subject, subject, "left").select(F.col(subject).alias("held_out"), (F.lit(n) - F.col("n")).alias("n_docs"), F.inline(less)).where("df > 0")
+    one = 1 if smooth else 0
+    return rows.select("held_out", "feature", "df", (F.ln((F.col("n_docs") + one) / (F.col("df") + one)) + 1).alias("idf"))
+
+
 def tfidf(rates: DataFrame, docs: list[str], *, norm: str | None = "l2", use_idf: bool = True, smooth_idf: bool = True, sublinear_tf: bool = False) -> DataFrame:
     """(docs..., feature, w): rates, or 1 + ln of those above 0, times inverse document frequency, each document normed.
 

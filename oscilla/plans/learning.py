@@ -68,6 +68,16 @@ def search_best(spark, d):
     return spark.createDataFrame([(best["aggregate"], best["norm"], score)], "aggregate string, norm string, score double")
 
 
+@query("loso_idf", f"""with {CODES}, c as (select *, code + book * 16 as feature, t // 16 as seg, (max(t) over (partition by subject) + 1) // 16 as n_whole from codes), bag as (select distinct subject, seg, feature from c where seg < n_whole),
+own as (select subject, feature, count(*) as df from bag group by all), n as (select subject, count(*) as n from (select distinct subject, seg from bag) group by subject), total as (select feature, sum(df) as df from own group by feature),
+r as (select n.subject as held_out, total.feature, cast(total.df - coalesce(own.df, 0) as bigint) as df, cast((select sum(n) from n) - n.n as bigint) as nd from n cross join total left join own on own.subject = n.subject and own.feature = total.feature)
+select held_out, feature, df, round(ln((nd + 1)::double / (df + 1)) + 1, 6) as idf from r where df > 0""")
+def loso_idf(spark, d):
+    """Document frequencies and idf of every leave-one-subject-out split."""
+    rates = bags.bag(src.codes(spark, d), per_segment=16, k=src.K)
+    return bags.left_out_idf(rates, ["subject", "seg"]).withColumn("idf", rounded("idf"))
+
+
 @query("model_pooled")
 def model_pooled(spark, d):
     """A model of training segments, stored, loaded and applied to whole validation segments."""
@@ -92,9 +102,10 @@ def _reloaded(spark, d, kind, classifier, params):
 def evaluate_sweep(spark, d):
     """F1 by length and subject for a forest on both features and an ensemble of two regressions, in one table."""
     series = _series(spark, d)
+    made = {kind: search.once(search.extractor(kind, _bundle(spark, d, kind))) for kind in ("bowav", "psd_autocorr", "bowav_psd_autocorr")}
 
     def extract(kind, limit):
-        return search.extractor(kind, _bundle(spark, d, kind), limit=limit)
+        return search.within(made[kind], limit)
 
     def run(config):
         kinds = ["bowav", "psd_autocorr"] if config["classifier"] == "ensembled_logistic" else [config["feature"]]

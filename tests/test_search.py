@@ -87,6 +87,39 @@ def test_a_split_is_scored_as_by_hand(spark, data):
         search.fit_and_score(features, data["series"], 2, "bowav", "logistic", LOGISTIC | {"aggregate": "mean"})
 
 
+def test_a_search_reads_the_source_once_for_each_length(spark, data):
+    plain, asked = search.extractor("bowav", bundle(data, "bowav")), []
+
+    def features(length):
+        asked.append(length)
+        return plain(length)
+
+    candidates = [LOGISTIC | {"aggregate": a, "val": v, "c": c} for a, v in (("majority_vote", 24), ("count_pooling", 16)) for c in (1.0, 10.0)]
+    results = search.search(spark, features, data["series"], "bowav", "logistic", candidates, tables.new_path(spark, "search-once"))
+    assert results.count() == 12 and sorted(asked) == [8, 16]
+
+
+@pytest.mark.parametrize("held_out", [None, 0, 2])
+def test_counts_of_a_split_are_those_of_its_rows(spark, data, held_out):
+    plain = search.extractor("bowav", bundle(data, "bowav"))
+    shared = search.Shared(plain, data["series"])
+    rows = [r for r in plain(8).join(data["series"], ["subject", "ic"]).collect() if r.subject != held_out]
+    assert shared.frequencies(8, held_out) == [(sum(r.features[f] > 0 for r in rows), len(rows)) for f in range(5)]
+    assert shared.classes(8, held_out) == dict(collections.Counter((float(r.label), r.is_expert) for r in rows))
+    counted = learners.TfidfRates().fit(spark.createDataFrame([(r.features,) for r in rows], ["features"]))
+    assert learners.TfidfRates().known(shared.frequencies(8, held_out)).idf == counted.idf
+
+
+def test_features_of_prefixes_are_segments_of_the_whole(data):
+    for kind in ("bowav", "psd_autocorr"):
+        whole = search.once(search.extractor(kind, bundle(data, kind)))
+        for limit, length in ((24, 8), (20, 8), (16, 16), (None, 8)):
+            got = {(r.subject, r.ic, r.seg): r.features for r in search.within(whole, limit)(length).collect()}
+            assert got == {(r.subject, r.ic, r.seg): r.features for r in search.extractor(kind, bundle(data, kind), limit=limit)(length).collect()}
+    with pytest.raises(ValueError):
+        search.within(whole, 16)(None)
+
+
 def test_a_search_goes_on_from_stored_results_and_its_model_is_stored_whole(spark, data):
     folder = tables.new_path(spark, "search-test")
     features = search.extractor("bowav", bundle(data, "bowav"))
