@@ -58,11 +58,15 @@ def shifted_nearest(vectors: DataFrame, codebook: DataFrame, metric: str = "cosi
 
     Of equal distances (to nine digits) the lowest centroid and then the lowest shift is taken.
     """
+    return _nearest_of(vectors, blocks_of(codebook), metric)
+
+
+def _nearest_of(vectors: DataFrame, blocks: Iterator[dict[int, tuple[np.ndarray, np.ndarray]]], metric: str) -> DataFrame:
     best = "array<struct<class:int,centroid:int,shift:int,dist:double>>"
     kind = vectors.schema["id"].dataType.simpleString()
     rows = vectors.select("id", "v").withColumn("best", F.expr(f"cast(array() as {best})"))
     first = True
-    for block in blocks_of(codebook):
+    for block in blocks:
         rows = rows if first else settled(rows)
         first = False
         rows = rows.mapInPandas(_better(rows.sparkSession.sparkContext.broadcast(block), metric), f"id {kind}, v array<double>, best {best}")
@@ -107,9 +111,12 @@ def best_shifts(x: np.ndarray, centroids: np.ndarray, metric: str) -> tuple[np.n
 
 
 def assigned(vectors: DataFrame, books: dict[int, np.ndarray], metric: str = "cosine", rows: int = 512) -> DataFrame:
-    """(id, class, centroid, shift, dist) like ``shifted_nearest``, a batch of vectors and a matrix product at a time."""
+    """(id, class, centroid, shift, dist) like ``shifted_nearest``, for codebooks that are on the driver.
+
+    Books of more than ``BROADCAST_VALUES`` values go in blocks of that size.
+    """
     if sum(b.size for b in books.values()) > BROADCAST_VALUES:
-        raise ValueError("the codebooks are too large to send to every task")
+        return _nearest_of(vectors, _cut(books), metric)
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,6 +132,24 @@ def assigned(vectors: DataFrame, books: dict[int, np.ndarray], metric: str = "co
     return vectors.select("id", "v").mapInPandas(run, f"id {kind}, class int, centroid int, shift int, dist double")
 
 
+def _cut(books: dict[int, np.ndarray]) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Books in blocks of at most ``BROADCAST_VALUES`` values, or of one longer centroid."""
+    block: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    free = BROADCAST_VALUES
+    for label, book in books.items():
+        low, length = 0, max(1, book.shape[1])
+        while low < len(book):
+            if free < length and block:
+                yield block
+                block, free = {}, BROADCAST_VALUES
+            high = min(len(book), low + max(1, free // length))
+            block[label] = (np.arange(low, high), book[low:high])
+            free -= (high - low) * length
+            low = high
+    if block:
+        yield block
+
+
 def shifted_norms(vectors: DataFrame, length: int) -> DataFrame:
     """(id, shift, norm2): squared norms of all windows of ``length`` values."""
     at = F.transform(F.sequence(F.lit(0), F.size("v") - length), lambda s: dot(F.slice("v", s + 1, F.lit(length)), F.slice("v", s + 1, F.lit(length))))
@@ -167,6 +192,103 @@ def plus_plus(windows: np.ndarray, weights: np.ndarray, k: int, rng: np.random.G
     return windows[chosen].copy()
 
 
+#: The most trial windows times shifts whose sums a task holds; more trials go in several passes.
+POTENTIALS = 1 << 20
+#: Rows of a range from which rows are drawn.
+RANGE_ROWS = 1 << 16
+
+
+def greedy_seeds(vectors: DataFrame, k: int, length: int, draws: list[list[float]]) -> tuple[np.ndarray, list[tuple]]:
+    """Shift-invariant greedy k-means++: ``k`` windows and how each was chosen, (row, window, shift, potential).
+
+    ``draws`` has for each centroid its trials in [0, 1): the first one picks a row evenly, the others by the
+    squared distance to what is chosen already, in order of id. All windows of a trial's row stand for election. The
+    potential of (trial, window, shift) is the sum over all rows of the distance to the window at that shift, or of the
+    row's least so far: one pass in which tasks add up vectors of potentials, which Spark merges by place. The least
+    wins, of equal ones (to six digits) the first by trial, shift and window. Only the trials' rows and one sum for
+    ``RANGE_ROWS`` rows come to the driver.
+    """
+    if k != len(draws) or not all(draws):
+        raise ValueError("every centroid needs trials")
+    slim = vectors.select("id", "v")
+    rows = slim.count()
+    if not rows:
+        raise ValueError("fewer vectors than centroids")
+    kind = vectors.schema["id"].dataType.simpleString()
+    state = slim.repartitionByRange(1 + rows // RANGE_ROWS, "id").withColumn("part", F.spark_partition_id()).withColumn("near", F.lit(float("inf")))
+    state = settled(state, "seeds")
+    chosen, how = [], []
+    for own in draws:
+        trials = _drawn(state, own, even=not chosen)
+        x = np.array([v for _, v in trials], np.float64)
+        n_windows = x.shape[1] - length + 1
+        if n_windows < 1:
+            raise ValueError("centroids are longer than the vectors")
+        best = None
+        step = max(1, POTENTIALS // n_windows**2)
+        for low in range(0, len(trials), step):
+            sums = state.mapInPandas(_potentials(x[low : low + step], length), "at int, potential double").groupBy("at").agg(F.sum("potential").alias("potential"))
+            found = sums.orderBy(F.round("potential", 6), "at").first()
+            if best is None or round(found.potential, 6) < round(best[0], 6):
+                best = (found.potential, found.at + low * n_windows**2)
+        trial, shift, window = (int(i) for i in np.unravel_index(best[1], (len(trials), n_windows, n_windows)))
+        centre = x[trial, window : window + length]
+        chosen.append(centre)
+        how.append((trials[trial][0], window, shift, best[0]))
+        state = settled(state.mapInPandas(_nearer_to(centre, shift), f"id {kind}, v array<double>, part int, near double"), "seeds")
+    return np.array(chosen), how
+
+
+def _drawn(state: DataFrame, draws: list[float], *, even: bool) -> list[tuple]:
+    """(id, v) of the row in which each draw falls, rows being laid end to end by id with the length of their distance."""
+    size = F.lit(1.0) if even else F.col("near")
+    parts = sorted((r.part, r.size) for r in state.groupBy("part").agg(F.sum(size).alias("size")).collect())
+    ends = np.cumsum([s for _, s in parts])
+    wanted = []
+    for trial, draw in enumerate(draws):
+        target = draw * ends[-1]
+        at = min(int(np.searchsorted(ends, target)), len(parts) - 1)
+        wanted.append((trial, parts[at][0], float(target - (ends[at - 1] if at else 0.0))))
+    asked = state.sparkSession.createDataFrame(wanted, "trial int, part int, target double")
+    upto = state.select("id", "part", F.sum(size).over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    hit = upto.join(F.broadcast(asked), "part")
+    # the first row that reaches the target, or the last one where rounding keeps all below it
+    first = hit.groupBy("trial").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("target"), F.col("id"))), F.max("id")).alias("id"))
+    return [(r.id, r.v) for r in first.join(state.select("id", "v"), "id").orderBy("trial").collect()]
+
+
+def _gaps(x: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """(rows, shifts, windows): squared distances of all windows of ``x`` to some windows."""
+    own = np.lib.stride_tricks.sliding_window_view(x, length, axis=1)
+    norms = np.einsum("nsp,nsp->ns", own, own)
+    return np.maximum(norms[:, :, None] - 2 * (own @ windows.T) + np.einsum("wp,wp->w", windows, windows), 0)
+
+
+def _potentials(trials: np.ndarray, length: int, rows: int = 64):
+    windows = [np.lib.stride_tricks.sliding_window_view(t, length) for t in trials]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(windows), len(windows[0]), len(windows[0])))
+        for batch in batches:
+            for low in range(0, len(batch), rows):
+                part = batch.iloc[low : low + rows]
+                x, near = np.array(part["v"].tolist(), np.float64), part["near"].to_numpy()
+                for t, own in enumerate(windows):
+                    total[t] += np.minimum(_gaps(x, own, length), near[:, None, None]).sum(0)
+        yield pd.DataFrame({"at": np.arange(total.size, dtype=np.int32), "potential": total.ravel()})
+
+    return run
+
+
+def _nearer_to(centre: np.ndarray, shift: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.array(batch["v"].tolist(), np.float64).reshape(len(batch), -1)[:, shift : shift + len(centre)]
+            yield batch.assign(near=np.minimum(batch["near"].to_numpy(), ((x - centre) ** 2).sum(1)))
+
+    return run
+
+
 def scalable_plus_plus(vectors: DataFrame, k: int, length: int, *, seed: int, rounds: int = 5) -> np.ndarray:
     """k-means|| over all rows: in each round every row is drawn with a probability in proportion to its squared distance.
 
@@ -216,15 +338,18 @@ INITS: dict[str, Init] = {"random": random_windows, "random-energy": energetic_w
 
 
 def initial_centroids(vectors: DataFrame, k: int, length: int, *, init: str | np.ndarray | Init, metric: str, seed: int) -> np.ndarray:
-    """Start centroids by name, array or callable. Random ones come from the k rows with the least seeded hashes of all."""
+    """Start centroids by name, array or callable: k-means++ elects among all windows, a pass for each centroid, k-means|| takes few passes for many. Random ones come from the k rows with the least seeded hashes of all."""
     if isinstance(init, np.ndarray):
         if init.shape != (k, length):
             raise ValueError(f"centroids must have the shape {(k, length)}")
         return init.astype(np.float64)
-    if isinstance(init, str) and init == "k-means++":
+    if isinstance(init, str) and init in ("k-means++", "k-means||"):
         if metric != "euclidean":
-            raise ValueError("k-means++ needs the euclidean metric")
-        return scalable_plus_plus(vectors, k, length, seed=seed)
+            raise ValueError(f"{init} needs the euclidean metric")
+        if init == "k-means||":
+            return scalable_plus_plus(vectors, k, length, seed=seed)
+        rng = np.random.default_rng(seed)
+        return greedy_seeds(vectors, k, length, [rng.random(2 + int(np.log(k)) if c else 1).tolist() for c in range(k)])[0]
     if not callable(init) and init not in INITS:
         raise ValueError(f"no init {init!r}")
     rows = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()

@@ -452,6 +452,33 @@ def nearest_members(spark, d):
     return kept.select("centroid", F.row_number().over(Window.partitionBy("centroid").orderBy(*order)).cast("long").alias("k"), "id")
 
 
+#: Fixed draws of the seeding query: the first centroid has one trial, the others three.
+DRAWS = [[0.37], [0.11, 0.52, 0.93], [0.28, 0.64, 0.81]]
+
+
+def _seeds_sql() -> str:
+    """Greedy seeding unrolled: of all windows and shifts of the trials' rows the one of least potential, by trial, shift and window."""
+    gap = "pow(list_distance(c.v[w.w + 1 : w.w + 48], n.v[s.s + 1 : s.s + 48]), 2)"
+    parts = [VECTORS, "near0 as (select id, v, 'inf'::double as near from vec)", "w as (select unnest(range(17)) as w)", "s as (select unnest(range(17)) as s)"]
+    for k, draws in enumerate(DRAWS):
+        size = "1.0::double" if not k else "near"
+        parts += [
+            f"upto{k} as (select id, v, sum({size}) over (order by id) as upto, sum({size}) over () as total from near{k})",
+            f"cand{k} as (" + " union all ".join(f"(select {t} as trial, id, v from upto{k} where upto >= {r} * total order by id limit 1)" for t, r in enumerate(draws)) + ")",
+            f"pot{k} as (select c.trial, c.id, s.s, w.w, sum(least(n.near, {gap})) as p from cand{k} c, w, s, near{k} n group by all)",
+            f"best{k} as (select * from pot{k} order by round(p, 6), trial, s, w limit 1)",
+            f"near{k + 1} as (select n.id, n.v, least(n.near, pow(list_distance(c.v[b.w + 1 : b.w + 48], n.v[b.s + 1 : b.s + 48]), 2)) as near from near{k} n, best{k} b join cand{k} c on c.trial = b.trial)",
+        ]
+    return "with " + ", ".join(parts) + " " + " union all ".join(f"select {k} as centroid, id, cast(w as integer) as \"window\", cast(s as integer) as shift, round(p, 4) as potential from best{k}" for k in range(len(DRAWS)))
+
+
+@query("si_seeds", _seeds_sql())
+def si_seeds(spark, d):
+    """Shift-invariant greedy seeding over all windows of all vectors, with fixed draws."""
+    _, how = vectors.greedy_seeds(src.vectors(spark, d), len(DRAWS), 48, DRAWS)
+    return spark.createDataFrame([(k, *own[:3], round(own[3], 4)) for k, own in enumerate(how)], "centroid int, id long, window int, shift int, potential double")
+
+
 @query("si_kmeans_fit")
 def si_kmeans_fit(spark, d):
     centers, found, _ = vectors.shift_kmeans(src.vectors(spark, d), 4, 48, max_iter=4, n_init=1)

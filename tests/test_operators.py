@@ -216,3 +216,36 @@ def test_empty_tables(spark):
     none = samples(spark)
     assert windows.tumbling(none, 8).count() == windows.sliding(none, 8).count() == windows.half_overlapping(none, 8).count() == 0
     assert spectra.autocorrelation(none, 2).count() == 0
+
+
+def test_greedy_seeds_equal_a_plain_computation(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 9))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(5)
+    draws = [[0.4], [0.1, 0.9], [0.3, 0.5, 0.99], [0.0, 1.0]]
+    own = np.lib.stride_tricks.sliding_window_view(x, 5, axis=1)
+    near, want = np.full(60, np.inf), []
+    for k, trials in enumerate(draws):
+        ends = np.cumsum(near if k else np.ones(60))
+        rows = np.minimum(np.searchsorted(ends, np.array(trials) * ends[-1]), 59)
+        gaps = [[[((own[:, s] - own[r, w]) ** 2).sum(1) for w in range(5)] for s in range(5)] for r in rows]
+        pots = np.round(np.minimum(np.array(gaps), near).sum(-1), 6)
+        t, s, w = np.unravel_index(pots.argmin(), pots.shape)
+        near = np.minimum(near, gaps[t][s][w])
+        want.append((int(rows[t]), int(w), int(s)))
+    for limits in ((1 << 20, 1 << 16), (26, 7)):
+        monkeypatch.setattr(vectors, "POTENTIALS", limits[0])
+        monkeypatch.setattr(vectors, "RANGE_ROWS", limits[1])
+        centers, how = vectors.greedy_seeds(df, 4, 5, draws)
+        assert [h[:3] for h in how] == want and how[-1][3] == pytest.approx(near.sum())
+        assert np.allclose(centers, [own[r, w] for r, w, _ in want])
+
+
+def test_books_larger_than_a_broadcast_go_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=12).tolist()) for i in range(40)], "id long, v array<double>")
+    books = {0: rng.normal(size=(30, 8)), 3: rng.normal(size=(5, 8))}
+    whole = sorted(map(tuple, vectors.assigned(df, books).collect()))
+    monkeypatch.setattr(vectors, "BROADCAST_VALUES", 50)
+    assert sorted(map(tuple, vectors.assigned(df, books).collect())) == whole
+    assert all(sum(c.size for _, c in b.values()) <= 50 for b in vectors._cut(books))
