@@ -2,7 +2,8 @@
 
 Suffixes are of type S (smaller than the next one) or L. The leftmost S suffixes of each run, the stars,
 are sorted by the pieces from one star to the next, dealt by letters and sorted run by run, named, and the names
-sorted in recursion where they are not unique. Two scans then induce all others, each driven by a monotone priority queue of tuples (key,
+sorted in recursion where they are not unique, until there are no more of them than half the entries that a queue keeps
+in memory: those are sorted there, by doubling. Two scans then induce all others, each driven by a monotone priority queue of tuples (key,
 position, common prefix): taken in order, a suffix puts the one before it into the queue under that one's
 first character. Entries of equal key leave in the order they came.
 
@@ -30,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Entries of a queue in memory before its largest buckets go to disk.
-QUEUE_ENTRIES = 1 << 20
+QUEUE_ENTRIES = 1 << 21
 #: Bytes of a shard's arrays that are in memory.
 MEMORY = 96 << 20
 #: What a block of entries takes besides them, in entries.
@@ -480,6 +481,32 @@ def _sorted_pieces(text: np.ndarray, stars: np.ndarray, letters: int, cap: int,
     return order, names, name + 1
 
 
+def doubled_suffixes(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``sorted_suffixes`` returns, in memory: ranks by twice as many characters in each round.
+
+    Common prefixes are put together from the ranks of all rounds, the longest first.
+    """
+    n, width = len(text), 1
+    ranks = [np.unique(text, return_inverse=True)[1].astype(np.int32) + np.int32(1)]
+    while width < cap and int(ranks[-1].max()) < n:
+        key = ranks[-1].astype(np.int64) * (n + 1)
+        key[: max(0, n - width)] += ranks[-1][width:]  # beyond the end is smaller than any character
+        by = np.argsort(key)
+        key = key[by]
+        own = np.empty(n, np.int32)
+        own[by] = np.cumsum(np.append(True, key[1:] != key[:-1]))
+        ranks.append(own)
+        width *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    shared = np.zeros(n, np.int64)
+    a, b = order[1:], order[:-1]
+    for k in range(len(ranks) - 1, -1, -1):
+        i, j = a + shared[1:], b + shared[1:]
+        inside = np.maximum(i, j) < n
+        shared[1:] += (inside & (ranks[k][np.minimum(i, n - 1)] == ranks[k][np.minimum(j, n - 1)])).astype(np.int64) << k
+    return order.astype(np.int32), np.minimum(shared, cap).astype(np.int16)
+
+
 def sorted_suffixes(text: np.ndarray, letters: int, cap: int, limit: int | None = None, disk: Disk | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(order, prefixes) of a text of numbers below ``letters``: positions by their suffixes, and what each shares with the one before.
 
@@ -499,7 +526,7 @@ def sorted_suffixes(text: np.ndarray, letters: int, cap: int, limit: int | None
             for low, high in _ranges(m):
                 names[np.searchsorted(stars, pieces[low:high])] = named[low:high]
             # a piece has two characters of its own at least
-            ranks, shared = sorted_suffixes(names, count, cap // 2 + 1, limit, disk)
+            ranks, shared = doubled_suffixes(names, cap // 2 + 1) if m <= limit // 2 else sorted_suffixes(names, count, cap // 2 + 1, limit, disk)
         seeds = pieces if count == m else disk.array(np.int32, m)
         for low, high in _ranges(m):
             if count < m:

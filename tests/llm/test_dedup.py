@@ -199,6 +199,17 @@ def test_queues_go_to_disk_and_come_back_in_order():
     assert got == [(2 * k, v, v % 100) for k in range(700) for v in sent[k]]
 
 
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=80), st.integers(1, 90))
+@settings(deadline=None, max_examples=200)
+def test_doubling_sorts_suffixes_and_finds_common_prefixes(values, cap):
+    order, shared = suffixes.doubled_suffixes(np.array(values, np.int32), cap)
+    cut = [values[i : i + cap] for i in order]
+    assert sorted(order.tolist()) == list(range(len(values))) and cut == sorted(cut)
+    for a, b, got in zip(cut, cut[1:], shared[1:].tolist()):
+        assert got == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert shared[0] == 0
+
+
 def test_a_shard_larger_than_the_memory_allowed(monkeypatch):
     """3 MB of strings, with arrays in memory kept below that, and every window of them as by counting."""
     monkeypatch.setattr(suffixes, "BATCH", 1 << 12)
