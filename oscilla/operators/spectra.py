@@ -45,7 +45,8 @@ def nearest(targets: DataFrame, sources: DataFrame, metric: str = "hellinger") -
     """(target, source, dist): for each target subject the source whose spectrum is nearest, the least id on ties.
 
     hellinger compares spectra of unit mass, l2 the roots as they are, over the bins that both have. A spectrum is one
-    row; the sources go to the tasks in blocks of at most ``BLOCK_VALUES`` values, and the best so far rides along.
+    row; the sources go to the tasks in ranges of about ``BLOCK_VALUES`` values, each with an index by pivots
+    (``Cells``), and the best so far rides along, which lets later ranges be passed over.
     """
     if metric == "hellinger":
         targets, sources, scale = unit_mass(targets, ["subject"]), unit_mass(sources, ["subject"]), 0.5
@@ -53,22 +54,25 @@ def nearest(targets: DataFrame, sources: DataFrame, metric: str = "hellinger") -
         scale = 1.0
     else:
         raise ValueError(f"no metric {metric!r}")
-    bins = sources.agg(F.max("bin")).first()[0]
+    bins, subjects = sources.agg(F.max("bin"), F.countDistinct("subject")).first()
     width = 0 if bins is None else int(bins) + 1
+    ranges = 1 + subjects * width // BLOCK_VALUES
 
     def arrays(rows: DataFrame, name: str) -> DataFrame:
         """One row a subject: roots by bin, null where there is none; bins beyond those of the sources meet nothing."""
         table = rows.where((F.col("bin") >= 0) & (F.col("bin") < width)).groupBy(F.col("subject").alias(name)).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.sqrt("p").alias("r")))).alias("m"))
         return table.select(name, F.transform(F.sequence(F.lit(0), F.lit(max(width - 1, 0))), lambda i: F.try_element_at("m", i.cast(rows.schema["bin"].dataType))).alias("r"))
 
-    places = settled(arrays(sources, "source").withColumn("block", F.floor((F.row_number().over(Window.orderBy("source")) - 1) * max(width, 1) / F.lit(BLOCK_VALUES)).cast("int")), "spectra")
+    places = arrays(sources, "source").repartitionByRange(ranges, "source").withColumn("block", F.spark_partition_id())
+    places = settled(places, "spectra")
     kinds = targets.schema["subject"].dataType.simpleString(), sources.schema["subject"].dataType.simpleString()
     schema = f"target {kinds[0]}, r array<double>, source {kinds[1]}, dist double"
     state = arrays(targets, "target").withColumns({"source": F.lit(None).cast(kinds[1]), "dist": F.lit(None).cast("double")})
-    for block in range((places.agg(F.max("block")).first()[0] or 0) + 1):
-        rows = places.where(F.col("block") == block).orderBy("source").collect()  # BLOCK_VALUES values at most
-        shared = places.sparkSession.sparkContext.broadcast(([r.source for r in rows], np.array([[np.nan if x is None else x for x in r.r] for r in rows], np.float64)))
-        state = (settled(state, "nearest") if block else state).mapInPandas(_nearer(shared, scale), schema)
+    for block in range(ranges):
+        rows = places.where(F.col("block") == block).orderBy("source").collect()  # about BLOCK_VALUES values
+        there = np.array([[np.nan if x is None else x for x in r.r] for r in rows], np.float64).reshape(len(rows), max(width, 1))
+        shared = places.sparkSession.sparkContext.broadcast(([r.source for r in rows], Cells(there, scale)))
+        state = (settled(state, "nearest") if block else state).mapInPandas(_nearer(shared), schema)
     return state.where("source is not null").select("target", "source", "dist")
 
 
@@ -76,20 +80,72 @@ def nearest(targets: DataFrame, sources: DataFrame, metric: str = "hellinger") -
 BLOCK_VALUES = 2_000_000
 
 
-def _nearer(shared, scale: float):
+class Cells:
+    """Spectra dealt to the nearest of about the root of their number of pivots, for searches by the triangle inequality.
+
+    A cell is passed over if its pivot is farther away than its radius and the best distance so far. Spectra that lack a
+    bin are compared over the bins that both have, which is no metric, so they are met by all.
+    """
+
+    def __init__(self, there: np.ndarray, scale: float) -> None:
+        self.there, self.scale = there, scale
+        missing = np.isnan(there).any(1)
+        self.rest, rows = np.flatnonzero(missing), np.flatnonzero(~missing)
+        size = int(np.ceil(np.sqrt(len(rows))))
+        self.pivots = there[rows[:: max(1, size)]] if len(rows) else there[:0]
+        cell, gap = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        for low in range(0, len(rows), 1024):
+            to = self._gaps(there[rows[low : low + 1024], None], self.pivots[None])
+            cell[low : low + 1024], gap[low : low + 1024] = to.argmin(1), to.min(1)
+        order = np.argsort(cell, kind="stable")
+        self.rows = rows[order]
+        self.bounds = np.searchsorted(cell[order], np.arange(len(self.pivots) + 1))
+        self.radius = np.array([gap[order[i:j]].max(initial=0.0) for i, j in zip(self.bounds, self.bounds[1:])])
+        self.computed = 0
+
+    def _gaps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        gaps = (a - b) ** 2
+        met = ~np.isnan(gaps)
+        return np.where(met.any(-1), np.sqrt(np.where(met, gaps, 0.0).sum(-1) * self.scale), np.inf)
+
+    def nearest(self, own: np.ndarray, best: float = np.inf) -> tuple[int, float] | None:
+        """The place and distance, to nine digits, of the spectrum nearest to ``own`` and nearer than ``best``; the first of equal ones."""
+        found: tuple[float, int] = (best, -1)
+
+        def meet(rows: np.ndarray) -> None:
+            nonlocal found
+            if not len(rows):
+                return
+            self.computed += len(rows)
+            dist = np.round(self._gaps(self.there[rows], own), 9)
+            least = dist.min()
+            if np.isfinite(least) and least < best:
+                found = min(found, (float(least), int(rows[dist == least].min())))
+
+        meet(self.rest)
+        if np.isnan(own).any():
+            meet(self.rows)
+        elif len(self.pivots):
+            self.computed += len(self.pivots)
+            least = self._gaps(self.pivots, own) - self.radius
+            for cell in np.argsort(least, kind="stable"):
+                if least[cell] > found[0] + 1e-8:  # more than rounding can hide
+                    break
+                meet(self.rows[self.bounds[cell] : self.bounds[cell + 1]])
+        return (found[1], found[0]) if found[1] >= 0 else None
+
+
+def _nearer(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, there = shared.value
+        names, cells = shared.value
         for batch in batches:
             batch = batch.copy()
             for row in batch.index if len(names) else ():
                 own = np.array([np.nan if x is None else x for x in batch.at[row, "r"]], np.float64)
-                gaps = (there - own) ** 2
-                met = ~np.isnan(gaps)
-                dist = np.where(met.any(1), np.round(np.sqrt(np.where(met, gaps, 0.0).sum(1) * scale), 9), np.inf)
-                best = int(dist.argmin())
                 old = batch.at[row, "dist"]
-                if np.isfinite(dist[best]) and (pd.isna(old) or dist[best] < old):
-                    batch.at[row, "source"], batch.at[row, "dist"] = names[best], dist[best]
+                found = cells.nearest(own, np.inf if pd.isna(old) else old)
+                if found is not None:
+                    batch.at[row, "source"], batch.at[row, "dist"] = names[found[0]], found[1]
             yield batch
 
     return run

@@ -38,12 +38,29 @@ def sliding_arrays(series: DataFrame, length: int, offsets: list[int] | None = N
     return out.select("subject", "start", F.slice("samples", F.col("start") + 1, F.lit(length)).alias("w"))
 
 
+def distinct_offsets(count: Column, n: int, key: Column, seed: int) -> Column:
+    """``n`` distinct numbers below ``count`` (all of them, if there are fewer), drawn evenly by hashes of key, draw and seed.
+
+    Draw i is a number up to j = count - n + i; one that is there already becomes j, which can't be (Floyd's
+    sampling). So n draws cost n steps, however large ``count`` is.
+    """
+    size = F.least(F.lit(n).cast("long"), count.cast("long"))
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def draw(drawn: Column, i: Column) -> Column:
+        last = count - size + i
+        hashed = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"), F.lit(str(seed))).cast("binary")), 1, 15), 16, 10).cast("long")
+        at = hashed % (last + 1)
+        return F.concat(drawn, F.array(F.when(F.array_contains(drawn, at), last).otherwise(at)))
+
+    return F.when(size > 0, F.aggregate(F.sequence(F.lit(0).cast("long"), size - 1), none, draw)).otherwise(none)
+
+
 def random_offsets(series: DataFrame, length: int, n_windows: int, seed: int) -> DataFrame:
-    """(subject, start, w): ``n_windows`` distinct windows of each series, drawn by the md5 of subject, start and seed."""
-    key = F.md5(F.concat_ws(":", F.col("subject").cast("string"), F.col("start").cast("string"), F.lit(str(seed))).cast("binary"))
-    all_ = sliding_arrays(series, length).withColumn("h", key)
-    rank = F.row_number().over(Window.partitionBy("subject").orderBy("h", "start"))
-    return all_.withColumn("r", rank).where(F.col("r") <= n_windows).drop("h", "r")
+    """(subject, start, w): ``n_windows`` distinct windows of each series; only those that are drawn are made."""
+    starts = distinct_offsets(F.greatest(F.size("samples") - length + 1, F.lit(0)), n_windows, F.col("subject"), seed)
+    out = series.select("subject", "samples", F.explode(starts).alias("start"))
+    return out.select("subject", F.col("start").cast("int").alias("start"), F.slice("samples", (F.col("start") + 1).cast("int"), F.lit(length)).alias("w"))
 
 
 def half_overlapping(samples: DataFrame, length: int) -> DataFrame:

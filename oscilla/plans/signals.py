@@ -32,8 +32,10 @@ def win_sliding_arrays(spark, d):
     return out.select("subject", F.col("start").cast("long"), rounded(F.aggregate("w", F.lit(0.0), lambda s, x: s + x)).alias("sum_x"))
 
 
-@query("win_random", f"""with {SIGNAL}, p as (select subject, list(x order by t) as s from signal group by subject), o as (select subject, s, unnest(range(greatest(len(s) - 7, 0))) as start from p),
-r as (select *, row_number() over (partition by subject order by md5(concat_ws(':', subject, start, 13)), start) as k from o) select subject, start, round(list_sum(s[start + 1 : start + 8]), 6) as sum_x from r where k <= 3""")
+@query("win_random", f"""with {SIGNAL}, p as (select subject, list(x order by t) as s, greatest(count(*) - 7, 0) as n, least(greatest(count(*) - 7, 0), 3) as m from signal group by subject),
+h as (select *, list_transform([0, 1, 2], lambda i: case when i < m then cast('0x' || substr(md5(concat_ws(':', subject, i, 13)), 1, 15) as bigint) % (n - m + i + 1) end) as t from p),
+a as (select *, t[1] as a0, case when t[2] = t[1] then n - m + 1 else t[2] end as a1 from h), b as (select *, case when t[3] in (a0, a1) then n - m + 2 else t[3] end as a2 from a),
+o as (select subject, s, unnest([a0, a1, a2]) as start from b) select subject, start, round(list_sum(s[start + 1 : start + 8]), 6) as sum_x from o where start is not null""")
 def win_random(spark, d):
     out = windows.random_offsets(src.packed(src.signal(spark, d)), 8, 3, seed=13)
     return out.select("subject", F.col("start").cast("long"), rounded(F.aggregate("w", F.lit(0.0), lambda s, x: s + x)).alias("sum_x"))

@@ -249,3 +249,39 @@ def test_books_larger_than_a_broadcast_go_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BROADCAST_VALUES", 50)
     assert sorted(map(tuple, vectors.assigned(df, books).collect())) == whole
     assert all(sum(c.size for _, c in b.values()) <= 50 for b in vectors._cut(books))
+
+
+@pytest.mark.parametrize("scale, gaps", [(0.5, 0), (1.0, 7)])
+def test_pivots_find_the_first_nearest_spectrum_with_fewer_distances(scale, gaps):
+    rng = np.random.default_rng(gaps)
+    centers = rng.random((20, 12))
+    there = centers[rng.integers(20, size=900)] + 0.01 * rng.random((900, 12))
+    there[300] = there[7]
+    for k in range(gaps):
+        there[rng.integers(900), rng.integers(12)] = np.nan
+    cells = spectra.Cells(there, scale)
+    own = np.concatenate([there[[7, 300, 500]], centers + 0.02 * rng.random((20, 12))])
+    if gaps:
+        own[5, 2] = np.nan
+    for x in own:
+        dist = np.round(np.sqrt(np.nansum((there - x) ** 2, 1) * scale), 9)
+        assert cells.nearest(x) == (int(dist.argmin()), float(dist.min()))
+        assert cells.nearest(x, float(dist.min())) is None
+    assert cells.computed < len(own) * 900 * 1.1 if gaps else cells.computed < len(own) * 900 / 2
+    assert spectra.Cells(there[:0], scale).nearest(own[0]) is None
+
+
+def test_random_windows_are_distinct_and_only_those_drawn_are_made(spark):
+    df = spark.createDataFrame([(i, [float(x) for x in range(n)]) for i, n in enumerate([3, 4, 5, 6, 40, 2000] * 30)], "subject int, samples array<double>")
+    got = windows.random_offsets(df, 4, 5, seed=3).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.subject, []).append(r.start)
+        assert r.w == [float(r.start + k) for k in range(4)]
+    for i, n in enumerate([3, 4, 5, 6, 40, 2000] * 30):
+        own = by.get(i, [])
+        assert len(own) == len(set(own)) == max(0, min(5, n - 3)) and all(0 <= x <= n - 4 for x in own)
+    few = [x for i, own in by.items() if i % 6 == 4 for x in own]
+    assert len(set(few)) > 25  # of 37 offsets, 150 draws
+    plan = windows.random_offsets(df, 4, 5, seed=3)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan
