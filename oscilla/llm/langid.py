@@ -120,21 +120,26 @@ class ByteGru:
         d_both = self.out.T @ d
         grads: list[np.ndarray] = []
         loops = []
+        # the bytes of all steps in order, so that each row of a table is one sum over a run of them
+        order = np.argsort(x, axis=None, kind="stable")
+        found, begin = np.unique(x.ravel()[order], return_index=True)
         for way in range(2):
             d_states = d_both[:, way * h_n : (way + 1) * h_n]
             d_table, d_loop = np.zeros_like(self.tables[way]), np.zeros_like(self.loops[way])
             carry = np.zeros((h_n, batch), np.float32)
+            inputs = np.empty((3 * h_n, steps, batch), np.float32)
+            d_rec = np.empty((3 * h_n, batch), np.float32)
             for t, before, z, r, rec, cand in reversed(kept[way]):
                 dh = d_states[t] + carry
                 d_cand = dh * (1 - z) * (1 - cand * cand)
-                d_z = dh * (before - cand) * z * (1 - z)
-                d_r = d_cand * rec * r * (1 - r)
-                d_in = np.concatenate([d_z, d_r, d_cand])
-                d_rec = np.concatenate([d_z, d_r, d_cand * r])
+                d_rec[:h_n] = dh * (before - cand) * z * (1 - z)
+                d_rec[h_n : 2 * h_n] = d_cand * rec * r * (1 - r)
+                d_rec[2 * h_n :] = d_cand * r
+                inputs[: 2 * h_n, t] = d_rec[: 2 * h_n]
+                inputs[2 * h_n :, t] = d_cand
                 d_loop += d_rec @ before.T
-                for k in range(3 * h_n):
-                    d_table[k] += np.bincount(x[t], d_in[k], 257).astype(np.float32)
                 carry = dh * z + self.loops[way].T @ d_rec
+            d_table[:, found] = np.add.reduceat(inputs.reshape(3 * h_n, -1)[:, order], begin, axis=1)
             grads.append(d_table)
             loops.append(d_loop)
         return loss, [*grads, *loops, d_out, d.sum((0, 2))[:, None]]
