@@ -180,30 +180,37 @@ def gather_split(spark, d):
 
 # --- search
 
-_GRID = {"clf__min_split": [2, 5, 10], "clf__trees": [100, 300], "scaler__norm": ["l1", "l2"], "train_len": [10, 30, 60, 120]}
-_GRID_SQL = """select ((a.i * 2 + b.i) * 2 + c.i) * 4 + d.i as candidate, a.v as clf__min_split, b.v as clf__trees, c.v as scaler__norm, d.v as train_len
-from (values (0, '2'), (1, '5'), (2, '10')) a(i, v), (values (0, '100'), (1, '300')) b(i, v), (values (0, 'l1'), (1, 'l2')) c(i, v), (values (0, '10'), (1, '30'), (2, '60'), (3, '120')) d(i, v)"""
+#: Parameters whose values are those that a column of a table has.
+_GRID = {"lang": ("documents", "lang"), "priority": ("orders", "o_orderpriority"), "region": ("region", "r_name"), "segment": ("customer", "c_mktsegment")}
+_GRID_SQL = "select ((a.i * (select count(*) from b) + b.i) * (select count(*) from c) + c.i) * (select count(*) from e) + e.i as candidate, a.v as lang, b.v as priority, c.v as region, e.v as segment from " + ", ".join(
+    f"(select v, row_number() over (order by v) - 1 as i from {x}) {x}" for x in "abce")
+_GRID_SQL = "with " + ", ".join(f"{x} as (select distinct {column} as v from {name} where {column} is not null)" for x, (name, column) in zip("abce", _GRID.values())) + " " + _GRID_SQL
 
 
-@query("grid_candidates", f"select cast(candidate as bigint) as candidate, clf__min_split, clf__trees, scaler__norm, train_len from ({_GRID_SQL})")
+def _grid(spark, d):
+    values = {parameter: [r[0] for r in src.table(spark, d, name).select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()] for parameter, (name, column) in _GRID.items()}
+    return labels.grid(spark, values)
+
+
+@query("grid_candidates", f"select cast(candidate as bigint) as candidate, lang, priority, region, segment from ({_GRID_SQL})")
 def grid_candidates(spark, d):
-    return labels.grid(spark, _GRID)
+    return _grid(spark, d)
 
 
 @query("grid_size", f"select count(*) as n from ({_GRID_SQL})")
 def grid_size(spark, d):
-    return labels.grid(spark, _GRID).agg(F.count("*").alias("n"))
+    return _grid(spark, d).agg(F.count("*").alias("n"))
 
 
 @query("grid_jobs", f"select cast(candidate * 5 + s as bigint) as job, cast(candidate as bigint) as candidate, cast(s as integer) as split from ({_GRID_SQL}), (select unnest(range(5)) as s)")
 def grid_jobs(spark, d):
-    return labels.jobs(labels.grid(spark, _GRID), 5)
+    return labels.jobs(_grid(spark, d), 5)
 
 
 @query("anti_done_jobs", f"select cast(candidate * 5 + s as bigint) as job, cast(candidate as bigint) as candidate, cast(s as integer) as split from ({_GRID_SQL}), (select unnest(range(5)) as s) where candidate * 5 + s not in (select n_nationkey * 3 from nation)")
 def anti_done_jobs(spark, d):
     done = src.table(spark, d, "nation").select((F.col("n_nationkey") * 3).cast("long").alias("job"))
-    return labels.open_jobs(labels.jobs(labels.grid(spark, _GRID), 5), done)
+    return labels.open_jobs(labels.jobs(_grid(spark, d), 5), done)
 
 
 _SCORES = "scores as (select l_suppkey % 40 as candidate, l_linenumber % 7 as split, round(avg(l_discount), 9) as score, count(*) as w from lineitem group by all)"
@@ -297,19 +304,24 @@ def eval_by_length(spark, d):
     return evaluation.f1(rows, ["length"]).withColumn("f1", rounded("f1"))
 
 
-_DOMINANT = """cnt as (select subject, t // {0} as seg, code, count(*) as n from codes where book = 0 group by subject, t // {0}, code), tot as (select *, sum(n) over (partition by subject, seg) as total from cnt),
+#: Each user's codes of each book are a series.
+_DOMINANT = """cnt as (select subject, t // {0} as seg, code, count(*) as n from (select subject * 2 + book as subject, t, code from codes) group by all), tot as (select *, sum(n) over (partition by subject, seg) as total from cnt),
 dom as (select subject, seg, code as pred from (select *, row_number() over (partition by subject, seg order by n desc, code) as k from tot) where k = 1 and total = {0})"""
 
 
+def _code_series(spark, d):
+    return src.codes(spark, d).withColumn("subject", F.col("subject") * 2 + F.col("book")).drop("book")
+
+
 @query("predict_pooled", f'with {CODES}, {_DOMINANT.format(16)} select subject, seg as "group", pred from dom')
 def predict_pooled(spark, d):
-    return workflows.pooled_predictions(src.codes(spark, d).where("book = 0"), 16)
+    return workflows.pooled_predictions(_code_series(spark, d), 16)
 
 
 @query("predict_voted", f"""with {CODES}, {_DOMINANT.format(8)}, s as (select *, count(*) over (partition by subject) as s from dom), g as (select *, s * 8 // 24 as n, s // (s * 8 // 24) as per from s where s * 8 // 24 > 0),
 c as (select subject, seg // per as grp, pred, count(*) as n from g where seg < per * n group by all) select subject, grp as "group", pred from (select *, row_number() over (partition by subject, grp order by n desc, pred) as k from c) where k = 1""")
 def predict_voted(spark, d):
-    return workflows.voted_predictions(src.codes(spark, d).where("book = 0"), 8, 24)
+    return workflows.voted_predictions(_code_series(spark, d), 8, 24)
 
 
 @query("domain_filters", f"""with {SPECTRA}, mean as (select subject, bin, avg(p) as p from spectra group by all), un as (select bin, avg(p) as q from mean where subject % 2 = 0 group by bin)
@@ -338,18 +350,33 @@ def result_files(spark, d):
 
 # --- names
 
-_NAMES = ["random_forest_bowav_300_cmmn-None.csv", "logistic_psd_autocorr_None_cmmn-normed-barycenter.csv", "ensembled_logistic_bowav_psd_autocorr_300_cmmn-subj_to_subj-resampled_clf-trained-on-filtered-data.csv", "random_forest_psd_autocorr_none_cmmn-unnormed-barycenter.csv", "ICLabel.csv"]
+#: Parts of result files' names, fixed values of the format; each order line names a file by its numbers.
+_CLASSIFIERS = ["random_forest", "logistic", "ensembled_logistic", "ICLabel"]
+_FEATURES = ["bowav", "psd_autocorr", "bowav_psd_autocorr"]
+_LENGTHS = ["300", "None", "none"]
+_FILTERS = ["None", "normed-barycenter", "unnormed-barycenter", "subj_to_subj", "subj_to_subj-resampled", "original"]
+_SUFFIXES = ["", "_clf-trained-on-filtered-data"]
+_PARTS = [(_CLASSIFIERS, "l_orderkey"), (_FEATURES, "l_linenumber"), (_LENGTHS, "l_partkey"), (_FILTERS, "l_suppkey"), (_SUFFIXES, "l_orderkey // 4")]
+_FILE_SQL = "select distinct " + " || ".join(f"{between} || ({values!r})[({number}) % {len(values)} + 1]" for (values, number), between in zip(_PARTS, ("''", "'_'", "'_'", "'_cmmn-'", "''"))) + " || '.csv' as file from lineitem"
+
+
+def _files(spark, d):
+    def part(values, number):
+        return F.element_at(F.array(*map(F.lit, values)), (F.expr(number.replace("//", "div")) % len(values) + 1).cast("int"))
+
+    picked = [part(*p) for p in _PARTS]
+    name = F.concat(picked[0], F.lit("_"), picked[1], F.lit("_"), picked[2], F.lit("_cmmn-"), picked[3], picked[4], F.lit(".csv"))
+    return src.table(spark, d, "lineitem").select(name.alias("file")).distinct()
 
 
-@query("parse_config_name", f"""with n as (select unnest({_NAMES!r}) as file), s as (select file, replace(file, '.csv', '') as name from n)
+@query("parse_config_name", f"""with n as ({_FILE_SQL}), s as (select file, replace(file, '.csv', '') as name from n)
 select file, case when contains(name, 'random_forest') then 'random_forest' when contains(name, 'ensembled_logistic') then 'ensembled_logistic' when contains(name, 'logistic') then 'logistic' else 'unknown' end as classifier,
 case when contains(name, 'bowav_psd_autocorr') then 'bowav_psd_autocorr' when contains(name, 'psd_autocorr') then 'psd_autocorr' when contains(name, 'bowav') then 'bowav' else 'unknown' end as feature,
 case when regexp_matches(name, '_300(_|$)') then '300' when regexp_matches(name, '(?i)_none(_|$)') then 'None' else 'unknown' end as validation,
 case when contains(name, 'cmmn-unnormed-barycenter') then 'unnormed-barycenter' when contains(name, 'cmmn-normed-barycenter') then 'normed-barycenter' when contains(name, 'cmmn-subj_to_subj-resampled') then 'subj_to_subj-resampled' when contains(name, 'cmmn-subj_to_subj') then 'subj_to_subj' when contains(name, 'cmmn-original') then 'original' else 'none' end as filter,
 contains(name, 'clf-trained-on-filtered-data') as trained_on_filtered from s""")
 def parse_config_name(spark, d):
-    files = spark.createDataFrame([(n,) for n in _NAMES], "file string")
-    return files.select("file", *evaluation.parsed_name(F.regexp_replace("file", r"\.csv$", "")))
+    return _files(spark, d).select("file", *evaluation.parsed_name(F.regexp_replace("file", r"\.csv$", "")))
 
 
 @query("base36_key", """with g as (select l_partkey as grp, list(distinct l_suppkey % 36) as ids from lineitem group by all),

@@ -331,11 +331,19 @@ def iclabel_features(spark, d):
     return _values(kernels.per_series(src.packed(src.long_series(spark, d)), kernels.feature_kernel(fs=64)), digits=4)
 
 
-@query("iclabel_features_by_segment")
+#: The features' SQL by segment: whole segments of 256 samples are series of their own, too short for averaged autocorrelations.
+_SHORT = _FEATURES.replace("sg as (select subject, seg, t - 96 * seg as j, x from (select *, unnest([t // 96 - 1, t // 96]) as seg from long) join n using (subject) where seg >= 0 and seg < 2 * (n // 192) - 1)", "sg as (select subject, 0 as seg, t as j, x from long)")
+_BY_SEGMENT = _SHORT.replace(" / ((192 - lag) / 192.0::double)", "").replace(LONG, LONG.replace("long as (", "whole as (", 1) + """, long as (select subject * 1000 + t // 256 as subject, t % 256 as t, x
+from (select *, max(t) over (partition by subject) + 1 as n from whole) where (t // 256 + 1) * 256 <= n)""")
+
+
+@query("iclabel_features_by_segment", f"""{_BY_SEGMENT}, found as (select subject, cast(i as integer) as i, round(cast(cast(v as real) as double), 4) + 0 as v from psd
+union all select subject, cast(99 + i as integer), round(cast(cast(0.99 * v as real) as double), 4) + 0 from y where i between 1 and 100) select subject // 1000 as subject, subject % 1000 as seg, i, v from found""")
 def iclabel_features_by_segment(spark, d):
     full = windows.segments(src.long_series(spark, d), 256)
     by = src.long_series(spark, d).withColumn("seg", full).groupBy("subject", "seg").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("s")).where(F.size("s") == 256)
-    return kernels.per_series(by.select("subject", "seg", F.transform("s", lambda s: s["x"]).alias("samples")), kernels.feature_kernel(fs=64))
+    found = kernels.per_series(by.select("subject", "seg", F.transform("s", lambda s: s["x"]).alias("samples")), kernels.feature_kernel(fs=64))
+    return found.select("subject", "seg", F.posexplode("values").alias("i", "v")).withColumn("v", rounded("v", 4))
 
 
 _SIZED = f"{SIGNAL}, sized as (select *, count(*) over (partition by subject) as n from signal)"
@@ -410,25 +418,32 @@ def centroid_spread(spark, d):
     return vectors.centroid_spread(src.codebook(spark, d, length=48)).withColumn("var", rounded("var"))
 
 
+def _batched(spark, d):
+    """Assignments of all vectors to the two centroids of each class, in batches."""
+    books: dict[int, list] = {}
+    for r in src.codebook(spark, d, length=48).orderBy("class", "centroid").collect():
+        books.setdefault(r["class"], []).append(r.c)
+    return vectors.assigned(src.vectors(spark, d), {label: np.array(own) for label, own in books.items()})
+
+
 def _own_book(spark, d):
-    """Assignments of all vectors to the two centroids of class 0, in batches."""
-    book = np.array([r.c for r in src.codebook(spark, d, length=48).where("class = 0").orderBy("centroid").collect()])
-    return vectors.assigned(src.vectors(spark, d), {0: book})
+    """The same with the centroids of all classes numbered through."""
+    return _batched(spark, d).withColumn("centroid", F.col("class") * 2 + F.col("centroid"))
 
 
-_OWN = f"{_SHIFTED}, own as (select * from best where class = 0)"
+_OWN = f"{_SHIFTED}, own as (select id, class * 2 + centroid as centroid, shift, dist from best)"
 
 
-@query("si_assign_batched", f"with {_OWN} select id, class, centroid, shift, round(dist, 6) + 0 as dist from own")
+@query("si_assign_batched", f"with {_SHIFTED} select id, class, centroid, shift, round(dist, 6) + 0 as dist from best")
 def si_assign_batched(spark, d):
-    return _own_book(spark, d).withColumn("dist", rounded("dist"))
+    return _batched(spark, d).withColumn("dist", rounded("dist"))
 
 
 @query("si_update", f"""with {_OWN}, l as (select centroid, unnest(range(48)) as pos, v, shift from own join vec using (id)) , m as (select centroid, pos, avg(v[shift + pos + 1]) as m, count(*) as n from l group by all)
-select cast(k.c as integer) as centroid, cast(p.p as integer) as pos, round(coalesce(m, 0), 6) as m, coalesce(n, 0) as n from (values (0), (1), (2)) k(c) cross join (select unnest(range(48)) as p) p left join m on m.centroid = k.c and m.pos = p.p""")
+select cast(k.c as integer) as centroid, cast(p.p as integer) as pos, round(coalesce(m, 0), 6) as m, coalesce(n, 0) as n from (select unnest(range(21)) as c) k cross join (select unnest(range(48)) as p) p left join m on m.centroid = k.c and m.pos = p.p""")
 def si_update(spark, d):
     both = _own_book(spark, d).join(src.vectors(spark, d), "id")
-    out = vectors.centroid_update(both, 48, 3)
+    out = vectors.centroid_update(both, 48, 21)  # the last cluster is empty
     return out.select("centroid", "n", F.posexplode("c").alias("pos", "m")).select("centroid", "pos", rounded("m").alias("m"), "n")
 
 
@@ -481,6 +496,29 @@ def si_seeds(spark, d):
     return spark.createDataFrame([(k, *own[:3], round(own[3], 4)) for k, own in enumerate(how)], "centroid int, id long, window int, shift int, potential double")
 
 
+def _rounds_sql(rounds: int = 2) -> str:
+    """Assignments and means unrolled from the first four vectors' beginnings; the round of least inertia stays."""
+    gap = "round(1 - list_dot_product(v[s + 1 : s + 48], c) / (sqrt(list_dot_product(v[s + 1 : s + 48], v[s + 1 : s + 48])) * sqrt(list_dot_product(c, c))), 9)"
+    parts = [VECTORS, "s as (select unnest(range(17)) as s)", "c0 as (select row_number() over (order by id) - 1 as k, v[1:48] as c from vec where id in (select id from vec order by id limit 4))"]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} as (select id, k, s, dist from (select *, row_number() over (partition by id order by dist, k, s) as n from (select id, k, s, {gap} as dist from vec, c{r}, s)) where n = 1)")
+        parts.append(f"m{r} as (select k, p, avg(v[s + p + 1]) as m from (select k, s, v, unnest(range(48)) as p from a{r} join vec using (id)) group by all)")
+        parts.append(f"c{r + 1} as (select c{r}.k, coalesce(list(m order by p) filter (m is not null), list_transform(range(48), lambda i: 0.0::double)) as c from c{r} left join m{r} on m{r}.k = c{r}.k group by c{r}.k)")
+    totals = " union all ".join(f"select {r} as r, sum(dist) as total from a{r}" for r in range(rounds + 1))
+    every = " union all ".join(f"select {r} as r, * from a{r}" for r in range(rounds + 1))
+    parts += [f"t as ({totals})", f"every as ({every})"]
+    return "with " + ", ".join(parts) + " select id, cast(k as integer) as centroid, cast(s as integer) as shift, round(dist, 6) + 0 as dist from every where r = (select r from t order by total, r limit 1)"
+
+
+@query("si_kmeans_rounds", _rounds_sql())
+def si_kmeans_rounds(spark, d):
+    """Two rounds of shift-invariant k-means from given centroids, and the assignments of the best of them."""
+    vec = src.vectors(spark, d)
+    start = np.array([r.v[:48] for r in vec.orderBy("id").limit(4).collect()])
+    _, found, _ = vectors.shift_kmeans(vec, 4, 48, init=start, max_iter=2)
+    return found.withColumn("dist", rounded("dist"))
+
+
 @query("si_kmeans_fit")
 def si_kmeans_fit(spark, d):
     centers, found, _ = vectors.shift_kmeans(src.vectors(spark, d), 4, 48, max_iter=4, n_init=1)
