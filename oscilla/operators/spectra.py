@@ -174,21 +174,67 @@ def taps(filters: DataFrame, m: int) -> DataFrame:
     return spread.groupBy("subject", "k").agg((F.sum(weight * F.col("h") * F.cos(angle)) / n).alias("h"))
 
 
-def causal_fir(samples: DataFrame, filters: DataFrame) -> DataFrame:
-    """(subject, t, y): y_t = sum over k of h_k x_(t-k), each subject by its own taps.
+#: Samples of a chunk of a series that is filtered at once; more if the taps reach further.
+CHUNK = 1 << 14
 
-    The taps of a subject are one map; a sample sees those before it that its taps reach, so no row is multiplied.
+
+def causal_fir(samples: DataFrame, filters: DataFrame, *, chunk: int | None = None) -> DataFrame:
+    """(subject, t, y): y_t = sum over k of h_k x_(t-k), each subject by its own taps; a sample that no tap of any sample reaches has no result.
+
+    Overlap-save: a series is cut into chunks at least as long as the taps reach, and the end of each goes to the next one,
+    too. A chunk is filtered by one product of transforms, so the work a sample grows with the logarithm of the number of
+    taps, and a series of any length is no single task.
     """
-    reach = filters.agg(F.max("k")).first()[0]
+    reach = filters.where("k >= 0").agg(F.max("k")).first()[0]
     if reach is None:
         return samples.select("subject", "t", F.lit(0.0).alias("y")).limit(0)
-    own = filters.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("long"), "h"))).alias("taps"))
-    back = Window.partitionBy("subject").orderBy("t").rangeBetween(-int(reach), 0)
-    seen = samples.select("subject", "t", F.collect_list(F.struct("t", "x")).over(back).alias("seen")).join(own, "subject")
-    y = F.aggregate("seen", F.lit(0.0), lambda s, p: s + p["x"] * F.coalesce(F.try_element_at("taps", F.col("t") - p["t"]), F.lit(0.0)))
-    # a sample that no tap of any sample reaches has no result
-    met = F.exists("seen", lambda p: F.try_element_at("taps", F.col("t") - p["t"]).isNotNull())
-    return seen.where(met).select("subject", "t", y.alias("y"))
+    reach = int(reach)
+    size = max(chunk or CHUNK, reach + 1)
+    taps = filters.where("k >= 0").select("subject", F.struct(F.col("k").cast("long").alias("k"), F.col("h").cast("double").alias("h")).alias("s"))
+    taps = taps.groupBy("subject").agg(F.collect_list("s").alias("taps"))
+    own = F.floor(F.col("t") / size).cast("long")
+    late = F.pmod(F.col("t"), F.lit(size)) >= size - reach
+    spread = samples.select("subject", "t", F.col("x").cast("double").alias("x"), F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("chunk"))
+    chunks = spread.groupBy("subject", "chunk").agg(F.collect_list(F.struct(F.col("t").cast("long").alias("t"), "x")).alias("s")).join(taps, "subject")
+    kind = samples.schema["subject"].dataType.simpleString()
+    # a field of an array of structs is the array of that field
+    flat = chunks.select("subject", "chunk", "s.t", "s.x", "taps.k", "taps.h")
+    done = flat.mapInPandas(_filtered(size, reach), f"subject {kind}, t array<long>, y array<double>")
+    return done.select("subject", F.explode(F.arrays_zip("t", "y")).alias("r")).select("subject", F.col("r.t").cast(samples.schema["t"].dataType).alias("t"), "r.y")
+
+
+def _filtered(size: int, reach: int):
+    """Chunks of samples (t, x) with the ``reach`` before them, and taps (k, h), to the chunks' own samples filtered."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[list] = [[], []]
+            for number, t, x, k, h in zip(batch["chunk"], batch["t"], batch["x"], batch["k"], batch["h"]):
+                first = number * size - reach
+                at = np.asarray(t, np.int64) - first
+                values, there, own = np.zeros(size + reach), np.zeros(size + reach), np.zeros(reach + 1)
+                np.add.at(values, at, np.asarray(x, np.float64))
+                there[at] = 1
+                own[np.asarray(k, np.int64)] = np.asarray(h, np.float64)
+                tapped = np.zeros(reach + 1)
+                tapped[np.asarray(k, np.int64)] = 1
+                wanted = np.unique(at[at >= reach])
+                # whether a tap meets a sample is counted, too; both counts are whole numbers
+                met = _convolved(there, tapped)[wanted] > 0.5
+                kept = wanted[met]
+                out[0].append(kept + first)
+                out[1].append(_convolved(values, own)[kept])
+            yield pd.DataFrame({"subject": batch["subject"], "t": out[0], "y": out[1]})
+
+    return run
+
+
+def _convolved(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The first len(x) values of the convolution, by a product of transforms unless there are few taps."""
+    if len(h) <= 32:
+        return np.convolve(x, h)[: len(x)]
+    n = 1 << (len(x) + len(h) - 2).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(h, n), n)[: len(x)]
 
 
 def channel_gain(samples: DataFrame, gains: DataFrame) -> DataFrame:

@@ -285,3 +285,20 @@ def test_random_windows_are_distinct_and_only_those_drawn_are_made(spark):
     assert len(set(few)) > 25  # of 37 offsets, 150 draws
     plan = windows.random_offsets(df, 4, 5, seed=3)._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("n_taps, chunk", [(3, 16), (3, None), (90, 100), (90, None)])
+def test_filters_by_chunks_equal_sums(spark, n_taps, chunk):
+    rng = np.random.default_rng(n_taps)
+    x = {(s, t): float(rng.normal()) for s in range(3) for t in range(400) if s < 2 or rng.random() < 0.02}
+    h = {(s, k): float(rng.normal()) for s in (0, 2) for k in range(n_taps) if k % 4 != 1}
+    samples = spark.createDataFrame([(s, t, v) for (s, t), v in x.items()], "subject int, t long, x double")
+    filters = spark.createDataFrame([(s, k, v) for (s, k), v in h.items()] + [(0, -1, 5.0)], "subject int, k int, h double")
+    want = {}
+    for s, t in x:
+        own = [(k, v) for (o, k), v in h.items() if o == s and (s, t - k) in x]
+        if own:
+            want[s, t] = sum(v * x[s, t - k] for k, v in own)
+    got = {(r.subject, r.t): r.y for r in spectra.causal_fir(samples, filters, chunk=chunk).collect()}
+    assert got.keys() == want.keys() and all(abs(got[key] - want[key]) < 1e-9 for key in want)
+    assert spectra.causal_fir(samples, filters.limit(0)).count() == 0
