@@ -257,16 +257,46 @@ def periodogram(samples: DataFrame, length: int, bins: int) -> DataFrame:
     return packed.select("subject", "win", F.posexplode(powers).alias("bin", "power"))
 
 
-def autocorrelation(samples: DataFrame, lags: int) -> DataFrame:
-    """(subject, lag, r): sums of products of samples ``lag`` apart, over that of lag 0."""
-    by = Window.partitionBy("subject").orderBy("t")
-    products = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("x") * F.lead("x", k).over(by)).alias("p")) for k in range(lags + 1)])
-    spread = samples.select("subject", products.alias("a")).select("subject", F.explode("a").alias("a"))
-    sums = spread.groupBy("subject", "a.lag").agg(F.sum("a.p").alias("s"))
+def autocorrelation(samples: DataFrame, lags: int, *, chunk: int | None = None) -> DataFrame:
+    """(subject, lag, r): sums of products of samples ``lag`` apart, over that of lag 0; null where none are.
+
+    A series is cut into chunks, each with the first ``lags`` samples of the next one. A chunk's sums by lag are one vector,
+    and vectors add up, so a series of any length is no single task and no sample is multiplied by lags in a shuffle.
+    """
+    size = max(chunk or CHUNK, lags + 1)
+    own = F.floor(F.col("t") / size).cast("long")
+    early = (F.pmod(F.col("t"), F.lit(size)) < lags) & (own > 0)
+    spread = samples.select("subject", "t", F.col("x").cast("double").alias("x"), F.explode(F.when(early, F.array(own, own - 1)).otherwise(F.array(own))).alias("chunk"))
+    chunks = spread.where("x is not null").groupBy("subject", "chunk").agg(F.collect_list(F.struct((F.col("t") - F.col("chunk") * size).cast("long").alias("t"), "x")).alias("s"))
+    kind = samples.schema["subject"].dataType.simpleString()
+    sums = chunks.select("subject", "s.t", "s.x").mapInPandas(_lag_products(size, lags), f"subject {kind}, lag int, s double")
+    sums = sums.groupBy("subject", "lag").agg(F.sum("s").alias("s"))
     zero = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(Window.partitionBy("subject"))
     return sums.select("subject", "lag", F.try_divide("s", zero).alias("r"))
 
 
+def _lag_products(size: int, lags: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for subject, t, x in zip(batch["subject"], batch["t"], batch["x"]):
+                values, there = np.zeros(size + lags), np.zeros(size + lags)
+                at = np.asarray(t, np.int64)
+                values[at], there[at] = np.asarray(x, np.float64), 1
+                # a chunk's own samples against all that lie up to ``lags`` behind them
+                sums, pairs = (_correlated(y[:size], y, lags) for y in (values, there))
+                yield pd.DataFrame({"subject": subject, "lag": np.arange(lags + 1, dtype=np.int32), "s": [float(s) if n > 0.5 else None for s, n in zip(sums, pairs)]})
+
+    return run
+
+
+def _correlated(a: np.ndarray, b: np.ndarray, lags: int) -> np.ndarray:
+    """Sums of a_i b_(i + k) for k up to ``lags``; ``b`` is that much longer than ``a``."""
+    if lags <= 32:
+        return np.array([a @ b[k : k + len(a)] for k in range(lags + 1)])
+    n = 1 << (len(b) - 1).bit_length() + 1
+    return np.fft.irfft(np.conj(np.fft.rfft(a, n)) * np.fft.rfft(b, n), n)[: lags + 1]
+
+
 def min_max(rows: DataFrame, group: list[str], value: str, low: float = -1.0, high: float = 1.0) -> Column:
     """``value`` scaled so that its group spans ``low`` to ``high``; a constant group is the middle."""
     by = Window.partitionBy(*group)

@@ -302,3 +302,16 @@ def test_filters_by_chunks_equal_sums(spark, n_taps, chunk):
     got = {(r.subject, r.t): r.y for r in spectra.causal_fir(samples, filters, chunk=chunk).collect()}
     assert got.keys() == want.keys() and all(abs(got[key] - want[key]) < 1e-9 for key in want)
     assert spectra.causal_fir(samples, filters.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("lags, chunk", [(5, 7), (5, None), (60, 61), (60, 130)])
+def test_autocorrelations_of_chunks_add_up(spark, lags, chunk):
+    rng = np.random.default_rng(lags)
+    x = {s: rng.normal(size=n) for s, n in enumerate((200, 61, 3, 1))}
+    df = spark.createDataFrame([(s, t, float(v)) for s, own in x.items() for t, v in enumerate(own)], "subject int, t long, x double")
+    got = {(r.subject, r.lag): r.r for r in spectra.autocorrelation(df, lags, chunk=chunk).collect()}
+    assert len(got) == 4 * (lags + 1)
+    for s, own in x.items():
+        for k in range(lags + 1):
+            want = float(own[: len(own) - k] @ own[k:] / (own @ own)) if k < len(own) else None
+            assert got[s, k] == (pytest.approx(want, abs=1e-9) if want is not None else None)
