@@ -7,6 +7,7 @@ import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +53,55 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def named_once(spark: SparkSession, draft: str, final: str) -> bool:
+    """Give a finished file its final name by an operation that fails where the name is taken; whether it was free."""
+    jvm, hadoop = spark._jvm, spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(final).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        if fs.getScheme() == "file":  # a rename would overwrite there; a hard link doesn't
+            source, target = (jvm.java.io.File(hadoop.Path(x).toUri().getPath()).toPath() for x in (draft, final))
+            jvm.java.nio.file.Files.createLink(target, source)
+        else:
+            none = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+            context = hadoop.FileContext.getFileContext(hadoop.Path(final).toUri(), spark._jsc.hadoopConfiguration())
+            context.rename(hadoop.Path(draft), hadoop.Path(final), none)
+    except Py4JJavaError as e:
+        if not e.java_exception.getClass().getSimpleName().endswith("FileAlreadyExistsException"):
+            raise
+        return False
+    return True
+
+
+def _text_of(spark: SparkSession, path: str) -> str:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def build_or_load(spark: SparkSession, root: str, name: str, build, **params) -> DataFrame:
-    """The table of these parameters under ``root``; built and written if it isn't there in full."""
-    path = f"{root.rstrip('/')}/{cache_key(name, **params)}"
-    if not exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The table of these parameters under ``root``; built and written if it isn't there in full.
+
+    A table is written aside and then named by the file ``current``, which is made where there is none and never
+    changed. So readers see a whole table or none, and of several that build at once the first one's stays.
+    """
+    folder = f"{root.rstrip('/')}/{cache_key(name, **params)}"
+    pointer = f"{folder}/current"
+    if not exists(spark, pointer):
+        data = f"data-{uuid.uuid4().hex}"
+        build().write.parquet(f"{folder}/{data}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/draft-{data}")
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        stream = fs.create(target, False)
+        stream.write(data.encode())
+        stream.close()
+        won = named_once(spark, target.toString(), pointer)
+        fs.delete(target, False)
+        if not won:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{data}"), True)
+    return spark.read.parquet(f"{folder}/{_text_of(spark, pointer)}")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Properties and edge cases of the library's operators."""
 
+import os
 import struct
+import threading
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -315,3 +318,29 @@ def test_autocorrelations_of_chunks_add_up(spark, lags, chunk):
         for k in range(lags + 1):
             want = float(own[: len(own) - k] @ own[k:] / (own @ own)) if k < len(own) else None
             assert got[s, k] == (pytest.approx(want, abs=1e-9) if want is not None else None)
+
+
+def test_of_caches_built_at_once_one_stays_and_readers_see_it_whole(spark):
+    root, barrier, built = tables.new_path(spark, "race"), threading.Barrier(4), []
+
+    def build(k):
+        def make():
+            barrier.wait(60)  # all have seen that there is none
+            built.append(k)
+            return spark.range(k * 100, k * 100 + 50).repartition(3)
+
+        return make
+
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(lambda k: sorted(r.id for r in tables.build_or_load(spark, root, "t", build(k), a=1).collect()), range(4)))
+    assert sorted(built) == [0, 1, 2, 3] and len(set(map(tuple, found))) == 1 and len(found[0]) == 50
+
+    def never():
+        raise AssertionError("it is there already")
+
+    assert tables.build_or_load(spark, root, "t", never, a=1).count() == 50
+    folder = f"{root.removeprefix('file://')}/{tables.cache_key('t', a=1)}"
+    assert sorted(n.split("-")[0] for n in os.listdir(folder) if not n.startswith(".")) == ["current", "data"]
+    with pytest.raises(AssertionError):  # a build that fails names nothing
+        tables.build_or_load(spark, root, "t", never, a=2)
+    assert tables.build_or_load(spark, root, "t", lambda: spark.range(3), a=2).count() == 3
