@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import kernels, tabular
 from ..operators import bags, spectra, vectors, windows
 from ..sources import signals as src
 from ..sources import tables
@@ -331,6 +331,15 @@ def iclabel_features(spark, d):
     return _values(kernels.per_series(src.packed(src.long_series(spark, d)), kernels.feature_kernel(fs=64)), digits=4)
 
 
+@query("iclabel_features_sql", f"""{_FEATURES} select subject, cast(i as integer) as i, round(cast(cast(v as real) as double), 4) + 0 as v from psd
+union all select subject, cast(99 + i as integer), round(cast(cast(0.99 * v as real) as double), 4) + 0 from y where i between 1 and 100""")
+def iclabel_features_sql(spark, d):
+    """The same by a table function in Spark's SQL."""
+    tabular.register(spark)
+    found = spark.sql("select * from series_features(table({long}) partition by (subject) order by (t), 64.0D, 'features')", long=src.long_series(spark, d))
+    return found.withColumn("v", rounded("v", 4))
+
+
 #: The features' SQL by segment: whole segments of 256 samples are series of their own, too short for averaged autocorrelations.
 _SHORT = _FEATURES.replace("sg as (select subject, seg, t - 96 * seg as j, x from (select *, unnest([t // 96 - 1, t // 96]) as seg from long) join n using (subject) where seg >= 0 and seg < 2 * (n // 192) - 1)", "sg as (select subject, 0 as seg, t as j, x from long)")
 _BY_SEGMENT = _SHORT.replace(" / ((192 - lag) / 192.0::double)", "").replace(LONG, LONG.replace("long as (", "whole as (", 1) + """, long as (select subject * 1000 + t // 256 as subject, t % 256 as t, x

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from oscilla.functions import kernels as K
+from oscilla.functions import tabular
 
 
 def test_welch_of_a_sine_peaks_at_its_frequency_and_keeps_power():
@@ -54,3 +55,21 @@ def test_notches_are_filled_and_the_array_returned_without_scaling():
 
 def test_constant_series_are_finite():
     assert np.isfinite(K.features(np.zeros(400), 64)).all()
+
+
+def test_extractors_as_table_functions(spark):
+    rng = np.random.default_rng(3)
+    x = {name: rng.normal(size=n) for name, n in (("a", 640), ("b", 256), ("c", 200))}
+    rows = [(name, t, float(v)) for name, own in x.items() for t, v in enumerate(own)]
+    rng.shuffle(rows)
+    spark.createDataFrame([(n, int(t), float(v)) for n, t, v in rows], "who string, t long, x double").createOrReplaceTempView("series_of_test")
+    tabular.register(spark)
+    for name, extract in tabular.EXTRACTORS.items():
+        found = spark.sql(f"select * from series_features(table(series_of_test) partition by (who) order by (t), 64.0D, '{name}')")
+        assert found.dtypes == [("who", "string"), ("i", "int"), ("v", "double")]
+        got = {(r.who, r.i): r.v for r in found.collect()}
+        want = {(who, i): float(v) for who, own in x.items() for i, v in enumerate(extract(own, 64.0))}
+        assert got == pytest.approx(want)
+    for call in ("'x', 64.0D, 'features'", "table(series_of_test) partition by (who), -1.0D, 'features'", "table(series_of_test) partition by (who), 64.0D, 'pitch'", "table(select t, x from series_of_test) partition by (t), 64.0D, 'features'"):
+        with pytest.raises(Exception):
+            spark.sql(f"select * from series_features({call})").collect()
