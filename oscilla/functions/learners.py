@@ -1,7 +1,9 @@
 """Learners on pyspark.ml: TF-IDF on rates as an estimator, forests and elastic-net logistic regression.
 
-Deviations from usual single-machine learners: a forest has no minimum of rows to split, its nearest
-parameter is the minimum of rows in a leaf; trees are at most 30 deep; float results of learners are
+A forest's minimum of rows to split, which Spark's has not, is applied to grown trees: whether a node is split depends
+on its own rows alone, so cutting the splits of small nodes gives the trees that would have been grown.
+
+Deviations from usual single-machine learners: trees are at most 30 deep; float results of learners are
 not bound to any other implementation.
 """
 
@@ -11,14 +13,16 @@ from math import log
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import new_path
+
 
 def dense(rates: DataFrame, keys: list[str], width: int) -> DataFrame:
     """(keys..., features): rates of a document as a vector of ``width`` values, zeros for those it lacks."""
@@ -110,7 +114,36 @@ class TfidfRatesModel(Model, _TfidfParams, DefaultParamsReadable, DefaultParamsW
         return out.withColumn(get(self.outputCol), array_to_vector(F.concat(scaled, tail))).drop("_v")
 
 
-def classifier(kind: str, *, trees: int = 300, min_rows: int = 1, depth: int = 10, c: float = 1.0, l1_ratio: float = 0.0, weight: str | None = None, total_weight: float | None = None, seed: int = 13, features: str = "scaled"):
+def with_min_split(model: RandomForestClassificationModel, least: int) -> RandomForestClassificationModel:
+    """The forest without splits of nodes of fewer than ``least`` rows (of the tree's own sample); those are leaves.
+
+    Nodes are rows of the stored forest, with their counts; nodes below a cut one are no longer reached.
+    """
+    spark = SparkSession.active()
+    grown, cut = new_path(spark, "forest"), new_path(spark, "forest")
+    model.save(grown)
+    model.save(cut)
+    nodes = spark.read.parquet(f"{grown}/data")
+    kinds = {f.name: f.dataType for f in nodes.schema["nodeData"].dataType.fields}
+    leaf = {"gain": F.lit(-1.0), "leftChild": F.lit(-1), "rightChild": F.lit(-1), "split": F.struct(F.lit(-1), F.array().cast("array<double>"), F.lit(-1))}
+    small = F.col("nodeData.rawCount") < least
+    own = [F.when(small, leaf[name].cast(kind)).otherwise(F.col(f"nodeData.{name}")).alias(name) if name in leaf else F.col(f"nodeData.{name}") for name, kind in kinds.items()]
+    nodes.withColumn("nodeData", F.struct(*own)).write.mode("overwrite").parquet(f"{cut}/data")
+    return RandomForestClassificationModel.load(cut)
+
+
+class MinSplitForest(Estimator):
+    """A random forest that splits nodes of ``least`` rows or more."""
+
+    def __init__(self, forest: RandomForestClassifier, least: int) -> None:
+        super().__init__()
+        self.forest, self.least = forest, least
+
+    def _fit(self, dataset: DataFrame) -> RandomForestClassificationModel:
+        return with_min_split(self.forest.fit(dataset), self.least)
+
+
+def classifier(kind: str, *, trees: int = 300, min_rows: int = 1, min_split: int = 2, depth: int = 10, c: float = 1.0, l1_ratio: float = 0.0, weight: str | None = None, total_weight: float | None = None, seed: int = 13, features: str = "scaled"):
     """A random forest or a multinomial elastic-net logistic regression.
 
     ``c`` is the inverse of the penalty on the sum of losses. Spark takes their weighted mean, so its penalty is 1 / (c * ``total_weight``),
@@ -118,7 +151,8 @@ def classifier(kind: str, *, trees: int = 300, min_rows: int = 1, depth: int = 1
     """
     common = {"featuresCol": features, "labelCol": "label"} | ({"weightCol": weight} if weight else {})
     if kind == "random_forest":
-        return RandomForestClassifier(numTrees=trees, minInstancesPerNode=min_rows, maxDepth=depth, seed=seed, **common)
+        forest = RandomForestClassifier(numTrees=trees, minInstancesPerNode=min_rows, maxDepth=depth, seed=seed, **common)
+        return forest if min_split <= 2 else MinSplitForest(forest, min_split)
     if kind == "logistic":
         if not total_weight:
             raise ValueError("a logistic regression needs the sum of the weights")

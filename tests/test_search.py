@@ -4,6 +4,7 @@ import collections
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 
 from oscilla.functions import learners, search
@@ -222,3 +223,45 @@ def test_late_events_are_dropped_and_windows_updated(spark):
                 fs.rename(status.getPath(), hadoop.Path(f"{flat}/events-{k}.parquet"))
     got = {r.start % 86400 // 3600: (r.n, r.sum_x) for r in live.replayed(spark, f"{flat}/events-*.parquet", live.tumbling_sums, ["subject", "start"]).collect()}
     assert got == {0: (1, 1.0), 6: (2, 6.0), 9: (1, 16.0)}  # the event of 00:20 came after its window was closed
+
+
+def test_no_node_below_the_minimum_is_split(spark):
+    rng = np.random.default_rng(0)
+    points = rng.normal(size=(300, 4))
+    df = spark.createDataFrame([(DenseVector(v), float(v.sum() > 0)) for v in points], ["features", "label"]).coalesce(2)
+    common = {"trees": 5, "depth": 6, "seed": 3, "features": "features"}
+    grown = learners.classifier("random_forest", **common).fit(df)
+    cut = learners.classifier("random_forest", min_split=40, **common).fit(df)
+
+    def nodes(model):
+        path = tables.new_path(spark, "forest-test")
+        model.save(path)
+        return {(r.treeID, r.nodeData.id): r.nodeData for r in spark.read.parquet(f"{path}/data").collect()}
+
+    before, after = nodes(grown), nodes(cut)
+    inner = [n for n in after.values() if n.leftChild >= 0]
+    assert inner and all(n.rawCount >= 40 for n in inner) and any(n.rawCount < 40 and n.leftChild >= 0 for n in before.values())
+    assert cut.totalNumNodes < grown.totalNumNodes
+
+    def votes(v):
+        total = np.zeros(2)
+        for tree in range(5):
+            n = before[tree, 0]
+            while n.leftChild >= 0 and n.rawCount >= 40:
+                n = before[tree, n.leftChild if v[n.split.featureIndex] <= n.split.leftCategoriesOrThreshold[0] else n.rightChild]
+            total += np.array(n.impurityStats) / sum(n.impurityStats)
+        return total / 5
+
+    for r in cut.transform(df).limit(60).collect():
+        assert r.probability.toArray() == pytest.approx(votes(r.features.toArray()))
+
+
+def test_a_search_tries_minimums_of_rows_to_split(spark, data):
+    features = search.extractor("bowav", bundle(data, "bowav"))
+    base = {"aggregate": "count_pooling", "train": 8, "val": 16, "expert_weight": 1.0, "trees": 3, "depth": 3}
+    candidates = [base | {"min_split": m} for m in (2, 12)]
+    results = search.search(spark, features, data["series"], "bowav", "random_forest", candidates, tables.new_path(spark, "search-forest"))
+    assert results.count() == 6
+    model = search.refit(features, data["series"], "bowav", "random_forest", candidates[1])
+    search.save(model, candidates[1], folder := tables.new_path(spark, "forest-model"))
+    assert search.load(spark, folder)[0].stages[1].totalNumNodes == model.stages[1].totalNumNodes
