@@ -359,16 +359,31 @@ def initial_centroids(vectors: DataFrame, k: int, length: int, *, init: str | np
     return make(np.array([r.v for r in rows], np.float64), k, length, np.random.default_rng(seed))
 
 
-def shift_kmeans(vectors: DataFrame, k: int, length: int, *, metric: str = "cosine", init: str | np.ndarray | Init = "random", n_init: int = 1, max_iter: int = 20, tol: float = 1e-6, seed: int = 13) -> tuple[np.ndarray, DataFrame, float]:
+def generator(seed: int | np.random.Generator | None = None) -> np.random.Generator:
+    """A generator from a whole number, from the system's entropy where there is none, or the one that is given."""
+    if isinstance(seed, np.random.Generator):
+        return seed
+    if seed is not None and (isinstance(seed, bool) or not isinstance(seed, (int, np.integer))):
+        raise ValueError(f"{seed!r} is no seed")
+    return np.random.default_rng(None if seed is None else np.random.SeedSequence(int(seed)))
+
+
+def child_seeds(seed: int | np.random.Generator | None, n: int) -> list[int]:
+    """Seeds of ``n`` runs whose draws have nothing to do with one another: the same ones for the same number."""
+    return [int(s) for s in generator(seed).integers(0, 1 << 62, size=n)]
+
+
+def shift_kmeans(vectors: DataFrame, k: int, length: int, *, metric: str = "cosine", init: str | np.ndarray | Init = "random", n_init: int = 1, max_iter: int = 20, tol: float = 1e-6, seed: int | np.random.Generator | None = 13) -> tuple[np.ndarray, DataFrame, float]:
     """Centroids (k, length), final assignments and inertia of the best of ``n_init`` runs.
 
     Each round assigns in batches and averages on the executors; k * length values come to the driver. A run's
-    centroids are those of its round of least inertia, and the assignments returned are made with them.
+    centroids are those of its round of least inertia, and the assignments returned are made with them. Each run draws by a
+    seed of its own that follows from ``seed``.
     """
     vectors = settled(vectors.select("id", "v"))
     best: tuple[float, np.ndarray] | None = None
-    for run in range(n_init):
-        centers = initial_centroids(vectors, k, length, init=init, metric=metric, seed=seed + run)
+    for own in child_seeds(seed, n_init):
+        centers = initial_centroids(vectors, k, length, init=init, metric=metric, seed=own)
         for _ in range(max_iter + 1):
             found = settled(assigned(vectors, {0: centers}, metric))
             total = found.agg(F.sum("dist")).first()[0] or 0.0

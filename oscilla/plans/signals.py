@@ -10,6 +10,7 @@ from ..functions import kernels, tabular
 from ..operators import bags, spectra, vectors, windows
 from ..sources import signals as src
 from ..sources import tables
+from . import workflows
 from .registry import CODES, LONG, SIGNAL, SPECTRA, VECTORS, registry, rounded
 
 QUERIES, ORACLES, query = registry()
@@ -293,6 +294,22 @@ def welch_psd(spark, d):
     return _values(kernels.per_series(src.packed(src.long_series(spark, d)), kernels.welch_kernel(fs=64, nperseg=64)))
 
 
+#: The series of the frames' SQL: channels in the place of subjects, or the mean of a subject's channels.
+_TWO = LONG.replace("long as (", "pair as (", 1).replace("l_quantity as x", "l_quantity as a, l_tax * 100 as b")
+_FRAME_SIGNALS = _WELCH.replace(LONG, _TWO + ", long as (select subject, t, (a + b) / 2 as x from pair)")
+_FRAME_SPECTRA = _WELCH.replace(LONG, _TWO + ", long as (select subject * 2 as subject, t, a as x from pair union all select subject * 2 + 1, t, b from pair)")
+
+
+@query("frame_of_signals", f"{_FRAME_SIGNALS} select subject, cast(bin as integer) as bin, round(10 * log10(p), 6) as db from w")
+def frame_of_signals(spark, d):
+    return workflows.spectrum_frame(src.channels(spark, d), srate=64, nperseg=64).withColumn("db", rounded("db"))
+
+
+@query("frame_of_spectra", f"{_FRAME_SPECTRA} select subject // 2 as subject, cast(bin as integer) as bin, round(10 * log10(avg(p)), 6) as db from w group by all")
+def frame_of_spectra(spark, d):
+    return workflows.spectrum_frame(src.channels(spark, d), srate=64, nperseg=64, average="spectra").withColumn("db", rounded("db"))
+
+
 @query("welch_normed", f"{_WELCH} select subject, cast(bin as integer) as i, round(p / sum(p) over (partition by subject), 6) as v from w")
 def welch_normed(spark, d):
     return _values(kernels.per_series(src.packed(src.long_series(spark, d)), kernels.welch_kernel(fs=64, nperseg=64, normalize=True)))

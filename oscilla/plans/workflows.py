@@ -65,3 +65,19 @@ def voted_predictions(codes: DataFrame, train: int, val: int) -> DataFrame:
     if evaluation.skip_short(train, val, True):
         raise ValueError("validation segments are shorter than training segments")
     return evaluation.regrouped_votes(dominant(codes, train), train, val)
+
+
+def spectrum_frame(channels: DataFrame, *, srate: float, nperseg: int, average: str = "signals") -> DataFrame:
+    """(subject, bin, db): the spectrum of each subject in decibels, from samples (subject, channel, t, x), to be plotted.
+
+    ``signals`` averages the channels' samples and takes the spectrum of that, ``spectra`` averages the channels'
+    spectra; the two differ wherever channels are not in phase.
+    """
+    if average not in ("signals", "spectra"):
+        raise ValueError(f"no average {average!r}")
+    by = ["subject"] if average == "signals" else ["subject", "channel"]
+    rows = channels.groupBy("subject", "t").agg(F.avg("x").alias("x")) if average == "signals" else channels
+    packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("s")).select(*by, F.transform("s", lambda s: s["x"]).alias("samples"))
+    found = kernels.per_series(packed, kernels.welch_kernel(fs=srate, nperseg=nperseg)).select(*by, F.posexplode("values").alias("bin", "p"))
+    mean = found if average == "signals" else spectra.channel_mean(found)
+    return mean.select("subject", "bin", spectra.decibel(F.col("p")).alias("db"))

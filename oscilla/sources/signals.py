@@ -40,10 +40,20 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("subject", "t", F.explode("both").alias("b")).select("subject", "t", "b.book", "b.code")
 
 
+#: All columns of order lines in the order that counts.
+_LINES = [f"l_{c}" for c in ("shipdate", "orderkey", "linenumber", "partkey", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus")]
+
+
+def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(subject, channel, t, x): quantities and taxes in per cent of each supplier's order lines, as two channels."""
+    both = F.array(F.col("l_quantity"), F.col("l_tax") * 100)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("subject"), both.alias("both"), *_LINES).select("subject", _index(*_LINES).alias("t"), "both")
+    return rows.select("subject", "t", F.posexplode("both").alias("channel", "x")).select("subject", "channel", "t", "x")
+
+
 def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject, t, x): quantities of each supplier's order lines, in order of all columns."""
-    lines = table(spark, sf_dir, "lineitem")
-    order = [f"l_{c}" for c in ("shipdate", "orderkey", "linenumber", "partkey", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus")]
+    lines, order = table(spark, sf_dir, "lineitem"), _LINES
     return lines.select(F.col("l_suppkey").alias("subject"), F.col("l_quantity").alias("x"), *order).select("subject", _index(*order).alias("t"), "x")
 
 

@@ -344,3 +344,14 @@ def test_of_caches_built_at_once_one_stays_and_readers_see_it_whole(spark):
     with pytest.raises(AssertionError):  # a build that fails names nothing
         tables.build_or_load(spark, root, "t", never, a=2)
     assert tables.build_or_load(spark, root, "t", lambda: spark.range(3), a=2).count() == 3
+
+
+def test_generators_and_seeds_of_runs():
+    assert vectors.child_seeds(5, 3) == vectors.child_seeds(5, 3) != vectors.child_seeds(6, 3)
+    assert vectors.child_seeds(5, 4)[:3] == vectors.child_seeds(5, 3) and len(set(vectors.child_seeds(5, 50))) == 50
+    own = np.random.default_rng(2)
+    assert vectors.generator(own) is own and vectors.generator(np.int64(3)).random() == vectors.generator(3).random()
+    assert vectors.generator().random() != vectors.generator().random()
+    for wrong in ("x", 1.5, True):
+        with pytest.raises(ValueError):
+            vectors.generator(wrong)
