@@ -121,7 +121,9 @@ def argmax_noisy(spark, d):
 @query("loso_splits", f"""with {LABELLED}, s as (select distinct subject as held_out from ics)
 select held_out, case when subject <> held_out then 'train' else 'test' end as role, count(*) as n from s, ics where subject <> held_out or is_expert group by all""")
 def loso_splits(spark, d):
-    return labels.leave_one_out(src.series_labels(spark, d)).groupBy("held_out", "role").agg(F.count("*").alias("n"))
+    """Rows of each role of each split, from the counts by subject: no pair of row and split is made."""
+    sizes = labels.split_sizes(src.series_labels(spark, d))
+    return sizes.select("held_out", F.expr("stack(2, 'train', n_train, 'test', n_test) as (role, n)")).where("n > 0")
 
 
 @query("loso_sizes", f"with {LABELLED} select subject as held_out, (select count(*) from ics) - count(*) as n_train, count(*) filter (is_expert) as n_test from ics group by subject")
